@@ -27,7 +27,7 @@ HOLIDAYS_2026 = (
 
 # Band edges and labels (right-closed bins).
 TREND_EDGES = (-0.1, -0.02, 0.02, 0.1)
-TREND_LABELS = ("strong_down", "down", "stable", "up", "strong_up")
+TREND_LABELS = ("bajada_fuerte", "bajada", "estable", "subida", "subida_fuerte")
 INCOME_EDGES = (0, 28000, 35000, 70000)
 INCOME_LABELS = ("Baja", "Media", "Alta")
 PRIORITY_EDGES = (0, 40, 60, 100)
