@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -13,22 +17,40 @@ from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
 from fillgauge.operators.demand import hourly_profile, hourly_profile_long
 from fillgauge.operators.pairs import BLOCK, block_count, in_block_pairs
+from fillgauge.session import materialise
 
 HOURS = [f"h{h}" for h in range(24)]
+# Spark compares a centre's move, others its square: this is the usual 1e-4 on squares.
+TOLERANCE = 0.01
 
 
 def profile_vectors(df: DataFrame, key: str, **columns) -> DataFrame:
     """(key, features): the standardised hourly profile of each station."""
-    profile = hourly_profile(df, key=key, **columns)
+    profile = materialise(hourly_profile(df, key=key, **columns), "profiles")
     raw = VectorAssembler(inputCols=HOURS, outputCol="raw").transform(profile).select(key, "raw")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     return scaler.fit(raw).transform(raw).select(key, "features")
 
 
+def cached(vectors: DataFrame, per_partition: int = 20_000) -> tuple[DataFrame, int]:
+    """Vectors kept in memory for the iterations, in partitions worth a task, and their count."""
+    n = vectors.count()
+    kept = vectors.coalesce(max(1, math.ceil(n / per_partition))).persist()
+    return kept, n
+
+
 def best_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int):
-    """Lowest-cost fit of several seeds."""
-    models = [KMeans(k=k, seed=seed + i, maxIter=100).fit(vectors) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+    """Lowest-cost fit of several seeds, the first on ties."""
+    return min(fits(vectors, [(k, seed + i) for i in range(restarts)]), key=lambda m: m.summary.trainingCost)
+
+
+def fits(vectors: DataFrame, runs: list[tuple[int, int]], parallelism: int = 8) -> list:
+    """Independent k-means fits (k, seed), submitted side by side as Spark's own tuning does."""
+    fit = inheritable_thread_target(vectors.sparkSession)(
+        lambda run: KMeans(k=run[0], seed=run[1], maxIter=100, tol=TOLERANCE).fit(vectors)
+    )
+    with ThreadPool(min(parallelism, len(runs))) as pool:
+        return pool.map(fit, runs)
 
 
 def relabel(assigned: DataFrame, key: str, cluster: str = "cluster") -> DataFrame:
@@ -40,7 +62,7 @@ def relabel(assigned: DataFrame, key: str, cluster: str = "cluster") -> DataFram
 
 
 def cluster_stations(df, *, key="station_id", k=4, restarts=10, seed=42, **columns):
-    vectors = profile_vectors(df, key, **columns).cache()
+    vectors, _ = cached(profile_vectors(df, key, **columns))
     model = best_kmeans(vectors, k, restarts, seed)
     found = model.transform(vectors).select(key, F.col("prediction").alias("cluster"))
     return relabel(found, key)
@@ -51,12 +73,15 @@ def elbow_curve(df, *, key="station_id", ks=range(2, 11), restarts=3, seed=42, *
 
     Costs are those of population-scaled profiles, n / (n - 1) times Spark's.
     """
-    vectors = profile_vectors(df, key, **columns).cache()
-    n = vectors.count()
+    vectors, n = cached(profile_vectors(df, key, **columns))
     factor = n / (n - 1) if n > 1 else 1.0
-    costs = [(int(k), float(best_kmeans(vectors, k, restarts, seed).summary.trainingCost) * factor) for k in ks]
+    runs = [(int(k), seed + i) for k in ks for i in range(restarts)]
+    best: dict[int, float] = {}
+    for (k, _), model in zip(runs, fits(vectors, runs)):
+        cost = float(model.summary.trainingCost) * factor
+        best[k] = min(cost, best.get(k, cost))
     vectors.unpersist()
-    curve = df.sparkSession.createDataFrame(costs, "k int, inertia double")
+    curve = df.sparkSession.createDataFrame(sorted(best.items()), "k int, inertia double")
     return with_reduction(curve)
 
 
@@ -106,39 +131,44 @@ def grouping_inertia(df, assignments, *, key="station_id", **columns):
     )
 
 
-def _distance_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Summed distances from each station of a block pair to the members of each cluster on the other side."""
-    bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    points = np.vstack(pdf["profile"].to_numpy())
-    block = pdf["_b"].to_numpy()
-    sides = [(block == bi, block == bj)] if bi == bj else [(block == bi, block == bj), (block == bj, block == bi)]
-    groups = pd.DataFrame(pdf["clusters"].tolist(), index=pdf.index) if len(pdf) else None
-    out = []
-    for left, right in sides:
-        if not left.any() or not right.any():
-            continue
-        p, q = points[left], points[right]
-        dist = np.empty((len(p), len(q)))
-        for start in range(0, len(p), 64):
-            diff = p[start : start + 64, None, :] - q[None, :, :]
-            dist[start : start + 64] = np.sqrt((diff * diff).sum(axis=2))
-        for k in groups.columns:
-            names, code = np.unique(groups[k].to_numpy()[right], return_inverse=True)
-            member = np.zeros((len(q), len(names)))
-            member[np.arange(len(q)), code] = 1.0
-            total = dist @ member
-            out.append(
-                pd.DataFrame(
-                    {
-                        "station": np.repeat(pdf["station"].to_numpy()[left], len(names)),
-                        "own": np.repeat(groups[k].to_numpy()[left], len(names)),
-                        "k": k,
-                        "cluster": np.tile(names, len(p)),
-                        "dist": total.ravel(),
-                    }
+def distance_summer():
+    """The task-side sums of one block pair: from each station to each cluster's members on the other side."""
+    columns = ("station", "own", "k", "cluster", "dist")
+
+    def distance_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+        points, station = np.vstack(pdf["profile"].to_numpy()), pdf["station"].to_numpy()
+        block = pdf["_b"].to_numpy()
+        sides = [(bi, bj)] if bi == bj else [(bi, bj), (bj, bi)]
+        groups = pd.DataFrame(pdf["clusters"].tolist())
+        out = []
+        for left, right in ((block == l, block == r) for l, r in sides):
+            if not left.any() or not right.any():
+                continue
+            p, q = points[left], points[right]
+            dist = np.empty((len(p), len(q)))
+            for start in range(0, len(p), 64):
+                diff = p[start : start + 64, None, :] - q[None, :, :]
+                dist[start : start + 64] = np.sqrt((diff * diff).sum(axis=2))
+            for k in groups.columns:
+                own = groups[k].to_numpy()
+                names, code = np.unique(own[right], return_inverse=True)
+                member = np.zeros((len(q), len(names)))
+                member[np.arange(len(q)), code] = 1.0
+                out.append(
+                    pd.DataFrame(
+                        {
+                            "station": np.repeat(station[left], len(names)),
+                            "own": np.repeat(own[left], len(names)),
+                            "k": k,
+                            "cluster": np.tile(names, len(p)),
+                            "dist": (dist @ member).ravel(),
+                        }
+                    )
                 )
-            )
-    return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("station", "own", "k", "cluster", "dist")})
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
+
+    return distance_sums
 
 
 def silhouette_pick(df, assignments, *, key="station_id", block=BLOCK, **columns):
@@ -153,12 +183,12 @@ def silhouette_pick(df, assignments, *, key="station_id", block=BLOCK, **columns
     groups = assignments.groupBy(F.col(key).cast("bigint").alias("station")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), F.col("cluster").cast("int")))).alias("clusters")
     )
-    points = profile.join(groups, "station")
+    points = materialise(profile.join(groups, "station"), "profiles")
     blocks = block_count(points.agg(F.approx_count_distinct("station")).first()[0], block)
     parts = (
         in_block_pairs(points, "station", blocks)
         .groupBy("bi", "bj")
-        .applyInPandas(_distance_sums, "station bigint, own int, k int, cluster int, dist double")
+        .applyInPandas(distance_summer(), "station bigint, own int, k int, cluster int, dist double")
     )
     sizes = assignments.groupBy(F.col("k").cast("int").alias("k"), F.col("cluster").cast("int").alias("cluster")).agg(
         F.count("*").alias("size")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillgauge import defaults as D
@@ -19,6 +19,10 @@ DAY_BANDS = (
     ("evening", 20, 24),
 )
 
+def over_all(col):
+    """An aggregate over all rows; for aggregated tables only: bands, weekdays, days."""
+    return col.over(Window.partitionBy())
+
 
 def activity_by_band(df, *, time="ts", bands=DAY_BANDS, **kwargs):
     """Mean absolute change per hour, averaged over bands of the day.
@@ -34,17 +38,13 @@ def activity_by_band(df, *, time="ts", bands=DAY_BANDS, **kwargs):
     for name, start, end in bands:
         label = label.when((F.col("hour") >= start) & (F.col("hour") < end), F.lit(name))
     banded = hourly.groupBy(label.alias("band")).agg(F.avg("activity").alias("activity"))
-    whole = banded.agg(
-        F.struct(
-            F.sum(F.when(F.col("band").isin("morning", "afternoon", "evening"), F.col("activity"))).alias("used"),
-            F.max("activity").alias("peak"),
-        )
-    ).scalar()
-    return banded.withColumn("_w", whole).select(
+    in_use = F.col("band").isin("morning", "afternoon", "evening")
+    used = over_all(F.sum(F.when(in_use, F.col("activity"))))
+    return banded.select(
         "band",
         r6(F.col("activity")).alias("activity"),
-        r6(F.coalesce(100 * C.ratio(F.col("activity"), F.col("_w.used")), F.lit(0.0))).alias("share_pct"),
-        C.flag(F.col("activity") == F.col("_w.peak")).alias("is_peak"),
+        r6(F.coalesce(100 * C.ratio(F.col("activity"), used), F.lit(0.0))).alias("share_pct"),
+        C.flag(F.col("activity") == over_all(F.max("activity"))).alias("is_peak"),
     )
 
 
@@ -68,19 +68,16 @@ def weekday_pattern(df, *, time="ts", level="bikes", capacity="capacity"):
     )
 
     def mean(condition):
-        return C.ratio(F.sum(F.when(condition, F.col("s"))), F.sum(F.when(condition, F.col("n"))))
+        total = over_all(F.sum(F.when(condition, F.col("s"))))
+        return C.ratio(total, over_all(F.sum(F.when(condition, F.col("n")))))
 
-    whole = daily.agg(
-        F.struct(
-            mean(F.col("day_of_week") < 5).alias("weekday"), mean(F.col("day_of_week") >= 5).alias("weekend")
-        )
-    ).scalar()
-    return daily.withColumn("_w", whole).select(
+    weekday, weekend = mean(F.col("day_of_week") < 5), mean(F.col("day_of_week") >= 5)
+    return daily.select(
         "day_of_week",
         r6(C.ratio(F.col("s"), F.col("n"))).alias("occupancy_pct"),
-        r6(F.col("_w.weekday")).alias("weekday_pct"),
-        r6(F.col("_w.weekend")).alias("weekend_pct"),
-        r6(F.col("_w.weekday") - F.col("_w.weekend")).alias("diff"),
+        r6(weekday).alias("weekday_pct"),
+        r6(weekend).alias("weekend_pct"),
+        r6(weekday - weekend).alias("diff"),
     )
 
 
@@ -203,18 +200,16 @@ def atypical_days(df, *, time="ts", z=1.5, **kwargs):
         .groupBy(F.to_date(time).alias("date"))
         .agg(F.coalesce(F.sum("abs_delta"), F.lit(0)).cast("bigint").alias("activity"))
     )
-    whole = daily.agg(
-        F.struct(F.avg("activity").alias("mean"), F.stddev_samp("activity").alias("std"))
-    ).scalar()
-    away = F.col("activity") - F.col("_w.mean")
+    away = F.col("activity") - F.col("_mean")
     return (
-        daily.withColumn("_w", whole)
-        .where(F.abs(away) > z * F.col("_w.std"))
+        daily.withColumn("_mean", over_all(F.avg("activity")))
+        .withColumn("_std", over_all(F.stddev_samp("activity")))
+        .where(F.abs(away) > z * F.col("_std"))
         .select(
             "date",
             "activity",
-            r6(F.col("_w.mean")).alias("mean"),
-            r6(F.col("_w.std")).alias("std"),
+            r6(F.col("_mean")).alias("mean"),
+            r6(F.col("_std")).alias("std"),
             F.when(away > 0, "MUY ACTIVO").otherwise("MUY INACTIVO").alias("kind"),
         )
     )

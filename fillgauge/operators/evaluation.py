@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillgauge import defaults as D
@@ -71,10 +71,9 @@ def threshold_sweep(df, *, label="label", score="score", steps=range(2, 18)):
 
 def with_best(rows: DataFrame, key: str, out: str = "is_best") -> DataFrame:
     """Mark the row of highest F1, the first by ``key`` on ties; none when all are 0."""
-    best = rows.where("f1 > 0").agg(F.max_by(key, F.struct("f1", -F.col(key)))).scalar()
-    return rows.withColumn("_best", best).withColumn(
-        out, F.coalesce(C.flag(F.col(key) == F.col("_best")), F.lit(0))
-    ).drop("_best")
+    # One row per threshold or definition: a handful.
+    best = F.max_by(key, F.when(F.col("f1") > 0, F.struct("f1", -F.col(key)))).over(Window.partitionBy())
+    return rows.withColumn(out, F.coalesce(C.flag(F.col(key) == best), F.lit(0)))
 
 
 def empty_definition_sweep(df, *, level="bikes", candidates=D.EMPTY_CANDIDATES, **kwargs):
@@ -129,14 +128,14 @@ def fixed_vs_pct_threshold(df, *, level="bikes", capacity="capacity", fixed=D.EM
         r6(F.coalesce(100 * C.ratio(positives, everything), F.lit(0.0))).alias("pct_empty"),
         *[q[name].alias(name) for name in ("precision", "recall", "f1")],
     )
-    winner = both.agg(F.min_by("method", F.struct(-F.col("f1"), "method"))).scalar()
-    return both.withColumn("_w", winner).withColumn("is_winner", C.flag(F.col("method") == F.col("_w"))).drop("_w")
+    winner = F.min_by("method", F.struct(-F.col("f1"), "method")).over(Window.partitionBy())
+    return both.withColumn("is_winner", C.flag(F.col("method") == winner))
 
 
 def persistence_rows(df, *, level="bikes", empty=D.EMPTY_BELOW, train_fraction=D.TRAIN_FRACTION, **kwargs):
     """Test rows of the time split with the label and the guess "empty now, empty later"."""
     future = with_future(df, level=level, **kwargs)
-    split = with_time_split(future, train_fraction=train_fraction)
+    split = with_time_split(future, train_fraction=train_fraction, sized_by=df)
     return split.where("split = 'test'").select(
         (F.col("future_bikes") < empty).alias("label"), (F.col(level) < empty).alias("guess")
     )

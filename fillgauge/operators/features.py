@@ -245,13 +245,15 @@ def delta_target(
     return out.select(tie, "delta_next", "will_increase", "will_decrease")
 
 
-def with_time_split(df, *, key="station_id", time="ts", tie=ROW_ID, train_fraction=D.TRAIN_FRACTION):
+def with_time_split(
+    df, *, key="station_id", time="ts", tie=ROW_ID, train_fraction=D.TRAIN_FRACTION, sized_by=None
+):
     """First part of each station's readings is train, the rest test."""
     n = F.col("_total")
     wanted = F.floor(n * F.lit(float(train_fraction))).cast("bigint")
     cut = F.when(n < 2, n).otherwise(F.greatest(F.lit(1), F.least(wanted, n - 1)))
     return (
-        ranked(df, key, [time, tie])
+        ranked(df, key, [time, tie], sized_by=sized_by)
         .withColumn("split", F.when(F.col("_rank") <= cut, "train").otherwise("test"))
         .drop("_rank", "_total")
     )
@@ -311,13 +313,14 @@ def transfer_features(
             for name, default in flags.items()
         }
     ).withColumn("occupancy", C.clamp(F.coalesce("occupancy", F.lit(0.0)), 0, 1))
-    # Station ids repeat between cities, so the series key is both.
-    base = base.withColumn("_series", F.concat_ws("/", city, F.col(key).cast("string")))
-    scored = with_zscore(
-        with_delta_target(base, key="_series", time=time, tie=tie, horizon=horizon, jump=jump),
-        city,
-        "temperature",
-        "temp_zscore",
+    # Station ids repeat between cities, so a series is a city's station.
+    scored = with_delta_target(
+        with_zscore(base, city, "temperature", "temp_zscore"),
+        key=[city, key],
+        time=time,
+        tie=tie,
+        horizon=horizon,
+        jump=jump,
     )
     return scored.select(
         city,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
+from fillgauge.session import lookup
 
 
 def fleet_utilisation(df, *, time="ts", level="bikes", capacity="capacity", ideal=0.5, tol=50):
@@ -56,7 +57,7 @@ def complete_snapshots(df, *, time="ts", min_stations=75):
     """Rows of snapshots with enough stations. ``min_stations`` may be a column of ``df``'s scalars."""
     need = min_stations if not isinstance(min_stations, int) else F.lit(min_stations)
     complete = df.groupBy(time).agg(F.count("*").alias("_n")).where(F.col("_n") >= need).select(time)
-    return df.join(complete, time, "left_semi")
+    return df.join(lookup(complete, [time]), time, "left_semi")
 
 
 def frame_stats(df, *, key="station_id", time="ts", level="bikes", capacity="capacity", seconds=300, empty=D.EMPTY_BELOW):

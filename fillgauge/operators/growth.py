@@ -80,7 +80,10 @@ def _line(points: DataFrame, z: Column, *keys: str) -> DataFrame:
 
 
 def _fit_quality(points: DataFrame, params: DataFrame, fitted: Column, keys: list[str], kept: list[str]) -> DataFrame:
-    """Best candidate per series by squared error, with R2 and MAPE."""
+    """Best candidate per series by squared error, with R2 and MAPE.
+
+    Errors equal to six decimals are a tie, which the earlier candidate wins.
+    """
     err = F.col("y") - fitted
     scores = (
         points.join(params, keys)
@@ -92,7 +95,7 @@ def _fit_quality(points: DataFrame, params: DataFrame, fitted: Column, keys: lis
         )
     )
     best = scores.groupBy("series").agg(
-        F.min_by(F.struct(*kept, "sse", "mape", "sst"), F.struct("sse", "cand")).alias("f")
+        F.min_by(F.struct(*kept, "sse", "mape", "sst"), F.struct(F.round("sse", 6), "cand")).alias("f")
     )
     return best.select("series", "f.*").withColumn("r2", 1 - C.ratio(F.col("sse"), F.col("sst")))
 

@@ -80,7 +80,7 @@ def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", h
     part = (
         F.when(rank > test_from, "test").when(rank > F.floor(test_from * D.TRAIN_FRACTION), "valid").otherwise("train")
     )
-    return ranked(featured, key, [time, tie]).withColumn("part", part).drop("_rank", "_total")
+    return ranked(featured, key, [time, tie], sized_by=df).withColumn("part", part).drop("_rank", "_total")
 
 
 def fit_classifier(

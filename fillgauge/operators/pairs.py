@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
 from fillgauge.operators.features import bike_delta
+from fillgauge.session import materialise
 
 BLOCK = 256
-STRETCH = 8192
+# Products of millionths summed over one stretch stay below 2**53, so they are exact.
+STRETCH = 4096
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -48,72 +50,99 @@ def block_count(stations: int, block: int = BLOCK) -> int:
     return max(1, math.ceil(stations / block))
 
 
-def _cell_moments(pdf: pd.DataFrame, present_only: bool, keep) -> pd.DataFrame:
-    """Moment sums of all station pairs a < b of one block pair."""
-    bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    station, s = np.unique(pdf["s"].to_numpy(), return_inverse=True)
-    real = pdf["t"].notna().to_numpy()
-    t = pd.factorize(pdf["t"].to_numpy()[real])[0]
-    width = int(t.max()) + 1 if len(t) else 1
-    x = np.zeros((len(station), width))
-    m = np.zeros_like(x)
-    x[s[real], t] = pdf["v"].to_numpy(dtype="float64")[real]
-    m[s[real], t] = 1.0
-    in_i = np.zeros(len(station), dtype=bool)
-    in_i[s[pdf["_b"].to_numpy() == bi]] = True
-    rows = np.flatnonzero(in_i)
-    cols = rows if bi == bj else np.flatnonzero(~in_i)
-    if not len(rows) or not len(cols):
-        return pd.DataFrame({c: [] for c in ("a", "b", *MOMENTS)})
-    xi, xj, mi, mj = x[rows], x[cols], m[rows], m[cols]
-    if present_only:
-        n = mi @ mj.T
-        sx, sy = xi @ mj.T, mi @ xj.T
-        sxx, syy = (xi * xi) @ mj.T, mi @ (xj * xj).T
-    else:
+def cell_multiplier(present_only: bool, keep):
+    """The task-side product of one block pair: moment sums of all its station pairs a < b.
+
+    A closure over numpy only, so workers need nothing but numpy and pandas.
+    """
+    columns = ("a", "b", *MOMENTS)
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+        station, s = np.unique(pdf["s"].to_numpy(), return_inverse=True)
+        real = pdf["t"].notna().to_numpy()
+        t = pd.factorize(pdf["t"].to_numpy()[real])[0]
+        width = int(t.max()) + 1 if len(t) else 1
+        x = np.zeros((len(station), width))
+        m = np.zeros_like(x)
+        x[s[real], t] = pdf["v"].to_numpy(dtype="float64")[real]
+        m[s[real], t] = 1.0
+        in_i = np.zeros(len(station), dtype=bool)
+        in_i[s[pdf["_b"].to_numpy() == bi]] = True
+        rows = np.flatnonzero(in_i)
+        cols = rows if bi == bj else np.flatnonzero(~in_i)
+        if not len(rows) or not len(cols):
+            return pd.DataFrame({c: [] for c in columns})
+        xi, xj, mi, mj = x[rows], x[cols], m[rows], m[cols]
         shape = (len(rows), len(cols))
-        n = np.zeros(shape)
-        sx = np.broadcast_to(xi.sum(1)[:, None], shape)
-        sy = np.broadcast_to(xj.sum(1)[None, :], shape)
-        sxx = np.broadcast_to((xi * xi).sum(1)[:, None], shape)
-        syy = np.broadcast_to((xj * xj).sum(1)[None, :], shape)
-    sxy = xi @ xj.T
-    wanted = np.ones(n.shape, dtype=bool)
-    if bi == bj:
-        wanted = station[rows][:, None] < station[cols][None, :]
-    if keep is not None:
-        wanted &= keep(n, sx, sy, sxx, syy, sxy)
-    i, j = np.nonzero(wanted)
-    a, b = station[rows][i], station[cols][j]
-    swap = a > b
-    take = lambda z: np.rint(z[i, j]).astype("int64")
-    first, second, first2, second2 = take(sx), take(sy), take(sxx), take(syy)
-    return pd.DataFrame(
-        {
-            "a": np.where(swap, b, a),
-            "b": np.where(swap, a, b),
-            "n": take(n),
-            "sx": np.where(swap, second, first),
-            "sy": np.where(swap, first, second),
-            "sxx": np.where(swap, second2, first2),
-            "syy": np.where(swap, first2, second2),
-            "sxy": take(sxy),
-        }
-    )
+        if present_only:
+            n = mi @ mj.T
+            sx, sy = xi @ mj.T, mi @ xj.T
+            sxx, syy = (xi * xi) @ mj.T, mi @ (xj * xj).T
+        else:
+            n = np.zeros(shape)
+            sx = np.broadcast_to(xi.sum(1)[:, None], shape)
+            sy = np.broadcast_to(xj.sum(1)[None, :], shape)
+            sxx = np.broadcast_to((xi * xi).sum(1)[:, None], shape)
+            syy = np.broadcast_to((xj * xj).sum(1)[None, :], shape)
+        sxy = xi @ xj.T
+        wanted = np.ones(shape, dtype=bool)
+        if bi == bj:
+            wanted = station[rows][:, None] < station[cols][None, :]
+        if keep is not None:
+            wanted &= keep(n, sx, sy, sxx, syy, sxy)
+        i, j = np.nonzero(wanted)
+        a, b = station[rows][i], station[cols][j]
+        swap = a > b
+        whole = [np.rint(z[i, j]).astype("int64") for z in (n, sx, sy, sxx, syy, sxy)]
+        n_, sx_, sy_, sxx_, syy_, sxy_ = whole
+        return pd.DataFrame(
+            {
+                "a": np.where(swap, b, a),
+                "b": np.where(swap, a, b),
+                "n": n_,
+                "sx": np.where(swap, sy_, sx_),
+                "sy": np.where(swap, sx_, sy_),
+                "sxx": np.where(swap, syy_, sxx_),
+                "syy": np.where(swap, sxx_, syy_),
+                "sxy": sxy_,
+            }
+        )
+
+    return multiply
+
+
+def float_filter(accept, instants: int | None = None):
+    """An early filter on the float correlation; ``instants`` replaces the shared count."""
+
+    def keep(n, sx, sy, sxx, syy, sxy):
+        count = n if instants is None else float(instants)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (count * sxy - sx * sy) / np.sqrt((count * sxx - sx * sx) * (count * syy - sy * sy))
+        return accept(n, r)
+
+    return keep
 
 
 def pair_moments(
-    df: DataFrame, *, present_only: bool, keep=None, block: int = BLOCK, stretch: int = STRETCH
+    df: DataFrame,
+    stations: int,
+    instants: int,
+    *,
+    present_only: bool,
+    keep=None,
+    block: int = BLOCK,
+    stretch: int = STRETCH,
 ) -> DataFrame:
     """Moment sums per station pair of a frame (s bigint, t bigint, v bigint), one row per (s, t).
 
+    ``stations`` and ``instants`` are about how many of each there are.
     ``present_only`` sums over instants where both stations have a value (and
     counts them in ``n``); otherwise a missing value is 0. ``keep`` may discard
     pairs early from the float sums; it is used only where these are complete,
     and must keep every pair the caller wants.
     """
-    size = df.agg(F.approx_count_distinct("s"), F.approx_count_distinct("t")).first()
-    blocks, stretches = block_count(size[0], block), block_count(size[1], stretch)
+    blocks, stretches = block_count(stations, block), block_count(instants, stretch)
     cells = in_block_pairs(df.withColumn("tb", _spread(F.col("t"), stretches)), "s", blocks)
     if not present_only and stretches > 1:
         # A station silent in a stretch still pairs with the others there.
@@ -124,11 +153,7 @@ def pair_moments(
             .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(stretches - 1))))
         )
         cells = cells.unionByName(in_block_pairs(silent, "s", blocks))
-    early = keep if stretches == 1 else None
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _cell_moments(pdf, present_only, early)
-
+    multiply = cell_multiplier(present_only, keep if stretches == 1 else None)
     schema = "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in MOMENTS)
     parts = cells.groupBy("bi", "bj", "tb").applyInPandas(multiply, schema)
     if stretches == 1:
@@ -147,32 +172,25 @@ def exact_pearson(n: Column) -> Column:
     return cov / spread
 
 
-def _float_r(n, sx, sy, sxx, syy, sxy):
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = (n * sxy - sx * sy) / np.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-    return r
-
-
 def infer_flows(df, *, key="station_id", time="ts", level="bikes", max_r=-0.15, n=60, tie=None, **sizes):
     """Station pairs whose changes oppose each other, strongest first.
 
     A station without a change at an instant counts as change 0; instants where
     no station has a known change do not count.
     """
-    rows = df.withColumn("_tie", F.col(tie) if tie else F.lit(0))
-    moves = bike_delta(rows, key=key, time=time, level=level, tie="_tie").where("delta is not null")
-    instants = moves.select(time).distinct().count()
-    changes = (
-        moves.where("delta <> 0")
+    rows = df.select(key, time, level, (F.col(tie) if tie else F.lit(0)).alias("_tie"))
+    moves = materialise(
+        bike_delta(rows, key=key, time=time, level=level, tie="_tie")
+        .where("delta is not null")
         .groupBy(F.col(key).cast("bigint").alias("s"), C.micros(time).alias("t"))
-        .agg(F.min_by("delta", "_tie").alias("v"))
+        .agg(F.min_by("delta", "_tie").alias("v")),
+        "moves",
     )
+    stations, instants = moves.agg(F.approx_count_distinct("s"), F.count_distinct("t")).first()
+    changes = moves.where("v <> 0")
 
-    def keep(_, sx, sy, sxx, syy, sxy):
-        r = _float_r(float(instants), sx, sy, sxx, syy, sxy)
-        return ~(r > max_r + 1e-6)
-
-    sums = pair_moments(changes, present_only=False, keep=keep, **sizes).withColumn("_n", F.lit(instants))
+    keep = float_filter(lambda n_, r: ~(r > max_r + 1e-6), instants)
+    sums = pair_moments(changes, stations, instants, present_only=False, keep=keep, **sizes).withColumn("_n", F.lit(instants))
     return (
         sums.withColumn("r", r6(exact_pearson(F.col("_n"))))
         .where(F.col("r") < max_r)
@@ -191,17 +209,16 @@ def twin_stations(
     millionths, so all sums are whole numbers and a constant series is seen as such.
     """
     us = C.micros(time)
-    hourly = (
+    hourly = materialise(
         df.groupBy(F.col(key).cast("bigint").alias("s"), (us - F.pmod(us, F.lit(3_600_000_000))).alias("t"))
-        .agg(F.round(F.avg(C.occupancy(level, capacity)) * 1_000_000).cast("bigint").alias("v"))
+        .agg(F.round(F.avg(C.occupancy(level, capacity)) * 1_000_000).cast("bigint").alias("v")),
+        "hourly",
     )
 
-    def keep(n_, sx, sy, sxx, syy, sxy):
-        r = _float_r(n_, sx, sy, sxx, syy, sxy)
-        return (n_ >= min_overlap) & ~((r > opp + 1e-3) & (r < twin - 1e-3))
-
+    size = hourly.agg(F.approx_count_distinct("s"), F.approx_count_distinct("t")).first()
+    keep = float_filter(lambda n_, r: (n_ >= min_overlap) & ~((r > opp + 1e-3) & (r < twin - 1e-3)))
     pairs = (
-        pair_moments(hourly, present_only=True, keep=keep, **sizes)
+        pair_moments(hourly, *size, present_only=True, keep=keep, **sizes)
         .where(F.col("n") >= min_overlap)
         .withColumn("r", r6(exact_pearson(F.col("n"))))
         .where((F.col("r") < opp) | (F.col("r") > twin))

@@ -1,11 +1,14 @@
-"""Ordered work per key that does not put a whole key into one task.
+"""Ordered work per key that does not put a hot key into one task.
 
 ``lag``, ``lead``, ranks and as-of lookups need the rows of a key in time
-order, and one key may own a large share of the table. Here the time line of a
-hot key is cut into slices; each slice is ordered on its own and only a bounded
-part crosses slice borders: the first and last rows of a slice for ``shift``,
-one summary row per slice for ``ranked`` and ``asof``. Results equal those of a
-plain window over the key.
+order, and one key may own a large share of the table. A count over the key
+column alone tells first whether any key has more than ``max_rows`` rows. If
+none has, a plain window is the best plan: one shuffle, one sort.
+
+Otherwise the time line of hot keys is cut into slices; each slice is ordered
+on its own and only a bounded part crosses slice borders: the first and last
+rows of a slice for ``shift``, one summary row per slice for ``ranked`` and
+``asof``. Results equal those of a plain window over the key.
 
 How slices are chosen: one map-side combined count per (key, day). A key with
 at most ``max_rows`` rows is a single slice. The days of a hotter key are
@@ -24,11 +27,16 @@ from pyspark.sql import functions as F
 
 from fillgauge.defaults import MAX_SLICE_ROWS
 from fillgauge.functions.columns import micros
+from fillgauge.session import materialise
 
 DAY_US = 86_400_000_000
 SLICE = "_slice"
 
 
+def has_hot_key(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
+    return not df.groupBy(*keys).count().where(F.col("count") > max_rows).isEmpty()
+
+
 def with_slice(
     df: DataFrame, keys: Sequence[str], time: str | Column, max_rows: int = MAX_SLICE_ROWS
 ) -> DataFrame:
@@ -63,7 +71,7 @@ def with_slice(
 
 def shift(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     order: Sequence[str],
     shifts: Mapping[str, tuple[str, int]],
     max_rows: int = MAX_SLICE_ROWS,
@@ -73,9 +81,8 @@ def shift(
     Negative offsets look back, positive ones ahead, in rows of the same key
     ordered by ``order`` (time first, then tie-breakers). Null past the ends.
     """
-    reach = max(abs(offset) for _, offset in shifts.values())
-    within = Window.partitionBy(key, SLICE).orderBy(*order)
-    across = Window.partitionBy(key).orderBy(*order)
+    keys = [key] if isinstance(key, str) else list(key)
+    across = Window.partitionBy(*keys).orderBy(*order)
 
     def neighbour(window):
         return {
@@ -83,7 +90,11 @@ def shift(
             for out, (col, offset) in shifts.items()
         }
 
-    local = with_slice(df, [key], order[0], max_rows).withColumns(
+    if not has_hot_key(df, keys, max_rows):
+        return df.withColumns(neighbour(across))
+    reach = max(abs(offset) for _, offset in shifts.values())
+    within = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    local = with_slice(df, keys, order[0], max_rows).withColumns(
         neighbour(within)
         | {
             "_head": F.lag(F.lit(True), reach).over(within).isNull(),
@@ -103,9 +114,20 @@ def shift(
 
 
 def ranked(
-    df: DataFrame, key: str, order: Sequence[str], max_rows: int = MAX_SLICE_ROWS
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    max_rows: int = MAX_SLICE_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``_rank`` (1-based) and ``_total`` of the row within its key."""
+    """Add ``_rank`` (1-based) and ``_total`` of the row within its key.
+
+    ``sized_by`` may name a frame with at least as many rows per key that is
+    cheaper to count than ``df``.
+    """
+    if not has_hot_key(df if sized_by is None else sized_by, [key], max_rows):
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")
+        return df.withColumn("_rank", rank).withColumn("_total", F.count("*").over(Window.partitionBy(key)))
     sliced = with_slice(df, [key], order[0], max_rows)
     by_key = Window.partitionBy(key).orderBy(SLICE)
     sizes = (
@@ -164,19 +186,22 @@ def asof(
         (sign * F.col(tie) if tie else F.lit(0)).cast("bigint").alias("_tie"),
         value.alias("_value"),
     )
-    both = with_slice(probes.unionByName(readings, allowMissingColumns=True), by, "_at", max_rows)
-    both = both.withColumn("_pos", sign * micros("_at"))
-    latest = (
-        Window.partitionBy(*by, SLICE)
-        .orderBy("_pos", "_side", "_tie")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    both = probes.unionByName(readings, allowMissingColumns=True).withColumn("_pos", sign * micros("_at"))
+    is_reading = F.col("_side") == 0
+
+    def latest(*partition):
+        window = Window.partitionBy(*partition).orderBy("_pos", "_side", "_tie")
+        return F.last("_value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+
+    if not has_hot_key(both, by, max_rows):
+        found = both.withColumn("_found", latest(*by))
+        return found.where(~is_reading).select("_row.*", "_found")
+    both = with_slice(both, by, "_at", max_rows)
     earlier = (
         Window.partitionBy(*by)
         .orderBy(sign * F.col(SLICE))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    is_reading = F.col("_side") == 0
     carried = (
         both.groupBy(*by, SLICE)
         .agg(
@@ -189,9 +214,7 @@ def asof(
     )
     return (
         both.join(carried, [*by, SLICE])
-        .withColumn(
-            "_found", F.coalesce(F.last("_value", ignorenulls=True).over(latest), F.col("_carry"))
-        )
+        .withColumn("_found", F.coalesce(latest(*by, SLICE), F.col("_carry")))
         .where(~is_reading)
         .select("_row.*", "_found")
     )
@@ -202,9 +225,11 @@ def running_sums(
 ) -> DataFrame:
     """Running totals over a global order, for a table with one row per ``order`` value.
 
-    The order is cut at approximate quantiles; totals of the pieces (at most
-    ``pieces`` rows) are accumulated first, then each piece on its own.
+    The table is written once, then cut at approximate quantiles of the order;
+    totals of the pieces (at most ``pieces`` rows) are accumulated first, then
+    each piece on its own.
     """
+    df = materialise(df, "running-sums")
     cuts = df.agg(
         F.percentile_approx(order, [i / pieces for i in range(1, pieces)], pieces * 20)
     ).scalar()

@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 from fillgauge.operators.slices import shift
 
 
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey bigint, c_acctbal double",
+    "supplier": "s_suppkey bigint, s_nationkey bigint",
+    "nation": "n_nationkey bigint, n_name string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The columns the jobs use, under a fixed schema: no footer is read to infer one."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +69,9 @@ def snap_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         telemetry(spark, sf_dir)
         .withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-        .groupBy("station_id", "day")
-        .agg(F.max_by(F.struct(*kept), F.struct("ts", "event_id")).alias("r"))
-        .select("station_id", F.col("day").alias("ts"), *[f"r.{c}" for c in kept])
+        .groupBy("station_id", F.col("day").alias("snapshot"))
+        .agg(*[F.max_by(c, F.struct("ts", "event_id")).alias(c) for c in kept])
+        .withColumnRenamed("snapshot", "ts")
     )
 
 

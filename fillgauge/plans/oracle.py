@@ -119,7 +119,7 @@ SELECT series, month, CAST(users AS DOUBLE) AS y,
 FROM history""",
     "logistic": """
 SELECT series, l, k, x0, r2, mape FROM (
-  SELECT *, row_number() OVER (PARTITION BY series ORDER BY sse, cand) AS rn, 1 - sse / nullif(sst, 0) AS r2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(sse, 6), cand) AS rn, 1 - sse / nullif(sst, 0) AS r2 FROM (
     SELECT p.series, g.cand, g.l, g.k, g.x0, sum((y - g.l / (1 + exp(-g.k * (x - g.x0)))) * (y - g.l / (1 + exp(-g.k * (x - g.x0))))) AS sse,
       avg(abs(y - g.l / (1 + exp(-g.k * (x - g.x0)))) / y) AS mape, sum(y * y) - sum(y) * sum(y) / count(*) AS sst
     FROM points_xy p JOIN (
@@ -557,7 +557,7 @@ SELECT series, regime, "first", "last", round(y, 6) AS years, round(100 * (pow(C
     date_diff('day', CAST(min(month) AS DATE), CAST(max(month) AS DATE)) / CAST(365.25 AS DOUBLE) AS y FROM history GROUP BY 1, 2) x"""
 SQL["fit_exponential"] = """
 SELECT series, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(1 - sse / nullif(sst, 0), 6) AS r2, round(100 * mape, 6) AS mape FROM (
-  SELECT *, row_number() OVER (PARTITION BY series ORDER BY sse, cand) AS rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(sse, 6), cand) AS rn FROM (
     SELECT p.series, cand, a, b, c, sum((y - (a * exp(b * x) + c)) * (y - (a * exp(b * x) + c))) AS sse, avg(abs(y - (a * exp(b * x) + c)) / y) AS mape,
       sum(y * y) - sum(y) * sum(y) / count(*) AS sst
     FROM points_xy p JOIN (

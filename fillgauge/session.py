@@ -32,6 +32,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result that several later steps read, and read it back.
+
+    Used for aggregated or narrowed frames whose inputs would otherwise be
+    computed once per step; the written table also cuts the lineage.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup(small: DataFrame, keys: list[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark ``small`` for broadcast when a count of its keys proves it is small.
 
