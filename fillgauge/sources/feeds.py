@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Ids come as text or number; text reads both.
 INFORMATION = (
-    "data struct<stations: array<struct<station_id: bigint, name: string, lat: double, lon: double, capacity: int>>>"
+    "data struct<stations: array<struct<station_id: string, name: string, lat: double, lon: double, capacity: int>>>"
 )
 STATUS = (
-    "data struct<stations: array<struct<station_id: bigint, num_bikes_available: int, num_docks_available: int>>>"
+    "data struct<stations: array<struct<station_id: string, num_bikes_available: int, num_docks_available: int>>>"
 )
 CURRENT = (
     "current struct<temperature_2m: double, precipitation: double, wind_speed_10m: double, weather_code: int>"
@@ -26,7 +27,7 @@ def _stations(df: DataFrame, json: str, schema: str) -> DataFrame:
 
 def flatten_station_info(df: DataFrame, *, json="payload") -> DataFrame:
     return _stations(df, json, INFORMATION).select(
-        "s.station_id",
+        F.col("s.station_id").try_cast("bigint").alias("station_id"),
         F.col("s.name").alias("station_name"),
         "s.lat",
         "s.lon",
@@ -36,7 +37,7 @@ def flatten_station_info(df: DataFrame, *, json="payload") -> DataFrame:
 
 def flatten_station_status(df: DataFrame, *, json="payload") -> DataFrame:
     return _stations(df, json, STATUS).select(
-        "s.station_id",
+        F.col("s.station_id").try_cast("bigint").alias("station_id"),
         F.coalesce("s.num_bikes_available", F.lit(0)).alias("bikes"),
         F.coalesce("s.num_docks_available", F.lit(0)).alias("docks"),
     )
