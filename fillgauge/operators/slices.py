@@ -33,8 +33,13 @@ DAY_US = 86_400_000_000
 SLICE = "_slice"
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
+    """Keys with more than ``max_rows`` rows: at most N / max_rows of them."""
+    return df.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys)
+
+
 def has_hot_key(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
-    return not df.groupBy(*keys).count().where(F.col("count") > max_rows).isEmpty()
+    return not hot_keys(df, keys, max_rows).isEmpty()
 
 
 def with_slice(
@@ -92,9 +97,12 @@ def shift(
 
     if not has_hot_key(df, keys, max_rows):
         return df.withColumns(neighbour(across))
+    # Only rows of hot keys pay for slicing; the others take the plain window.
+    hot = F.broadcast(hot_keys(df, keys, max_rows))
+    cold = df.join(hot, keys, "left_anti").withColumns(neighbour(across))
     reach = max(abs(offset) for _, offset in shifts.values())
     within = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    local = with_slice(df, keys, order[0], max_rows).withColumns(
+    local = with_slice(df.join(hot, keys, "left_semi"), keys, order[0], max_rows).withColumns(
         neighbour(within)
         | {
             "_head": F.lag(F.lit(True), reach).over(within).isNull(),
@@ -110,7 +118,8 @@ def shift(
         side = "_head" if offset < 0 else "_tail"
         border = border.withColumn(out, F.when(F.col(side), F.col(f"_x_{out}")).otherwise(F.col(out)))
     border = border.drop(*[f"_x_{out}" for out in shifts])
-    return local.where("not (_head or _tail)").unionByName(border).drop("_head", "_tail", SLICE)
+    sliced = local.where("not (_head or _tail)").unionByName(border).drop("_head", "_tail", SLICE)
+    return cold.unionByName(sliced)
 
 
 def ranked(
