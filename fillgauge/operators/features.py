@@ -223,9 +223,11 @@ def future_status_target(df, *, empty=D.EMPTY_BELOW, full=D.FULL_BELOW, tie=ROW_
     )
 
 
-def with_delta_target(df, *, key="station_id", time="ts", value="occupancy", tie=ROW_ID, horizon=D.HORIZON_ROWS, jump=0.10):
+def with_delta_target(
+    df, *, key="station_id", time="ts", value="occupancy", tie=ROW_ID, horizon=D.HORIZON_ROWS, jump=0.10, sized_by=None
+):
     """Change of ``value`` over the horizon; without a future the flags stay 0."""
-    rows = shift(df, key, [time, tie], {"_next": (value, horizon)})
+    rows = shift(df, key, [time, tie], {"_next": (value, horizon)}, sized_by=sized_by)
     delta = F.round(F.col("_next") - F.col(value), 6)
     return (
         rows.withColumn("delta_next", delta)
@@ -321,6 +323,7 @@ def transfer_features(
         tie=tie,
         horizon=horizon,
         jump=jump,
+        sized_by=df,
     )
     return scored.select(
         city,

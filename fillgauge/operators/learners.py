@@ -23,6 +23,7 @@ from fillgauge.functions.columns import r6
 from fillgauge.operators import evaluation as E
 from fillgauge.operators.features import with_delta_target
 from fillgauge.operators.slices import ranked, shift
+from fillgauge.session import materialise
 
 TIME_FEATURES = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend", "is_rush_hour")
 STATE_FEATURES = ("occupancy", "bikes", "docks", "is_empty_now", "is_full_now")
@@ -30,6 +31,7 @@ TREND_FEATURES = ("trend_15min", "velocity", "acceleration")
 WEATHER_FEATURES = ("rain", "wind", "temp")
 ALL_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES, *WEATHER_FEATURES)
 SHARED_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES)
+DELTA_FEATURES = (*TIME_FEATURES, "occupancy", "rain", "temp")
 
 
 def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", horizon=D.HORIZON_ROWS) -> DataFrame:
@@ -80,7 +82,16 @@ def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", h
     part = (
         F.when(rank > test_from, "test").when(rank > F.floor(test_from * D.TRAIN_FRACTION), "valid").otherwise("train")
     )
-    return ranked(featured, key, [time, tie], sized_by=df).withColumn("part", part).drop("_rank", "_total")
+    kept = [c for c in ALL_FEATURES if c in featured.columns]
+    return ranked(featured, key, [time, tie], sized_by=df).select(
+        key, tie, *kept, "will_be_empty", "will_be_full", part.alias("part")
+    )
+
+
+def publish_model(model: PipelineModel, metrics: DataFrame, path: str) -> None:
+    """The fitted pipeline and its metrics side by side."""
+    model.write().save(f"{path}/model")
+    metrics.write.parquet(f"{path}/metrics")
 
 
 def fit_classifier(
@@ -139,7 +150,7 @@ def train_classifier(
     **columns,
 ) -> DataFrame:
     """Fit on the early readings of each station; the metrics row is from its latest ones."""
-    frame = model_frame(df, **columns).persist()
+    frame = materialise(model_frame(df, **columns), "model-frame")
     model = fit_classifier(frame, target, features, rounds, seed)
     return classifier_quality(class_scores(model, frame.where("part = 'test'"), target), threshold)
 
@@ -160,10 +171,7 @@ def delta_frame(df: DataFrame, **columns) -> DataFrame:
             "rain": F.col("rain").cast("double"),
             "temp": F.col("temp").cast("double"),
         }
-    )
-
-
-DELTA_FEATURES = (*TIME_FEATURES, "occupancy", "rain", "temp")
+    ).select("event_id", "delta_next", *DELTA_FEATURES)
 
 
 def fit_regressor(frame: DataFrame, features: Sequence[str] = DELTA_FEATURES, rounds: int = 500, seed: int = 42):
@@ -185,7 +193,7 @@ def fit_regressor(frame: DataFrame, features: Sequence[str] = DELTA_FEATURES, ro
 
 
 def train_delta_regressor(df, *, features=DELTA_FEATURES, rounds=500, seed=42, **columns):
-    frame = delta_frame(df, **columns).persist()
+    frame = materialise(delta_frame(df, **columns), "delta-frame")
     model = fit_regressor(frame, features, rounds, seed)
     scored = model.transform(frame.where("delta_next is not null"))
     split = F.when(F.col("event_id") % 5 == 0, "val").otherwise("train")
@@ -229,15 +237,16 @@ def transfer_learn(
     Spark's boosting cannot continue a fitted model, so the source model's
     margin becomes an input of the second, slower-learning model.
     """
-    source, local = model_frame(src), model_frame(dst).persist()
+    source = materialise(model_frame(src), "source-frame")
+    local = materialise(model_frame(dst), "model-frame")
     pretrained = fit_classifier(source, target, features, rounds, seed)
     local_model = fit_classifier(local, target, features, rounds, seed)
     margin = vector_to_array("rawPrediction")[1]
+    # Scoring is cheaper than another written table.
     stacked = (
         pretrained.transform(local)
         .withColumn("source_margin", margin)
         .drop("features", "rawPrediction", "probability", "prediction")
-        .persist()
     )
     transfer = fit_classifier(stacked, target, [*features, "source_margin"], rounds, seed, step=0.02)
     test = "part = 'test'"

@@ -23,9 +23,11 @@ from fillgauge.functions.columns import r6
 from fillgauge.operators.features import bike_delta
 from fillgauge.session import materialise
 
-BLOCK = 256
+BLOCK = 512
 # Products of millionths summed over one stretch stay below 2**53, so they are exact.
 STRETCH = 4096
+# Bike changes are small numbers, far from that limit; memory sets their stretch.
+CHANGE_STRETCH = 16384
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -64,18 +66,19 @@ def cell_multiplier(present_only: bool, keep):
         t = pd.factorize(pdf["t"].to_numpy()[real])[0]
         width = int(t.max()) + 1 if len(t) else 1
         x = np.zeros((len(station), width))
-        m = np.zeros_like(x)
         x[s[real], t] = pdf["v"].to_numpy(dtype="float64")[real]
-        m[s[real], t] = 1.0
         in_i = np.zeros(len(station), dtype=bool)
         in_i[s[pdf["_b"].to_numpy() == bi]] = True
         rows = np.flatnonzero(in_i)
         cols = rows if bi == bj else np.flatnonzero(~in_i)
         if not len(rows) or not len(cols):
             return pd.DataFrame({c: [] for c in columns})
-        xi, xj, mi, mj = x[rows], x[cols], m[rows], m[cols]
+        xi, xj = x[rows], x[cols]
         shape = (len(rows), len(cols))
         if present_only:
+            m = np.zeros_like(x)
+            m[s[real], t] = 1.0
+            mi, mj = m[rows], m[cols]
             n = mi @ mj.T
             sx, sy = xi @ mj.T, mi @ xj.T
             sxx, syy = (xi * xi) @ mj.T, mi @ (xj * xj).T
@@ -172,7 +175,7 @@ def exact_pearson(n: Column) -> Column:
     return cov / spread
 
 
-def infer_flows(df, *, key="station_id", time="ts", level="bikes", max_r=-0.15, n=60, tie=None, **sizes):
+def infer_flows(df, *, key="station_id", time="ts", level="bikes", max_r=-0.15, n=60, tie=None, block=BLOCK, stretch=CHANGE_STRETCH):
     """Station pairs whose changes oppose each other, strongest first.
 
     A station without a change at an instant counts as change 0; instants where
@@ -190,7 +193,7 @@ def infer_flows(df, *, key="station_id", time="ts", level="bikes", max_r=-0.15,
     changes = moves.where("v <> 0")
 
     keep = float_filter(lambda n_, r: ~(r > max_r + 1e-6), instants)
-    sums = pair_moments(changes, stations, instants, present_only=False, keep=keep, **sizes).withColumn("_n", F.lit(instants))
+    sums = pair_moments(changes, stations, instants, present_only=False, keep=keep, block=block, stretch=stretch).withColumn("_n", F.lit(instants))
     return (
         sums.withColumn("r", r6(exact_pearson(F.col("_n"))))
         .where(F.col("r") < max_r)

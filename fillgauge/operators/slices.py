@@ -20,6 +20,7 @@ survives task retries.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,8 @@ from fillgauge.session import materialise
 
 DAY_US = 86_400_000_000
 SLICE = "_slice"
+# Most pieces of a global order; their totals are broadcast.
+MAX_PIECES = 1024
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
@@ -80,12 +83,15 @@ def shift(
     order: Sequence[str],
     shifts: Mapping[str, tuple[str, int]],
     max_rows: int = MAX_SLICE_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns holding another row's value: ``{out: (column, offset)}``.
 
     Negative offsets look back, positive ones ahead, in rows of the same key
     ordered by ``order`` (time first, then tie-breakers). Null past the ends.
+    ``sized_by`` may name a frame with the same keys that is cheaper to count.
     """
+    counted = df if sized_by is None else sized_by
     keys = [key] if isinstance(key, str) else list(key)
     across = Window.partitionBy(*keys).orderBy(*order)
 
@@ -95,10 +101,10 @@ def shift(
             for out, (col, offset) in shifts.items()
         }
 
-    if not has_hot_key(df, keys, max_rows):
+    if not has_hot_key(counted, keys, max_rows):
         return df.withColumns(neighbour(across))
     # Only rows of hot keys pay for slicing; the others take the plain window.
-    hot = F.broadcast(hot_keys(df, keys, max_rows))
+    hot = F.broadcast(hot_keys(counted, keys, max_rows))
     cold = df.join(hot, keys, "left_anti").withColumns(neighbour(across))
     reach = max(abs(offset) for _, offset in shifts.values())
     within = Window.partitionBy(*keys, SLICE).orderBy(*order)
@@ -230,21 +236,33 @@ def asof(
 
 
 def running_sums(
-    df: DataFrame, order: str, sums: Mapping[str, str], descending: bool = False, pieces: int = 256
+    df: DataFrame,
+    order: str,
+    sums: Mapping[str, str],
+    descending: bool = False,
+    max_rows: int = MAX_SLICE_ROWS,
 ) -> DataFrame:
     """Running totals over a global order, for a table with one row per ``order`` value.
 
-    The table is written once, then cut at approximate quantiles of the order;
-    totals of the pieces (at most ``pieces`` rows) are accumulated first, then
-    each piece on its own.
+    The table is written once. Up to ``max_rows`` rows are one window; a larger
+    table is cut at approximate quantiles of the order, the totals of its pieces
+    are accumulated first, then each piece on its own.
     """
     df = materialise(df, "running-sums")
+    ordering = F.col(order).desc() if descending else F.col(order)
+
+    def running(*partition):
+        window = Window.partitionBy(*partition).orderBy(ordering).rowsBetween(Window.unboundedPreceding, 0)
+        return {out: F.sum(col).over(window) for out, col in sums.items()}
+
+    pieces = min(MAX_PIECES, math.ceil(df.count() / max_rows))
+    if pieces <= 1:
+        return df.withColumns(running())
     cuts = df.agg(
         F.percentile_approx(order, [i / pieces for i in range(1, pieces)], pieces * 20)
     ).scalar()
-    sign = -1 if descending else 1
     piece = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(order)))
-    cut = df.withColumn("_cuts", cuts).withColumn("_piece", F.lit(sign) * piece).drop("_cuts")
+    cut = df.withColumn("_cuts", cuts).withColumn("_piece", F.lit(-1 if descending else 1) * piece).drop("_cuts")
     before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         cut.groupBy("_piece")
@@ -254,12 +272,8 @@ def running_sums(
             *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums],
         )
     )
-    ordering = F.col(order).desc() if descending else F.col(order)
-    within = (
-        Window.partitionBy("_piece").orderBy(ordering).rowsBetween(Window.unboundedPreceding, 0)
-    )
     return (
         cut.join(F.broadcast(bases), "_piece")
-        .withColumns({out: F.col(f"_b_{out}") + F.sum(col).over(within) for out, col in sums.items()})
+        .withColumns({out: F.col(f"_b_{out}") + total for out, total in running("_piece").items()})
         .drop("_piece", *[f"_b_{out}" for out in sums])
     )

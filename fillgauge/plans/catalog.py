@@ -11,7 +11,7 @@ from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.operators import clusters, demand, enrich, evaluation, features, fleet, growth, health, learners, pairs, siting
 from fillgauge.plans import bindings as B
-from fillgauge.session import prepare, shared_dir
+from fillgauge.session import materialise, prepare, shared_dir
 from fillgauge.sources import cities, feeds, tracking
 from fillgauge.streaming import jobs, replay
 
@@ -415,14 +415,14 @@ def transfer_learn(spark, sf_dir):
 
 @query
 def feature_importance(spark, sf_dir):
-    frame = learners.model_frame(B.telemetry(spark, sf_dir)).persist()
+    frame = materialise(learners.model_frame(B.telemetry(spark, sf_dir)), "model-frame")
     model = learners.fit_classifier(frame, "will_be_empty", learners.ALL_FEATURES, ROUNDS, 42)
     return learners.feature_importance(model, spark)
 
 
 @query
 def score_and_label(spark, sf_dir):
-    frame = learners.delta_frame(B.telemetry(spark, sf_dir)).persist()
+    frame = materialise(learners.delta_frame(B.telemetry(spark, sf_dir)), "delta-frame")
     model = learners.fit_regressor(frame, rounds=ROUNDS)
     return learners.score_and_label(model, frame)
 

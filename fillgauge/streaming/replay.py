@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
@@ -17,6 +18,18 @@ def catch_up(writer: DataStreamWriter) -> None:
     query.awaitTermination()
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """State is split once, at a query's first start: by the cluster's cores rather than a fixed number."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def replay(
     spark: SparkSession,
     pieces: Iterable[DataFrame],
@@ -32,7 +45,8 @@ def replay(
     source, out, checkpoint = f"{base}/source", f"{base}/out", f"{base}/checkpoint"
     for piece in pieces:
         piece.write.mode("append").parquet(source)
-        catch_up(start(read_snapshots(spark, source, piece.schema), out, checkpoint))
+        with state_partitions(spark):
+            catch_up(start(read_snapshots(spark, source, piece.schema), out, checkpoint))
     return out
 
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from fillgauge.operators import clusters, demand, enrich, evaluation, fleet, growth, health, learners, pairs, siting
@@ -282,6 +283,23 @@ def test_learner_beats_persistence_on_a_planted_signal(spark):
     assert learned["roc_auc"] > 0.95 and learned["n_test"] == naive["n"]
 
 
+def test_regressor_labels_importance_and_published_model(spark, tmp_path):
+    rows = [(s, 60 * i, 2 + 6 * (i % 2), 10) for s in range(4) for i in range(60)]
+    df = readings(spark, rows).withColumns({"rain": F.lit(0.0), "temp": F.lit(10.0)})
+    frame_ = learners.delta_frame(df, horizon=1)
+    model = learners.fit_regressor(frame_, rounds=15)
+    labels = {r["trend"] for r in learners.score_and_label(model, frame_).collect()}
+    assert labels == {"bajada_fuerte", "subida_fuerte"}
+    ranks = learners.feature_importance(model, spark).orderBy("rank").collect()
+    assert ranks[0]["feature"] == "occupancy" and sum(r["importance"] for r in ranks) == pytest.approx(1, abs=1e-4)
+    quality = learners.train_delta_regressor(df, rounds=15, horizon=1)
+    assert {r["split"]: r["r2"] > 0.5 for r in quality.collect()} == {"train": True, "val": True}
+    learners.publish_model(model, quality, f"{tmp_path}/m")
+    again = PipelineModel.load(f"{tmp_path}/m/model")
+    assert learners.score_and_label(again, frame_).exceptAll(learners.score_and_label(model, frame_)).count() == 0
+    assert spark.read.parquet(f"{tmp_path}/m/metrics").count() == 2
+
+
 # --- growth and siting ----------------------------------------------------------
 
 # Public yearly figures of a bike-share system: year, month, active users, uses, uses per user, growth %.

@@ -90,10 +90,11 @@ def test_asof_equals_brute_force(readings, forward, keyed, max_rows):
     assert got == expected
 
 
+@pytest.mark.parametrize("max_rows", [60, 1000])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_sums_equal_plain_window(spark, descending):
+def test_running_sums_equal_plain_window(spark, descending, max_rows):
     df = spark.range(500).select((F.col("id") * 7 % 501).cast("double").alias("s"), F.col("id").alias("v"))
     order = F.col("s").desc() if descending else F.col("s")
     plain = df.select("s", F.sum("v").over(Window.orderBy(order)).alias("t"))
-    ours = running_sums(df, "s", {"t": "v"}, descending, pieces=9).select("s", "t")
+    ours = running_sums(df, "s", {"t": "v"}, descending, max_rows).select("s", "t")
     assert as_set(ours) == as_set(plain)
