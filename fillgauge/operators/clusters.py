@@ -64,6 +64,7 @@ def relabel(assigned: DataFrame, key: str, cluster: str = "cluster") -> DataFram
 def cluster_stations(df, *, key="station_id", k=4, restarts=10, seed=42, **columns):
     vectors, _ = cached(profile_vectors(df, key, **columns))
     model = best_kmeans(vectors, k, restarts, seed)
+    vectors.unpersist()
     found = model.transform(vectors).select(key, F.col("prediction").alias("cluster"))
     return relabel(found, key)
 

@@ -52,20 +52,23 @@ def threshold_sweep(df, *, label="label", score="score", steps=range(2, 18)):
     counted = df.groupBy(exceeded.alias("_above")).agg(
         F.sum(F.col(label).cast("bigint")).alias("_p"), F.count("*").alias("_n")
     )
-    above = [F.col("_above") > i for i in range(len(steps))]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(step * 5 / 100.0).alias("threshold"),
-                F.sum(F.when(hit, F.col("_p")).otherwise(0)).alias("tp"),
-                F.sum(F.when(hit, F.col("_n") - F.col("_p")).otherwise(0)).alias("fp"),
-                F.sum(F.when(~hit, F.col("_p")).otherwise(0)).alias("fn"),
-                F.sum(F.when(~hit, F.col("_n") - F.col("_p")).otherwise(0)).alias("tn"),
-            )
-            for step, hit in zip(steps, above)
-        ]
+    grid = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.lit(step * 5 / 100.0).alias("threshold")) for i, step in enumerate(steps)]
+    )
+    hit = F.col("_above") > F.col("i")
+    p, q = F.col("_p"), F.col("_n") - F.col("_p")
+    # At most 17 counted rows meet the 16 thresholds.
+    swept = (
+        counted.select("*", F.inline(grid))
+        .groupBy("threshold")
+        .agg(
+            F.sum(F.when(hit, p).otherwise(0)).alias("tp"),
+            F.sum(F.when(hit, q).otherwise(0)).alias("fp"),
+            F.sum(F.when(hit, 0).otherwise(p)).alias("fn"),
+            F.sum(F.when(hit, 0).otherwise(q)).alias("tn"),
+        )
+        .select("threshold", *_named(quality()))
     )
-    swept = counted.agg(rows.alias("r")).select(F.inline("r")).select("threshold", *_named(quality()))
     return with_best(swept, "threshold")
 
 

@@ -76,13 +76,13 @@ def scan_tracking(spark, sf_dir):
 
 @query
 def flatten_station_info(spark, sf_dir):
-    """Stations encoded as feed documents, a thousand ids each; one capacity in seven is unknown."""
+    """Stations encoded as feed documents, a thousand ids each; the feed omits capacities below 16."""
     station = F.struct(
         "station_id",
         F.col("station_name").alias("name"),
         "lat",
         "lon",
-        F.when(F.col("station_id") % 7 != 0, F.col("capacity")).alias("capacity"),
+        F.when(F.col("capacity") >= 16, F.col("capacity")).alias("capacity"),
     )
     documents = (
         B.stations(spark, sf_dir)
@@ -94,10 +94,10 @@ def flatten_station_info(spark, sf_dir):
 
 @query
 def flatten_station_status(spark, sf_dir):
-    """Daily snapshots as feed documents; one bike count in eleven is unknown."""
+    """Daily snapshots as feed documents; the feed omits counts of zero."""
     station = F.struct(
         "station_id",
-        F.when(F.col("station_id") % 11 != 0, F.col("bikes")).alias("num_bikes_available"),
+        F.when(F.col("bikes") > 0, F.col("bikes")).alias("num_bikes_available"),
         (F.col("capacity") - F.col("bikes")).alias("num_docks_available"),
     )
     documents = (
@@ -275,16 +275,17 @@ def weather_asof(spark, sf_dir):
 
 @query
 def stats_with_cluster(spark, sf_dir):
-    """One station in seven has no cluster."""
-    given = B.assignment(spark, sf_dir).where("station_id % 7 <> 0")
+    """Only stations of the dimension have a cluster."""
+    known = B.stations(spark, sf_dir).select("station_id")
+    given = B.assignment(spark, sf_dir).join(known, "station_id", "left_semi")
     return enrich.stats_with_cluster(B.telemetry(spark, sf_dir), given)
 
 
 @query
 def merge_coverage(spark, sf_dir):
-    """Coverage is known where a district has stations, else the default of 1 holds."""
+    """Coverage is known where a district has more than two stations, else the default of 1 holds."""
     districts = B.districts(spark, sf_dir)
-    covered = districts.where("n_stations > 0 and population % 2 = 0").select("district", "n_stations")
+    covered = districts.where("n_stations > 2").select("district", "n_stations")
     return enrich.merge_coverage(districts, covered)
 
 

@@ -200,9 +200,9 @@ SELECT ts, station_id, station_name, round(lat, 6) AS lat, round(lon, 6) AS lon,
   round(temp, 6) AS temp, round(rain, 6) AS rain, round(wind, 6) AS wind FROM telemetry"""
 SQL["flatten_station_info"] = """
 SELECT station_id, station_name, round(lat, 6) AS lat, round(lon, 6) AS lon,
-  CASE WHEN station_id % 7 = 0 THEN 0 ELSE capacity END AS capacity FROM stations"""
+  CASE WHEN capacity < 16 THEN 0 ELSE capacity END AS capacity FROM stations"""
 SQL["flatten_station_status"] = """
-SELECT station_id, CASE WHEN station_id % 11 = 0 THEN 0 ELSE bikes END AS bikes, docks FROM snap_day"""
+SELECT station_id, bikes, docks FROM snap_day"""
 SQL["parse_weather"] = "SELECT event_id, temp, rain, wind, code FROM weather WHERE code <= 90"
 SQL["polygon_centroids"] = """
 SELECT CAST(n_nationkey AS BIGINT) AS district_id, CASE WHEN n_nationkey % 7 = 0 THEN 'Desconocido' ELSE n_name END AS name,
@@ -316,10 +316,10 @@ FROM (SELECT * FROM telemetry WHERE event_type <> 'view') t ASOF LEFT JOIN weath
 SQL["stats_with_cluster"] = """
 SELECT o.station_id AS station, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(avg(capacity), 6) AS capacity,
   round(avg(bikes), 6) AS bikes, round(avg(occupancy), 6) AS occupancy, min(a.cluster) AS cluster
-FROM occ o LEFT JOIN (SELECT * FROM assignment WHERE station_id % 7 <> 0) a ON a.station_id = o.station_id GROUP BY o.station_id"""
+FROM occ o LEFT JOIN (SELECT * FROM assignment SEMI JOIN stations USING (station_id)) a ON a.station_id = o.station_id GROUP BY o.station_id"""
 SQL["merge_coverage"] = """
 SELECT d.district, coalesce(c.n_stations, 1) AS n_stations FROM districts d
-LEFT JOIN (SELECT * FROM districts WHERE n_stations > 0 AND population % 2 = 0) c ON c.district = d.district"""
+LEFT JOIN (SELECT * FROM districts WHERE n_stations > 2) c ON c.district = d.district"""
 SQL["flow_geometry"] = """
 SELECT round(a.lat, 6) AS from_lat, round(a.lon, 6) AS from_lon, round(b.lat, 6) AS to_lat, round(b.lon, 6) AS to_lon, f.strength
 FROM flows f JOIN stations a ON a.station_id = f.from_id JOIN stations b ON b.station_id = f.to_id"""
