@@ -179,17 +179,18 @@ def silhouette_pick(df, assignments, *, key="station_id", block=BLOCK, **columns
     cluster leaves a task.
     """
     profile = hourly_profile(df, key=key, **columns).select(
-        F.col(key).cast("bigint").alias("station"), F.array(*HOURS).alias("profile")
+        F.col(key).alias("station"), F.array(*HOURS).alias("profile")
     )
-    groups = assignments.groupBy(F.col(key).cast("bigint").alias("station")).agg(
+    groups = assignments.groupBy(F.col(key).alias("station")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), F.col("cluster").cast("int")))).alias("clusters")
     )
+    kind = dict(profile.dtypes)["station"]
     points = materialise(profile.join(groups, "station"), "profiles")
     blocks = block_count(points.agg(F.approx_count_distinct("station")).first()[0], block)
     parts = (
         in_block_pairs(points, "station", blocks)
         .groupBy("bi", "bj")
-        .applyInPandas(distance_summer(), "station bigint, own int, k int, cluster int, dist double")
+        .applyInPandas(distance_summer(), f"station {kind}, own int, k int, cluster int, dist double")
     )
     sizes = assignments.groupBy(F.col("k").cast("int").alias("k"), F.col("cluster").cast("int").alias("cluster")).agg(
         F.count("*").alias("size")

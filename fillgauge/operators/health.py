@@ -174,7 +174,7 @@ def network_risk(df, *, key="station_id", high_pct=10, **kwargs):
     return risk.agg(
         r6(F.avg("empty_pct")).alias("mean_empty_pct"),
         F.sum(C.flag(F.col("empty_pct") > high_pct)).cast("bigint").alias("n_high"),
-        F.max_by(key, F.struct("empty_pct", -F.col(key))).alias("worst_station"),
+        F.min_by(key, F.struct(-F.col("empty_pct"), key)).alias("worst_station"),
         r6(F.max("empty_pct")).alias("worst_pct"),
     )
 

@@ -27,7 +27,7 @@ BLOCK = 512
 # Products of millionths summed over one stretch stay below 2**53, so they are exact.
 STRETCH = 4096
 # Bike changes are small numbers, far from that limit; memory sets their stretch.
-CHANGE_STRETCH = 16384
+CHANGE_STRETCH = 8192
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -137,7 +137,7 @@ def pair_moments(
     block: int = BLOCK,
     stretch: int = STRETCH,
 ) -> DataFrame:
-    """Moment sums per station pair of a frame (s bigint, t bigint, v bigint), one row per (s, t).
+    """Moment sums per station pair of a frame (s, t bigint, v bigint), one row per (s, t).
 
     ``stations`` and ``instants`` are about how many of each there are.
     ``present_only`` sums over instants where both stations have a value (and
@@ -157,7 +157,8 @@ def pair_moments(
         )
         cells = cells.unionByName(in_block_pairs(silent, "s", blocks))
     multiply = cell_multiplier(present_only, keep if stretches == 1 else None)
-    schema = "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in MOMENTS)
+    kind = dict(df.dtypes)["s"]
+    schema = f"a {kind}, b {kind}, " + ", ".join(f"{c} bigint" for c in MOMENTS)
     parts = cells.groupBy("bi", "bj", "tb").applyInPandas(multiply, schema)
     if stretches == 1:
         return parts
@@ -185,7 +186,7 @@ def infer_flows(df, *, key="station_id", time="ts", level="bikes", max_r=-0.15,
     moves = materialise(
         bike_delta(rows, key=key, time=time, level=level, tie="_tie")
         .where("delta is not null")
-        .groupBy(F.col(key).cast("bigint").alias("s"), C.micros(time).alias("t"))
+        .groupBy(F.col(key).alias("s"), C.micros(time).alias("t"))
         .agg(F.min_by("delta", "_tie").alias("v")),
         "moves",
     )
@@ -213,7 +214,7 @@ def twin_stations(
     """
     us = C.micros(time)
     hourly = materialise(
-        df.groupBy(F.col(key).cast("bigint").alias("s"), (us - F.pmod(us, F.lit(3_600_000_000))).alias("t"))
+        df.groupBy(F.col(key).alias("s"), (us - F.pmod(us, F.lit(3_600_000_000))).alias("t"))
         .agg(F.round(F.avg(C.occupancy(level, capacity)) * 1_000_000).cast("bigint").alias("v")),
         "hourly",
     )

@@ -123,6 +123,17 @@ def test_flows_equal_the_dense_matrix(spark, sizes):
     assert all(got[k] == pytest.approx(expected[k], abs=2e-6) for k in got)
 
 
+def test_station_names_serve_as_keys(spark):
+    df = readings(spark, [(s, 60 * h, (h * (s + 1)) % 7 if s < 2 else 9 - (h * 2) % 7) for s in range(3) for h in range(20)])
+    named = df.withColumn("name", F.concat(F.lit("n"), "station_id"))
+    by_id = [(f"n{r['a']}", f"n{r['b']}", r["r"]) for r in pairs.twin_stations(df).collect()]
+    assert [tuple(r) for r in pairs.twin_stations(named, key="name").select("a", "b", "r").collect()] == by_id and by_id
+    flows = [(f"n{r['from_id']}", r["strength"]) for r in pairs.infer_flows(df).collect()]
+    assert [(r["from_id"], r["strength"]) for r in pairs.infer_flows(named, key="name").collect()] == flows and flows
+    given = named.select("name").distinct().select("name", F.lit(2).alias("k"), F.length("name").alias("cluster"))
+    assert clusters.silhouette_pick(named, given, key="name").count() == 1
+
+
 @pytest.mark.parametrize("sizes", [{}, {"block": 2, "stretch": 5}])
 def test_twins_equal_pairwise_complete_correlation(spark, sizes):
     rng = random.Random(5)
