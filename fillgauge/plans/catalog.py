@@ -42,6 +42,11 @@ def on(binding: Callable, slug: str, job: Callable[[DataFrame], DataFrame]) -> N
     QUERIES[slug] = run
 
 
+def iso_date(df: DataFrame) -> DataFrame:
+    """Dates as text, which every client renders alike."""
+    return df.withColumn("date", F.col("date").cast("string"))
+
+
 # --- sources -----------------------------------------------------------------
 
 
@@ -221,7 +226,7 @@ def export_frames(spark, sf_dir):
 # --- projections, predicates, features ----------------------------------------
 
 on(B.telemetry, "occupancy_ratio", features.occupancy_ratio)
-on(B.telemetry, "calendar_features", features.calendar_features)
+on(B.telemetry, "calendar_features", lambda df: iso_date(features.calendar_features(df)))
 on(B.telemetry, "rush_hour_flag", features.rush_hour_flag)
 on(B.telemetry, "holiday_flag", lambda df: features.holiday_flag(df, holidays=HOLIDAYS))
 on(B.telemetry, "season_and_service_filter", features.season_and_service_filter)
@@ -327,7 +332,7 @@ on(B.telemetry, "weather_activity_impact", demand.weather_activity_impact)
 on(B.telemetry, "weather_correlation", demand.weather_correlation)
 on(B.telemetry, "trips_and_co2", demand.trips_and_co2)
 on(B.snap_day, "fleet_utilisation", fleet.fleet_utilisation)
-on(B.telemetry, "atypical_days", demand.atypical_days)
+on(B.telemetry, "atypical_days", lambda df: iso_date(demand.atypical_days(df)))
 on(B.telemetry, "stockout_heatmap", demand.stockout_heatmap)
 on(B.telemetry, "occupancy_heatmap", demand.occupancy_heatmap)
 on(B.telemetry, "stockout_roi", demand.stockout_roi)

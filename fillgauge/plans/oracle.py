@@ -235,7 +235,7 @@ FROM (SELECT {FRAME} AS frame_ts, CAST(floor(station_id / 1000.0::DOUBLE) AS BIG
 
 SQL["occupancy_ratio"] = "SELECT station_id, ts, round(occupancy, 6) AS occupancy FROM occ"
 SQL["calendar_features"] = """
-SELECT station_id, ts, CAST(ts AS DATE) AS date, hour, day_of_week, CAST(month(ts) AS INT) AS month, dayname(ts) AS day_name,
+SELECT station_id, ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, hour, day_of_week, CAST(month(ts) AS INT) AS month, dayname(ts) AS day_name,
   CAST(day_of_week >= 5 AS INT) AS is_weekend FROM occ"""
 SQL["rush_hour_flag"] = f"SELECT station_id, ts, {RUSH} AS is_rush_hour FROM telemetry"
 SQL["holiday_flag"] = """
@@ -403,7 +403,7 @@ SELECT capacity, round(m, 6) AS bikes_mean, bikes_min, bikes_max, round(100 * m
 FROM (SELECT CAST(min_by(c, ts) AS BIGINT) AS capacity, avg(b) AS m, CAST(min(b) AS BIGINT) AS bikes_min, CAST(max(b) AS BIGINT) AS bikes_max
   FROM (SELECT ts, sum(bikes) AS b, sum(capacity) AS c FROM snap_day GROUP BY ts) s) x"""
 SQL["atypical_days"] = """
-SELECT date, activity, round(m, 6) AS mean, round(s, 6) AS std, CASE WHEN activity > m THEN 'MUY ACTIVO' ELSE 'MUY INACTIVO' END AS kind FROM (
+SELECT CAST(date AS VARCHAR) AS date, activity, round(m, 6) AS mean, round(s, 6) AS std, CASE WHEN activity > m THEN 'MUY ACTIVO' ELSE 'MUY INACTIVO' END AS kind FROM (
   SELECT *, avg(activity) OVER () AS m, stddev_samp(activity) OVER () AS s FROM (
     SELECT CAST(ts AS DATE) AS date, CAST(coalesce(sum(abs(delta)), 0) AS BIGINT) AS activity FROM deltas GROUP BY 1) x) y
 WHERE abs(activity - m) > 1.5 * s"""

@@ -98,11 +98,6 @@ def publish_tracking(df: DataFrame, out: str, *, key="station_id", time="ts") ->
     return df.sparkSession.read.parquet(out)
 
 
-def write_partitioned(df: DataFrame, out: str, *columns: str) -> DataFrame:
-    df.write.mode("errorifexists").partitionBy(*columns).parquet(out)
-    return df.sparkSession.read.parquet(out)
-
-
 def sample_and_cap(df: DataFrame, *, key="event_id", keep_one_in=20) -> DataFrame:
     """A fixed share of the rows by key; the same rows whatever the partitioning."""
     return df.where(F.col(key) % keep_one_in == 0)
