@@ -15,7 +15,7 @@ from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.operators.health import snapshot_aggregates, with_health_score
 from fillgauge.operators.slices import shift
-from fillgauge.session import lookup
+from fillgauge.session import drop_path, lookup
 
 WATERMARK = "10 minutes"
 
@@ -88,13 +88,15 @@ def stream_delta(
 
     The last reading per station is a table versioned by batch id: batch n reads
     version n - 1 and writes version n, so a repeated batch gives the same
-    result after any failure. Within a batch the order is that of the sliced
+    result after any failure; versions older than that are dropped. Within a batch the order is that of the sliced
     window, so a station with very many readings spreads over tasks. Rows not
     later than the station's last reading are late and left out.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch_id > 1:
+            drop_path(spark, f"{state}/version={batch_id - 2}")
         rows = batch.select(key, time, tie, level).withColumn("_seen", F.lit(False))
         if batch_id > 0:
             last = spark.read.parquet(f"{state}/version={batch_id - 1}")
@@ -121,4 +123,13 @@ def stream_delta(
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
 
 
+def batch_sink(stream: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """Publish each micro-batch as one partition of a table; repeating a batch replaces it."""
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+
+
 DELTA_SCHEMA = "event_id bigint, station_id bigint, ts timestamp, delta bigint, abs_delta bigint"

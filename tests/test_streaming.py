@@ -37,6 +37,23 @@ def test_deltas_cross_batches(spark, max_rows):
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
 
 
+def test_batches_are_published_as_partitions(spark):
+    pieces = [piece(spark, [(1, 1, 0, 5), (2, 2, 0, 5)]), piece(spark, [(3, 1, 5, 5)])]
+    out = result(spark, replay.replay(spark, pieces, jobs.batch_sink, "t"))
+    assert sorted((r["batch"], r["event_id"]) for r in out.collect()) == [(0, 1), (0, 2), (1, 3)]
+
+
+def test_only_the_needed_state_versions_stay(spark, tmp_path):
+    pieces = [piece(spark, [(i, 1, 5 * i, i)]) for i in range(4)]
+
+    def start(stream, out, checkpoint):
+        return jobs.stream_delta(stream, out, f"{tmp_path}/state", f"{checkpoint}-log")
+
+    out = result(spark, replay.replay(spark, pieces, start, "t"))
+    assert {r["event_id"]: r["delta"] for r in out.collect()} == {0: None, 1: 1, 2: 1, 3: 1}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["version=2", "version=3"]
+
+
 def test_late_rows_change_nothing(spark):
     pieces = [piece(spark, [(1, 1, 0, 5), (2, 1, 10, 7)]), piece(spark, [(3, 1, 5, 0), (4, 1, 15, 6)])]
     out = result(spark, replay.replay(spark, pieces, replay.delta_starter, "t"))
