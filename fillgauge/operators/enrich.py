@@ -7,9 +7,10 @@ from math import cos, radians
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fillgauge.defaults import MAX_BROADCAST_ROWS
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
-from fillgauge.operators.slices import asof
+from fillgauge.operators.slices import asof, asof_small
 from fillgauge.session import lookup
 
 EARTH_M = 6_371_000.0
@@ -23,10 +24,19 @@ def enrich_status(status: DataFrame, dimension: DataFrame, *, key="station_id",
     )
 
 
-def weather_asof(snaps, readings, *, key="station_id", time="ts", tie="event_id", **kwargs):
-    """Each reading with the last known weather; before the first one the collector's start values."""
+def weather_asof(
+    snaps, readings, *, key="station_id", time="ts", tie="event_id", max_broadcast=MAX_BROADCAST_ROWS, **kwargs
+):
+    """Each reading with the last known weather; before the first one the collector's start values.
+
+    A weather table of proven size is broadcast and the readings stay where
+    they are; a larger one meets them in time slices.
+    """
     values = ["temp", "rain", "wind", "code"]
-    found = asof(snaps.select(key, time, tie), readings, time, time, values, tie=tie, **kwargs)
+    rows = snaps.select(key, time, tie)
+    found = asof_small(rows, readings, time, time, values, tie, max_broadcast)
+    if found is None:
+        found = asof(rows, readings, time, time, values, tie=tie, **kwargs)
     return found.select(
         key,
         time,

@@ -26,7 +26,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillgauge.defaults import MAX_SLICE_ROWS
+from fillgauge.defaults import MAX_BROADCAST_ROWS, MAX_SLICE_ROWS
 from fillgauge.functions.columns import micros
 from fillgauge.session import materialise
 
@@ -235,6 +235,52 @@ def asof(
     )
 
 
+def asof_small(
+    left: DataFrame,
+    right: DataFrame,
+    left_time: str,
+    right_time: str,
+    values: Sequence[str],
+    tie: str,
+    max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame | None:
+    """``asof`` without keys for a right side small enough to broadcast, else None.
+
+    A reading holds from its time to the next one's. The span is cut into as
+    many buckets as there are readings, so the readings spread over at most
+    2 n + 1 (bucket, reading) rows; a left row looks only into its own bucket
+    and is never shuffled.
+    """
+    at = micros(right_time)
+    n, lo, hi = right.agg(F.count("*"), F.min(at), F.max(at)).first()
+    if not 0 < n <= max_rows:
+        return None
+    width = (hi - lo) // n + 1
+    last = (hi - lo) // width
+
+    def bucket(col: str) -> Column:
+        offset = F.col(col) - F.lit(lo)
+        return ((offset - F.pmod(offset, F.lit(width))) / F.lit(width)).cast("bigint")
+
+    held = (
+        right.select(at.alias("_from"), F.col(tie).alias("_tie"), F.struct(*values).alias("_found"))
+        .withColumn("_to", F.lead("_from").over(Window.orderBy("_from", "_tie")))
+        .where("_to is null or _to > _from")
+        .withColumn("_end", F.coalesce(F.col("_to") - 1, F.lit(hi)))
+        .withColumn("_bucket", F.explode(F.sequence(bucket("_from"), bucket("_end"))))
+        .drop("_tie", "_end")
+    )
+    probes = left.withColumn("_at", micros(left_time)).withColumn(
+        "_bucket", F.least(bucket("_at"), F.lit(last).cast("bigint"))
+    )
+    holds = (
+        (probes["_bucket"] == held["_bucket"])
+        & (F.col("_from") <= F.col("_at"))
+        & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
+    )
+    return probes.join(F.broadcast(held), holds, "left").select(*[probes[c] for c in left.columns], "_found")
+
+
 def running_sums(
     df: DataFrame,
     order: str,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fillgauge.operators.slices import SLICE, asof, ranked, running_sums, shift, with_slice
+from fillgauge.operators.slices import SLICE, asof, asof_small, ranked, running_sums, shift, with_slice
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +75,21 @@ def test_asof_equals_brute_force(readings, forward, keyed, max_rows):
     right = readings.where("event_id % 4 = 0")
     keys = ["station_id"] if keyed else []
     ours = asof(left, right, "ts", "ts", ["event_id"], keys, "event_id", forward, max_rows)
+    check_asof(ours, left, right, keyed, forward)
+
+
+def test_asof_with_a_small_side_equals_brute_force(readings):
+    left = readings.where("event_id % 4 <> 0")
+    right = readings.where("event_id % 4 = 0 and ts > timestamp_ntz'2024-01-01 00:05:00' and ts < timestamp_ntz'2024-01-08'")
+    again = right.unionByName(right.limit(20).withColumn("event_id", F.col("event_id") + 1000))  # equal times
+    ours = asof_small(left, again, "ts", "ts", ["event_id"], "event_id")
+    assert ours.columns == [*left.columns, "_found"]
+    check_asof(ours, left, again, False, False)
+    assert asof_small(left, right, "ts", "ts", ["event_id"], "event_id", max_rows=10) is None
+    assert asof_small(left, right.limit(0), "ts", "ts", ["event_id"], "event_id") is None
+
+
+def check_asof(ours, left, right, keyed, forward):
     got = {r["event_id"]: r["_found"]["event_id"] if r["_found"] else None for r in ours.collect()}
     candidates = [r.asDict() for r in right.collect()]
     expected = {}
