@@ -241,7 +241,7 @@ def stockout_roi(
     """What the lost service hours cost in trips, fees and members."""
     events = df.agg(F.sum(C.is_empty(level, below)).cast("bigint").alias("events"))
     hours = F.col("events") * ping_min / F.lit(60.0)
-    # Whole-number arithmetic keeps the floors exact: demand and churn in thousandths.
+    # Settle the binary representation before the floors.
     trips = F.floor(F.round(hours * demand, 6))
     return events.withColumn("trips", trips.cast("bigint")).select(
         r6(hours).alias("hours_lost"),

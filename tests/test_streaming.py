@@ -6,7 +6,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from fillgauge.operators.features import bike_delta
 from fillgauge.streaming import jobs, replay
