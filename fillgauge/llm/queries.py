@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import bpe, flat_tokens, packing
+from fillgauge.llm import bpe, flat_tokens, packing, quality_rules
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,10 +41,20 @@ def op6_flat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tokens.read(spark, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the line-first rules for every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
     "op6_flat_tokens": op6_flat_tokens,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": quality_rules.ORACLE,
+}

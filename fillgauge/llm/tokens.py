@@ -18,6 +18,8 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Cut points: a space before a visible character.
@@ -27,42 +29,46 @@ ODD_SPACE = re.compile(r" (?!\S)")
 #: The pattern of the byte-level pre-tokenizer.
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-#: Strings kept by one worker at each of the two levels, and the longest one kept.
-KEEP = 600_000
+#: Strings in one generation of what a worker keeps, and the longest one kept.
+KEEP_TOKENS = 400_000
+KEEP_PARTS = 200_000
 KEEP_CHARS = 48
 #: Characters encoded between two looks at what is kept.
-CALL_CHARS = 1 << 20
+CALL_CHARS = 1 << 22
 #: Words joined for one call of the library.
 WORDS_CALL = 2_000
 
 
-def parts_of(text: str) -> list[str]:
-    """The parts of a text; every part but the first had a space in front."""
-    return CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-
-
 def id_width(vocabulary: int) -> int:
     """Bytes of the smallest unsigned integer that holds every id."""
     return 2 if vocabulary <= 1 << 16 else 4
 
 
 class Kept:
-    """Ids by string, of a bounded number of short strings beside those in use."""
-
-    def __init__(self, make: Callable[[list[str]], list[bytes]]):
-        self.make, self.ids = make, {}
+    """Ids by string: those in use, and the short ones used lately.
 
-    def need(self, strings: set[str]) -> list[str]:
-        """See that all of ``strings`` are there; returns the long ones, to be let go after use."""
-        if len(self.ids) > KEEP:
-            self.ids.clear()
-        new = list(strings.difference(self.ids))
-        self.ids.update(zip(new, self.make(new)))
-        return [s for s in new if len(s) > KEEP_CHARS]
+    Two generations of bounded size: a string that is used again moves to the
+    young one, and the old one goes when the young one is full.
+    """
 
-    def drop(self, strings: list[str]) -> None:
-        for s in strings:
-            del self.ids[s]
+    def __init__(self, make: Callable[[list[str]], list[bytes]], keep: int):
+        self.make, self.keep = make, keep
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, strings: list[str]) -> list[bytes]:
+        """The ids of strings that differ from each other."""
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        rare = [s for s in strings if s not in young]
+        again = {s: old[s] for s in rare if s in old}
+        new = [s for s in rare if s not in again] if again else rare
+        made = dict(zip(new, self.make(new)))
+        long = {s: made.pop(s) for s in new if len(s) > KEEP_CHARS}
+        young.update(again)
+        young.update(made)
+        return [long[s] if s in long else young[s] for s in strings] if long else [young[s] for s in strings]
 
 
 class Encoder:
@@ -77,26 +83,50 @@ class Encoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.added = {t: np.array([i], self.kind).tobytes() for t, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.tokens = Kept(make)
-        self.first = Kept(lambda parts: self._parts(parts, ""))
-        self.later = Kept(lambda parts: self._parts(parts, " "))
+        self.tokens = Kept(make, KEEP_TOKENS)
+        self.first = Kept(lambda parts: self._parts(parts, ""), KEEP_PARTS)
+        self.later = Kept(lambda parts: self._parts(parts, " "), KEEP_PARTS)
 
     def _parts(self, parts: list[str], before: str) -> list[bytes]:
+        """Ids of parts, from those of their pre-tokens."""
         cut = [[before + p] if p.isalpha() else PRE_TOKEN.findall(before + p) for p in parts]
-        long = self.tokens.need({t for p in cut for t in p})
-        ids = self.tokens.ids
-        out = [ids[p[0]] if len(p) == 1 else b"".join([ids[t] for t in p]) for p in cut]
-        self.tokens.drop(long)
-        return out
+        different = list({t for p in cut for t in p})
+        ids = dict(zip(different, self.tokens.get(different)))
+        return [ids[p[0]] if len(p) == 1 else b"".join([ids[t] for t in p]) for p in cut]
+
+    def _joined(self, parts: pa.StringArray, ends: np.ndarray) -> list[bytes]:
+        """Ids of texts given as their parts; ``ends`` has where each text's parts begin and end."""
+        known = parts.dictionary_encode()
+        table = self.later.get(known.dictionary.to_pylist())
+        opening = parts.take(pa.array(ends[:-1])).to_pylist()
+        different = list(set(opening))
+        opens = dict(zip(different, self.first.get(different)))
+        codes = known.indices.to_numpy().astype(np.int64)
+        codes[ends[:-1]] = len(table) + np.arange(len(opening))
+        table += [opens[p] for p in opening]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        length = sizes[codes]
+        stops = np.cumsum(length)
+        where = np.repeat(starts[codes] - (stops - length), length)
+        ids = np.frombuffer(b"".join(table), self.kind)[where + np.arange(len(where))]
+        bounds = np.concatenate(([0], stops))[ends].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        cut = [parts_of(t) for t in texts]
-        long_first = self.first.need({p[0] for p in cut})
-        long_later = self.later.need(set().union(*(p[1:] for p in cut)))
-        first, later = self.first.ids, self.later.ids
-        out = [first[p[0]] + b"".join(map(later.__getitem__, p[1:])) for p in cut]
-        self.first.drop(long_first)
-        self.later.drop(long_later)
+        odd = [bool(ODD_SPACE.search(t)) for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        even = [k for k, x in enumerate(odd) if not x]
+        if even:
+            lists = pc.split_pattern(pa.array([texts[k] for k in even], pa.string()), " ")
+            for k, ids in zip(even, self._joined(lists.flatten(), lists.offsets.to_numpy())):
+                out[k] = ids
+        rest = [k for k, x in enumerate(odd) if x]
+        if rest:
+            parts = [CUT.split(texts[k]) for k in rest]
+            flat = pa.array([p for some in parts for p in some], pa.string())
+            for k, ids in zip(rest, self._joined(flat, np.cumsum([0, *map(len, parts)]))):
+                out[k] = ids
         return out
 
     def _call(self, texts: list[str]) -> list[bytes]:
