@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import bpe, flat_tokens, packing, quality_rules
+from fillgauge.llm import bpe, flat_tokens, packing, quality_rules, secrets, topk, url_rules
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,6 +41,37 @@ def op6_flat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tokens.read(spark, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: The site rules of the filter.
+SITES = (
+    url_rules.site_rule("net/", "block"),
+    url_rules.site_rule("example.net/en/", "allow"),
+    url_rules.site_rule("example.com/de/", "block"),
+    url_rules.site_rule("org/fr/", "allow"),
+)
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host and path, the site rule that decides it, and the verdict."""
+    return url_rules.judge(table(spark, sf_dir, "pages"), (*SITES, *url_rules.PATTERNS))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text: those found by themselves, and those found by their complements."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in secrets.BASE),
+        F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every twentieth, by whole-number inner product."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the line-first rules for every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
@@ -51,10 +82,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
+    "op4_url_rules": op4_url_rules,
     "op6_flat_tokens": op6_flat_tokens,
+    "op7_secrets": op7_secrets,
+    "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_rules": url_rules.ORACLE,
+    "op9_topk": topk.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
