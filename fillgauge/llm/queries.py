@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import bpe, flat_tokens, packing, quality_rules, secrets, topk, url_rules
+from fillgauge.llm import bpe, flat_tokens, packing, quality_rules, secrets, topk, url_rules, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -55,6 +55,14 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), (*SITES, *url_rules.PATTERNS))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages archived, deduplicated by payload digest, and read back."""
+    raw, lean = session.shared_dir(spark, "warc-raw"), session.shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), raw)
+    warc.deduplicate(spark, raw, lean)
+    return warc.resolve(spark, lean).drop("url")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text: those found by themselves, and those found by their complements."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
     "op4_url_rules": op4_url_rules,
+    "op5_warc": op5_warc,
     "op6_flat_tokens": op6_flat_tokens,
     "op7_secrets": op7_secrets,
     "op9_topk": op9_topk,
