@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import bpe, flat_tokens, packing, quality_rules, secrets, topk, url_rules, warc
+from fillgauge.llm import bpe, flat_tokens, packing, quality_rules, secrets, simhash, topk, url_rules, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and its component of fingerprints linked within three bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 ids with the sources mixed evenly."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -89,6 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_url_rules": op4_url_rules,
     "op5_warc": op5_warc,
