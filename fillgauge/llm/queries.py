@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import bpe, flat_tokens, packing, quality_rules, secrets, simhash, topk, url_rules, warc
+from fillgauge.llm import bpe, flat_tokens, packing, quality_rules, secrets, simhash, topk, url_rules, warc, weak_labels
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -81,6 +81,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorer's probability that each document is good, and whether it is kept."""
+    return weak_labels.score(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all vectors for every twentieth, by whole-number inner product."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_flat_tokens": op6_flat_tokens,
     "op7_secrets": op7_secrets,
+    "op8_weak_labels": op8_weak_labels,
     "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
 }
