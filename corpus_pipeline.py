@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences, each stage over all its predecessor kept."""
+"""From raw documents to packed training sequences, each stage over all its predecessor kept.
+
+Every stage calls one operator of ``fillgauge.llm``. All but the last return the
+columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import packing
+from fillgauge.llm import packing, quality_rules, secrets, simhash, weak_labels
 from fillgauge.llm.queries import TOKENIZER
 
+#: Words in a shingle of the near-duplicate stage.
+SHINGLE = 5
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail go from the texts, and documents that fail or lose too much go altogether."""
+    return _counted(quality_rules.clean(docs))
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer trained on weak labels rejects go."""
+    return weak_labels.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays."""
+    return simhash.first_of_each(docs, SHINGLE)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of secrets give way to the name of their kind."""
+    return _counted(secrets.redact(docs))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 ids with the sources mixed evenly: one row per piece."""
     return packing.pack(docs, TOKENIZER).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality_rules", rules),
+    ("quality_classifier", classifier),
+    ("simhash_near_dedup", near_duplicates),
+    ("secret_scan", without_secrets),
+    ("packing", pack),
+]
 
-#: Token ids and learned scores are not within SQL; a brute-force version stands in the tests.
+#: Learned scores, fingerprints and token ids are not within SQL; brute-force versions stand in the tests.
 ORACLE_SQL = None
 
 

@@ -153,3 +153,19 @@ def grouped(found: DataFrame) -> DataFrame:
     # only components of several fingerprints need their root's name
     ids = session.materialise(named.select("print", "root").join(least, "root").select("print", "component_id"), "simhash-components")
     return found.join(ids, "print").select("doc_id", "print", "component_id")
+
+
+def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without all but the first of each component, with all their columns.
+
+    The first has the smallest id; rows of one id and text are one document. Rows
+    with null ids go by the fingerprint alone: one stays where no row of the
+    component has an id.
+    """
+    row = F.struct(*(common.column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    found = session.materialise(fingerprints(docs, words, id_col, text_col), "simhash")
+    chosen = grouped(found).select("component_id").distinct()
+    # one row for each component kept: of rows with its id, the least
+    kept = docs.select(common.column(id_col).cast("long").alias("component_id"), row.alias("row"))
+    first = kept.join(chosen, kept.component_id.eqNullSafe(chosen.component_id), "left_semi").groupBy("component_id").agg(F.min("row").alias("row"))
+    return first.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
