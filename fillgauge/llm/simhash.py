@@ -158,14 +158,17 @@ def grouped(found: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but the first of each component, with all their columns.
 
-    The first has the smallest id; rows of one id and text are one document. Rows
-    with null ids go by the fingerprint alone: one stays where no row of the
-    component has an id.
+    The first has the smallest id. Of rows that share an id, the least stays where
+    that id is a component's. Rows without an id cannot stand for a component or
+    be told apart, and all stay.
     """
+    key = common.column(id_col).cast("long")
+    found = session.materialise(fingerprints(docs.where(key.isNotNull()), words, id_col, text_col), "simhash")
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    chosen = session.materialise(grouped(found).select(F.col("component_id").alias("doc_id")).distinct().join(rows, "doc_id"), "simhash-first")
     row = F.struct(*(common.column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
-    found = session.materialise(fingerprints(docs, words, id_col, text_col), "simhash")
-    chosen = grouped(found).select("component_id").distinct()
-    # one row for each component kept: of rows with its id, the least
-    kept = docs.select(common.column(id_col).cast("long").alias("component_id"), row.alias("row"))
-    first = kept.join(chosen, kept.component_id.eqNullSafe(chosen.component_id), "left_semi").groupBy("component_id").agg(F.min("row").alias("row"))
-    return first.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    held = docs.select(key.alias("doc_id"), row.alias("row"))
+    single = held.join(chosen.where("rows = 1"), "doc_id", "left_semi")
+    several = held.join(chosen.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row"))
+    stay = single.unionByName(several).unionByName(held.where("doc_id IS NULL"))
+    return stay.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
