@@ -41,6 +41,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     )
 
 
+def once(value: Column) -> Column:
+    """A column that is computed where it stands and nowhere else.
+
+    The optimiser moves cheap-looking columns into their readers, loops over lists
+    included, and into filters further down. It leaves alone what is marked as
+    depending on the row's place, which this is, though its value does not.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def sliced(rows: Sequence, size, limit: int = BATCH_BYTES, most: int = BATCH_ROWS) -> Iterator[list]:
     """Cut a sequence into lists of bounded summed ``size`` and length, in order."""
     held, total = [], 0

@@ -71,8 +71,8 @@ def word_list(text: Column) -> Column:
 
 
 def has_legal(low: Column) -> Column:
-    """Whether a lower-case text holds a boilerplate phrase; reads ``low`` twice, so that it is not recomputed for each."""
-    return F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: (low != "") & F.contains(low, p))
+    """Whether a lower-case text holds a boilerplate phrase."""
+    return F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p))
 
 
 def line_rules(limits: Limits) -> Mapping[str, Column]:
@@ -85,15 +85,13 @@ def line_rules(limits: Limits) -> Mapping[str, Column]:
 
 
 def measured(line: Column) -> Column:
-    """A line with what its rules look at; a word more than it has white space.
+    """A line with what its rules look at; it has a word more than white space.
 
-    Signs are counted only where the document has any of them. The document's own
-    count stands twice in each expression, as the optimiser would move a column
-    that is read once into the loop over the lines.
+    Signs are counted only where the document has any of them.
     """
 
     def of_line(total: str, signs: str) -> Column:
-        return F.when(F.col(total) > 0, F.least(count_of(line, signs), F.col(total))).otherwise(0)
+        return F.when(F.col(total) > 0, count_of(line, signs)).otherwise(0)
 
     separators = of_line("n_separators", SEPARATORS)
     return F.struct(
@@ -101,11 +99,11 @@ def measured(line: Column) -> Column:
         F.length(line).alias("chars"),
         line.rlike(r"[^\x20\x09-\x0D]").alias("worded"),
         # separators are no words, so that a table does not hide behind them
-        F.when((F.col("n_signs") > 0) & (F.col("n_signs") >= F.col("n_separators")), count_of(line, SPACES) + 1 - separators).otherwise(1).alias("words"),
+        F.when(F.col("n_signs") > 0, count_of(line, SPACES) + 1 - separators).otherwise(1).alias("words"),
         of_line("n_symbols", SYMBOLS.replace("|", "")).alias("symbols"),
         of_line("n_shouts", "!").alias("shouts"),
         separators.alias("cells"),
-        F.when(F.col("legal"), has_legal(F.lower(line))).otherwise(F.col("legal")).alias("boilerplate"),
+        (F.col("legal") & has_legal(F.lower(line))).alias("boilerplate"),
     )
 
 
@@ -122,11 +120,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
 
     text = F.col("text")
     parts = common.texts(docs, id_col, text_col).select(
-        "doc_id", "text", word_list(text).alias("words"),
-        count_of(text, SYMBOLS).alias("n_symbols"), count_of(text, "!").alias("n_shouts"),
-        count_of(text, SEPARATORS).alias("n_separators"), F.lower(text).alias("low"),
+        "doc_id", "text", common.once(word_list(text)).alias("words"),
+        common.once(count_of(text, SYMBOLS)).alias("n_symbols"), count_of(text, "!").alias("n_shouts"),
+        count_of(text, SEPARATORS).alias("n_separators"), common.once(F.lower(text)).alias("low"),
     )
-    parts = parts.withColumn("legal", has_legal(F.col("low"))).withColumn("n_signs", F.col("n_symbols") + F.col("n_shouts") + F.col("n_separators"))
+    parts = parts.withColumn("legal", common.once(has_legal(F.col("low")))).withColumn("n_signs", common.once(F.col("n_symbols") + F.col("n_shouts") + F.col("n_separators")))
     # single words are fetched, as slice() would copy the whole list for every window
     windows = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0))),
@@ -134,17 +132,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     )
     hashed = parts.select(
         "doc_id", "text", "words", "n_symbols",
-        F.transform(F.split(text, "\n"), measured).alias("lines"),
-        F.when(F.size("words") >= WINDOW, windows).alias("hashes"),
+        common.once(F.transform(F.split(text, "\n"), measured)).alias("lines"),
+        common.once(F.when(F.size("words") >= WINDOW, windows)).alias("hashes"),
     )
     repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
     ordered = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     sorted_ = hashed.select(
         "doc_id", "lines", "n_symbols",
-        F.filter("lines", lambda x: x["worded"]).alias("worded"),
+        common.once(F.filter("lines", lambda x: x["worded"])).alias("worded"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.when(repeats, ordered).alias("ordered"),
+        common.once(F.when(repeats, ordered)).alias("ordered"),
     )
     twin = lambda x, k: (F.get("ordered", k - 1)["h"] == x["h"]) | (F.get("ordered", k + 1)["h"] == x["h"])
     places = F.array_sort(F.transform(F.filter("ordered", lambda x, k: F.coalesce(twin(x, k), F.lit(False))), lambda x: x["i"]))
@@ -160,9 +158,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     counted = sorted_.select(
         "doc_id", "n_words", "word_chars", F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("worded") - F.size(F.array_distinct(plain))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.col("ordered").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+        common.once(F.coalesce(F.when(F.col("ordered").isNotNull(), covered), F.lit(0)).cast("long")).alias("n_repeat_words"),
         chars("worded").alias("line_chars"),
-        chars(F.filter("worded", failed)).alias("removed_chars"),
+        common.once(chars(F.filter("worded", failed))).alias("removed_chars"),
         of(rules["punctuation"]).alias("n_punctuation"),
         of(rules["navigation"]).alias("n_navigation"),
         of(rules["boilerplate"]).alias("n_boilerplate"),

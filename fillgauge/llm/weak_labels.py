@@ -37,7 +37,8 @@ from fillgauge.llm.quality_rules import count_of, word_list
 TRAIN_ROWS = 20_000
 #: Hashed features.
 FEATURES = 1 << 14
-THRESHOLD = 0.5
+#: A good document lost costs more than a bad one kept, and the two lie far apart.
+THRESHOLD = 0.2
 GOOD, BAD, NONE = "+", "-", "0"
 
 
@@ -50,7 +51,7 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     ended = F.filter(lines, lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*".!?:;\"”»)…"))
     counted = docs.select(
-        "doc_id", "text", word_list(F.col("text")).alias("words"),
+        "doc_id", "text", common.once(word_list(F.col("text"))).alias("words"),
         count_of(F.col("text"), "#*$%&<>").alias("symbols"), count_of(F.col("text"), "|").alias("bars"),
         count_of(F.col("text"), "!").alias("shouts"), count_of(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals"),
         F.length(F.regexp_replace("text", r"[\p{L}\s]+", "")).alias("signs"), F.size(lines).alias("lines"), F.size(ended).alias("ended"),
@@ -121,7 +122,7 @@ def endings(words: str) -> Column:
 
 
 def features(measures: DataFrame, *carried: str) -> DataFrame:
-    parts = measures.select(*carried, F.size("words").alias("n"), endings("words").alias("ends"))
+    parts = measures.select(*carried, F.size("words").alias("n"), common.once(endings("words")).alias("ends"))
     hashed = HashingTF(inputCol="ends", outputCol="counts", numFeatures=FEATURES).transform(parts)
     return Normalizer(inputCol="counts", outputCol="features", p=2.0).transform(hashed).drop("counts", "ends")
 
@@ -151,11 +152,11 @@ def _scored(measures: DataFrame, model: LogisticRegressionModel | None, *carried
     if model is None:
         return measures.select(*carried, F.lit(0.0).alias("score"))
     found = model.transform(features(measures, *carried))
-    return found.select(*carried, F.when(F.col("n") > 0, vector_to_array("probability")[1]).otherwise(0.0).alias("score"))
+    return found.select(*carried, common.once(F.when(F.col("n") > 0, vector_to_array("probability")[1]).otherwise(0.0)).alias("score"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``doc_id, score, kept``: the scorer's probability that a document is good, and whether it reaches 0.5."""
+    """``doc_id, score, kept``: the scorer's probability that a document is good, and whether it reaches ``THRESHOLD``."""
     common.prepare(docs.sparkSession)
     rows = common.texts(docs, id_col, text_col)
     scored = _scored(measured(rows), train(rows, train_rows), "doc_id")
