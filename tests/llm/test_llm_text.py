@@ -1,0 +1,475 @@
+"""Corpus operators on texts and vectors, against brute force and on odd inputs."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from fillgauge.llm import (
+    bpe, components, flat_tokens, packing, quality_rules, queries, secrets, simhash, tokens, topk, url_rules, warc, weak_labels,
+)
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+ODD_TEXTS = [
+    None, "", " ", "a", "a  b", "  a", "a \n b", "x\n\n  y ", "a <|endoftext|> b", "a  <|endoftext|>b", "it's  'll don't",
+    "\x1cfoo \x1c bar", "日本語 テキスト", "½ ² Ⅷ", "é" * 500, "ab" * 3000, "word " * 5000, "\x85 \u3000 x", "\u200b", "😀 ok",
+]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(queries.TOKENIZER)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, each twice, with null ids and sources, and columns named like those of the operators."""
+    rows = [(None if i % 17 == 5 else i % 31, t, None, None if i % 5 == 0 else f"s{i % 3}", i) for i, t in enumerate(ODD_TEXTS * 2)]
+    return (
+        spark.createDataFrame(rows, SCHEMA).withColumn("ids", F.lit("x")).withColumn("print", F.lit(1)).withColumn("score", F.lit("y"))
+        .withColumn("part", F.lit(2)).withColumn("words", F.lit(3)).withColumn("kept", F.lit(False)).cache()
+    )
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("false")
+
+
+# --- token ids ------------------------------------------------------------------
+
+
+def test_both_encoders_equal_the_library(tokenizer):
+    rng = random.Random(3)
+    signs = " \n\t\u00a0\u3000abZé9!'.-\x1c\x85\u200b日²½   "
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(3000)] + [t or "" for t in ODD_TEXTS]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for make in (tokens.library_encoder, bpe.tree_encoder):
+        coder = make(queries.TOKENIZER)
+        for _ in range(2):  # the second time from what is kept
+            assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(texts)] == want
+
+
+def test_kept_strings_are_bounded_and_forgetting_changes_nothing():
+    made = []
+    kept = tokens.Kept(lambda s: made.append(list(s)) or [x.encode() for x in s], 10)
+    for k in range(200):
+        some = [f"{k % 37}-{j}" for j in range(5)] + ["x" * 100]
+        assert kept.get(some) == [x.encode() for x in some]
+    assert len(kept.young) + len(kept.old) <= 40 and all(len(s) < 100 for s in kept.young)
+
+
+def test_merges_take_the_leftmost_lowest_rank():
+    merges = {(1, 1): (1, 3), (3, 1): (0, 4), (2, 1): (2, 5)}
+
+    def slow(ids):
+        ids = list(ids)
+        while True:
+            found = [(merges[a, b][0], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (a, b) in merges]
+            if not found:
+                return ids
+            _, i = min(found)
+            ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
+
+    rng = random.Random(1)
+    for n in [0, 1, 2, 3, 4, 5, 7, 8, 9, 16, 17, 40]:
+        for _ in range(30):
+            ids = [rng.choice((1, 1, 2)) for _ in range(n)]
+            assert bpe.merge(ids, merges) == slow(ids)
+
+
+def test_round_trip_of_odd_texts(odd, none, tokenizer):
+    found = bpe.round_trip(odd, queries.TOKENIZER).collect()
+    assert len(found) == 2 * len(ODD_TEXTS)
+    by_text = Counter(r["decoded"] for r in found)
+    assert by_text == Counter((t or "") for t in ODD_TEXTS * 2)
+    for r in found:
+        assert r["ids"] == tokenizer.encode(r["decoded"], add_special_tokens=False).ids
+    assert bpe.round_trip(none, queries.TOKENIZER).count() == 0
+
+
+def test_decoding_follows_the_library(spark, tokenizer):
+    rng = random.Random(9)
+    lists = [[rng.randrange(50257) for _ in range(12)] for _ in range(100)] + [[]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)] + [(None, None)], "doc_id bigint, ids array<int>")
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(rows, queries.TOKENIZER).collect()}
+    assert got.pop(None) is None
+    assert got == {i: tokenizer.decode(x, skip_special_tokens=False) for i, x in enumerate(lists)}
+
+
+def test_flat_files_hold_documents_in_order(spark, odd, none, tokenizer, tmp_path):
+    root = f"{tmp_path}/flat"
+    flat_tokens.write(odd, root, queries.TOKENIZER)
+    rows = flat_tokens.read(spark, root).orderBy("start").collect()
+    ids = [r["doc_id"] for r in rows]
+    assert ids == sorted(ids, key=lambda x: -1 if x is None else x)
+    start = 0
+    for r in rows:
+        assert (r["start"], r["n_tokens"] * 4) == (start, len(r["ids"]))
+        start += r["n_tokens"]
+    want = Counter(tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for t in ODD_TEXTS * 2)
+    assert Counter(tuple(np.frombuffer(r["ids"], "<u4").tolist()) for r in rows) == want
+    flat_tokens.write(none, f"{tmp_path}/none", queries.TOKENIZER)
+    assert flat_tokens.read(spark, f"{tmp_path}/none").count() == 0
+
+
+# --- packing --------------------------------------------------------------------
+
+
+def check_packed(rows, want: Counter, sequence: int):
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert r["length"] > 0 and len(r["ids"]) == 4 * r["length"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"], r["doc_tokens"]].append(r)
+    filled = []
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        filled.append(at)
+    assert sorted(sequences) == list(range(len(sequences)))
+    assert all(n == sequence or n & (n - 1) == 0 for n in filled) and sum(filled) == sum(len(k) * v for k, v in want.items())
+    got = Counter()
+    for (_, n), some in pieces.items():  # rows of one id and length may be several documents
+        some.sort(key=lambda r: (r["source"], r["start"]))
+        assert sum(r["length"] for r in some) % n == 0
+    by_doc = defaultdict(bytes)
+    for (doc, n), some in pieces.items():
+        if sum(r["length"] for r in some) == n:
+            by_doc[doc, n] = b"".join(r["ids"] for r in sorted(some, key=lambda r: r["start"]))
+    got.update(tuple(np.frombuffer(x, "<u4").tolist()) for x in by_doc.values())
+    assert not got - want
+
+
+def test_pieces_cover_every_document_once(spark, odd, none, tokenizer):
+    want = Counter(tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for t in ODD_TEXTS * 2)
+    check_packed(packing.pack(odd, queries.TOKENIZER, sequence=64, window=4).collect(), want, 64)
+    assert packing.pack(none, queries.TOKENIZER).count() == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = Counter(tuple([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 0]) for r in docs.collect())
+    rows = packing.pack(docs, queries.TOKENIZER).collect()
+    check_packed(rows, want, 1024)
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_every_window_has_the_target_mixture():
+    totals = {"a": 400_000, "b": 100_000, "c": 37, "d": 3_000}
+    plan = packing.Plan(totals, None, 64, 16)
+    size, total = 64 * 16, sum(totals.values())
+    for w in range(0, total // size, 7):
+        for name, queue in plan.queues.items():
+            turns = plan.rounds[0]
+            got = turns.served(queue, (w + 1) * size)[1] - turns.served(queue, w * size)[1]
+            assert abs(got - size * totals[name] / total) <= 3
+    seen = np.zeros(total, bool)
+    for name, n in totals.items():
+        for at in range(0, n, 911):
+            for _, to, length in plan.spans(name, at, min(911, n - at)):
+                assert not seen[to : to + length].any()
+                seen[to : to + length] = True
+    assert seen.all()
+
+
+def test_given_targets_hold_until_a_queue_ends():
+    plan = packing.Plan({"a": 1000, "b": 1000, "c": 500}, {"a": 3, "b": 1}, 10, 4)
+    first, second, third = plan.phases
+    assert first.counts == (1000, 333, 0) and second.counts == (0, 667, 0) and third.counts == (0, 0, 500)
+    places = sorted(to for name, n in (("a", 1000), ("b", 1000), ("c", 500)) for _, to, length in plan.spans(name, 0, n) for to in range(to, to + length))
+    assert places == list(range(2500))
+
+
+# --- near duplicates ------------------------------------------------------------
+
+
+def slow_components(prints: dict[int, int]) -> dict[int, int]:
+    parent = {k: k for k in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def test_links_up_to_three_bits_and_no_further(spark):
+    rng = random.Random(4)
+    prints, values = {}, []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        family = [base]
+        for _ in range(12):  # chains of 1 to 5 bits
+            bits = rng.sample(range(64), rng.randrange(1, 6))
+            family.append(rng.choice(family) ^ sum(1 << b for b in bits))
+        values += family
+    values += [0, 7, 15, (1 << 64) - 1, (1 << 64) - 2, 0]
+    for i, v in enumerate(values):
+        prints[1000 - i] = v
+    rows = spark.createDataFrame([(i, simhash.signed(v)) for i, v in prints.items()], "doc_id bigint, print bigint")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.grouped(rows).collect()}
+    assert got == slow_components(prints)
+
+
+def test_fingerprints_follow_the_definition():
+    def slow(text, n):
+        words = [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text)) if w]
+        runs = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    for text in [t or "" for t in ODD_TEXTS] + ["A b C d e", "É Ä x", "a\x0bb\x0cc\x1cd e f g h"]:
+        assert simhash.fingerprint(text, 3) == slow(text, 3) and simhash.fingerprint(text, 5) == slow(text, 5)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, none):
+    found = simhash.near_duplicates(odd).collect()
+    assert len(found) == 2 * len(ODD_TEXTS)
+    assert len({r["component_id"] for r in found if r["print"] == 0}) == 1
+    assert simhash.near_duplicates(none).count() == 0
+    stay = simhash.first_of_each(odd)
+    assert stay.columns == odd.columns and stay.where("doc_id IS NULL").count() == odd.where("doc_id IS NULL").count()
+    assert stay.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    assert simhash.first_of_each(none).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (150, 201), (7, 300)]
+    rows = spark.createDataFrame([(min(x), max(x)) for x in links], "a bigint, b bigint")
+    got = {r["node"]: r["root"] for r in components.components(rows).collect()}
+    assert got == {**{i: 0 for i in [*range(41), 300]}, **{100 + i: 100 for i in range(30)}, 150: 150, 200: 150, 201: 150}
+    assert components.components(rows.where("false")).count() == 0
+
+
+# --- URL rules ------------------------------------------------------------------
+
+URLS = [
+    None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?q#f", "http://net", "http://net/", "http://x.net?y/z", "ftp://org/fr/",
+    "http://a.org/fr/x", "http://a.org/frx", "http://notexample.com/de/", "http://example.com/de/", "http://b.example.com/DE/x",
+    "http://casino.example.org/", "http://my-casino.org/a", "http://mycasino.org/a", "x://y://example.net/en/", "http://ads-track.net/\n",
+]
+
+
+def test_urls_by_rules_tried_one_by_one(spark):
+    rows = spark.createDataFrame([(None if i == 3 else i, u, "h") for i, u in enumerate(URLS * 2)], "page_id bigint, url string, rule string")
+    rules = (*queries.SITES, *url_rules.PATTERNS)
+    got = Counter((r["page_id"], r["host"], r["path"], r["rule"], r["pattern_rule"], r["verdict"]) for r in url_rules.judge(rows, rules).collect())
+    want = Counter()
+    for i, url in enumerate(URLS * 2):
+        host, path = "", ""
+        if url and "://" in url:
+            rest = re.split(r"[?#]", url.split("://", 1)[1], maxsplit=1)[0]
+            host, path = re.sub("[A-Z]", lambda m: m.group().lower(), rest.split("/", 1)[0]), rest[len(rest.split("/", 1)[0]) :]
+        fits = [r for r in queries.SITES if (host + "/").endswith("") and (host == r.name.split("/")[0] or host.endswith("." + r.name.split("/")[0])) and path.startswith(r.name[r.name.index("/") :])]
+        site = max(fits, key=lambda r: len(r.name), default=None)
+        other = min((r for r in url_rules.PATTERNS if re.match(r.pattern, f"{host}\t{path}")), key=lambda r: r.name, default=None)
+        verdict = site.verdict if site else other.verdict if other else "allow"
+        want[None if i == 3 else i, host, path, site and site.name, other and other.name, verdict] += 1
+    assert got == want
+    assert url_rules.judge(rows.where("false"), rules).count() == 0
+
+
+def test_a_rule_is_filed_under_its_rarest_token():
+    rules = [url_rules.site_rule("example.net/en/", "allow"), url_rules.site_rule("net/", "block")]
+    index = url_rules.rarest(rules, {"net": 900, "example": 700, "en": 500})
+    assert {t: [r.name for r in rs] for t, rs in index.items()} == {"en": ["example.net/en/"], "net": ["net/"]}
+    assert url_rules.site_rule("a.b/pre", "block").literals == {"a", "b"}
+
+
+# --- archives -------------------------------------------------------------------
+
+
+def test_archives_round_trip_with_revisits(spark, tmp_path):
+    pages = [(7, "http://a/", "<p>x</p>"), (3, "http://b/\r\nX: y", "<p>x</p>"), (5, None, None), (2, "http://c/", ""), (9, "http://d/", "é" * 50_000)]
+    pages += [(None, "http://e/", "<p>x</p>"), (9, "http://d/", "é" * 50_000), (11, "http://f/", "alone \r\n\r\n with blank lines")]
+    rows = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("record_type", F.lit("z")).repartition(3)
+    raw, lean = f"{tmp_path}/raw", f"{tmp_path}/lean"
+    warc.write(rows, raw)
+    warc.deduplicate(spark, raw, lean)
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.resolve(spark, lean).collect()), key=str)
+    first, want = {}, []
+    for page, _, html in sorted(pages, key=lambda p: (p[0] is None, p[0] or 0)):
+        data = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        want.append((page, len(data), digest, "revisit" if data in first else "response", first.get(data)))
+        first.setdefault(data, page)
+    assert got == sorted(want, key=str)
+    again = f"{tmp_path}/least"
+    warc.deduplicate(spark, raw, again, least=9)
+    assert {r["page_id"] for r in warc.resolve(spark, again).where("record_type = 'revisit'").collect()} == {9}
+    fields, block = next((f, b) for f, b in ((warc.parse(d)) for d in _records(lean)) if f["WARC-Type"] == "revisit")
+    assert fields["WARC-Profile"] == warc.PROFILE and block.endswith(warc.END)
+    warc.write(rows.where("false"), f"{tmp_path}/none")
+    warc.deduplicate(spark, f"{tmp_path}/none", f"{tmp_path}/none2")
+    assert warc.resolve(spark, f"{tmp_path}/none2").count() == 0
+
+
+def _records(root):
+    from pathlib import Path
+
+    for path in sorted(Path(root).glob("*.warc.gz")):
+        with path.open("rb") as stream:
+            yield from (data for _, _, data in warc.members(stream, 100))
+
+
+# --- secrets --------------------------------------------------------------------
+
+KEY40 = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY0a"
+
+
+def test_base_spans_are_leftmost_and_failures_consume():
+    assert secrets.base_spans("secret:token= abcdefghijklmnop") == []
+    assert secrets.base_spans("PassWD = 'abcdefghijkl' x") == [("assign", 0, 23 - 1)]
+    assert secrets.base_spans("AKIAAKIA" + "A" * 10) == [("access", 0, 18)]
+    assert secrets.base_spans("xx0123456789abcdefyy") == [("hex", 2, 18)]
+    assert secrets.base_spans("ſecret=abcdefghijklmnop") == []
+
+
+def test_weak_parts_need_a_complement_within_the_scope():
+    near = f"id AKIASHORT12345 then {KEY40} end"
+    assert [k for k, *_ in secrets.spans_of(near)] == ["id", "key"]
+    assert secrets.spans_of(f"only {KEY40} here") == []
+    assert secrets.spans_of("only AKIASHORT12345 here") == []
+    far = f"id AKIASHORT12345 {'x ' * 400}{KEY40} end"
+    assert secrets.spans_of(far) == []
+    host = f"https://api.example.com/v1 {KEY40}"
+    assert [k for k, *_ in secrets.spans_of(host)] == ["host", "key"]
+
+
+def test_linking_equals_all_pairs():
+    rng = random.Random(2)
+    for _ in range(200):
+        spans = [(rng.choice(secrets.KINDS), a, a + rng.randrange(1, 30)) for a in (rng.randrange(400) for _ in range(rng.randrange(8)))]
+        weak, base = [s for s in spans if s[0] not in secrets.BASE], [s for s in spans if s[0] in secrets.BASE]
+        want = [s for s in weak if any(o[0] in secrets.COMPLEMENTS[s[0]] and o[1] < s[2] + 50 and o[2] > s[1] - 50 for o in spans)]
+        assert secrets.linked(weak, base, 50) == want
+
+
+def test_scan_and_redaction_of_odd_rows(spark, odd, none):
+    assert [[tuple(s) for s in r["spans"]] for r in secrets.scan(odd).where("size(spans) > 0").collect()] == [[("hex", 0, 6000)]] * 2
+    plain = odd.where("text IS NULL OR text NOT LIKE 'abab%'")
+    clean = secrets.redact(plain)
+    assert clean.columns == odd.columns and sorted(map(str, clean.collect())) == sorted(map(str, plain.collect()))
+    assert secrets.redacted("a token = 'abcdefghijklmno' b", secrets.spans_of("a token = 'abcdefghijklmno' b")) == "a [ASSIGN]' b"
+    assert secrets.scan(none).count() == 0 and secrets.redact(none).count() == 0
+
+
+# --- quality --------------------------------------------------------------------
+
+
+def test_rules_on_odd_rows(spark, odd, none):
+    found = quality_rules.judge(odd).collect()
+    assert len(found) == 2 * len(ODD_TEXTS)
+    for r in found:
+        assert r["n_words"] >= 20 or (r["base_failed"] and not r["kept"])
+    kept = quality_rules.clean(odd)
+    assert kept.columns == odd.columns
+    assert quality_rules.judge(none).count() == 0 and quality_rules.clean(none).count() == 0
+
+
+def test_lines_that_fail_go_and_documents_that_lose_too_much_with_them(spark):
+    prose = "\n".join(f"This is sentence number {i} of a text that says {w} things." for i, w in enumerate("many several different further".split()))
+    menu, legal, noise = "Home | News | About | Contact", "Copyright (c) the authors. All rights reserved.", "win$$$ now### buy*** it%%%"
+    texts = [prose, f"{menu}\n{prose}\n{legal}\n\n{noise}", "\n".join([menu] * 30), prose.upper().replace(" ", "!! ")]
+    rows = spark.createDataFrame([(i, t, "en", "s", i) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"]: r["text"] for r in quality_rules.clean(rows).collect()}
+    assert kept == {0: prose, 1: prose + "\n"}
+    counts = {r["doc_id"]: r for r in quality_rules.judge(rows).collect()}
+    assert (counts[1]["n_navigation"], counts[1]["n_boilerplate"], counts[1]["n_punctuation"]) == (1, 1, 1)
+    assert counts[2]["n_dup_lines"] == 29
+
+
+def test_repeated_windows_equal_brute_force(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) for _ in range(60)] + ["x y " * 20, "w " * 3000]
+    rows = spark.createDataFrame([(i, t, "en", "s", i) for i, t in enumerate(texts)], SCHEMA)
+    for r in quality_rules.judge(rows).collect():
+        words = texts[r["doc_id"]].split()
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        twice = Counter(windows)
+        assert r["n_repeat_words"] == len({i + k for i, w in enumerate(windows) if twice[w] > 1 for k in range(8)})
+
+
+def test_posteriors_find_planted_accuracies():
+    rng = random.Random(8)
+    counts, truth = Counter(), defaultdict(Counter)
+    for _ in range(20_000):
+        good = rng.random() < 0.8
+        votes = "".join("0" if rng.random() < 0.2 else "+-"[good != (rng.random() < a)] for a in (0.95, 0.9, 0.85, 0.8, 0.9))
+        counts[votes] += 1
+        truth[votes][good] += 1
+    posterior = weak_labels.fit(counts)
+    right = sum(truth[p][g >= 0.5] for p, g in posterior.items())
+    assert right / 20_000 > 0.95
+    assert weak_labels.fit({}) == {}
+
+
+def test_scorer_agrees_with_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = weak_labels.score(docs).join(labels, "doc_id").select("quality", "kept", "score").collect()
+    assert sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.97 * len(rows)
+    assert sum(r["kept"] for r in rows if r["quality"] == 1) >= 0.995 * sum(r["quality"] for r in rows)
+
+
+def test_classifier_on_odd_rows(spark, odd, none):
+    found = weak_labels.score(odd).collect()
+    assert len(found) == 2 * len(ODD_TEXTS) and all(0 <= r["score"] <= 1 for r in found)
+    assert weak_labels.keep(odd).columns == odd.columns
+    assert weak_labels.score(none).count() == 0 and weak_labels.keep(none).count() == 0
+
+
+# --- search ---------------------------------------------------------------------
+
+
+def slow_search(rows, k, scale):
+    known = [(i, [int(np.floor(scale * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = {}
+    for i, q in known:
+        if i % 20 == 0:
+            q = min(v for j, v in known if j == i)
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in known if j != i)[:k]
+            out[i] = [(r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    return {(i, *row) for i, some in out.items() for row in some}
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "large"])
+def test_search_equals_brute_force(spark, kind, monkeypatch):
+    rng = random.Random(12)
+    if kind == "ties":
+        rows = [(i, [1.0, 0.5] if i % 3 else [rng.random(), 0.0]) for i in range(150)]
+    elif kind == "large":
+        rows = [(i, [rng.choice((-1, 1)) * rng.random() * 1e8 for _ in range(3)]) for i in range(60)]
+    else:
+        rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(170)]
+        rows += [(None, [1.0] * 5), (201, None), (202, [float("nan")] * 5), (203, [None] * 5), (204, [float("inf")] * 5), (205, []), (206, [0.5]), (7, [0.25] * 5)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("id", F.lit("x")).withColumn("vector", F.lit(1))
+    scale = 64 if kind != "large" else 1.0
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(table, F.col("id") % 20 == 0, 20, scale).collect()}
+    want = slow_search(rows, 20, scale)
+    if kind == "plain":  # rows of a repeated id tie only by chance
+        assert {x[:2] + x[3:] for x in got} == {x[:2] + x[3:] for x in want}
+    else:
+        assert got == want
+
+
+def test_search_in_an_empty_table(spark):
+    table = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    assert topk.search(table, F.col("id") % 20 == 0).count() == 0
