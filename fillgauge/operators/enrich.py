@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import cos, radians
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +12,14 @@ from fillgauge.operators.slices import asof, asof_small
 from fillgauge.session import lookup
 
 EARTH_M = 6_371_000.0
-M_PER_DEGREE = 111_194.0
+CUBE = ("cx", "cy", "cz")
 
 
 def enrich_status(status: DataFrame, dimension: DataFrame, *, key="station_id", time="ts") -> DataFrame:
     """Readings of known stations with the dimension's attributes; unknown ids are dropped."""
-    return status.select(key, time, "bikes").join(lookup(dimension, [key]), key).select(
-        key, "station_name", "lat", "lon", "capacity", "bikes", time
+    levels = ["bikes", "docks"]
+    return status.select(key, time, *levels).join(lookup(dimension, [key]), key).select(
+        key, "station_name", "lat", "lon", "capacity", *levels, time
     )
 
 
@@ -92,37 +91,30 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def coverage_radius(points, stations, *, point="point_id", radius_m=500.0, max_abs_lat=80.0):
-    """Stations within ``radius_m`` of each point.
+def coverage_radius(points, stations, *, point="point_id", radius_m=500.0):
+    """Stations within ``radius_m`` of each point, anywhere on the globe.
 
-    Equal positions are counted once on either side before anything meets, then
-    grid cells at least as wide as the radius are joined with their neighbours.
+    Equal positions are counted once on either side before anything meets. Then
+    cubes at least as wide as the radius, laid through the globe, are joined with
+    their neighbours: a straight line is never longer than the way along the
+    surface, and neither the poles nor the date line are special to it.
     """
-    lat_step = radius_m / M_PER_DEGREE * 1.001
-    # Cells must stay wide enough where meridians are closest.
-    lon_step = lat_step / cos(radians(max_abs_lat))
+    step = radius_m * 1.001
 
-    def cell(col: str, step: float) -> Column:
-        return F.floor(F.col(col) / step).cast("bigint")
+    def cubes(lat: str, lon: str) -> list[Column]:
+        north, east = F.radians(lat), F.radians(lon)
+        axes = (F.cos(north) * F.cos(east), F.cos(north) * F.sin(east), F.sin(north))
+        return [F.floor(axis * EARTH_M / step).cast("bigint") for axis in axes]
 
     sites = stations.groupBy("lat", "lon").agg(F.count("*").alias("n")).select(
-        F.col("lat").alias("s_lat"),
-        F.col("lon").alias("s_lon"),
-        "n",
-        cell("lat", lat_step).alias("cy"),
-        cell("lon", lon_step).alias("cx"),
+        F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "n", *(c.alias(n) for c, n in zip(cubes("lat", "lon"), CUBE))
     )
     around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    places = (
-        points.select("lat", "lon")
-        .distinct()
-        .withColumn("dy", F.explode(around))
-        .withColumn("dx", F.explode(around))
-        .withColumn("cy", cell("lat", lat_step) + F.col("dy"))
-        .withColumn("cx", cell("lon", lon_step) + F.col("dx"))
-    )
+    places = points.select("lat", "lon").distinct().withColumns(dict(zip(CUBE, cubes("lat", "lon"))))
+    for name in CUBE:
+        places = places.withColumn("_d", F.explode(around)).withColumn(name, F.col(name) + F.col("_d")).drop("_d")
     near = haversine_m(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= radius_m
-    counted = places.join(sites, ["cy", "cx"]).where(near).groupBy("lat", "lon").agg(F.sum("n").alias("n"))
+    counted = places.join(sites, list(CUBE)).where(near).groupBy("lat", "lon").agg(F.sum("n").alias("n"))
     return points.join(counted, ["lat", "lon"], "left").select(
         point, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_stations")
     )

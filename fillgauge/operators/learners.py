@@ -1,8 +1,9 @@
 """Shortage and demand models with Spark ML boosted trees.
 
-Boosting stops early on a validation slice: the last fifth of each station's
-training rows, never the test rows. Quality is measured by the same jobs as any
-other score.
+Boosting stops once its validation rows, the last fifth of each station's
+training rows, have not scored better for ``PATIENCE`` rounds, and keeps the best
+round. Quality is measured on other rows still, by the same jobs as any other
+score.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge import defaults as D
@@ -22,7 +23,7 @@ from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
 from fillgauge.operators import evaluation as E
 from fillgauge.operators.features import with_delta_target
-from fillgauge.operators.slices import ranked, shift
+from fillgauge.operators.slices import shift
 from fillgauge.session import materialise
 
 TIME_FEATURES = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend", "is_rush_hour")
@@ -31,10 +32,14 @@ TREND_FEATURES = ("trend_15min", "velocity", "acceleration")
 WEATHER_FEATURES = ("rain", "wind", "temp")
 ALL_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES, *WEATHER_FEATURES)
 SHARED_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES)
+#: Rounds without a better score on the validation rows that end boosting, and rounds grown beyond it at first.
+PATIENCE = 50
+FIRST_ROUNDS = 10
+TRAIN_PARTITION_ROWS = 100_000
 DELTA_FEATURES = (*TIME_FEATURES, "occupancy", "rain", "temp")
 
 
-def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", horizon=D.HORIZON_ROWS) -> DataFrame:
+def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", horizon=D.HORIZON_ROWS, max_rows=D.MAX_SLICE_ROWS) -> DataFrame:
     """Features, look-ahead labels and the train / valid / test part of each row.
 
     Past and future values come from one sliced pass over the station's readings.
@@ -50,6 +55,8 @@ def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", h
             "future_bikes": ("bikes", horizon),
             "future_docks": ("docks", horizon),
         },
+        max_rows,
+        rank=True,
     ).where("future_bikes is not null")
     hour, dow = C.hour_of(time), C.weekday_of(time)
     (hs, hc), (ds, dc) = C.cyclic(hour, 24), C.cyclic(dow, 7)
@@ -77,15 +84,14 @@ def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", h
             **weather,
         }
     ).drop("_b1", "_b2", "_b3", "future_bikes", "future_docks")
-    n, rank = F.col("_total"), F.col("_rank")
+    # the last readings of a station have no future and are gone
+    n, rank = F.greatest(F.col("_total") - horizon, F.lit(0)), F.col("_rank")
     test_from = F.floor(n * D.TRAIN_FRACTION)
     part = (
         F.when(rank > test_from, "test").when(rank > F.floor(test_from * D.TRAIN_FRACTION), "valid").otherwise("train")
     )
     kept = [c for c in ALL_FEATURES if c in featured.columns]
-    return ranked(featured, key, [time, tie], sized_by=df).select(
-        key, tie, *kept, "will_be_empty", "will_be_full", part.alias("part")
-    )
+    return featured.select(key, tie, *kept, "will_be_empty", "will_be_full", part.alias("part"))
 
 
 def publish_model(model: PipelineModel, metrics: DataFrame, path: str) -> None:
@@ -94,35 +100,71 @@ def publish_model(model: PipelineModel, metrics: DataFrame, path: str) -> None:
     metrics.write.parquet(f"{path}/metrics")
 
 
+def best_rounds(fit, valid: DataFrame, score, rounds: int, patience: int) -> tuple[object, int]:
+    """The fit with as many rounds as score best on ``valid``, and their number.
+
+    ``fit(n)`` grows ``n`` trees, the first of which are those of any smaller
+    ``n``. Rounds are added until the best one lies ``patience`` rounds back or
+    all are grown; the fit is then cut back to its best round. Without
+    validation rows all rounds are kept.
+    """
+    if valid.isEmpty():
+        return fit(rounds), rounds
+    grown = min(rounds, patience + FIRST_ROUNDS)
+    while True:
+        model = fit(grown)
+        losses = score(model, valid)
+        best = min(range(len(losses)), key=losses.__getitem__) + 1
+        if grown >= rounds or best + patience <= grown:
+            return (model if best == grown else fit(best)), best
+        grown = min(rounds, 2 * grown)
+
+
+def _grown(model: PipelineModel, valid: DataFrame) -> list[float]:
+    """Loss on ``valid`` after each round."""
+    return model.stages[-1].evaluateEachIteration(model.stages[0].transform(valid))
+
+
+def tree_count(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
+
+
 def fit_classifier(
-    frame: DataFrame, target: str, features: Sequence[str], rounds: int, seed: int, step: float = 0.05
+    frame: DataFrame, target: str, features: Sequence[str], rounds: int, seed: int, step: float = 0.05, patience: int = PATIENCE
 ) -> PipelineModel:
-    """Boosted trees with positives weighted up to the negatives' total."""
-    known = frame.where("part in ('train', 'valid')")
-    counts = known.agg(F.sum(target).alias("p"), F.count("*").alias("n")).first()
+    """Boosted trees with positives weighted up to the negatives' total, stopped on the ``valid`` rows."""
+    train, valid = frame.where("part = 'train'"), frame.where("part = 'valid'")
+    counts = train.agg(F.sum(target).alias("p"), F.count("*").alias("n")).first()
     positives, n = counts["p"] or 0, counts["n"]
     weight = (n - positives) / positives if positives else 1.0
-    weighted = known.withColumns(
-        {
-            "label": F.col(target).cast("double"),
-            "weight": F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)),
-            "is_valid": F.col("part") == "valid",
-        }
-    )
-    trees = GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        validationIndicatorCol="is_valid",
-        maxIter=rounds,
-        maxDepth=6,
-        stepSize=step,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        seed=seed,
-    )
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assemble, trees]).fit(weighted)
+
+    def weighted(rows: DataFrame) -> DataFrame:
+        heavy = F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(F.lit(1.0))
+        return rows.withColumns({"label": F.col(target).cast("double"), "weight": heavy})
+
+    rows = weighted(train).coalesce(partitions_for(n))
+
+    def fit(trees: int) -> PipelineModel:
+        boosted = GBTClassifier(
+            featuresCol="features",
+            labelCol="label",
+            weightCol="weight",
+            maxIter=trees,
+            maxDepth=6,
+            stepSize=step,
+            subsamplingRate=0.8,
+            featureSubsetStrategy="0.8",
+            seed=seed,
+        )
+        assemble = VectorAssembler(inputCols=list(features), outputCol="features")
+        return Pipeline(stages=[assemble, boosted]).fit(rows)
+
+    return best_rounds(fit, weighted(valid), _grown, rounds, patience)[0]
+
+
+def partitions_for(rows: int) -> int:
+    """Partitions of a training table, which every round passes over: not more than it has work for."""
+    return max(1, -(-rows // TRAIN_PARTITION_ROWS))
 
 
 def class_scores(model: PipelineModel, frame: DataFrame, target: str) -> DataFrame:
@@ -132,6 +174,7 @@ def class_scores(model: PipelineModel, frame: DataFrame, target: str) -> DataFra
 
 
 def classifier_quality(scores: DataFrame, threshold: float) -> DataFrame:
+    scores = materialise(scores, "scores")
     metrics = E.classification_metrics(scores, threshold=threshold)
     auc, pr = E.roc_auc(scores).scalar(), E.average_precision(scores).scalar()
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
@@ -152,7 +195,8 @@ def train_classifier(
     """Fit on the early readings of each station; the metrics row is from its latest ones."""
     frame = materialise(model_frame(df, **columns), "model-frame")
     model = fit_classifier(frame, target, features, rounds, seed)
-    return classifier_quality(class_scores(model, frame.where("part = 'test'"), target), threshold)
+    quality = classifier_quality(class_scores(model, frame.where("part = 'test'"), target), threshold)
+    return quality.withColumn("n_trees", F.lit(tree_count(model)).cast("bigint"))
 
 
 def delta_frame(df: DataFrame, **columns) -> DataFrame:
@@ -174,31 +218,48 @@ def delta_frame(df: DataFrame, **columns) -> DataFrame:
     ).select("event_id", "delta_next", *DELTA_FEATURES)
 
 
-def fit_regressor(frame: DataFrame, features: Sequence[str] = DELTA_FEATURES, rounds: int = 500, seed: int = 42):
-    """Boosted regression of ``delta_next``; every fifth event validates."""
-    known = frame.where("delta_next is not null").withColumn("is_valid", F.col("event_id") % 5 == 0)
-    trees = GBTRegressor(
-        featuresCol="features",
-        labelCol="delta_next",
-        validationIndicatorCol="is_valid",
-        maxIter=rounds,
-        maxDepth=6,
-        stepSize=0.05,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        seed=seed,
-    )
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assemble, trees]).fit(known)
+def regression_part() -> Column:
+    """Three fifths train, one validates the number of rounds, one tests; by a hash of the event."""
+    fifth = F.pmod(F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(5))
+    return F.when(fifth == 0, "val").when(fifth == 1, "stop").otherwise("train")
+
+
+def fit_regressor(
+    frame: DataFrame, features: Sequence[str] = DELTA_FEATURES, rounds: int = 500, seed: int = 42, patience: int = PATIENCE
+) -> PipelineModel:
+    """Boosted regression of ``delta_next``; a fifth of the events stops it and another is left for testing."""
+    known = frame.where("delta_next is not null").withColumn("part", regression_part())
+    train = known.where("part = 'train'")
+    train = train.coalesce(partitions_for(train.count()))
+
+    def fit(trees: int) -> PipelineModel:
+        boosted = GBTRegressor(
+            featuresCol="features",
+            labelCol="delta_next",
+            maxIter=trees,
+            maxDepth=6,
+            stepSize=0.05,
+            subsamplingRate=0.8,
+            featureSubsetStrategy="0.8",
+            seed=seed,
+        )
+        assemble = VectorAssembler(inputCols=list(features), outputCol="features")
+        return Pipeline(stages=[assemble, boosted]).fit(train)
+
+    def losses(model: PipelineModel, valid: DataFrame) -> list[float]:
+        return model.stages[-1].evaluateEachIteration(model.stages[0].transform(valid), "squared")
+
+    return best_rounds(fit, known.where("part = 'stop'"), losses, rounds, patience)[0]
 
 
 def train_delta_regressor(df, *, features=DELTA_FEATURES, rounds=500, seed=42, **columns):
+    """Errors on the training rows and on rows that neither grew nor stopped the trees."""
     frame = materialise(delta_frame(df, **columns), "delta-frame")
     model = fit_regressor(frame, features, rounds, seed)
-    scored = model.transform(frame.where("delta_next is not null"))
-    split = F.when(F.col("event_id") % 5 == 0, "val").otherwise("train")
-    metrics = E.regression_metrics(scored, y="delta_next", pred="prediction", group=split, min_rows=1)
-    return metrics.where("group <> 'all'").select(F.col("group").alias("split"), "rmse", "mae", "r2", "n")
+    scored = model.transform(frame.where("delta_next is not null")).withColumn("part", regression_part()).where("part <> 'stop'")
+    metrics = E.regression_metrics(scored, y="delta_next", pred="prediction", group=F.col("part"), min_rows=1)
+    trees = F.lit(tree_count(model)).cast("bigint").alias("n_trees")
+    return metrics.where("group <> 'all'").select(F.col("group").alias("split"), "rmse", "mae", "r2", "n", trees)
 
 
 def feature_importance(model: PipelineModel, spark) -> DataFrame:

@@ -5,17 +5,18 @@ order, and one key may own a large share of the table. A count over the key
 column alone tells first whether any key has more than ``max_rows`` rows. If
 none has, a plain window is the best plan: one shuffle, one sort.
 
-Otherwise the time line of hot keys is cut into slices; each slice is ordered
-on its own and only a bounded part crosses slice borders: the first and last
-rows of a slice for ``shift``, one summary row per slice for ``ranked`` and
-``asof``. Results equal those of a plain window over the key.
-
-How slices are chosen: one map-side combined count per (key, day). A key with
-at most ``max_rows`` rows is a single slice. The days of a hotter key are
-slices, and a day above ``max_rows`` is cut evenly into about n / max_rows
-pieces. At most N / max_rows keys and days are hot, which bounds the broadcast
-lookup. A slice id depends on the row's own values and the counts only, so it
-survives task retries.
+Otherwise all rows are sorted into ranges of the key and the whole order, ties
+included, and written once; a row's range is its slice. Ranges are cut by
+sampled rows, so a slice has about as many rows as any other, whether a key's
+rows spread over years or share an instant, and null keys and times are rows
+like any other. Each slice is then ordered on its own and only a bounded part
+crosses slice borders: the first and last rows of a slice for ``shift``, one
+summary row per key and slice for ``ranked`` and ``asof``. Results equal those
+of a plain window over the key.
+
+The input is read twice in either case, once for the count and once for the
+work; everything after the written table reads that. A slice number stands in
+the table, so retried tasks agree on it.
 """
 
 from __future__ import annotations
@@ -28,53 +29,27 @@ from pyspark.sql import functions as F
 
 from fillgauge.defaults import MAX_BROADCAST_ROWS, MAX_SLICE_ROWS
 from fillgauge.functions.columns import micros
-from fillgauge.session import materialise
+from fillgauge.session import lookup, materialise
 
-DAY_US = 86_400_000_000
 SLICE = "_slice"
-# Most pieces of a global order; their totals are broadcast.
-MAX_PIECES = 1024
+#: Sampled cuts are uneven, so slices are aimed lower than they may be.
+SLICES_PER_MAX = 1.5
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
-    """Keys with more than ``max_rows`` rows: at most N / max_rows of them."""
-    return df.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys)
+def key_counts(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[int, int]:
+    """How many rows there are, and how many keys have more than ``max_rows`` of them."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > max_rows)).first()
+    return row[0], row[1]
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
-    return not hot_keys(df, keys, max_rows).isEmpty()
+def with_slice(df: DataFrame, order: Sequence[str | Column], rows: int, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+    """The rows written in slices, ``_slice``, that follow ``order`` and have up to about ``max_rows`` rows.
 
-
-def with_slice(
-    df: DataFrame, keys: Sequence[str], time: str | Column, max_rows: int = MAX_SLICE_ROWS
-) -> DataFrame:
-    """Add ``_slice``, monotone in ``time`` within the keys."""
-    us = micros(time)
-    base = df.withColumn("_us", us).withColumn("_day", F.col("_us") - F.pmod("_us", F.lit(DAY_US)))
-    width = F.greatest(F.lit(1), F.floor(F.lit(DAY_US) * F.lit(float(max_rows)) / F.col("n"))).cast("bigint")
-    hot = (
-        base.groupBy(*keys, "_day")
-        .agg(F.count("*").alias("n"))
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("total"),
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("n") > max_rows, F.struct("_day", width.alias("width"))))
-            ).alias("_widths"),
-        )
-        .where(F.col("total") > max_rows)
-        .drop("total")
-    )
-    offset = F.col("_us") - F.col("_day")
-    fine = offset - F.pmod(offset, F.try_element_at("_widths", F.col("_day")))
-    slice_id = F.when(F.col("_widths").isNull(), F.lit(0)).otherwise(
-        F.col("_day") + F.coalesce(fine, F.lit(0))
-    )
-    return (
-        base.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(SLICE, slice_id.cast("bigint"))
-        .drop("_us", "_day", "_widths")
-    )
+    ``rows`` is the number of rows. Equal ones share a slice, so ``order`` ends with a tie-breaker.
+    """
+    slices = max(1, math.ceil(SLICES_PER_MAX * rows / max_rows))
+    return materialise(df.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
 def shift(
@@ -83,15 +58,17 @@ def shift(
     order: Sequence[str],
     shifts: Mapping[str, tuple[str, int]],
     max_rows: int = MAX_SLICE_ROWS,
+    rank: bool = False,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns holding another row's value: ``{out: (column, offset)}``.
 
     Negative offsets look back, positive ones ahead, in rows of the same key
     ordered by ``order`` (time first, then tie-breakers). Null past the ends.
-    ``sized_by`` may name a frame with the same keys that is cheaper to count.
+    With ``rank``, ``_rank`` and ``_total`` of ``ranked`` come in the same pass.
+    ``sized_by`` may name a frame with as many rows per key, or more, that is
+    cheaper to count than ``df``.
     """
-    counted = df if sized_by is None else sized_by
     keys = [key] if isinstance(key, str) else list(key)
     across = Window.partitionBy(*keys).orderBy(*order)
 
@@ -101,22 +78,25 @@ def shift(
             for out, (col, offset) in shifts.items()
         }
 
-    if not has_hot_key(counted, keys, max_rows):
-        return df.withColumns(neighbour(across))
-    # Only rows of hot keys pay for slicing; the others take the plain window.
-    hot = F.broadcast(hot_keys(counted, keys, max_rows))
-    cold = df.join(hot, keys, "left_anti").withColumns(neighbour(across))
+    rows, hot = key_counts(df if sized_by is None else sized_by, keys, max_rows)
+    if not hot:
+        shifted = df.withColumns(neighbour(across))
+        return _plain_rank(shifted, keys, order) if rank else shifted
+    sliced = with_slice(df, [*keys, *order], rows, max_rows)
     reach = max(abs(offset) for _, offset in shifts.values())
     within = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    local = with_slice(df.join(hot, keys, "left_semi"), keys, order[0], max_rows).withColumns(
+    local = sliced.withColumns(
         neighbour(within)
         | {
             "_head": F.lag(F.lit(True), reach).over(within).isNull(),
             "_tail": F.lead(F.lit(True), reach).over(within).isNull(),
         }
     )
+    if rank:
+        local = _sliced_rank(local, sliced, keys, order)
     # Between two border rows of adjacent slices no other row is closer than
     # ``reach``, so neighbours of border rows are themselves border rows.
+    local = materialise(local, "shifted")
     border = local.where("_head or _tail").withColumns(
         {f"_x_{out}": col for out, col in neighbour(across).items()}
     )
@@ -124,47 +104,58 @@ def shift(
         side = "_head" if offset < 0 else "_tail"
         border = border.withColumn(out, F.when(F.col(side), F.col(f"_x_{out}")).otherwise(F.col(out)))
     border = border.drop(*[f"_x_{out}" for out in shifts])
-    sliced = local.where("not (_head or _tail)").unionByName(border).drop("_head", "_tail", SLICE)
-    return cold.unionByName(sliced)
+    return local.where("not (_head or _tail)").unionByName(border).drop("_head", "_tail", SLICE)
 
 
-def ranked(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    max_rows: int = MAX_SLICE_ROWS,
-    sized_by: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``_rank`` (1-based) and ``_total`` of the row within its key.
+def _plain_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    return df.withColumn("_rank", rank).withColumn("_total", F.count("*").over(Window.partitionBy(*keys)))
 
-    ``sized_by`` may name a frame with at least as many rows per key that is
-    cheaper to count than ``df``.
-    """
-    if not has_hot_key(df if sized_by is None else sized_by, [key], max_rows):
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")
-        return df.withColumn("_rank", rank).withColumn("_total", F.count("*").over(Window.partitionBy(key)))
-    sliced = with_slice(df, [key], order[0], max_rows)
-    by_key = Window.partitionBy(key).orderBy(SLICE)
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    """Equal in all of ``names``, where null equals null."""
+    same = F.lit(True)
+    for n in names:
+        same = same & left[n].eqNullSafe(right[n])
+    return same
+
+
+def _sliced_rank(df: DataFrame, sliced: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``_rank`` and ``_total``: the place within the slice plus the sizes of the key's earlier slices."""
+    by_key = Window.partitionBy(*keys).orderBy(SLICE)
     sizes = (
-        sliced.groupBy(key, SLICE)
+        sliced.groupBy(*keys, SLICE)
         .agg(F.count("*").alias("_n"))
         .select(
-            key,
+            *keys,
             SLICE,
             F.coalesce(
                 F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
             ).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(key)).alias("_total"),
+            F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
         )
     )
-    within = Window.partitionBy(key, SLICE).orderBy(*order)
-    return (
-        sliced.join(sizes, [key, SLICE])
-        .withColumn("_rank", (F.col("_before") + F.row_number().over(within)).cast("bigint"))
-        .drop("_before", SLICE)
+    within = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    placed = df.withColumn("_place", F.row_number().over(within))
+    joined = placed.join(sizes, _same(placed, sizes, [*keys, SLICE]))
+    return joined.select(
+        *[placed[c] for c in df.columns],
+        (F.col("_before") + F.col("_place")).cast("bigint").alias("_rank"),
+        "_total",
     )
 
 
+def ranked(
+    df: DataFrame, key: str, order: Sequence[str], max_rows: int = MAX_SLICE_ROWS, sized_by: DataFrame | None = None
+) -> DataFrame:
+    """Add ``_rank`` (1-based) and ``_total`` of the row within its key; ``sized_by`` as in ``shift``."""
+    rows, hot = key_counts(df if sized_by is None else sized_by, [key], max_rows)
+    if not hot:
+        return _plain_rank(df, [key], order)
+    sliced = with_slice(df, [key, *order], rows, max_rows)
+    return _sliced_rank(sliced, sliced, [key], order).drop(SLICE)
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,
@@ -187,12 +178,14 @@ def asof(
     key_cols = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
     sign = F.lit(-1 if forward else 1)
     value = F.struct(*values)
+    row = F.struct(*left.columns)
     probes = left.select(
         *key_cols,
         F.col(left_time).cast("timestamp").alias("_at"),
         F.lit(1).alias("_side"),
         F.lit(0).cast("bigint").alias("_tie"),
-        F.struct(*left.columns).alias("_row"),
+        row.alias("_row"),
+        F.xxhash64(row).alias("_spread"),
     )
     readings = right.select(
         *key_cols,
@@ -203,36 +196,28 @@ def asof(
     )
     both = probes.unionByName(readings, allowMissingColumns=True).withColumn("_pos", sign * micros("_at"))
     is_reading = F.col("_side") == 0
+    # Probes of one instant find the same, so any order of them will do to spread them.
+    order = ["_pos", "_side", "_tie"]
 
     def latest(*partition):
-        window = Window.partitionBy(*partition).orderBy("_pos", "_side", "_tie")
+        window = Window.partitionBy(*partition).orderBy(*order)
         return F.last("_value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
 
-    if not has_hot_key(both, by, max_rows):
+    rows, hot = key_counts(both, by, max_rows)
+    if not hot:
         found = both.withColumn("_found", latest(*by))
         return found.where(~is_reading).select("_row.*", "_found")
-    both = with_slice(both, by, "_at", max_rows)
-    earlier = (
-        Window.partitionBy(*by)
-        .orderBy(sign * F.col(SLICE))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    both = with_slice(both, [*by, *order, "_spread"], rows, max_rows)
+    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.struct("_pos", "_side", "_tie")
     carried = (
         both.groupBy(*by, SLICE)
-        .agg(
-            F.max_by(
-                F.when(is_reading, F.col("_value")),
-                F.when(is_reading, F.struct("_pos", "_tie")),
-            ).alias("_last")
-        )
+        .agg(F.max_by(F.when(is_reading, F.col("_value")), F.when(is_reading, last)).alias("_last"))
         .select(*by, SLICE, F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
     )
-    return (
-        both.join(carried, [*by, SLICE])
-        .withColumn("_found", F.coalesce(latest(*by, SLICE), F.col("_carry")))
-        .where(~is_reading)
-        .select("_row.*", "_found")
-    )
+    local = both.withColumn("_local", latest(*by, SLICE)).where(~is_reading)
+    joined = local.join(carried, _same(local, carried, [*by, SLICE]))
+    return joined.withColumn("_found", F.coalesce("_local", "_carry")).select("_row.*", "_found")
 
 
 def asof_small(
@@ -291,35 +276,31 @@ def running_sums(
     """Running totals over a global order, for a table with one row per ``order`` value.
 
     The table is written once. Up to ``max_rows`` rows are one window; a larger
-    table is cut at approximate quantiles of the order, the totals of its pieces
-    are accumulated first, then each piece on its own.
+    table is written in slices of its order, the totals of the slices are
+    accumulated first, then each slice on its own.
     """
-    df = materialise(df, "running-sums")
     ordering = F.col(order).desc() if descending else F.col(order)
 
     def running(*partition):
         window = Window.partitionBy(*partition).orderBy(ordering).rowsBetween(Window.unboundedPreceding, 0)
         return {out: F.sum(col).over(window) for out, col in sums.items()}
 
-    pieces = min(MAX_PIECES, math.ceil(df.count() / max_rows))
-    if pieces <= 1:
+    df = materialise(df, "running-sums")
+    rows = df.count()
+    if rows <= max_rows:
         return df.withColumns(running())
-    cuts = df.agg(
-        F.percentile_approx(order, [i / pieces for i in range(1, pieces)], pieces * 20)
-    ).scalar()
-    piece = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(order)))
-    cut = df.withColumn("_cuts", cuts).withColumn("_piece", F.lit(-1 if descending else 1) * piece).drop("_cuts")
-    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = with_slice(df, [ordering], rows, max_rows)
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     bases = (
-        cut.groupBy("_piece")
+        sliced.groupBy(SLICE)
         .agg(*[F.sum(col).alias(f"_t_{out}") for out, col in sums.items()])
         .select(
-            "_piece",
+            SLICE,
             *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums],
         )
     )
     return (
-        cut.join(F.broadcast(bases), "_piece")
-        .withColumns({out: F.col(f"_b_{out}") + total for out, total in running("_piece").items()})
-        .drop("_piece", *[f"_b_{out}" for out in sums])
+        sliced.join(lookup(bases, [SLICE]), SLICE)
+        .withColumns({out: F.col(f"_b_{out}") + total for out, total in running(SLICE).items()})
+        .drop(SLICE, *[f"_b_{out}" for out in sums])
     )

@@ -20,8 +20,6 @@ QUERIES: dict[str, Query] = {}
 
 # The driver's events are from 2024; the holiday list is a parameter.
 HOLIDAYS = ("2024-01-01", "2024-01-06")
-# Boosting rounds of the registered learner queries; the library default is 500.
-ROUNDS = 20
 
 
 def query(job: Query) -> Query:
@@ -408,28 +406,28 @@ def assign_nearest_centroid(spark, sf_dir):
 
 # --- prediction -----------------------------------------------------------------
 
-on(B.telemetry, "train_empty_classifier", lambda df: learners.train_classifier(df, "will_be_empty", rounds=ROUNDS))
-on(B.telemetry, "train_full_classifier", lambda df: learners.train_classifier(df, "will_be_full", rounds=ROUNDS))
-on(B.telemetry, "train_delta_regressor", lambda df: learners.train_delta_regressor(df, rounds=ROUNDS))
+on(B.telemetry, "train_empty_classifier", lambda df: learners.train_classifier(df, "will_be_empty"))
+on(B.telemetry, "train_full_classifier", lambda df: learners.train_classifier(df, "will_be_full"))
+on(B.telemetry, "train_delta_regressor", lambda df: learners.train_delta_regressor(df))
 
 
 @query
 def transfer_learn(spark, sf_dir):
     source = B.city_b(spark, sf_dir).withColumn("capacity", F.col("bikes") + F.col("docks"))
-    return learners.transfer_learn(source, B.telemetry(spark, sf_dir), rounds=ROUNDS)
+    return learners.transfer_learn(source, B.telemetry(spark, sf_dir))
 
 
 @query
 def feature_importance(spark, sf_dir):
     frame = materialise(learners.model_frame(B.telemetry(spark, sf_dir)), "model-frame")
-    model = learners.fit_classifier(frame, "will_be_empty", learners.ALL_FEATURES, ROUNDS, 42)
+    model = learners.fit_classifier(frame, "will_be_empty", learners.ALL_FEATURES, 500, 42)
     return learners.feature_importance(model, spark)
 
 
 @query
 def score_and_label(spark, sf_dir):
     frame = materialise(learners.delta_frame(B.telemetry(spark, sf_dir)), "delta-frame")
-    model = learners.fit_regressor(frame, rounds=ROUNDS)
+    model = learners.fit_regressor(frame)
     return learners.score_and_label(model, frame)
 
 

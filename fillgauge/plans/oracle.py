@@ -308,7 +308,7 @@ SQL["random_split"] = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'val' EL
 # --- joins -----------------------------------------------------------------------
 
 SQL["enrich_status"] = """
-SELECT t.station_id, s.station_name, round(s.lat, 6) AS lat, round(s.lon, 6) AS lon, s.capacity, t.bikes, t.ts
+SELECT t.station_id, s.station_name, round(s.lat, 6) AS lat, round(s.lon, 6) AS lon, s.capacity, t.bikes, t.docks, t.ts
 FROM telemetry t JOIN stations s ON s.station_id = t.station_id"""
 SQL["weather_asof"] = """
 SELECT t.station_id, t.ts, t.event_id, w.temp, coalesce(w.rain, 0) AS rain, coalesce(w.wind, 0) AS wind, coalesce(w.code, 0) AS code

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from fillgauge.defaults import MAX_BROADCAST_ROWS
 
+#: Starts the names of intermediate tables.
+PREFIX = "fillgauge-"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin what result values depend on. Only runtime settings, safe on any session."""
@@ -22,14 +25,26 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder (tests, local runs) a
-    temporary one is used.
+    Where the session names no such folder, a local session gets a temporary one;
+    on a cluster each machine would have its own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         root = tempfile.mkdtemp(prefix="fillgauge-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{PREFIX}{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Remove all intermediate tables below the shared folder once no result needs them."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{PREFIX}*")
+        for found in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or ():
+            drop_path(spark, found.getPath().toString())
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

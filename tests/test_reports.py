@@ -180,6 +180,16 @@ def test_radius_counts_equal_brute_force(spark):
         assert got[i] == sum(metres((lat, lon), (a, b)) <= 500 for _, a, b in stations)
 
 
+def test_radius_holds_near_the_pole_and_across_the_date_line(spark):
+    stations = [(1, 85.0, 10.04), (2, -17.0, -179.9999), (3, 89.9999, -90.0)]
+    points = [(1, 85.0, 10.0), (2, -17.0, 179.9999), (3, 89.9999, 90.0), (4, 0.0, 0.0)]
+    got = enrich.coverage_radius(
+        frame(spark, points, "point_id bigint, lat double, lon double"),
+        frame(spark, stations, "station_id bigint, lat double, lon double"),
+    )
+    assert {r["point_id"]: r["n_stations"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 0}
+
+
 # --- clusters -----------------------------------------------------------------
 
 
@@ -294,6 +304,35 @@ def test_learner_beats_persistence_on_a_planted_signal(spark):
     assert learned["roc_auc"] > 0.95 and learned["n_test"] == naive["n"]
 
 
+def test_boosting_goes_on_until_patience_ends_it(spark):
+    """A smooth signal under noise: one tree is not enough, and stopping early must not cost quality."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(8000):
+        x = [rng.random() for _ in range(4)]
+        chance = 1 / (1 + np.exp(1 - 4 * x[0] + 3 * x[1] - 3 * np.sin(6 * x[2])))
+        rows.append((*x, int(rng.random() < chance), ("train", "valid", "test")[0 if i < 4500 else 1 if i < 6000 else 2]))
+    frame_ = spark.createDataFrame(rows, "a double, b double, c double, d double, t int, part string").coalesce(1).cache()
+    test = frame_.where("part = 'test'")
+    stopped = learners.fit_classifier(frame_, "t", ["a", "b", "c", "d"], 30, 1, patience=10)
+    whole = learners.fit_classifier(frame_.where("part <> 'valid'"), "t", ["a", "b", "c", "d"], 30, 1)
+    found = [evaluation.roc_auc(learners.class_scores(m, test, "t")).first()[0] for m in (stopped, whole)]
+    assert learners.tree_count(stopped) > 10 and learners.tree_count(whole) == 30
+    assert found[0] >= found[1] - 0.005
+
+
+def test_the_best_round_is_kept():
+    class Rows:
+        def isEmpty(self):  # noqa: N802
+            return False
+
+    grown = []
+    losses = [abs(n - 90) for n in range(1, 501)]
+    fit = lambda n: grown.append(n) or n
+    assert learners.best_rounds(fit, Rows(), lambda m, _: losses[:m], 500, 50) == (90, 90) and grown == [60, 120, 240, 90]
+    assert learners.best_rounds(fit, Rows(), lambda m, _: losses[:m], 70, 50) == (70, 70)
+
+
 def test_regressor_labels_importance_and_published_model(spark, tmp_path):
     rows = [(s, 60 * i, 2 + 6 * (i % 2), 10) for s in range(4) for i in range(60)]
     df = readings(spark, rows).withColumns({"rain": F.lit(0.0), "temp": F.lit(10.0)})
@@ -305,6 +344,7 @@ def test_regressor_labels_importance_and_published_model(spark, tmp_path):
     assert ranks[0]["feature"] == "occupancy" and sum(r["importance"] for r in ranks) == pytest.approx(1, abs=1e-4)
     quality = learners.train_delta_regressor(df, rounds=15, horizon=1)
     assert {r["split"]: r["r2"] > 0.5 for r in quality.collect()} == {"train": True, "val": True}
+    assert quality.first()["n_trees"] > 1
     learners.publish_model(model, quality, f"{tmp_path}/m")
     again = PipelineModel.load(f"{tmp_path}/m/model")
     assert learners.score_and_label(again, frame_).exceptAll(learners.score_and_label(model, frame_)).count() == 0
