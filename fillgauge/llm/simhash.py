@@ -122,6 +122,8 @@ def _not_alone(prints: DataFrame) -> DataFrame:
 def links(prints: DataFrame) -> DataFrame:
     """Verified links ``a < b`` that connect all fingerprints within the radius, as do all pairs."""
     near = session.materialise(_not_alone(prints), "simhash-near")
+    # a small table with many rows to come: as many tasks as a shuffle has
+    near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
     ones = F.transform(F.concat(F.array(F.lit(0).cast("long")), _longs(ONES)), lambda m: F.struct(m.alias("mask"), F.lit(True).alias("close")))
     twos = F.transform(_longs(TWOS), lambda m: F.struct(m.alias("mask"), F.lit(False).alias("close")))
     balls = near.select("print", F.explode(F.when(_odd(F.col("print")), F.concat(ones, twos)).otherwise(ones)).alias("v"))
@@ -144,10 +146,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return grouped(found)
 
 
-def grouped(found: DataFrame) -> DataFrame:
-    """Components of documents with fingerprints."""
+def grouped(found: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Components of documents with fingerprints; ``more`` are links ``a, b`` between fingerprints."""
     prints = session.materialise(found.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-prints")
-    roots = components(links(prints.select("print")))
+    near = links(prints.select("print"))
+    roots = components(near if more is None else near.unionByName(more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     named = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # only components of several fingerprints need their root's name
@@ -155,17 +158,27 @@ def grouped(found: DataFrame) -> DataFrame:
     return found.join(ids, "print").select("doc_id", "print", "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", more=None) -> DataFrame:
     """The documents without all but the first of each component, with all their columns.
 
     The first has the smallest id. Of rows that share an id, the least stays where
     that id is a component's. Rows without an id cannot stand for a component or
-    be told apart, and all stay.
+    be told apart, and all stay. ``more`` may give further links ``a, b`` between
+    ids, for a frame ``doc_id, text`` with one row for each fingerprint.
     """
     key = common.column(id_col).cast("long")
     found = session.materialise(fingerprints(docs.where(key.isNotNull()), words, id_col, text_col), "simhash")
     rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    chosen = session.materialise(grouped(found).select(F.col("component_id").alias("doc_id")).distinct().join(rows, "doc_id"), "simhash-first")
+    further = None
+    if more is not None:
+        single = rows.where("rows = 1").select("doc_id")
+        named = found.join(single, "doc_id", "left_semi").groupBy("print").agg(F.min("doc_id").alias("doc_id"))
+        named = session.materialise(named, "simhash-named")
+        whole = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+        texts = session.materialise(whole.join(named, "doc_id", "left_semi"), "simhash-texts")
+        ends = [named.select(F.col("doc_id").alias(i), F.col("print").alias(p)) for i, p in (("a", "pa"), ("b", "pb"))]
+        further = session.materialise(more(texts).join(ends[0], "a").join(ends[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")), "simhash-more")
+    chosen = session.materialise(grouped(found, further).select(F.col("component_id").alias("doc_id")).distinct().join(rows, "doc_id"), "simhash-first")
     row = F.struct(*(common.column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
     held = docs.select(key.alias("doc_id"), row.alias("row"))
     single = held.join(chosen.where("rows = 1"), "doc_id", "left_semi")

@@ -1,0 +1,99 @@
+"""Verified links between texts that share most of their word shingles.
+
+Fingerprints within three bits are those of almost equal texts: at a similarity of
+0.8 between sets of five-word shingles, 64-bit fingerprints differ in about ten
+bits, which no ball of a size worth emitting reaches. The near-duplicate stage of
+the pipeline asks for 0.8, so it adds the links found here to those of the
+fingerprints.
+
+Each text is sketched by ``BANDS`` keys, each made of the least values of its
+shingles under ``ROWS`` hash functions. Two texts of similarity 0.8 share one with
+a probability above 0.999. The texts that share a key are linked to the first of
+them and each to the one before, never pairwise, and every link is then verified on
+the whole sets. A key's rows are a running value and a join key, so no group is
+gathered in a task.
+
+Results in special cases: texts without words have no links; those of fewer words
+than a shingle have one, the words they have; an id that is null or occurs in
+several rows is not linked.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from fillgauge import session
+from fillgauge.llm.simhash import SEED, shingles
+
+BANDS, ROWS = 24, 6
+#: Shingles sketched at a time.
+CHUNK = 4_096
+
+
+def hashed(text: str, words: int) -> np.ndarray:
+    """The set of the text's shingles, as sorted hashes."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)], np.uint64))
+
+
+def functions() -> tuple[np.ndarray, np.ndarray]:
+    """The odd factors and the summands of the hash functions."""
+    numbers = np.array([xxhash.xxh64_intdigest(str(k).encode(), SEED) for k in range(2 * BANDS * ROWS)], np.uint64)
+    return numbers[::2] | np.uint64(1), numbers[1::2]
+
+
+def bands(values: np.ndarray) -> list[int]:
+    """A key for each band."""
+    factors, summands = functions()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), CHUNK):
+        mixed = values[at : at + CHUNK, None] * factors + summands
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, mixed.min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) >> 1 for k, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, keys = [], []
+        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            values = hashed(text, words)
+            if len(values):
+                ids.append(i)
+                keys.append(bands(values))
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], words: int, least: float) -> Iterator[pa.RecordBatch]:
+    known: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
+    for batch in batches:
+        kept = []
+        for a, b, one, other in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "one", "other"))):
+            if known[0] != one:
+                known = (one, hashed(one, words))
+            x, y = known[1], hashed(other, words)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both and both >= least * (len(x) + len(y) - both):
+                kept.append((a, b))
+        yield pa.record_batch([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def links(texts: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """Verified links ``a < b`` between the ids of rows ``doc_id, text`` with different ids."""
+    sketches = texts.mapInArrow(lambda b: _sketches(b, words), "doc_id long, keys array<long>")
+    keys = sketches.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    keys = session.materialise(keys, "similar-keys")
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
+    members = keys.join(shared, ["band", "key"])
+    before = F.lag("doc_id").over(Window.partitionBy("band", "key").orderBy("doc_id"))
+    pairs = members.withColumn("before", before).select("doc_id", F.explode(F.array("first", "before")).alias("a")).where("a < doc_id")
+    pairs = session.materialise(pairs.select("a", F.col("doc_id").alias("b")).distinct(), "similar-pairs")
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
+    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
+    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
+    return joined.mapInArrow(lambda b: _verified(b, words, least), "a long, b long")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fillgauge.llm import (
-    bpe, components, flat_tokens, packing, quality_rules, queries, secrets, simhash, tokens, topk, url_rules, warc, weak_labels,
+    bpe, components, flat_tokens, packing, quality_rules, queries, secrets, similar, simhash, tokens, topk, url_rules, warc, weak_labels,
 )
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -258,6 +258,31 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(rows.where("false")).count() == 0
 
 
+def test_similar_texts_are_linked_as_all_pairs_would_be(spark):
+    rng = random.Random(13)
+    texts = []
+    for family in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 300))]
+        texts.append(words)
+        for _ in range(5):  # from near copies to distant ones
+            share = rng.choice((0.003, 0.01, 0.02, 0.1))
+            copy = [w if rng.random() > share else f"x{rng.randrange(3000)}" for w in words]
+            texts.append(copy)
+    texts += [[], ["one"], ["one"], ["a", "b"]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {tuple(r) for r in similar.links(rows).collect()}
+    sets = [set(similar.hashed(" ".join(t), 5).tolist()) for t in texts]
+    close = {(i, j) for j in range(len(sets)) for i in range(j) if sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert got <= close and len(close) > 15
+    whole = {r["node"]: r["root"] for r in components.components(rows.sparkSession.createDataFrame(sorted(close), "a bigint, b bigint")).collect()}
+    ours = {r["node"]: r["root"] for r in components.components(similar.links(rows)).collect()}
+    assert ours == whole
+    docs = rows.withColumn("lang", F.lit("en"))
+    stay = {r["doc_id"] for r in simhash.first_of_each(docs, 5, more=similar.links).collect()}
+    assert stay == {i for i in range(len(texts)) if whole.get(i, i) == i}
+    assert similar.links(rows.where("false")).count() == 0
+
+
 # --- URL rules ------------------------------------------------------------------
 
 URLS = [
