@@ -2,15 +2,15 @@
 
 Pair sums over a shared time axis are a matrix product. Stations are hashed
 into blocks of a few hundred, the time axis into stretches of a few thousand
-instants; a task multiplies two blocks over one stretch. A task therefore holds
-at most two blocks times one stretch, a reading is copied once per block rather
-than paired with every other reading of its instant, and what leaves a task is
-one row per station pair at most - only qualifying pairs when the time axis fits
-one stretch.
+instants; a task multiplies two blocks over one stretch after the other. It holds
+at most two blocks times one stretch, and the blocks' sums; a reading is copied once per block rather
+than paired with every other reading of its instant, and only qualifying
+pairs leave a task.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -52,67 +52,112 @@ def block_count(stations: int, block: int = BLOCK) -> int:
     return max(1, math.ceil(stations / block))
 
 
-def cell_multiplier(present_only: bool, keep):
-    """The task-side product of one block pair: moment sums of all its station pairs a < b.
+def block_sums(present_only: bool, keep):
+    """The task-side sums of block pairs: moments of all their station pairs a < b.
 
-    A closure over numpy only, so workers need nothing but numpy and pandas.
+    Rows come sorted by block pair and stretch. A stretch is multiplied at a time
+    and added to the block pair's matrices, so a task holds one stretch of two
+    blocks and six matrices of a block, however long the time axis. A closure over
+    numpy and pandas only, so workers need nothing else.
     """
     columns = ("a", "b", *MOMENTS)
 
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+    def multiply(pdf, bi, bj, places):
+        """Sums of one stretch, rows and columns by place of the station in its block."""
         station, s = np.unique(pdf["s"].to_numpy(), return_inverse=True)
         real = pdf["t"].notna().to_numpy()
         t = pd.factorize(pdf["t"].to_numpy()[real])[0]
-        width = int(t.max()) + 1 if len(t) else 1
-        x = np.zeros((len(station), width))
+        block = np.zeros(len(station), dtype="int64")
+        block[s] = pdf["_b"].to_numpy()
+        x = np.zeros((len(station), int(t.max()) + 1 if len(t) else 1))
         x[s[real], t] = pdf["v"].to_numpy(dtype="float64")[real]
-        in_i = np.zeros(len(station), dtype=bool)
-        in_i[s[pdf["_b"].to_numpy() == bi]] = True
-        rows = np.flatnonzero(in_i)
-        cols = rows if bi == bj else np.flatnonzero(~in_i)
-        if not len(rows) or not len(cols):
-            return pd.DataFrame({c: [] for c in columns})
-        xi, xj = x[rows], x[cols]
-        shape = (len(rows), len(cols))
+        m = np.zeros_like(x)
+        m[s[real], t] = 1.0
+        rows, cols = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+        at = [np.array([places[k].setdefault(station[r], len(places[k])) for r in some], dtype="int64") for k, some in ((0, rows), (1, cols))]
+        xi, xj, mi, mj = x[rows], x[cols], m[rows], m[cols]
         if present_only:
-            m = np.zeros_like(x)
-            m[s[real], t] = 1.0
-            mi, mj = m[rows], m[cols]
-            n = mi @ mj.T
-            sx, sy = xi @ mj.T, mi @ xj.T
-            sxx, syy = (xi * xi) @ mj.T, mi @ (xj * xj).T
+            sums = (mi @ mj.T, xi @ mj.T, mi @ xj.T, (xi * xi) @ mj.T, mi @ (xj * xj).T, xi @ xj.T)
+        else:  # a missing value is 0, so these are the stations' own, added up once
+            sums = (*(z.sum(1)[:, None] for z in (xi, xj, xi * xi, xj * xj)), xi @ xj.T)
+        return at, [np.rint(z).astype("int64") for z in sums]
+
+    def grown(matrix, shape):
+        """The matrix with room for more stations."""
+        if matrix.shape[0] >= shape[0] and matrix.shape[1] >= shape[1]:
+            return matrix
+        wide = np.zeros([max(2 * h, n) if n > h else h for h, n in zip(matrix.shape, shape)], dtype="int64")
+        wide[: matrix.shape[0], : matrix.shape[1]] = matrix
+        return wide
+
+    def emit(bi, bj, places, totals):
+        names = [np.array(list(p), dtype=object) for p in places]
+        ni, nj = len(names[0]), len(names[1])
+        if present_only:
+            n, sx, sy, sxx, syy, sxy = (z[:ni, :nj] for z in totals)
         else:
-            n = np.zeros(shape)
-            sx = np.broadcast_to(xi.sum(1)[:, None], shape)
-            sy = np.broadcast_to(xj.sum(1)[None, :], shape)
-            sxx = np.broadcast_to((xi * xi).sum(1)[:, None], shape)
-            syy = np.broadcast_to((xj * xj).sum(1)[None, :], shape)
-        sxy = xi @ xj.T
-        wanted = np.ones(shape, dtype=bool)
+            n = np.zeros((ni, nj), dtype="int64")
+            sx, sxx = (np.broadcast_to(totals[k][:ni, :1], (ni, nj)) for k in (0, 2))
+            sy, syy = (np.broadcast_to(totals[k][:nj, :1].T, (ni, nj)) for k in (1, 3))
+            sxy = totals[4][:ni, :nj]
+        wanted = np.ones((ni, nj), dtype=bool)
         if bi == bj:
-            wanted = station[rows][:, None] < station[cols][None, :]
+            wanted = names[0][:, None] < names[1][None, :]
         if keep is not None:
-            wanted &= keep(n, sx, sy, sxx, syy, sxy)
+            wanted &= keep(*(z.astype("float64") for z in (n, sx, sy, sxx, syy, sxy)))
         i, j = np.nonzero(wanted)
-        a, b = station[rows][i], station[cols][j]
+        a, b = names[0][i], names[1][j]
         swap = a > b
-        whole = [np.rint(z[i, j]).astype("int64") for z in (n, sx, sy, sxx, syy, sxy)]
-        n_, sx_, sy_, sxx_, syy_, sxy_ = whole
-        return pd.DataFrame(
-            {
-                "a": np.where(swap, b, a),
-                "b": np.where(swap, a, b),
-                "n": n_,
-                "sx": np.where(swap, sy_, sx_),
-                "sy": np.where(swap, sx_, sy_),
-                "sxx": np.where(swap, syy_, sxx_),
-                "syy": np.where(swap, sxx_, syy_),
-                "sxy": sxy_,
-            }
-        )
-
-    return multiply
+        n_, sx_, sy_, sxx_, syy_, sxy_ = (z[i, j] for z in (n, sx, sy, sxx, syy, sxy))
+        rows = (
+            np.where(swap, b, a), np.where(swap, a, b), n_, np.where(swap, sy_, sx_), np.where(swap, sx_, sy_),
+            np.where(swap, syy_, sxx_), np.where(swap, sxx_, syy_), sxy_,
+        )
+        return pd.DataFrame(dict(zip(columns, rows)))
+
+    def add(pdf, bi, bj, places, totals):
+        at, sums = multiply(pdf, bi, bj, places)
+        for k, z in enumerate(sums):
+            rows = at[1] if not present_only and k in (1, 3) else at[0]
+            cols = at[1] if present_only or k == 4 else np.zeros(1, dtype="int64")
+            if not len(rows) or not len(cols):
+                continue
+            totals[k] = grown(totals[k], (rows.max() + 1, cols.max() + 1))
+            totals[k][np.ix_(rows, cols)] += z
+
+    def shaped(places, totals):
+        for k in range(len(totals)):
+            rows = len(places[1]) if not present_only and k in (1, 3) else len(places[0])
+            cols = len(places[1]) if present_only or k == 4 else 1
+            totals[k] = grown(totals[k], (rows, cols))
+
+    def run(frames):
+        held, now, places, totals = [], None, None, None
+
+        def stretch_done():
+            if held:
+                add(pd.concat(held, ignore_index=True), now[0], now[1], places, totals)
+                held.clear()
+
+        for pdf in frames:
+            for cell, part in pdf.groupby(["bi", "bj", "tb"], sort=False):
+                if cell != now:
+                    stretch_done()
+                    if now is not None and cell[:2] != now[:2]:
+                        shaped(places, totals)
+                        yield emit(now[0], now[1], places, totals)
+                        now = None
+                    if now is None:
+                        places = ({}, {})
+                        totals = [np.zeros((0, 0), dtype="int64") for _ in range(6 if present_only else 5)]
+                    now = cell
+                held.append(part)
+        if now is not None:
+            stretch_done()
+            shaped(places, totals)
+            yield emit(now[0], now[1], places, totals)
+
+    return run
 
 
 def float_filter(accept, instants: int | None = None):
@@ -142,27 +187,56 @@ def pair_moments(
     ``stations`` and ``instants`` are about how many of each there are.
     ``present_only`` sums over instants where both stations have a value (and
     counts them in ``n``); otherwise a missing value is 0. ``keep`` may discard
-    pairs early from the float sums; it is used only where these are complete,
-    and must keep every pair the caller wants.
+    pairs by their sums and must keep every pair the caller wants: only these
+    leave a task. Where there are fewer block pairs than tasks, the stretches of
+    one are dealt to several tasks, and their sums, then bounded by the tasks and
+    not by the data, are added before ``keep`` looks at them.
     """
     blocks, stretches = block_count(stations, block), block_count(instants, stretch)
-    cells = in_block_pairs(df.withColumn("tb", _spread(F.col("t"), stretches)), "s", blocks)
-    if not present_only and stretches > 1:
-        # A station silent in a stretch still pairs with the others there.
+    spread = min(stretches, max(1, df.sparkSession.sparkContext.defaultParallelism // (blocks * (blocks + 1) // 2)))
+    cells = in_block_pairs(df.withColumn("tb", _spread(F.col("t"), stretches)), "s", blocks).withColumn("tg", F.pmod("tb", F.lit(spread)))
+    if not present_only and spread > 1:
+        # A station silent in a group of stretches still pairs with the others there.
         silent = (
             df.select("s")
             .distinct()
-            .select("s", F.lit(None).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("v"))
-            .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(stretches - 1))))
+            .select("s", F.lit(None).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("v"), F.lit(-1).alias("tb"))
+            .withColumn("tg", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
         )
         cells = cells.unionByName(in_block_pairs(silent, "s", blocks))
-    multiply = cell_multiplier(present_only, keep if stretches == 1 else None)
     kind = dict(df.dtypes)["s"]
     schema = f"a {kind}, b {kind}, " + ", ".join(f"{c} bigint" for c in MOMENTS)
-    parts = cells.groupBy("bi", "bj", "tb").applyInPandas(multiply, schema)
-    if stretches == 1:
-        return parts
-    return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in MOMENTS])
+    dealt = cells.repartition("bi", "bj", "tg").sortWithinPartitions("bi", "bj", "tg", "tb").select("bi", "bj", "tg", "tb", "_b", "s", "t", "v")
+    if spread == 1:
+        return dealt.mapInPandas(block_sums(present_only, keep), schema)
+    parts = dealt.mapInPandas(by_group(block_sums(present_only, None)), schema)
+    return _kept(parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in MOMENTS]), keep, schema)
+
+
+def by_group(run):
+    """``run`` for each group of stretches of a task in turn."""
+
+    def each(frames):
+        def pieces():
+            for pdf in frames:
+                yield from ((group, part) for group, part in pdf.groupby(["bi", "bj", "tg"], sort=False))
+
+        for _, some in itertools.groupby(pieces(), key=lambda p: p[0]):
+            yield from run(part for _, part in some)
+
+    return each
+
+
+def _kept(pairs: DataFrame, keep, schema: str) -> DataFrame:
+    """The pairs that ``keep`` keeps."""
+    if keep is None:
+        return pairs
+
+    def kept(frames):
+        for pdf in frames:
+            yield pdf[keep(*(pdf[c].to_numpy(dtype="float64") for c in MOMENTS))]
+
+    return pairs.select("a", "b", *MOMENTS).mapInPandas(kept, schema)
 
 
 def exact_pearson(n: Column) -> Column:

@@ -123,6 +123,27 @@ def test_flows_equal_the_dense_matrix(spark, sizes):
     assert all(got[k] == pytest.approx(expected[k], abs=2e-6) for k in got)
 
 
+@pytest.mark.parametrize("present_only", [True, False])
+def test_only_wanted_pairs_leave_and_sums_are_whole(spark, present_only):
+    """Many stretches, several blocks, stations silent for long; against sums over all pairs."""
+    rng = random.Random(21)
+    values = {(s, t): rng.randrange(1, 9) for s in range(14) for t in range(60) if (t // 20 != s % 3) and rng.random() < 0.7}
+    df = frame(spark, [(s, t, v) for (s, t), v in values.items()], "s bigint, t bigint, v bigint")
+    expected = {}
+    for a in range(14):
+        for b in range(a + 1, 14):
+            times = [t for t in range(60) if not present_only or ((a, t) in values and (b, t) in values)]
+            x, y = (np.array([values.get((k, t), 0) for t in times], dtype="int64") for k in (a, b))
+            n = len(times) if present_only else 0
+            expected[a, b] = (n, *(int(z) for z in (x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum())))
+    for block, stretch in ((512, 7), (4, 7), (3, 1000)):
+        for keep in (None, lambda n, sx, sy, sxx, syy, sxy: sxy > 300):
+            rows = pairs.pair_moments(df, 14, 60, present_only=present_only, keep=keep, block=block, stretch=stretch).collect()
+            got = {(r["a"], r["b"]): tuple(r[c] for c in pairs.MOMENTS) for r in rows}
+            assert len(got) == len(rows)
+            assert got == {k: v for k, v in expected.items() if keep is None or v[5] > 300}
+
+
 def test_station_names_serve_as_keys(spark):
     df = readings(spark, [(s, 60 * h, (h * (s + 1)) % 7 if s < 2 else 9 - (h * 2) % 7) for s in range(3) for h in range(20)])
     named = df.withColumn("name", F.concat(F.lit("n"), "station_id"))
