@@ -604,11 +604,9 @@ SELECT t.station_id, s.station_name, s.capacity, round(s.lat, 6) AS lat, round(s
   {WEEKDAY} AS day_of_week, CAST(isodow(ts) >= 6 AS INT) AS is_weekend, {RUSH} AS is_rush_hour, CAST(bikes < 5 AS INT) AS is_empty, CAST(docks < 2 AS INT) AS is_full
 FROM telemetry t JOIN stations s ON s.station_id = t.station_id"""
 SQL["stream_delta"] = SQL["bike_delta"]
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM telemetry)"
 SQL["stream_system_health"] = f"""
-SELECT *, {SCORE} FROM (SELECT {FRAME} AS ts, {SNAPSHOT} FROM telemetry GROUP BY 1) x WHERE ts + INTERVAL 5 MINUTE <= {CLOSED}"""
-SQL["stream_hourly_activity"] = f"""
-SELECT hour_ts, activity FROM hourly WHERE hour_ts + INTERVAL 1 HOUR <= {CLOSED}"""
+SELECT *, {SCORE} FROM (SELECT {FRAME} AS ts, {SNAPSHOT} FROM telemetry GROUP BY 1) x"""
+SQL["stream_hourly_activity"] = "SELECT hour_ts, activity FROM hourly"
 SQL["stream_dedup"] = "SELECT event_id, station_id, ts, bikes FROM telemetry"
 
 # Helpers of single queries.

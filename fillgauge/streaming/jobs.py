@@ -83,6 +83,7 @@ def stream_delta(
     tie="event_id",
     zero_is_missing=False,
     max_rows=D.MAX_SLICE_ROWS,
+    late: str | None = None,
 ) -> DataStreamWriter:
     """Change against the station's last reading, across micro-batches.
 
@@ -90,8 +91,10 @@ def stream_delta(
     version n - 1 and writes version n, so a repeated batch gives the same
     result after any failure; versions older than that are dropped. Within a batch the order is that of the sliced
     window, so a station with very many readings spreads over tasks. Rows not
-    later than the station's last reading are late and left out.
+    later than the station's last reading are late: they go, with the batch, to
+    ``late`` (by default beside ``out``) and change nothing.
     """
+    late = late or f"{out}-late"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -103,12 +106,10 @@ def stream_delta(
             known = last.select(
                 key, F.struct(F.col(time).alias("t"), F.col(tie).alias("i")).alias("_last")
             )
-            rows = (
-                rows.join(lookup(known, [key]), key, "left")
-                .where(F.col("_last").isNull() | (F.struct(F.col(time).alias("t"), F.col(tie).alias("i")) > F.col("_last")))
-                .drop("_last")
-                .unionByName(last.withColumn("_seen", F.lit(True)))
-            )
+            met = rows.join(lookup(known, [key]), key, "left")
+            newer = F.col("_last").isNull() | (F.struct(F.col(time).alias("t"), F.col(tie).alias("i")) > F.col("_last"))
+            met.where(~newer).select(key, time, tie, level).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+            rows = met.where(newer).drop("_last").unionByName(last.withColumn("_seen", F.lit(True)))
         newest = rows.groupBy(key).agg(F.max_by(F.struct(time, tie, level), F.struct(time, tie)).alias("r"))
         newest.select(key, "r.*").write.mode("overwrite").parquet(f"{state}/version={batch_id}")
         prev = F.col("_prev")

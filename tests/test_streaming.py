@@ -55,8 +55,10 @@ def test_only_the_needed_state_versions_stay(spark, tmp_path):
 
 def test_late_rows_change_nothing(spark):
     pieces = [piece(spark, [(1, 1, 0, 5), (2, 1, 10, 7)]), piece(spark, [(3, 1, 5, 0), (4, 1, 15, 6)])]
-    out = result(spark, replay.replay(spark, pieces, replay.delta_starter, "t"))
-    assert {r["event_id"]: r["delta"] for r in out.collect()} == {1: None, 2: 2, 4: -1}
+    path = replay.replay(spark, pieces, replay.delta_starter, "t")
+    assert {r["event_id"]: r["delta"] for r in result(spark, path).collect()} == {1: None, 2: 2, 4: -1}
+    late = result(spark, f"{path}-late")
+    assert [(r["event_id"], r["batch"]) for r in late.collect()] == [(3, 1)]
 
 
 def test_replayed_poll_counts_once(spark):
