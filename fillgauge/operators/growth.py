@@ -127,20 +127,22 @@ def logistic_value(x: Column, l: Column, k: Column, x0: Column) -> Column:
 
 
 def logistic_params(
-    df, *, series="series", time="month", users="users", steps=100, bounds=((0.01, 0.5), (5, 50))
+    df, *, series="series", time="month", users="users", ceiling=4.0, step=0.01, bounds=((0.01, 0.5), (5, 50))
 ) -> DataFrame:
     """Best (l, k, x0) per series, unrounded, with the series' last month.
 
-    The ceiling L runs over 1.01 .. 2.00 times the last count; for each L the
-    curve is a straight line in logits. Candidates outside the bounds are out.
+    The ceiling L runs in steps up to ``ceiling`` times the last count; for each L
+    the curve is a straight line in logits. Candidates outside the bounds are out;
+    a series with none left has nulls.
     """
+    per_unit = round(1 / step)
     points = _with_months(df, series, time, users)
     by_series = Window.partitionBy("series")
     last = F.max(F.struct("month", "y")).over(by_series)["y"]
     grid = (
         points.withColumn("last", last)
-        .withColumn("cand", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-        .withColumn("l", F.col("last") * (100 + F.col("cand")) / F.lit(100.0))
+        .withColumn("cand", F.explode(F.sequence(F.lit(1), F.lit(round((ceiling - 1) * per_unit)))))
+        .withColumn("l", F.col("last") * (per_unit + F.col("cand")) / F.lit(float(per_unit)))
         .where("y < l and y > 0")
     )
     lines = _line(grid, F.log(F.col("y") / (F.col("l") - F.col("y"))), "series", "cand", "l")
@@ -152,7 +154,8 @@ def logistic_params(
         .select("series", "cand", "l", "k", "x0")
     )
     fitted = logistic_value(F.col("x"), F.col("l"), F.col("k"), F.col("x0"))
-    return _fit_quality(points, params, fitted, ["series"], ["cand", "l", "k", "x0"])
+    best = _fit_quality(points, params, fitted, ["series"], ["cand", "l", "k", "x0"])
+    return points.select("series").distinct().join(best, "series", "left")
 
 
 def fit_logistic(df, **kwargs):

@@ -118,7 +118,7 @@ SELECT series, month, CAST(users AS DOUBLE) AS y,
   CAST(round_even(date_diff('day', CAST(min(month) OVER (PARTITION BY series) AS DATE), CAST(month AS DATE)) / CAST(30.44 AS DOUBLE), 0) AS DOUBLE) AS x
 FROM history""",
     "logistic": """
-SELECT series, l, k, x0, r2, mape FROM (
+SELECT s.series, l, k, x0, r2, mape FROM (SELECT DISTINCT series FROM points_xy) s LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(sse, 6), cand) AS rn, 1 - sse / nullif(sst, 0) AS r2 FROM (
     SELECT p.series, g.cand, g.l, g.k, g.x0, sum((y - g.l / (1 + exp(-g.k * (x - g.x0)))) * (y - g.l / (1 + exp(-g.k * (x - g.x0))))) AS sse,
       avg(abs(y - g.l / (1 + exp(-g.k * (x - g.x0)))) / y) AS mape, sum(y * y) - sum(y) * sum(y) / count(*) AS sst
@@ -129,10 +129,10 @@ SELECT series, l, k, x0, r2, mape FROM (
             SELECT series, cand, l, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(z) AS sz, sum(x * x) AS sxx, sum(x * z) AS sxz FROM (
               SELECT q.series, x, cand, last_y * (100 + cand) / 100.0::DOUBLE AS l, ln(y / (last_y * (100 + cand) / 100.0::DOUBLE - y)) AS z
               FROM points_xy q JOIN (SELECT series, max_by(y, month) AS last_y FROM points_xy GROUP BY series) m ON m.series = q.series
-              CROSS JOIN (SELECT range AS cand FROM range(1, 101)) c
+              CROSS JOIN (SELECT range AS cand FROM range(1, 301)) c
               WHERE y > 0 AND y < last_y * (100 + cand) / 100.0::DOUBLE) a GROUP BY 1, 2, 3) b) c WHERE slope IS NOT NULL) d
       WHERE slope BETWEEN 0.001 AND 2.0 AND -intercept / nullif(slope, 0) BETWEEN -50 AND 200) g ON g.series = p.series
-    GROUP BY 1, 2, 3, 4, 5) e) f WHERE rn = 1""",
+    GROUP BY 1, 2, 3, 4, 5) e) f ON f.series = s.series AND rn = 1""",
 }
 
 

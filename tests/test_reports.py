@@ -429,6 +429,22 @@ def test_fits_recover_exact_curves(spark):
     assert all(a["users"] <= b["users"] for a, b in zip(ahead, ahead[1:])) and ahead[-1]["saturation_pct"] <= 100
 
 
+def test_a_far_ceiling_is_found_and_no_series_vanishes(spark):
+    """One series ends at a third of its ceiling; the other falls, so no curve within the bounds fits it."""
+    rows = []
+    for i in range(30):
+        month = datetime(2015 + i // 12, 1 + i % 12, 1)
+        x = round((month - datetime(2015, 1, 1)).days / 30.44)
+        rows.append(("far", month, int(round(90000 / (1 + np.exp(-0.1 * (x - 36)))))))
+        rows.append(("falls", month, 5000 - 100 * i))
+    df = frame(spark, rows, "series string, month timestamp_ntz, users bigint")
+    fit = {r["series"]: r for r in growth.fit_logistic(df).collect()}
+    assert fit["far"]["l"] == pytest.approx(90000, rel=0.03) and fit["far"]["l"] > 2.5 * rows[-2][2]
+    assert fit["falls"]["l"] is None and fit["falls"]["r2"] is None
+    ahead = growth.project_growth(df, months=3).collect()
+    assert sorted((r["series"], r["users"] is None) for r in ahead) == [("falls", True)] * 3 + [("far", False)] * 3
+
+
 # Public figures of twenty districts: name, people, income, density, stations -> published total and priority.
 DISTRICTS = [
     ("Os Mallos", 18000, 25869, 11000, 2, 64.1, "Alta"),
