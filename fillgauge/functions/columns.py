@@ -131,3 +131,8 @@ def is_empty(level: str = "bikes", below: int = D.EMPTY_BELOW) -> Column:
 
 def is_full(docks: str = "docks", below: int = D.FULL_BELOW) -> Column:
     return flag(F.col(docks) < below)
+
+
+def fold(key: str, folds: int) -> Column:
+    """One of ``folds`` numbers by a hash of the key, so that neighbouring keys spread; the same in any engine with MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(folds))

@@ -266,8 +266,8 @@ def time_split(df, *, key="station_id", tie=ROW_ID, **kwargs):
 
 
 def random_split(df: DataFrame, *, key=ROW_ID, one_in=5) -> DataFrame:
-    """A fixed fifth for validation; stable under any repartitioning."""
-    return df.select(key, F.when(F.col(key) % one_in == 0, "val").otherwise("train").alias("split"))
+    """A fixed fifth for validation; stable under any repartitioning and blind to the order of ids."""
+    return df.select(key, F.when(C.fold(key, one_in) == 0, "val").otherwise("train").alias("split"))
 
 
 def time_horizon_target(

@@ -216,7 +216,7 @@ FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, CAST(hour(ts) AS I
   max(code) % 5 AS weathersit, max(temp) AS temp FROM telemetry GROUP BY 1, 2) x"""
 SQL["load_station_city"] = "SELECT * FROM second_city"
 SQL["unify_cities"] = "SELECT * FROM cities"
-SQL["sample_and_cap"] = "SELECT * FROM city_b WHERE event_id % 20 = 0"
+SQL["sample_and_cap"] = "SELECT * FROM city_b WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 20 = 0"
 SQL["publish_tracking"] = "SELECT * REPLACE (round(lat, 6) AS lat, round(lon, 6) AS lon) FROM telemetry"
 SQL["export_frames"] = f"""
 SELECT frame_ts, part,
@@ -303,7 +303,7 @@ SELECT event_id, CAST(CASE WHEN epoch_us(t) - epoch_us(target) <= 43200000000 TH
   CAST(CASE WHEN epoch_us(t) - epoch_us(target) <= 43200000000 THEN b < 5 END AS INT) AS will_be_empty
 FROM (SELECT l.event_id, l.target, r.ts AS t, r.bikes AS b FROM (SELECT *, ts + INTERVAL 30 MINUTE AS target FROM telemetry) l
   ASOF LEFT JOIN telemetry r ON l.station_id = r.station_id AND l.target <= r.ts) x"""
-SQL["random_split"] = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM telemetry"
+SQL["random_split"] = "SELECT event_id, CASE WHEN CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM telemetry"
 
 # --- joins -----------------------------------------------------------------------
 

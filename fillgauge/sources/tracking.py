@@ -100,7 +100,7 @@ def publish_tracking(df: DataFrame, out: str, *, key="station_id", time="ts") ->
 
 def sample_and_cap(df: DataFrame, *, key="event_id", keep_one_in=20) -> DataFrame:
     """A fixed share of the rows by key; the same rows whatever the partitioning."""
-    return df.where(F.col(key) % keep_one_in == 0)
+    return df.where(C.fold(key, keep_one_in) == 0)
 
 
 def export_frames(

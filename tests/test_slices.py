@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fillgauge.operators.learners import model_frame
 from fillgauge.operators.slices import SLICE, asof, asof_small, ranked, running_sums, shift, with_slice
 
 
@@ -136,3 +137,14 @@ def test_running_sums_equal_plain_window(spark, descending, max_rows):
     plain = df.select("s", F.sum("v").over(Window.orderBy(order)).alias("t"))
     ours = running_sums(df, "s", {"t": "v"}, descending, max_rows).select("s", "t")
     assert as_set(ours) == as_set(plain)
+
+
+def test_a_hot_key_costs_few_scans(spark):
+    """The plan behind the model frame reads written tables, not the input again."""
+    start = datetime(2024, 1, 1)
+    rows = [(i, i % 2, start + timedelta(minutes=i), i % 7, 7 - i % 7, 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id bigint, station_id bigint, ts timestamp_ntz, bikes int, docks int, capacity int")
+    hot, plain = model_frame(df, max_rows=60), model_frame(df)
+    plan = hot._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3 and "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert sorted(map(str, hot.collect())) == sorted(map(str, plain.select(hot.columns).collect()))
