@@ -496,7 +496,7 @@ def streamed(spark, pieces, start, purpose, *times) -> DataFrame:
 @query
 def stream_enrich(spark, sf_dir):
     df, dimension = B.telemetry(spark, sf_dir), B.stations(spark, sf_dir)
-    start = replay.to_parquet(lambda s: jobs.stream_enrich(s, dimension))
+    start = replay.to_parquet(lambda s: jobs.stream_enrich(s, dimension, holidays=HOLIDAYS))
     rows = streamed(spark, ten_days(df), start, "enrich", "ts")
     return rows.withColumns({c: C.r6(F.col(c)) for c in ("lat", "lon")})
 

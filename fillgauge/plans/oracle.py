@@ -599,9 +599,14 @@ SELECT CAST(sum(population) AS BIGINT) AS population, round(avg(income), 6) AS i
 
 # --- streaming -------------------------------------------------------------------
 
+WEATHER_TYPE = """CASE WHEN code = 0 THEN 'clear' WHEN code <= 3 THEN 'cloudy' WHEN code BETWEEN 51 AND 67 THEN 'rain'
+  WHEN code BETWEEN 71 AND 77 THEN 'snow' WHEN code BETWEEN 80 AND 82 THEN 'showers' WHEN code >= 95 THEN 'storm' ELSE 'other' END"""
 SQL["stream_enrich"] = f"""
-SELECT t.station_id, s.station_name, s.capacity, round(s.lat, 6) AS lat, round(s.lon, 6) AS lon, t.bikes, t.ts, CAST(hour(ts) AS INT) AS hour,
-  {WEEKDAY} AS day_of_week, CAST(isodow(ts) >= 6 AS INT) AS is_weekend, {RUSH} AS is_rush_hour, CAST(bikes < 5 AS INT) AS is_empty, CAST(docks < 2 AS INT) AS is_full
+SELECT t.station_id, s.station_name, s.capacity, round(s.lat, 6) AS lat, round(s.lon, 6) AS lon, t.bikes, t.docks,
+  round(coalesce(CAST(t.bikes AS DOUBLE) / nullif(s.capacity, 0), 0), 6) AS occupancy, t.ts, CAST(hour(ts) AS INT) AS hour,
+  CAST(CAST(ts AS DATE) IN (DATE '2024-01-01', DATE '2024-01-06') AS INT) AS is_holiday, CAST(month(ts) BETWEEN 6 AND 9 AS INT) AS is_tourist_season,
+  {WEEKDAY} AS day_of_week, CAST(isodow(ts) >= 6 AS INT) AS is_weekend, {RUSH} AS is_rush_hour, CAST(bikes < 5 AS INT) AS is_empty, CAST(docks < 2 AS INT) AS is_full,
+  t.temp, t.rain, t.wind, {WEATHER_TYPE} AS weather_type
 FROM telemetry t JOIN stations s ON s.station_id = t.station_id"""
 SQL["stream_delta"] = SQL["bike_delta"]
 SQL["stream_system_health"] = f"""

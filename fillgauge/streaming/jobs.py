@@ -26,23 +26,43 @@ def read_snapshots(spark: SparkSession, path: str, schema, *, time="ts") -> Data
 
 
 def stream_enrich(
-    stream: DataFrame, dimension: DataFrame, *, key="station_id", time="ts", level="bikes", docks="docks"
+    stream: DataFrame,
+    dimension: DataFrame,
+    *,
+    key="station_id",
+    time="ts",
+    level="bikes",
+    docks="docks",
+    capacity="capacity",
+    holidays=D.HOLIDAYS_2026,
+    season=(6, 9),
 ) -> DataFrame:
-    """Snapshots of known stations with the dimension, calendar columns and status flags."""
+    """Snapshots of known stations with the dimension, calendar columns, weather and status flags.
+
+    Weather comes along where the snapshots carry it.
+    """
     day_of_week = C.weekday_of(time)
     attributes = [c for c in dimension.columns if c != key]
     joined = stream.drop(*attributes).join(dimension, key)
+    weather = [F.col(c) for c in ("temp", "rain", "wind") if c in stream.columns]
+    if "code" in stream.columns:
+        weather.append(C.weather_type(F.col("code")).alias("weather_type"))
     return joined.select(
         key,
         *attributes,
         level,
+        docks,
+        C.r6(C.occupancy(level, capacity)).alias("occupancy"),
         time,
         C.hour_of(time).alias("hour"),
+        C.flag(F.to_date(time).isin(*[F.lit(day).cast("date") for day in holidays])).alias("is_holiday"),
+        C.flag(F.month(time).between(*season)).alias("is_tourist_season"),
         day_of_week.alias("day_of_week"),
         C.weekend(day_of_week).alias("is_weekend"),
         C.in_ranges(C.hour_of(time), D.RUSH_THREE_PEAKS).alias("is_rush_hour"),
         C.is_empty(level).alias("is_empty"),
         C.is_full(docks).alias("is_full"),
+        *weather,
     )
 
 
