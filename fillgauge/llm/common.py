@@ -64,16 +64,9 @@ def sliced(rows: Sequence, size, limit: int = BATCH_BYTES, most: int = BATCH_ROW
         yield held
 
 
-def record_batches(columns: dict[str, list], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:
-    """Rows given as columns, as record batches of bounded bytes."""
-    names = schema.names
-    for rows in sliced(range(len(columns[names[0]])), size):
-        yield pa.record_batch([pa.array([columns[n][i] for i in rows], schema.field(n).type) for n in names], schema=schema)
-
-
 def storage(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a shared folder, from any executor."""
-    if "://" not in uri and uri.startswith("file:"):
+    if uri.startswith("file:") and not uri.startswith("file://"):  # as Hadoop writes local paths
         uri = uri.removeprefix("file:")
     return pafs.FileSystem.from_uri(uri)
 
