@@ -26,13 +26,9 @@ def test_a_local_session_may_use_a_temporary_one():
 
 
 def test_written_tables_can_be_removed(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        session.materialise(spark.range(5), "t")
-        (tmp_path / "other").mkdir()
-        assert len(list(tmp_path.iterdir())) == 2
-        session.remove_written(spark)
-        assert [p.name for p in tmp_path.iterdir()] == ["other"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: str(tmp_path)), sparkContext=spark.sparkContext)
+    spark.range(5).write.parquet(session.shared_dir(named, "t"))
+    (tmp_path / "other").mkdir()
+    assert len(list(tmp_path.iterdir())) == 2
+    session.remove_written(named)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
