@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import packing, quality_rules, secrets, similar, simhash, weak_labels
+from fillgauge.llm import packing, quality_rules, secrets, simhash, weak_labels
 from fillgauge.llm.queries import TOKENIZER
 
 #: Words in a shingle of the near-duplicate stage, and the share of shingles that near copies have in common.
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Copies are linked by their fingerprints, and those that fingerprints are too
     coarse for by verified similarity.
     """
-    return simhash.first_of_each(docs, SHINGLE, more=lambda texts: similar.links(texts, SHINGLE, SIMILARITY))
+    return simhash.first_of_each(docs, SHINGLE, similarity=SIMILARITY)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,12 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import common
+from fillgauge.llm import common, similar
 from fillgauge.llm.components import components
+from fillgauge.llm.shingling import SEED, shingles
 
 BITS = 64
 RADIUS = 3
-SEED = 42
 #: Hashes turned into bits at a time.
 HASHES = 1 << 16
 
@@ -57,14 +57,6 @@ ONES = [signed(1 << i) for i in range(BITS)]
 TWOS = [signed(1 << i | 1 << j) for half in (range(32), range(32, 64)) for i, j in combinations(half, 2)]
 
 
-def shingles(text: str, words: int) -> list[bytes]:
-    """Runs of words of the text in ASCII lower case, repeats included."""
-    found = text.encode().lower().split()
-    if len(found) <= words:
-        return [b" ".join(found)] if found else []
-    return [b" ".join(run) for run in zip(*(found[k:] for k in range(words)))]
-
-
 def fingerprint(text: str, words: int) -> int:
     """A bit is set if it is set in over half of the hashes of the shingles."""
     hashes = [xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)]
@@ -90,6 +82,14 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(lambda b: _prints(b, words), "doc_id long, print long")
 
 
+def _prints_and_keys(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        prints = pa.array([signed(fingerprint(t, words)) for t in texts], pa.int64())
+        keys = pa.array([similar.bands(similar.hashed(t, words)) for t in texts], pa.list_(pa.int64()))
+        yield pa.record_batch([batch.column("doc_id"), prints, keys], names=["doc_id", "print", "keys"])
+
+
 def _odd(x: Column) -> Column:
     return F.bit_count(x) % 2 == 1
 
@@ -158,26 +158,33 @@ def grouped(found: DataFrame, more: DataFrame | None = None) -> DataFrame:
     return found.join(ids, "print").select("doc_id", "print", "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", more=None) -> DataFrame:
+def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The documents without all but the first of each component, with all their columns.
 
     The first has the smallest id. Of rows that share an id, the least stays where
     that id is a component's. Rows without an id cannot stand for a component or
-    be told apart, and all stay. ``more`` may give further links ``a, b`` between
-    ids, for a frame ``doc_id, text`` with one row for each fingerprint.
+    be told apart, and all stay. With ``similarity``, texts that share so much of
+    their sets of shingles are linked as well, one text standing for each
+    fingerprint; ids of several rows do not take part in that.
     """
+    common.prepare(docs.sparkSession)
     key = common.column(id_col).cast("long")
-    found = session.materialise(fingerprints(docs.where(key.isNotNull()), words, id_col, text_col), "simhash")
+    texts = common.texts(docs.where(key.isNotNull()), id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    kind = "doc_id long, print long"
+    if similarity is None:
+        found = session.materialise(texts.mapInArrow(lambda b: _prints(b, words), kind), "simhash")
+    else:
+        found = session.materialise(texts.mapInArrow(lambda b: _prints_and_keys(b, words), f"{kind}, keys array<long>"), "simhash")
     rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
     further = None
-    if more is not None:
-        single = rows.where("rows = 1").select("doc_id")
-        named = found.join(single, "doc_id", "left_semi").groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-        named = session.materialise(named, "simhash-named")
-        whole = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-        texts = session.materialise(whole.join(named, "doc_id", "left_semi"), "simhash-texts")
+    if similarity is not None:
+        single = found.join(rows.where("rows = 1"), "doc_id", "left_semi")
+        named = single.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
+        named = session.materialise(named.join(found.drop("print"), "doc_id"), "simhash-named")
+        near = similar.links(named.select("doc_id", "keys"), texts, words, similarity)
         ends = [named.select(F.col("doc_id").alias(i), F.col("print").alias(p)) for i, p in (("a", "pa"), ("b", "pb"))]
-        further = session.materialise(more(texts).join(ends[0], "a").join(ends[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")), "simhash-more")
+        further = session.materialise(near.join(ends[0], "a").join(ends[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")), "simhash-more")
+        found = found.drop("keys")
     chosen = session.materialise(grouped(found, further).select(F.col("component_id").alias("doc_id")).distinct().join(rows, "doc_id"), "simhash-first")
     row = F.struct(*(common.column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
     held = docs.select(key.alias("doc_id"), row.alias("row"))

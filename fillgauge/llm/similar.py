@@ -14,8 +14,7 @@ the whole sets. A key's rows are a running value and a join key, so no group is
 gathered in a task.
 
 Results in special cases: texts without words have no links; those of fewer words
-than a shingle have one, the words they have; an id that is null or occurs in
-several rows is not linked.
+than a shingle have one, the words they have.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm.simhash import SEED, shingles
+from fillgauge.llm.shingling import SEED, shingles
 
 BANDS, ROWS = 24, 6
 #: Shingles sketched at a time.
@@ -48,7 +47,9 @@ def functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(values: np.ndarray) -> list[int]:
-    """A key for each band."""
+    """A key for each band; none for an empty set."""
+    if not len(values):
+        return []
     factors, summands = functions()
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), CHUNK):
@@ -58,17 +59,6 @@ def bands(values: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) >> 1 for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keys = [], []
-        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            values = hashed(text, words)
-            if len(values):
-                ids.append(i)
-                keys.append(bands(values))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
-
-
 def _verified(batches: Iterator[pa.RecordBatch], words: int, least: float) -> Iterator[pa.RecordBatch]:
     known: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
     for batch in batches:
@@ -83,17 +73,21 @@ def _verified(batches: Iterator[pa.RecordBatch], words: int, least: float) -> It
         yield pa.record_batch([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def links(texts: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """Verified links ``a < b`` between the ids of rows ``doc_id, text`` with different ids."""
-    sketches = texts.mapInArrow(lambda b: _sketches(b, words), "doc_id long, keys array<long>")
-    keys = sketches.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    keys = session.materialise(keys, "similar-keys")
+def links(sketches: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """Verified links ``a < b`` between ids of ``sketches``, rows ``doc_id, keys``, of which no two share an id.
+
+    ``texts`` has the ``doc_id, text`` of these and maybe other rows. Texts stay
+    where they are until pairs are known, and only those in a pair are moved.
+    """
+    keys = session.materialise(sketches.select("doc_id", F.posexplode("keys").alias("band", "key")), "similar-keys")
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
-    members = keys.join(shared, ["band", "key"])
+    members = session.materialise(keys.join(shared, ["band", "key"]), "similar-members")
     before = F.lag("doc_id").over(Window.partitionBy("band", "key").orderBy("doc_id"))
     pairs = members.withColumn("before", before).select("doc_id", F.explode(F.array("first", "before")).alias("a")).where("a < doc_id")
     pairs = session.materialise(pairs.select("a", F.col("doc_id").alias("b")).distinct(), "similar-pairs")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = session.materialise(texts.join(session.lookup(ids, ["doc_id"]), "doc_id", "left_semi"), "similar-texts")
+    one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
+    other = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
     joined = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
     return joined.mapInArrow(lambda b: _verified(b, words, least), "a long, b long")

@@ -270,17 +270,20 @@ def test_similar_texts_are_linked_as_all_pairs_would_be(spark):
             texts.append(copy)
     texts += [[], ["one"], ["one"], ["a", "b"]]
     rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    got = {tuple(r) for r in similar.links(rows).collect()}
+    keys = [(i, similar.bands(similar.hashed(" ".join(t), 5))) for i, t in enumerate(texts)]
+    sketches = spark.createDataFrame(keys, "doc_id bigint, keys array<bigint>")
+    got = {tuple(r) for r in similar.links(sketches, rows).collect()}
     sets = [set(similar.hashed(" ".join(t), 5).tolist()) for t in texts]
     close = {(i, j) for j in range(len(sets)) for i in range(j) if sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert got <= close and len(close) > 15
     whole = {r["node"]: r["root"] for r in components.components(rows.sparkSession.createDataFrame(sorted(close), "a bigint, b bigint")).collect()}
-    ours = {r["node"]: r["root"] for r in components.components(similar.links(rows)).collect()}
+    ours = {r["node"]: r["root"] for r in components.components(similar.links(sketches, rows)).collect()}
     assert ours == whole
     docs = rows.withColumn("lang", F.lit("en"))
-    stay = {r["doc_id"] for r in simhash.first_of_each(docs, 5, more=similar.links).collect()}
+    stay = {r["doc_id"] for r in simhash.first_of_each(docs, 5, similarity=0.8).collect()}
     assert stay == {i for i in range(len(texts)) if whole.get(i, i) == i}
-    assert similar.links(rows.where("false")).count() == 0
+    assert similar.links(sketches.where("false"), rows).count() == 0
+    assert simhash.first_of_each(docs.where("false"), 5, similarity=0.8).count() == 0
 
 
 # --- URL rules ------------------------------------------------------------------
