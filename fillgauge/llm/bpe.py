@@ -146,7 +146,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     coder = tokens.loaded(path, tree_encoder)
     for batch in batches:
         rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()))
-        for some in common.sliced(rows, lambda r: 4 * len(r[1])):
+        for some in common.sliced(rows, lambda r: len(r[1])):
             found = coder.encode([t for _, t in some])
             yield pa.record_batch([pa.array([i for i, _ in some], pa.int64()), _id_lists(found, coder.kind)], schema=IDS)
 

@@ -52,7 +52,7 @@ def _write_ids(batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, end
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()
-            for rows in common.sliced(range(len(ids)), lambda k: 4 * len(texts[k])):
+            for rows in common.sliced(range(len(ids)), lambda k: len(texts[k])):
                 if stream is None:
                     file = common.Committed(fs, _name(folder, part, "bin"))
                     stream = file.__enter__()

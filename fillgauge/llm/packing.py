@@ -185,7 +185,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
     given: dict[str, int] = {}
     for batch in batches:
         rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source"))))
-        for some in common.sliced(rows, lambda r: 4 * len(r[1])):
+        for some in common.sliced(rows, lambda r: len(r[1])):
             out = []
             for (doc, _, source), ids in zip(some, coder.encode([t for _, t, _ in some])):
                 n = len(ids) // coder.width + 1

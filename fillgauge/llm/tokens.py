@@ -30,11 +30,10 @@ ODD_SPACE = re.compile(r" (?!\S)")
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 #: Strings in one generation of what a worker keeps, and the longest one kept.
-KEEP_TOKENS = 400_000
-KEEP_PARTS = 200_000
+KEEP = 300_000
 KEEP_CHARS = 48
 #: Characters encoded between two looks at what is kept.
-CALL_CHARS = 1 << 22
+CALL_CHARS = 8 << 20
 #: Words joined for one call of the library.
 WORDS_CALL = 2_000
 
@@ -83,16 +82,20 @@ class Encoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.added = {t: np.array([i], self.kind).tobytes() for t, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.tokens = Kept(make, KEEP_TOKENS)
-        self.first = Kept(lambda parts: self._parts(parts, ""), KEEP_PARTS)
-        self.later = Kept(lambda parts: self._parts(parts, " "), KEEP_PARTS)
+        self.make = make
+        self.tokens = Kept(make, KEEP)
+        self.first = Kept(lambda parts: self._parts(parts, ""), KEEP)
+        self.later = Kept(lambda parts: self._parts(parts, " "), KEEP)
 
     def _parts(self, parts: list[str], before: str) -> list[bytes]:
-        """Ids of parts, from those of their pre-tokens."""
-        cut = [[before + p] if p.isalpha() else PRE_TOKEN.findall(before + p) for p in parts]
-        different = list({t for p in cut for t in p})
-        ids = dict(zip(different, self.tokens.get(different)))
-        return [ids[p[0]] if len(p) == 1 else b"".join([ids[t] for t in p]) for p in cut]
+        """Ids of parts, from those of their pre-tokens; letters alone are one."""
+        words = [p for p in parts if p.isalpha()]
+        ids = dict(zip(words, self.make([before + p for p in words])))
+        cut = {p: PRE_TOKEN.findall(before + p) for p in parts if p not in ids}
+        different = list({t for found in cut.values() for t in found})
+        tokens = dict(zip(different, self.tokens.get(different)))
+        ids.update((p, b"".join([tokens[t] for t in found])) for p, found in cut.items())
+        return [ids[p] for p in parts]
 
     def _joined(self, parts: pa.StringArray, ends: np.ndarray) -> list[bytes]:
         """Ids of texts given as their parts; ``ends`` has where each text's parts begin and end."""
