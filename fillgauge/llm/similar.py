@@ -8,10 +8,19 @@ fingerprints.
 
 Each text is sketched by ``BANDS`` keys, each made of the least values of its
 shingles under ``ROWS`` hash functions. Two texts of similarity 0.8 share one with
-a probability above 0.999. The texts that share a key are linked to the first of
-them and each to the one before, never pairwise, and every link is then verified on
-the whole sets. A key's rows are a running value and a join key, so no group is
-gathered in a task.
+a probability above 0.999. The texts that share a key are first linked to the first of
+them and each to the one before, and every link is verified on the whole sets.
+
+That joins the copies under most keys. Under the others, those of a passage or a
+template in many texts, any two texts not yet joined may be copies. These texts are
+compared by rare shingles: with a text's shingles in order of how many texts have
+them, two texts of the similarity asked for share one near the front of both, at
+places that follow from the two sizes. Only pairs that do, and are not yet joined,
+are verified; no pair of the similarity asked for is passed over.
+
+Sums and joins alone hold a key's rows together, so no group is gathered in a task.
+In the join of rare shingles, texts of a shingle's largest joined set are not paired
+with each other.
 
 Results in special cases: texts without words have no links; those of fewer words
 than a shingle have one, the words they have.
@@ -28,11 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillgauge import session
+from fillgauge.llm.components import components
 from fillgauge.llm.shingling import SEED, shingles
 
 BANDS, ROWS = 24, 6
 #: Shingles sketched at a time.
 CHUNK = 4_096
+#: Sizes times similarities within this of a whole number count as that.
+SLACK = 1e-6
 
 
 def hashed(text: str, words: int) -> np.ndarray:
@@ -73,6 +85,65 @@ def _verified(batches: Iterator[pa.RecordBatch], words: int, least: float) -> It
         yield pa.record_batch([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [hashed(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+
+def _rare(sets: DataFrame, least: float) -> DataFrame:
+    """``doc_id, size, place, shingle``: the front of each text's shingles, the rarest first.
+
+    Two texts of similarity ``least`` share a shingle within the first
+    ``size - least * size + 1`` of both. Shingles of one text alone count as places
+    but pair nothing, and are left out.
+    """
+    each = sets.select("doc_id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    held = each.join(common, "shingle").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    front = F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(SLACK)) + 1
+    alone = F.col("size") - F.size("held")
+    places = held.withColumn("alone", alone).where(front > F.col("alone"))
+    places = places.withColumn("held", F.slice("held", F.lit(1), (front - F.col("alone")).cast("int")))
+    places = places.select("doc_id", "size", "alone", F.posexplode("held").alias("at", "s"))
+    return places.select("doc_id", "size", (F.col("alone") + F.col("at") + 1).alias("place"), F.col("s.shingle").alias("shingle"))
+
+
+def _unjoined(members: DataFrame, found: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Pairs ``a < b`` that ``found`` has not joined, of the texts under keys whose texts it has not all joined."""
+    roots = components(found).withColumnRenamed("node", "doc_id")
+    rooted = session.materialise(members.select("band", "key", "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "similar-rooted")
+    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("band", "key")
+    left = session.materialise(rooted.join(apart, ["band", "key"], "left_semi").select("doc_id", "root").distinct(), "similar-left")
+    held = texts.join(session.lookup(left.select("doc_id"), ["doc_id"]), "doc_id", "left_semi").select("doc_id", "text")
+    sets = session.materialise(held.mapInArrow(lambda b: _sets(b, words), "doc_id long, shingles array<long>"), "similar-sets")
+    rare = session.materialise(_rare(sets, least).join(left, "doc_id"), "similar-rare")
+    most = rare.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
+        F.max(F.struct("n", "root"))["root"].alias("largest"), F.count("*").alias("sets")
+    )
+    rare = session.materialise(rare.join(most.where("sets > 1").drop("sets"), "shingle"), "similar-fronts")
+    sides = [rare.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "place", "root")), (F.col("root") == F.col("largest")).alias(f"in_{k}")) for k in "xy"]
+    # y is the smaller text; the larger part of what they share comes after the places at which they meet
+    smaller = (F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("doc_id_y") < F.col("doc_id_x")))
+    after = 1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    enough = after * F.lit(1 + least) + F.lit(SLACK) >= (F.col("size_x") + F.col("size_y")) * F.lit(least)
+    sized = F.col("size_y") + F.lit(SLACK) >= F.col("size_x") * F.lit(least)
+    x, y = sides
+    met = [x.join(y.where(~F.col("in_y")), "shingle"), x.where(~F.col("in_x")).join(y.where("in_y"), "shingle")]
+    pairs = met[0].unionByName(met[1]).where((F.col("root_x") != F.col("root_y")) & smaller & sized & enough)
+    return pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets are as similar as asked for."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = session.materialise(texts.join(session.lookup(ids, ["doc_id"]), "doc_id", "left_semi"), "similar-texts")
+    one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
+    other = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
+    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
+    return joined.mapInArrow(lambda b: _verified(b, words, least), "a long, b long")
+
+
 def links(sketches: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Verified links ``a < b`` between ids of ``sketches``, rows ``doc_id, keys``, of which no two share an id.
 
@@ -85,9 +156,6 @@ def links(sketches: DataFrame, texts: DataFrame, words: int = 5, least: float =
     before = F.lag("doc_id").over(Window.partitionBy("band", "key").orderBy("doc_id"))
     pairs = members.withColumn("before", before).select("doc_id", F.explode(F.array("first", "before")).alias("a")).where("a < doc_id")
     pairs = session.materialise(pairs.select("a", F.col("doc_id").alias("b")).distinct(), "similar-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = session.materialise(texts.join(session.lookup(ids, ["doc_id"]), "doc_id", "left_semi"), "similar-texts")
-    one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("one"))
-    other = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
-    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
-    return joined.mapInArrow(lambda b: _verified(b, words, least), "a long, b long")
+    found = session.materialise(_checked(pairs, texts, words, least), "similar-found")
+    further = session.materialise(_unjoined(members, found, texts, words, least), "similar-further")
+    return found.unionByName(_checked(further, texts, words, least))

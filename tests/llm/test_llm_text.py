@@ -286,6 +286,22 @@ def test_similar_texts_are_linked_as_all_pairs_would_be(spark):
     assert simhash.first_of_each(docs.where("false"), 5, similarity=0.8).count() == 0
 
 
+def test_copies_within_a_template_are_linked_as_all_pairs_would_be(spark):
+    """Hundreds of texts share a passage at 0.785, below the limit; copies of some of them lie anywhere among them."""
+    rng = random.Random(29)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(179)]
+    own = [[word() for _ in range(24)] for _ in range(300)]
+    texts = [passage + x for x in own] + [passage + x[:4] + [word() for _ in range(20)] for x in own[:100]]
+    rng.shuffle(texts)
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sets = [set(similar.hashed(" ".join(t), 5).tolist()) for t in texts]
+    sketches = spark.createDataFrame([(i, similar.bands(similar.hashed(" ".join(t), 5))) for i, t in enumerate(texts)], "doc_id bigint, keys array<bigint>")
+    close = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(close) == 100
+    assert {tuple(r) for r in similar.links(sketches, rows).collect()} == close
+
+
 # --- URL rules ------------------------------------------------------------------
 
 URLS = [
