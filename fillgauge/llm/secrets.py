@@ -50,7 +50,7 @@ KINDS = ("assign", "access", "hex", "id", "key", "host")
 BASE = KINDS[:3]
 
 WEAK_ID = re.compile(r"""\b(?:A[KS]IA[A-Z0-9]{8,}|(?i:client_id|access_key_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{6,})""", re.ASCII)
-WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 WEAK_HOST = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s/@"']+:[^\s/@"']+@[^\s/"']+|https?://(?:api|auth|login|s3)[.-][^\s/"']+""", re.ASCII)
 #: What completes a weak part, by kind.
 COMPLEMENTS = {"id": ("key", "assign", "hex"), "key": ("id", "access", "host"), "host": ("key", "assign", "hex")}
