@@ -86,8 +86,9 @@ def _prints_and_keys(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[
     for batch in batches:
         texts = batch.column("text").to_pylist()
         prints = pa.array([signed(fingerprint(t, words)) for t in texts], pa.int64())
+        whole = pa.array([signed(xxhash.xxh64_intdigest(t.encode(), SEED)) for t in texts], pa.int64())
         keys = pa.array([similar.bands(similar.hashed(t, words)) for t in texts], pa.list_(pa.int64()))
-        yield pa.record_batch([batch.column("doc_id"), prints, keys], names=["doc_id", "print", "keys"])
+        yield pa.record_batch([batch.column("doc_id"), prints, whole, keys], names=["doc_id", "print", "whole", "keys"])
 
 
 def _odd(x: Column) -> Column:
@@ -174,17 +175,17 @@ def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_
     if similarity is None:
         found = session.materialise(texts.mapInArrow(lambda b: _prints(b, words), kind), "simhash")
     else:
-        found = session.materialise(texts.mapInArrow(lambda b: _prints_and_keys(b, words), f"{kind}, keys array<long>"), "simhash")
+        found = session.materialise(texts.mapInArrow(lambda b: _prints_and_keys(b, words), f"{kind}, whole long, keys array<long>"), "simhash")
     rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
     further = None
     if similarity is not None:
         single = found.join(rows.where("rows = 1"), "doc_id", "left_semi")
-        named = single.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-        named = session.materialise(named.join(found.drop("print"), "doc_id"), "simhash-named")
+        named = single.groupBy("print", "whole").agg(F.min("doc_id").alias("doc_id")).drop("whole")
+        named = session.materialise(named.join(found.select("doc_id", "keys"), "doc_id"), "simhash-named")
         near = similar.links(named.select("doc_id", "keys"), texts, words, similarity)
         ends = [named.select(F.col("doc_id").alias(i), F.col("print").alias(p)) for i, p in (("a", "pa"), ("b", "pb"))]
         further = session.materialise(near.join(ends[0], "a").join(ends[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")), "simhash-more")
-        found = found.drop("keys")
+        found = found.drop("whole", "keys")
     chosen = session.materialise(grouped(found, further).select(F.col("component_id").alias("doc_id")).distinct().join(rows, "doc_id"), "simhash-first")
     row = F.struct(*(common.column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
     held = docs.select(key.alias("doc_id"), row.alias("row"))

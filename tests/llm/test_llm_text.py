@@ -302,6 +302,19 @@ def test_copies_within_a_template_are_linked_as_all_pairs_would_be(spark):
     assert {tuple(r) for r in similar.links(sketches, rows).collect()} == close
 
 
+def test_each_text_of_a_fingerprint_is_compared(spark):
+    """The second of two texts with one fingerprint has a copy at 0.8 that the first is just too far from."""
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(1004)]
+    first = next(t for k in range(1000) if simhash.fingerprint(" ".join(t := ["v%d" % k, *base[1:]]), 5) == simhash.fingerprint(" ".join(base), 5))
+    copy = base[:893] + [f"x{rng.randrange(10**6)}" for _ in range(111)]
+    sets = [set(similar.hashed(" ".join(t), 5).tolist()) for t in (first, base, copy)]
+    shares = [len(s & sets[2]) / len(s | sets[2]) for s in sets]
+    assert shares[0] < 0.8 <= shares[1]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((first, base, copy))], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in simhash.first_of_each(docs, 5, similarity=0.8).collect()] == [0]
+
+
 # --- URL rules ------------------------------------------------------------------
 
 URLS = [
