@@ -11,7 +11,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from fillgauge.session import lookup, shared_dir
+from fillgauge.session import PREFIX, lookup, shared_dir
 from fillgauge.sources import cities, feeds, tracking
 
 START = datetime(2024, 1, 1)
@@ -144,7 +144,7 @@ def test_published_table_is_sorted_within_files(spark, tmp_path):
 
 def test_shared_folder_is_the_sessions():
     session = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/folder/"})
-    assert shared_dir(session, "x").startswith("/shared/folder/x-")
+    assert shared_dir(session, "x").startswith(f"/shared/folder/{PREFIX}x-")
     assert shared_dir(session, "x") != shared_dir(session, "x")
 
 
