@@ -13,8 +13,8 @@ from fillgauge import session
 from fillgauge.llm import packing, quality_rules, secrets, simhash, weak_labels
 from fillgauge.llm.queries import TOKENIZER
 
-#: Words in a shingle of the near-duplicate stage, and the share of shingles that near copies have in common.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Words in a shingle of the near-duplicate stage; fingerprints link within ``simhash.RADIUS`` bits.
+SHINGLE = 3
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -32,12 +32,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays.
-
-    Copies are linked by their fingerprints, and those that fingerprints are too
-    coarse for by verified similarity.
-    """
-    return simhash.first_of_each(docs, SHINGLE, similarity=SIMILARITY)
+    """Of each component of linked fingerprints the document with the smallest id stays."""
+    return simhash.first_of_each(docs, SHINGLE)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
