@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import bpe, flat_tokens, packing, quality_rules, secrets, simhash, topk, url_rules, warc, weak_labels
+from fillgauge.llm import best_fit, bpe, flat_tokens, hard_negatives, lexical, packing, quality_rules, secrets, simhash, topk, url_rules, warc, weak_labels
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -98,6 +98,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 ids as best-fit finds."""
+    pieces = best_fit.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for each benchmark item."""
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and its best of the same label, the best of other labels within the window."""
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -109,10 +126,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_labels": op8_weak_labels,
     "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
+    "op11_best_fit": op11_best_fit,
+    "op12_lexical": op12_lexical,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_url_rules": url_rules.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op12_lexical": lexical.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }

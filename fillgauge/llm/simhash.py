@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgauge import session
-from fillgauge.llm import common, similar
+from fillgauge.llm import common
 from fillgauge.llm.components import components
 from fillgauge.llm.shingling import SEED, shingles
 
@@ -82,15 +82,6 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(lambda b: _prints(b, words), "doc_id long, print long")
 
 
-def _prints_and_keys(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        prints = pa.array([signed(fingerprint(t, words)) for t in texts], pa.int64())
-        whole = pa.array([signed(xxhash.xxh64_intdigest(t.encode(), SEED)) for t in texts], pa.int64())
-        keys = pa.array([similar.bands(similar.hashed(t, words)) for t in texts], pa.list_(pa.int64()))
-        yield pa.record_batch([batch.column("doc_id"), prints, whole, keys], names=["doc_id", "print", "whole", "keys"])
-
-
 def _odd(x: Column) -> Column:
     return F.bit_count(x) % 2 == 1
 
@@ -147,11 +138,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return grouped(found)
 
 
-def grouped(found: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """Components of documents with fingerprints; ``more`` are links ``a, b`` between fingerprints."""
+def grouped(found: DataFrame) -> DataFrame:
+    """``doc_id, print, component_id`` of documents with fingerprints."""
     prints = session.materialise(found.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-prints")
-    near = links(prints.select("print"))
-    roots = components(near if more is None else near.unionByName(more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    roots = components(links(prints.select("print")))
     named = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # only components of several fingerprints need their root's name
@@ -159,34 +149,18 @@ def grouped(found: DataFrame, more: DataFrame | None = None) -> DataFrame:
     return found.join(ids, "print").select("doc_id", "print", "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but the first of each component, with all their columns.
 
     The first has the smallest id. Of rows that share an id, the least stays where
     that id is a component's. Rows without an id cannot stand for a component or
-    be told apart, and all stay. With ``similarity``, texts that share so much of
-    their sets of shingles are linked as well, one text standing for each
-    fingerprint; ids of several rows do not take part in that.
+    be told apart, and all stay.
     """
     common.prepare(docs.sparkSession)
     key = common.column(id_col).cast("long")
-    texts = common.texts(docs.where(key.isNotNull()), id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    kind = "doc_id long, print long"
-    if similarity is None:
-        found = session.materialise(texts.mapInArrow(lambda b: _prints(b, words), kind), "simhash")
-    else:
-        found = session.materialise(texts.mapInArrow(lambda b: _prints_and_keys(b, words), f"{kind}, whole long, keys array<long>"), "simhash")
+    found = session.materialise(fingerprints(docs.where(key.isNotNull()), words, id_col, text_col), "simhash")
     rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    further = None
-    if similarity is not None:
-        single = found.join(rows.where("rows = 1"), "doc_id", "left_semi")
-        named = single.groupBy("print", "whole").agg(F.min("doc_id").alias("doc_id")).drop("whole")
-        named = session.materialise(named.join(found.select("doc_id", "keys"), "doc_id"), "simhash-named")
-        near = similar.links(named.select("doc_id", "keys"), texts, words, similarity)
-        ends = [named.select(F.col("doc_id").alias(i), F.col("print").alias(p)) for i, p in (("a", "pa"), ("b", "pb"))]
-        further = session.materialise(near.join(ends[0], "a").join(ends[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")), "simhash-more")
-        found = found.drop("whole", "keys")
-    chosen = session.materialise(grouped(found, further).select(F.col("component_id").alias("doc_id")).distinct().join(rows, "doc_id"), "simhash-first")
+    chosen = session.materialise(grouped(found).select(F.col("component_id").alias("doc_id")).distinct().join(rows, "doc_id"), "simhash-first")
     row = F.struct(*(common.column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
     held = docs.select(key.alias("doc_id"), row.alias("row"))
     single = held.join(chosen.where("rows = 1"), "doc_id", "left_semi")
