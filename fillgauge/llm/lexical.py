@@ -6,9 +6,11 @@ equal ``m`` form a stratum. In it a term's postings are runs of equal ``tf``, th
 highest first, so a part is computed once for a run, and the first run tells the
 most that the term can add to any document of the stratum.
 
-``build`` writes the index: a large stratum is dealt to several blocks of bounded
-size, and a block is one row with its documents, its terms, and their runs and
-postings. It holds every term of every document and serves any number of searches.
+``build`` writes the index: a stratum is dealt to as many blocks of bounded size as
+its postings ask for, and a block is one row with its documents, its terms, and their
+runs and postings. Blocks spread over tasks by a hash, so that neither a common length
+nor long texts gather in one. The index holds every term of every document and serves
+any number of searches.
 
 ``search`` takes the items in blocks of bounded size. A scan over the index gives
 the document frequencies of their terms. A second one bounds every block for every
@@ -48,8 +50,9 @@ from fillgauge.llm import common
 
 #: What a byte of a text is to its terms: part of one (capitals as small letters), or a gap.
 AS_TERM = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 0x20 for b in range(0x80)) + bytes(range(0x80, 0x100))
-#: Documents and postings of a block at most, but for a single document.
-BLOCK_DOCS, BLOCK_POSTINGS = 8_192, 1 << 20
+#: Postings of a block as aimed at; documents and postings of a block at most, but for a single document.
+AIM_POSTINGS = 1 << 18
+BLOCK_DOCS, BLOCK_POSTINGS = 1 << 15, 1 << 20
 #: Bytes of the terms of a block of items, as a mean.
 ITEM_BYTES = 4 << 20
 NO_ID = (1 << 63) - 1
@@ -107,21 +110,21 @@ def _block(m: int, docs: list, terms: list, tfs: list[np.ndarray]) -> tuple:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows in order of ``m`` and id."""
-    at, docs, terms, tfs, size = None, [], [], [], 0
+    """Blocks of rows in order of ``m``, share of the stratum and id."""
+    at, docs, terms, tfs, size = (None, None), [], [], [], 0
 
     def block() -> pa.RecordBatch:
         nonlocal docs, terms, tfs, size
-        row = _block(at, docs, terms, tfs)
+        row = _block(at[0], docs, terms, tfs)
         docs, terms, tfs, size = [], [], [], 0
         return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, BLOCK)], schema=BLOCK)
 
     for batch in batches:
-        for m, doc, some, tf in zip(*(batch.column(c).to_pylist() for c in ("m", "doc_id", "terms", "tfs"))):
+        for m, share, doc, some, tf in zip(*(batch.column(c).to_pylist() for c in ("m", "share", "doc_id", "terms", "tfs"))):
             tf = np.frombuffer(tf, "<u4")
-            if docs and (m != at or len(docs) >= BLOCK_DOCS or size + len(tf) > BLOCK_POSTINGS):
+            if docs and ((m, share) != at or len(docs) >= BLOCK_DOCS or size + len(tf) > BLOCK_POSTINGS):
                 yield block()
-            at = m
+            at = (m, share)
             docs.append(doc)
             terms.append(some)
             tfs.append(tf)
@@ -153,8 +156,13 @@ def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     # decimals: the product of three counts
     wide = "CAST(75 AS DECIMAL(38,0)) * CAST(n AS DECIMAL(20,0)) * CAST({} AS DECIMAL(20,0))"
     m = F.expr(f"25 + CAST(floor({wide.format(documents)} DIV CAST({max(1, length)} AS DECIMAL(38,0))) AS BIGINT)")
-    order = (F.col("m"), F.asc_nulls_last("doc_id"), F.col("row"))
-    dealt = counted.withColumn("m", m).repartitionByRange(*order).sortWithinPartitions(*order)
+    postings = (F.octet_length("tfs") / 4).cast("long")
+    counted = counted.withColumn("m", m)
+    shares = counted.groupBy("m").agg(F.ceil(F.sum(postings) / AIM_POSTINGS).alias("shares"))
+    shares = session.lookup(session.materialise(shares, "lexical-strata"), ["m"])
+    shared = counted.join(shares, "m").withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares"))).drop("shares")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared.repartition(tasks, "m", "share").sortWithinPartitions("m", "share", F.asc_nulls_last("doc_id"), "row")
     dealt.mapInArrow(_blocks, BLOCK_KIND).write.option("compression", "zstd").parquet(path)
     return Index(path, documents, length)
 

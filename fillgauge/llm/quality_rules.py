@@ -2,7 +2,8 @@
 
 Every line is judged by itself: by its signs (symbols and shouting against its
 words), as navigation (menus and tables of short cells) and as boilerplate
-(legal notices, cookie and script notices). Lines that fail are removed. A
+(legal notices, cookie and script notices, where one makes up a stated share of the
+line). Lines that fail are removed. A
 document is then rejected for what it is (too few words, too much of it
 repeated) or for losing too much text.
 
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from fillgauge.llm import common
 
-#: White space between words, and the characters that count as symbols.
-SPACES = " \t\n\x0b\x0c\r"
+#: White space between words, words, and the characters that count as symbols.
 GAP = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Length of the windows whose repetition counts.
 WINDOW = 8
@@ -55,6 +56,7 @@ class Limits:
     line_shouts: float = 0.5  # exclamation marks of a line per word
     line_separators: int = 2  # separators of a line of cells
     line_cell_words: float = 2.5  # words per cell in a menu or table
+    line_boilerplate_percent: int = 15  # characters of a line's longest boilerplate phrase of all its characters
     min_words: int = 20
     max_repeat_percent: int = 30  # repeated words of all words
     max_removed_percent: int = 50  # characters of removed lines of all lines with a word
@@ -74,12 +76,19 @@ def has_legal(low: Column) -> Column:
     return F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p))
 
 
+def longest_legal(low: Column) -> Column:
+    """The length of the longest boilerplate phrase in a lower-case text, 0 without any."""
+    held = F.transform(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.when(F.contains(low, p), F.length(p)).otherwise(0))
+    return F.array_max(held)
+
+
 def line_rules(limits: Limits) -> Mapping[str, Column]:
     """What makes a line fail, by rule, given the fields of a measured line ``x``."""
     return {
         "punctuation": lambda x: (x["symbols"] > limits.line_symbols * x["words"]) | (x["shouts"] > limits.line_shouts * x["words"]),
         "navigation": lambda x: (x["cells"] >= limits.line_separators) & (x["words"] <= limits.line_cell_words * (x["cells"] + 1)),
-        "boilerplate": lambda x: x["boilerplate"],
+        # a text may mention what a notice consists of
+        "boilerplate": lambda x: (x["phrase"] > 0) & (100 * x["phrase"] >= limits.line_boilerplate_percent * x["chars"]),
     }
 
 
@@ -98,11 +107,11 @@ def measured(line: Column) -> Column:
         F.length(line).alias("chars"),
         line.rlike(r"[^\x20\x09-\x0D]").alias("worded"),
         # separators are no words, so that a table does not hide behind them
-        F.when(F.col("n_signs") > 0, count_of(line, SPACES) + 1 - separators).otherwise(1).alias("words"),
+        F.when(F.col("n_signs") > 0, F.regexp_count(line, F.lit(WORD)) - separators).otherwise(1).alias("words"),
         of_line("n_symbols", SYMBOLS.replace("|", "")).alias("symbols"),
         of_line("n_shouts", "!").alias("shouts"),
         separators.alias("cells"),
-        (F.col("legal") & has_legal(F.lower(line))).alias("boilerplate"),
+        F.when(F.col("legal"), longest_legal(F.lower(line))).otherwise(0).alias("phrase"),
     )
 
 
@@ -197,16 +206,16 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n
 repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 8)) AS k) GROUP BY r),
 line AS (
   SELECT r, length(l) AS chars,
-    length(regexp_replace(l, '[^\x20\x09-\x0D]', '', 'g')) + 1 - length(regexp_replace(l, '[^|»›•·]', '', 'g')) AS words,
+    len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) - length(regexp_replace(l, '[^|»›•·]', '', 'g')) AS words,
     length(regexp_replace(l, '[^#*$%&<>]', '', 'g')) AS symbols,
     length(regexp_replace(l, '[^!]', '', 'g')) AS shouts,
     length(regexp_replace(l, '[^|»›•·]', '', 'g')) AS cells,
-    len(list_filter({list(BOILERPLATE)!r}, lambda p: contains(lower(l), p))) > 0 AS boilerplate
+    coalesce(list_max(list_transform(list_filter({list(BOILERPLATE)!r}, lambda p: contains(lower(l), p)), lambda p: length(p))), 0) AS phrase
   FROM (SELECT r, unnest(lines) AS l FROM base)),
 lost AS (
   SELECT r, sum(chars) AS all_chars,
-    sum(CASE WHEN symbols > 0.25 * words OR shouts > 0.5 * words OR (cells >= 2 AND words <= 2.5 * (cells + 1)) OR boilerplate
-        THEN chars ELSE 0 END) AS removed
+    sum(CASE WHEN symbols > 0.25 * words OR shouts > 0.5 * words OR (cells >= 2 AND words <= 2.5 * (cells + 1))
+        OR (phrase > 0 AND 100 * phrase >= 15 * chars) THEN chars ELSE 0 END) AS removed
   FROM line GROUP BY r),
 counts AS (
   SELECT b.r, doc_id, len(words) AS n_words,

@@ -8,7 +8,8 @@ Others are weak: the parts of a credential that prove nothing alone. They are
 * ``id``: an access identifier too short or too odd for the rule above, or a
   client id given as such;
 * ``key``: forty characters of base64 that mix cases and digits, as secret keys do;
-* ``host``: the address of a service with user information, or an API endpoint.
+* ``host``: the address of a service with user information, or an API endpoint; of a
+  scheme the last 32 signs count.
 
 A weak part is reported only when a complementary part lies in the same scope:
 an identifier with a key, a key with an identifier or an endpoint, an endpoint
@@ -51,7 +52,12 @@ BASE = KINDS[:3]
 
 WEAK_ID = re.compile(r"""\b(?:A[KS]IA[A-Z0-9]{8,}|(?i:client_id|access_key_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{6,})""", re.ASCII)
 WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-WEAK_HOST = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s/@"']+:[^\s/@"']+@[^\s/"']+|https?://(?:api|auth|login|s3)[.-][^\s/"']+""", re.ASCII)
+#: Addresses are looked for from their ``://`` on: a scheme of bounded length before it, then user information or an endpoint.
+SCHEME = re.compile(r"[a-z][a-z0-9+.-]*\Z", re.ASCII)
+SCHEME_CHARS = 32
+TO_STOP, TO_HOST_END = re.compile(r"""[^\s/@"']*""", re.ASCII), re.compile(r"""[^\s/"']+""", re.ASCII)
+WEB = re.compile(r"https?\Z")
+ENDPOINT = re.compile(r"""(?:api|auth|login|s3)[.-][^\s/"']+""", re.ASCII)
 #: What completes a weak part, by kind.
 COMPLEMENTS = {"id": ("key", "assign", "hex"), "key": ("id", "access", "host"), "host": ("key", "assign", "hex")}
 #: A text without any of these holds no weak part but a key.
@@ -69,6 +75,28 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def hosts(text: str) -> list[tuple[int, int]]:
+    """Addresses with user information, and endpoints of services, from left to right without overlaps.
+
+    Each address is walked once, up to its end.
+    """
+    out, at, done = [], -1, 0
+    while (at := text.find("://", at + 1)) >= 0:
+        scheme = SCHEME.search(text, max(done, at - SCHEME_CHARS), at)
+        if not scheme:
+            continue
+        start, rest = scheme.start(), None
+        user = TO_STOP.match(text, at + 3)
+        if text.startswith("@", user.end()) and ":" in user.group()[1:-1]:
+            rest = TO_HOST_END.match(text, user.end() + 1)
+        if not rest and (web := WEB.search(text, max(done, at - 5), at)):
+            start, rest = web.start(), ENDPOINT.match(text, at + 3)
+        if rest:
+            done = rest.end()
+            out.append((start, done))
+    return out
+
+
 def weak_spans(text: str, base: list[Span]) -> list[Span]:
     """Parts that count only with a complement; those within a span already found are left out."""
     starts = sorted((a, b) for _, a, b in base)
@@ -81,10 +109,10 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
         k = bisect_right(ends, a) - 1
         return k >= 0 and reach[k] >= b
 
-    found = [("id", m) for m in WEAK_ID.finditer(text)]
-    found += [("key", m) for m in WEAK_KEY.finditer(text) if all(p.search(m.group()) for p in MIXED)]
-    found += [("host", m) for m in WEAK_HOST.finditer(text)]
-    return [(kind, m.start(), m.end()) for kind, m in found if not covered(*m.span())]
+    found = [("id", *m.span()) for m in WEAK_ID.finditer(text)]
+    found += [("key", *m.span()) for m in WEAK_KEY.finditer(text) if all(p.search(m.group()) for p in MIXED)]
+    found += [("host", a, b) for a, b in hosts(text)]
+    return [(kind, a, b) for kind, a, b in found if not covered(a, b)]
 
 
 def linked(weak: list[Span], base: list[Span], scope: int) -> list[Span]:

@@ -1,11 +1,13 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression over ``host + "\\t" + path`` with the literal
-tokens (runs of ASCII letters and digits) that every match holds. A first pass
-counts how many URLs hold each literal token of the rules; each rule is then
-filed under its rarest one. A URL looks its own tokens up in that index and runs
-only the expressions it finds there, so a URL costs its tokens, not the number
-of rules. Rules without a literal token are run on every URL.
+A rule is a regular expression over ``host + "#" + path``, matched from the start;
+neither part of a URL can hold that sign. Its literal tokens, the runs of ASCII
+letters and digits that every match has as whole tokens, are read off the
+expression's parse tree. A first pass counts how many URLs hold each literal token
+of the rules; each rule is then filed under its rarest one. A URL looks its own
+tokens up in that index and runs only the expressions it finds there, so a URL costs
+its tokens, not the number of rules. Rules without a literal token are run on every
+URL.
 
 Site rules (a host with all its subdomains, and the start of a path) win over
 pattern rules; among site rules the longest wins, then the first by name; among
@@ -24,6 +26,9 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from re import _constants as codes
+from re import _parser as parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,32 +40,138 @@ TOKEN = re.compile(r"[a-z0-9]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+@dataclass(frozen=True)
+class Part:
+    """What is known of a piece of an expression that is not one sign.
+
+    Whether it can match nothing, whether a match can begin and end with a token's
+    sign, and the tokens that stand whole within every match.
+    """
+
+    empty: bool = True
+    begins: bool = True
+    ends: bool = True
+    tokens: frozenset[str] = frozenset()
+
+
+#: A place that no token's sign can be next to.
+EDGE = Part(False, False, False)
+
+
+def _class_has_alnum(items: list) -> bool:
+    if items[0][0] is codes.NEGATE:
+        return True
+    for kind, value in items:
+        if kind is codes.LITERAL and chr(value) in ALNUM:
+            return True
+        if kind is codes.RANGE and any(value[0] <= ord(c) <= value[1] for c in ALNUM):
+            return True
+        if kind is codes.CATEGORY and value is not codes.CATEGORY_SPACE:
+            return True
+    return False
+
+
+def _pieces(tree, any_case: bool) -> list[str | Part]:
+    """The expression as single signs and parts, in order."""
+    out: list[str | Part] = []
+    for kind, value in tree:
+        if kind is codes.LITERAL:
+            # letters in either case also match some that are not ASCII
+            out.append(Part(False) if any_case and chr(value).isalpha() else chr(value))
+        elif kind in (codes.NOT_LITERAL, codes.ANY):
+            out.append(Part(False))
+        elif kind is codes.IN:
+            has = any_case or _class_has_alnum(value)
+            out.append(Part(False, has, has))
+        elif kind in (codes.MAX_REPEAT, codes.MIN_REPEAT, codes.POSSESSIVE_REPEAT):
+            least, _, inner = value
+            whole = _whole(_pieces(inner, any_case))
+            out.append(Part(whole.empty or not least, whole.begins, whole.ends, whole.tokens if least else frozenset()))
+        elif kind is codes.SUBPATTERN and not value[1] and not value[2]:
+            out += _pieces(value[3], any_case)
+        elif kind is codes.ATOMIC_GROUP:
+            out += _pieces(value, any_case)
+        elif kind is codes.BRANCH:
+            ways = [_whole(_pieces(w, any_case)) for w in value[1]]
+            out.append(Part(any(w.empty for w in ways), any(w.begins for w in ways), any(w.ends for w in ways), frozenset.intersection(*(w.tokens for w in ways))))
+        elif kind is codes.AT and value is not codes.AT_NON_BOUNDARY:
+            out.append(EDGE)
+        elif kind not in (codes.ASSERT, codes.ASSERT_NOT):
+            out.append(Part())
+    return out
+
+
+def _closed(pieces: list[str | Part], outer: bool, side: str) -> bool:
+    """Whether the first of ``pieces`` that matches anything cannot lengthen a token next to it."""
+    for p in pieces:
+        if isinstance(p, str):
+            return p not in ALNUM
+        if getattr(p, side):
+            return False
+        if not p.empty:
+            return True
+    return outer
+
+
+def _tokens(pieces: list[str | Part], from_start: bool) -> frozenset[str]:
+    found, at = set(), 0
+    while at < len(pieces):
+        if isinstance(pieces[at], Part):
+            found |= frozenset() if pieces[at].empty else pieces[at].tokens
+            at += 1
+            continue
+        end = at
+        while end < len(pieces) and isinstance(pieces[end], str) and pieces[end] in ALNUM:
+            end += 1
+        if end > at and _closed(pieces[:at][::-1], from_start, "ends") and _closed(pieces[end:], False, "begins"):
+            found.add("".join(pieces[at:end]).translate(LOWER))
+        at = max(end, at + 1)
+    return frozenset(found)
+
+
+def _whole(pieces: list[str | Part]) -> Part:
+    empty = all(isinstance(p, Part) and p.empty for p in pieces)
+    return Part(empty, not _closed(pieces, True, "begins"), not _closed(pieces[::-1], True, "ends"), _tokens(pieces, False))
+
+
+def literals_of(pattern: str) -> frozenset[str]:
+    """The tokens of every text that the expression matches from its start."""
+    tree = parser.parse(pattern)
+    flags = tree.state.flags
+    return _tokens(_pieces(tree, bool(flags & re.IGNORECASE) and not flags & re.ASCII), True)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``literals`` are whole lower-case tokens of every host and path that ``pattern`` fits."""
+    """An expression over ``host#path``, and the verdict on URLs that it fits."""
 
     name: str
     pattern: str
     verdict: str
-    literals: frozenset[str]
     site: bool = False
 
+    @cached_property
+    def literals(self) -> frozenset[str]:
+        return literals_of(self.pattern)
+
+
+def key_of(host: str, path: str) -> str:
+    """What expressions are matched against."""
+    return f"{host}#{path}"
+
 
 def site_rule(name: str, verdict: str) -> Rule:
     """``example.net/en/``: the host and all its subdomains, where the path starts like the rule's."""
     host, slash, path = name.partition("/")
-    host = host.translate(LOWER)
-    start = slash + path
-    # a token counts only where nothing can lengthen it: the path may go on after the rule's end
-    inner = [m for m in TOKEN.finditer(start.translate(LOWER)) if m.end() < len(start)]
-    literals = {*TOKEN.findall(host), *(m.group() for m in inner)}
-    return Rule(name, r"(?:[^\t]*\.)?" + re.escape(host) + r"\t" + re.escape(start), verdict, frozenset(literals), True)
+    return Rule(name, r"(?:[^#]*\.)?" + re.escape(host.translate(LOWER)) + "#" + re.escape(slash + path), verdict, True)
 
 
 def host_words(name: str, verdict: str, *words: str) -> Rule:
     """A pattern rule: the words in this order, joined by hyphens, within one label of the host."""
-    label = r"(?:[^\t]*[.\-])?" + "-".join(map(re.escape, words)) + r"(?:[.\-][^\t]*)?\t"
-    return Rule(name, label, verdict, frozenset(words))
+    return Rule(name, r"(?:[^#]*[.\-])?" + "-".join(map(re.escape, words)) + r"(?:[.\-][^#]*)?#", verdict)
 
 
 #: Hosts that name what they push.
@@ -118,7 +229,7 @@ def _judge(batches: Iterator[pa.RecordBatch], index: dict[str, list[Rule]]) -> I
         rows = []
         for page, url in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist()):
             host, path = split_url(url)
-            key = f"{host}\t{path}"
+            key = key_of(host, path)
             candidates = [c for t in url_tokens(host, path) if t in compiled for c in compiled[t]]
             fits = [r for r, pattern in (*always, *candidates) if pattern.match(key)]
             site = min((r for r in fits if r.site), key=lambda r: (-len(r.name), r.name), default=None)

@@ -138,8 +138,10 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LogisticRegressionMo
     posterior = fit(counts)
     share = min(1.0, train_rows / total)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000))))
-    known = F.create_map(*(F.lit(x) for p, g in posterior.items() for x in (p, g)))
-    rows = features(measured(chosen).withColumn("good", known[pattern()]), "good")
+    # as many rows as there are patterns
+    known = docs.sparkSession.createDataFrame(list(posterior.items()), "votes string, good double")
+    voted = measured(chosen).withColumn("votes", common.once(pattern()))
+    rows = features(voted.join(F.broadcast(known), "votes"), "good")
     classes = F.explode(F.array(*(F.struct(F.lit(float(c)).alias("label"), w.alias("weight")) for c, w in ((0, 1 - F.col("good")), (1, F.col("good"))))))
     rows = rows.where("n > 0").select("features", classes.alias("c")).select("features", "c.label", "c.weight").where("weight > 0.001")
     rows = session.materialise(rows, "weak-labels")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -264,6 +266,7 @@ URLS = [
     None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?q#f", "http://net", "http://net/", "http://x.net?y/z", "ftp://org/fr/",
     "http://a.org/fr/x", "http://a.org/frx", "http://notexample.com/de/", "http://example.com/de/", "http://b.example.com/DE/x",
     "http://casino.example.org/", "http://my-casino.org/a", "http://mycasino.org/a", "x://y://example.net/en/", "http://ads-track.net/\n",
+    "http://a\tb.net/x", "http://casino\t.net.org/x", "http://\t.net/", "http://a.net\t/", "http://a\x00.example.net/en/\t",
 ]
 
 
@@ -277,9 +280,9 @@ def test_urls_by_rules_tried_one_by_one(spark):
         if url and "://" in url:
             rest = re.split(r"[?#]", url.split("://", 1)[1], maxsplit=1)[0]
             host, path = re.sub("[A-Z]", lambda m: m.group().lower(), rest.split("/", 1)[0]), rest[len(rest.split("/", 1)[0]) :]
-        fits = [r for r in queries.SITES if (host + "/").endswith("") and (host == r.name.split("/")[0] or host.endswith("." + r.name.split("/")[0])) and path.startswith(r.name[r.name.index("/") :])]
+        fits = [r for r in queries.SITES if (host == r.name.split("/")[0] or host.endswith("." + r.name.split("/")[0])) and path.startswith(r.name[r.name.index("/") :])]
         site = max(fits, key=lambda r: len(r.name), default=None)
-        other = min((r for r in url_rules.PATTERNS if re.match(r.pattern, f"{host}\t{path}")), key=lambda r: r.name, default=None)
+        other = min((r for r in url_rules.PATTERNS if re.match(r.pattern, url_rules.key_of(host, path))), key=lambda r: r.name, default=None)
         verdict = site.verdict if site else other.verdict if other else "allow"
         want[None if i == 3 else i, host, path, site and site.name, other and other.name, verdict] += 1
     assert got == want
@@ -293,6 +296,53 @@ def test_a_rule_is_filed_under_its_rarest_token():
     assert url_rules.site_rule("a.b/pre", "block").literals == {"a", "b"}
 
 
+def test_literal_tokens_of_expressions():
+    for pattern, want in {
+        r"a1#/x/": {"a1", "x"}, r"a1#/x": {"a1"}, r"a?b\.c#": {"c"}, r"(?:www\.)?(?:[^#]*[.-])?ads-track(?:[.-][^#]*)?#": {"ads", "track"},
+        r"[^#]*#/(?:a|b)/c/": {"c"}, r"[^#]*#/(?:x-a-y|z-a-w)/": {"a"}, r"(?:ab-)+c#": {"c"}, r"(?:-ab-)+c#": {"ab", "c"}, r"(?:ab)+c#": set(), r"(?:a-b-)*c#": {"c"}, r"(?:a-b)*c#": set(),
+        r"[^#]*#.*\.exe$": {"exe"}, r"[^#]*#.*\bexe\b": {"exe"}, r"[^#]*#.*\Bexe$": set(), r"(?i)12-ab#": {"12"}, r"(?ia)12-ab#": {"12", "ab"},
+        r"[^#]*#/[.-]x[/_]": {"x"}, r"[^#]*#/[.z]x/": set(), r"(?=a)b#": {"b"}, r"x{2}-y{0,3}-z#": {"z"}, r"(?P<g>k)-\1#": {"k"}, r"": set(), r"é-A#": {"a"},
+    }.items():
+        assert url_rules.literals_of(pattern) == want, pattern
+
+
+def random_expression(rng, depth=0):
+    """An expression over few signs, so that it fits many of few-signed URLs."""
+    kinds = ["a", "b", "1", r"\.", "-", "/", "[^#]", "[ab]", "[.-]", ".", r"\w"]
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        roll = rng.random()
+        if depth < 2 and roll < 0.25:
+            inner = "|".join(random_expression(rng, depth + 1) for _ in range(rng.randrange(1, 4)))
+            out.append(f"(?:{inner}){rng.choice(('', '', '?', '*', '+', '{2}'))}")
+        else:
+            out.append(rng.choice(kinds) + rng.choice(("", "", "", "", "?", "*", "+")))
+    return "".join(out) + rng.choice(("", "", r"\b", "$")) * (not depth)
+
+
+def test_thousands_of_rules_by_index_and_one_by_one(spark):
+    """Every rule that fits a URL is filed under one of the URL's tokens, or under none."""
+    rng = random.Random(77)
+    signs = "ab1.-/"
+    expressions = [r"[^#]*#" * rng.randrange(2) + random_expression(rng) for _ in range(4000)]
+    rules = [url_rules.Rule(f"r{i:04d}", e, "block") for i, e in enumerate(expressions)]
+    sites = ["".join(rng.choice("ab1.-") for _ in range(rng.randrange(1, 4))) + "/" + "".join(rng.choice(signs) for _ in range(rng.randrange(4))) for _ in range(60)]
+    rules += [url_rules.site_rule(n, "allow") for n in sorted(set(sites))]
+    urls = ["http://" + "".join(rng.choice(signs + "AB\té") for _ in range(rng.randrange(16))) for _ in range(400)]
+    compiled = [(r, re.compile(r.pattern)) for r in rules]
+    fits = {u: [r for r, c in compiled if c.match(url_rules.key_of(*url_rules.split_url(u)))] for u in urls}
+    for u, some in fits.items():
+        tokens = url_rules.url_tokens(*url_rules.split_url(u))
+        assert all(r.literals <= tokens for r in some)
+    assert sum(bool(r.literals) for some in fits.values() for r in some) > 1000
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    for r in url_rules.judge(rows, rules).collect():
+        some = fits[urls[r["page_id"]]]
+        site = min((x for x in some if x.site), key=lambda x: (-len(x.name), x.name), default=None)
+        other = min((x.name for x in some if not x.site), default=None)
+        assert (r["rule"], r["pattern_rule"]) == (site and site.name, other)
+
+
 # --- archives -------------------------------------------------------------------
 
 
@@ -365,6 +415,28 @@ def test_a_key_may_stand_directly_after_its_name():
     assert secrets.spans_of(f"AWS_ACCESS_KEY_ID=AKIASHORT12345 name={KEY40}=") == []
 
 
+#: The same addresses by one expression, which takes a time that grows with the square of a run.
+ADDRESS = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s/@"']+:[^\s/@"']+@[^\s/"']+|https?://(?:api|auth|login|s3)[.-][^\s/"']+""", re.ASCII)
+
+
+def test_addresses_are_those_of_the_expression():
+    rng = random.Random(21)
+    parts = ["http", "https", "s3", "x", "9", "+", "://", "://", ":", "@", "/", " ", "'", "api.", "login-", "a", "é", "\n", "ſ"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert secrets.hosts(text) == [m.span() for m in ADDRESS.finditer(text)], text
+    assert secrets.hosts("z" * 40 + "://u:p@h") == [(8, 47)]
+
+
+@pytest.mark.parametrize("unit", ["a", "a:", "a@", "x://", "x://a:", "password", "token ", "AKIA", "account", "://", "http://api", "a:b@", "0", "A+/9"])
+def test_a_scan_takes_time_in_proportion_to_the_text(unit):
+    """A million signs in a second or two, whatever they repeat."""
+    text = "x://" + unit * (10**6 // len(unit))
+    start = time.process_time()
+    secrets.spans_of(text)
+    assert time.process_time() - start < 2
+
+
 def test_linking_equals_all_pairs():
     rng = random.Random(2)
     for _ in range(200):
@@ -433,6 +505,28 @@ def test_posteriors_find_planted_accuracies():
     assert weak_labels.fit({}) == {}
 
 
+def test_posteriors_equal_those_of_single_documents():
+    """The same rounds over documents one by one, without patterns or arrays."""
+    rng = random.Random(18)
+    docs = []
+    for _ in range(300):
+        good = rng.random() < 0.6
+        docs.append("".join("0" if rng.random() < 0.3 else "+-"[good != (rng.random() < a)] for a in (0.9, 0.8, 0.7, 0.75)))
+    belief = [{0: 0.95, 1: 0.5}.get(v.count("-"), 0.05) for v in docs]
+    for _ in range(25):
+        mass = [sum(1 - b for b in belief), sum(belief)]
+        prior = [(m + 1.0) / (sum(mass) + 2.0) for m in mass]
+        rates = []
+        for c in (0, 1):
+            of = [b if c else 1 - b for b in belief]
+            seen = [{k: 1.0 + sum(w for w, v in zip(of, docs) if v[j] == k) for k in "-0+"} for j in range(4)]
+            rates.append([{k: n / sum(r.values()) for k, n in r.items()} for r in seen])
+        odds = [[prior[c] * math.prod(rates[c][j][k] for j, k in enumerate(v)) for c in (0, 1)] for v in docs]
+        belief = [g / (b + g) for b, g in odds]
+    posterior = weak_labels.fit(Counter(docs), rounds=25)
+    assert [posterior[v] for v in docs] == pytest.approx(belief, abs=1e-9)
+
+
 def test_scorer_agrees_with_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
