@@ -8,11 +8,18 @@ FULL_BELOW = 2
 STOCKOUT_BELOW = 2
 DECISION_THRESHOLD = 0.60
 HORIZON_ROWS = 6
+HOURLY_HORIZON_ROWS = 1
 HORIZON_MINUTES = 30
 TRAIN_FRACTION = 0.8
 EMPTY_CANDIDATES = (2, 3, 4, 5)
 PING_MINUTES = 5
 
+#: Frames of snapshots, and for how many of them a silent station keeps its last reading (a day).
+FRAME_SECONDS = 300
+HOLD_FRAMES = 288
+#: Share of all stations that a complete snapshot has.
+COMPLETE_SHARE = 0.9
+
 # Published rush-hour variants (inclusive hour ranges).
 RUSH_THREE_PEAKS = ((7, 9), (14, 16), (18, 20))
 RUSH_COMMUTE = ((7, 9), (17, 19))

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
-from fillgauge.operators.slices import asof, ranked, shift
-from fillgauge.session import lookup
+from fillgauge.operators.slices import asof, ranked, shift, shift_by
+from fillgauge.session import lookup, materialise
 
 ROW_ID = "event_id"
 
 
-def occupancy_ratio(df, *, key="station_id", time="ts", level="bikes", capacity="capacity", clip=False):
-    return df.select(key, time, r6(C.occupancy(level, capacity, clip)).alias("occupancy"))
+def occupancy_ratio(df, *, key="station_id", time="ts", level="bikes", docks="docks", capacity="capacity", clip=False):
+    """Share in use; a station without a known capacity has room for its bikes and free docks."""
+    room = df.select(key, time, level, C.capacity_or_sum(capacity, level, docks).alias("_room"))
+    return room.select(key, time, F.col("_room").alias(capacity), r6(C.occupancy(level, "_room", clip)).alias("occupancy"))
 
 
 def calendar_features(df: DataFrame, *, key="station_id", time="ts") -> DataFrame:
@@ -103,7 +105,7 @@ def minmax_scale(df, *, key="station_id", time="ts", minmax=("temp",), maxonly=(
 
 
 def with_zscore(df: DataFrame, group: str, col: str, out: str) -> DataFrame:
-    stats = df.groupBy(group).agg(F.avg(col).alias("_mean"), F.stddev_samp(col).alias("_std"))
+    stats = materialise(df.groupBy(group).agg(F.avg(col).alias("_mean"), F.stddev_samp(col).alias("_std")), "group-stats")
     spread = F.when(F.col("_std") == 0, F.lit(1.0)).otherwise(F.col("_std"))
     return (
         df.join(lookup(stats, [group]), group, "left")
@@ -226,8 +228,14 @@ def future_status_target(df, *, empty=D.EMPTY_BELOW, full=D.FULL_BELOW, tie=ROW_
 def with_delta_target(
     df, *, key="station_id", time="ts", value="occupancy", tie=ROW_ID, horizon=D.HORIZON_ROWS, jump=0.10, sized_by=None
 ):
-    """Change of ``value`` over the horizon; without a future the flags stay 0."""
-    rows = shift(df, key, [time, tie], {"_next": (value, horizon)}, sized_by=sized_by)
+    """Change of ``value`` over the horizon; without a future the flags stay 0.
+
+    ``horizon`` is a number of rows, or a column that says it row by row.
+    """
+    if isinstance(horizon, Column):
+        rows = shift_by(df, key, [time, tie], value, horizon, "_next", sized_by=sized_by)
+    else:
+        rows = shift(df, key, [time, tie], {"_next": (value, horizon)}, sized_by=sized_by)
     delta = F.round(F.col("_next") - F.col(value), 6)
     return (
         rows.withColumn("delta_next", delta)
@@ -294,13 +302,23 @@ def micros_plus(time: str, minutes: int) -> Column:
 
 
 def transfer_features(
-    df: DataFrame, *, city="city", key="station_id", time="ts", tie=ROW_ID, horizon=D.HORIZON_ROWS, jump=0.10
+    df: DataFrame,
+    *,
+    city="city",
+    key="station_id",
+    time="ts",
+    tie=ROW_ID,
+    horizon=D.HORIZON_ROWS,
+    hourly=D.HOURLY_HORIZON_ROWS,
+    jump=0.10,
 ) -> DataFrame:
     """The unified feature frame of all cities, with targets.
 
     Expects ``occupancy`` and ``temperature``; flags a city does not report
-    default to 0.
+    default to 0. A city without stations is one hourly series, with a horizon of
+    its own; its change is not one of thirty minutes.
     """
+    ahead = F.when(F.col(key).isNull(), F.lit(hourly)).otherwise(F.lit(horizon))
     hour, dow = C.hour_of(time), C.weekday_of(time)
     (hour_sin, hour_cos), (dow_sin, dow_cos) = C.cyclic(hour, 24), C.cyclic(dow, 7)
     flags = {
@@ -321,7 +339,7 @@ def transfer_features(
         key=[city, key],
         time=time,
         tie=tie,
-        horizon=horizon,
+        horizon=ahead,
         jump=jump,
         sized_by=df,
     )
@@ -339,6 +357,7 @@ def transfer_features(
         *flags,
         r6(F.col("occupancy")).alias("occupancy"),
         r6(F.col("temp_zscore")).alias("temp_zscore"),
+        F.when(F.col(key).isNotNull(), F.col("delta_next")).alias("delta_30min"),
         "delta_next",
         "will_increase",
         "will_decrease",

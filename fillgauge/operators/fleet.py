@@ -7,16 +7,31 @@ from pyspark.sql import functions as F
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
-from fillgauge.session import lookup
+from fillgauge.session import lookup, materialise
 
 
-def fleet_utilisation(df, *, time="ts", level="bikes", capacity="capacity", ideal=0.5, tol=50):
-    per_snapshot = df.groupBy(time).agg(F.sum(level).alias("b"), F.sum(capacity).alias("c"))
-    whole = per_snapshot.agg(
-        F.min_by("c", time).cast("bigint").alias("capacity"),
-        F.avg("b").alias("mean"),
-        F.min("b").cast("bigint").alias("bikes_min"),
-        F.max("b").cast("bigint").alias("bikes_max"),
+def per_snapshot(df, *, time="ts", level="bikes", capacity="capacity", buffer=2):
+    """Snapshots polled all at once as states: one row each, standing for one frame."""
+    return df.groupBy(time).agg(
+        F.count("*").alias("present"),
+        F.sum(level).alias("bikes"),
+        F.sum(capacity).alias("capacity"),
+        F.sum(F.greatest(F.lit(0), F.lit(buffer) - F.col(level))).alias("short"),
+        F.lit(1).cast("bigint").alias("frames"),
+    )
+
+
+def fleet_utilisation(df, *, time="ts", level="bikes", capacity="capacity", **limits):
+    return utilisation_of(per_snapshot(df, time=time, level=level, capacity=capacity), time=time, **limits)
+
+
+def utilisation_of(states, *, time="ts", ideal=0.5, tol=50):
+    """Bikes over all frames, against a share of the capacity of the first."""
+    whole = states.agg(
+        F.min_by("capacity", time).cast("bigint").alias("capacity"),
+        C.ratio(F.sum(F.col("bikes") * F.col("frames")), F.sum("frames")).alias("mean"),
+        F.min("bikes").cast("bigint").alias("bikes_min"),
+        F.max("bikes").cast("bigint").alias("bikes_max"),
     )
     diff = F.col("mean") - F.col("capacity") * ideal
     return whole.select(
@@ -30,18 +45,22 @@ def fleet_utilisation(df, *, time="ts", level="bikes", capacity="capacity", idea
     )
 
 
-def fleet_deficit(df, *, key="station_id", time="ts", level="bikes", capacity="capacity", buffer=2):
-    """Peak shortage, when it happened, and the fleet that would cover it."""
-    caps = df.groupBy(key).agg(F.max(capacity).alias("cap")).agg(
+def station_capacities(df, *, key="station_id", capacity="capacity"):
+    """How many stations there are, and their docks, as the fields of a scalar."""
+    return df.groupBy(key).agg(F.max(capacity).alias("cap")).agg(
         F.struct(F.count("*").alias("n"), F.sum("cap").alias("docks"))
     ).scalar()
-    short = F.greatest(F.lit(0), F.lit(buffer) - F.col(level))
-    snaps = (
-        df.groupBy(time)
-        .agg(F.sum(level).alias("bikes"), F.sum(short).alias("short"), F.count("*").alias("present"))
-        .withColumn("_s", caps)
-        .withColumn("deficit", F.col("short") + buffer * (F.col("_s.n") - F.col("present")))
-    )
+
+
+def fleet_deficit(df, *, key="station_id", time="ts", level="bikes", capacity="capacity", buffer=2):
+    """Peak shortage, when it happened, and the fleet that would cover it."""
+    snaps = per_snapshot(df, time=time, level=level, capacity=capacity, buffer=buffer)
+    return deficit_of(snaps, station_capacities(df, key=key, capacity=capacity), time=time, buffer=buffer)
+
+
+def deficit_of(states, stations, *, time="ts", buffer=2):
+    """``fleet_deficit`` of states; an absent station lacks the whole buffer."""
+    snaps = states.withColumn("_s", stations).withColumn("deficit", F.col("short") + buffer * (F.col("_s.n") - F.col("present")))
     whole = snaps.agg(
         F.max("bikes").cast("bigint").alias("fleet"),
         F.max("_s.docks").cast("bigint").alias("docks"),
@@ -56,8 +75,13 @@ def fleet_deficit(df, *, key="station_id", time="ts", level="bikes", capacity="c
 def complete_snapshots(df, *, time="ts", min_stations=75):
     """Rows of snapshots with enough stations. ``min_stations`` may be a column of ``df``'s scalars."""
     need = min_stations if not isinstance(min_stations, int) else F.lit(min_stations)
-    complete = df.groupBy(time).agg(F.count("*").alias("_n")).where(F.col("_n") >= need).select(time)
-    return df.join(lookup(complete, [time]), time, "left_semi")
+    complete = materialise(df.groupBy(time).agg(F.count("*").alias("_n")).where(F.col("_n") >= need).select(time), "complete")
+    return of_complete(df, complete, time=time)
+
+
+def of_complete(df, complete, *, time="ts"):
+    """The rows whose snapshot is among the ``complete`` ones, a written table of them."""
+    return df.join(lookup(complete.select(time), [time]), time, "left_semi")
 
 
 def frame_stats(df, *, key="station_id", time="ts", level="bikes", capacity="capacity", seconds=300, empty=D.EMPTY_BELOW):

@@ -1,7 +1,20 @@
-"""User growth: rates, curve fits over many series at once, projection."""
+"""User growth: rates, curve fits of every series and regime at once, projection.
+
+A curve is fitted to the points of one series in one regime, with time counted from
+the regime's start. The parameters that enter linearly follow from the others by least
+squares, so only those others are searched: from the best straight line in logarithms
+or logits, over grids around the best point so far that narrow step by step. The best
+point stays in the next grid, so the squared error of the counts themselves never
+rises above that of the start. A series has as many points as there are months, which
+is what a task holds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +29,9 @@ def months_between(start: Column, end: Column) -> Column:
     return F.bround(F.datediff(end, start) / F.lit(MONTH_DAYS), 0).cast("bigint")
 
 
-def growth_metrics(df, *, series="series", time="month", users="users"):
-    """Monthly growth and months since the series began."""
+def growth_metrics(df, *, series="series", time="month", users="users", uses: str | None = None):
+    """Monthly growth and months since the series began; with ``uses``, how many there were per user."""
+    more = [uses_per_user(F.col(uses), F.col(users)).alias("uses_per_user")] if uses else []
     w = Window.partitionBy(series).orderBy(time)
     before = F.lag(users).over(w)
     first = F.min(time).over(Window.partitionBy(series))
@@ -27,6 +41,7 @@ def growth_metrics(df, *, series="series", time="month", users="users"):
         F.col(users).cast("bigint").alias("users"),
         r6(100 * C.ratio(F.col(users) - before, before)).alias("growth_pct"),
         months_between(first, F.col(time)).alias("months"),
+        *more,
     )
 
 
@@ -35,9 +50,16 @@ def uses_per_user(uses: Column, users: Column) -> Column:
     return F.bround(C.ratio(uses, users), 1)
 
 
+def regime_of(time: str, split_date: str | None) -> Column:
+    """``pre`` before the date, ``post`` from it on; without a date, ``all``."""
+    if split_date is None:
+        return F.lit("all")
+    return F.when(F.col(time) < F.lit(split_date).cast("timestamp_ntz"), "pre").otherwise("post")
+
+
 def cagr(df, *, series="series", time="month", users="users", split_date="2022-06-01"):
     """Compound yearly growth before and from the regime date."""
-    regime = F.when(F.col(time) < F.lit(split_date).cast("timestamp_ntz"), "pre").otherwise("post")
+    regime = regime_of(time, split_date)
     ends = df.groupBy(series, regime.alias("regime")).agg(
         F.min_by(users, time).cast("bigint").alias("first"),
         F.max_by(users, time).cast("bigint").alias("last"),
@@ -50,135 +72,171 @@ def cagr(df, *, series="series", time="month", users="users", split_date="2022-0
     )
 
 
-def _with_months(df, series: str, time: str, users: str) -> DataFrame:
-    first = F.min(time).over(Window.partitionBy(series))
-    return df.select(
-        F.col(series).alias("series"),
-        F.col(time).alias("month"),
-        months_between(first, F.col(time)).cast("double").alias("x"),
-        F.col(users).cast("double").alias("y"),
-    )
+def _with_months(df, series: str, time: str, users: str, split_date: str | None) -> DataFrame:
+    """Points ``x, y`` of each series and regime; ``x`` counts months from the regime's first."""
+    rows = df.select(F.col(series).alias("series"), regime_of(time, split_date).alias("regime"), F.col(time).alias("month"), F.col(users).cast("double").alias("y"))
+    first = F.min("month").over(Window.partitionBy("series", "regime"))
+    return rows.withColumn("x", months_between(first, F.col("month")).cast("double"))
 
 
-def _line(points: DataFrame, z: Column, *keys: str) -> DataFrame:
-    """Least-squares line z = slope * x + intercept per key, from moment sums."""
-    x = F.col("x")
-    sums = points.withColumn("z", z).groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"),
-        F.sum(x).alias("sx"),
-        F.sum("z").alias("sz"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(x * F.col("z")).alias("sxz"),
-    )
-    slope = C.ratio(F.col("n") * F.col("sxz") - F.col("sx") * F.col("sz"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return (
-        sums.withColumn("slope", slope)
-        .withColumn("intercept", (F.col("sz") - F.col("slope") * F.col("sx")) / F.col("n"))
-        .where("slope is not null")
-        .select(*keys, "slope", "intercept")
-    )
+def _line(x: np.ndarray, z: np.ndarray) -> tuple[float, float] | None:
+    """Slope and intercept of least squares."""
+    n = float(len(x))
+    spread = n * (x * x).sum() - x.sum() ** 2
+    if not spread:
+        return None
+    slope = (n * (x * z).sum() - x.sum() * z.sum()) / spread
+    return slope, (z.sum() - slope * x.sum()) / n
 
 
-def _fit_quality(points: DataFrame, params: DataFrame, fitted: Column, keys: list[str], kept: list[str]) -> DataFrame:
-    """Best candidate per series by squared error, with R2 and MAPE.
+def _errors(y: np.ndarray, fitted: np.ndarray) -> np.ndarray:
+    """Squared error of each candidate; what is no number is out."""
+    error = ((y - fitted) ** 2).sum(axis=-1)
+    return np.where(np.isfinite(error), np.round(error, 6), np.inf)
 
-    Errors equal to six decimals are a tie, which the earlier candidate wins.
-    """
-    err = F.col("y") - fitted
-    scores = (
-        points.join(params, keys)
-        .groupBy(*keys, *[c for c in kept if c not in keys])
-        .agg(
-            F.sum(err * err).alias("sse"),
-            F.avg(C.ratio(F.abs(err), F.abs(F.col("y")))).alias("mape"),
-            (F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count("*")).alias("sst"),
-        )
-    )
-    best = scores.groupBy("series").agg(
-        F.min_by(F.struct(*kept, "sse", "mape", "sst"), F.struct(F.round("sse", 6), "cand")).alias("f")
-    )
-    return best.select("series", "f.*").withColumn("r2", 1 - C.ratio(F.col("sse"), F.col("sst")))
 
+def _nearest_best(errors: np.ndarray, off: np.ndarray) -> int | None:
+    """The least error, of equal ones the one nearest the grid's centre, then the first."""
+    k = int(np.lexsort((np.arange(len(errors)), off, errors))[0])
+    return k if np.isfinite(errors[k]) else None
 
-def fit_exponential(df, *, series="series", time="month", users="users", steps=20):
-    """y = a e^(b x) + c per series.
 
-    The offset c runs over a grid below the series' minimum; for each c the rest
-    is a straight line in logarithms, and the c of least squared error wins.
-    """
-    points = _with_months(df, series, time, users)
-    low = F.min("y").over(Window.partitionBy("series"))
-    grid = (
-        points.withColumn("low", low)
-        .withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-        .withColumn("c", F.col("low") * F.col("cand") / F.lit(float(steps)))
-    )
-    lines = _line(grid, F.log(F.col("y") - F.col("c")), "series", "cand", "c")
-    params = lines.select("series", "cand", "c", F.exp("intercept").alias("a"), F.col("slope").alias("b"))
-    fitted = F.col("a") * F.exp(F.col("b") * F.col("x")) + F.col("c")
-    fits = _fit_quality(points, params, fitted, ["series"], ["cand", "a", "b", "c"])
-    return fits.select(
-        "series", *[r6(F.col(c)).alias(c) for c in ("a", "b", "c", "r2")], r6(100 * F.col("mape")).alias("mape")
-    )
+def _quality(y: np.ndarray, fitted: np.ndarray) -> tuple[float | None, float | None]:
+    """R2 and mean relative error."""
+    total = (y * y).sum() - y.sum() ** 2 / len(y)
+    known = y != 0
+    share = (np.abs(y - fitted)[known] / np.abs(y)[known]).mean() if known.any() else None
+    return (1 - ((y - fitted) ** 2).sum() / total if total else None), share
 
 
-def logistic_value(x: Column, l: Column, k: Column, x0: Column) -> Column:
-    return l / (1 + F.exp(-k * (x - x0)))
+#: Points of a grid on either side of its centre, and how much each grid is narrower than the one before.
+RATE_SIDE, RATE_SHRINK, RATE_GRIDS = 8, 4.0, 6
+CURVE_SIDE, CURVE_SHRINK, CURVE_GRIDS = 4, 2.0, 10
 
 
-def logistic_params(
-    df, *, series="series", time="month", users="users", ceiling=4.0, step=0.01, bounds=((0.01, 0.5), (5, 50))
-) -> DataFrame:
-    """Best (l, k, x0) per series, unrounded, with the series' last month.
+def exponential_curve(x: np.ndarray, y: np.ndarray, steps: int = 20) -> dict | None:
+    """``a, b, c`` of y = a e^(b x) + c.
 
-    The ceiling L runs in steps up to ``ceiling`` times the last count; for each L
-    the curve is a straight line in logits. Candidates outside the bounds are out;
-    a series with none left has nulls.
+    For a rate b the rest is linear. The first rate is the best of lines in
+    logarithms, for offsets c on a grid below the least count.
+    """
+    start = []
+    for cand in range(steps):
+        c = y.min() * cand / float(steps)
+        if y.min() > c and (line := _line(x, np.log(y - c))):
+            start.append((np.round(((y - (np.exp(line[1]) * np.exp(line[0] * x) + c)) ** 2).sum(), 6), cand, line[0]))
+    if not start or len(x) < 3:
+        return None
+    rate = min(start)[2]
+    width = 0.5 * abs(rate) + 0.005
+    side = np.arange(-RATE_SIDE, RATE_SIDE + 1)
+    with np.errstate(all="ignore"):
+        for _ in range(RATE_GRIDS):
+            b = rate + width * side / RATE_SIDE
+            e = np.exp(b[:, None] * x)
+            mean = e.mean(axis=1, keepdims=True)
+            a = ((e - mean) * (y - y.mean())).sum(axis=1) / ((e - mean) ** 2).sum(axis=1)
+            c = y.mean() - a * mean[:, 0]
+            k = _nearest_best(_errors(y, a[:, None] * e + c[:, None]), np.abs(side))
+            if k is None:
+                return None
+            rate, found = float(b[k]), (float(a[k]), float(b[k]), float(c[k]))
+            width /= RATE_SHRINK
+    a, b, c = found
+    r2, mape = _quality(y, a * np.exp(b * x) + c)
+    return {"a": a, "b": b, "c": c, "r2": r2, "mape": mape}
+
+
+def logistic_curve(
+    x: np.ndarray, y: np.ndarray, ceiling: float = 4.0, step: float = 0.01, bounds=((0.01, 0.5), (5, 50))
+) -> dict | None:
+    """``l, k, x0`` of y = l / (1 + e^(-k (x - x0))) with k and x0 within their bounds.
+
+    For a pace k and a middle x0 the ceiling l is linear. The first pace and middle are
+    those of the best line in logits, for ceilings in steps above the last count.
     """
-    per_unit = round(1 / step)
-    points = _with_months(df, series, time, users)
-    by_series = Window.partitionBy("series")
-    last = F.max(F.struct("month", "y")).over(by_series)["y"]
-    grid = (
-        points.withColumn("last", last)
-        .withColumn("cand", F.explode(F.sequence(F.lit(1), F.lit(round((ceiling - 1) * per_unit)))))
-        .withColumn("l", F.col("last") * (per_unit + F.col("cand")) / F.lit(float(per_unit)))
-        .where("y < l and y > 0")
-    )
-    lines = _line(grid, F.log(F.col("y") / (F.col("l") - F.col("y"))), "series", "cand", "l")
     (k_lo, k_hi), (x_lo, x_hi) = bounds
-    params = (
-        lines.withColumn("x0", C.ratio(-F.col("intercept"), F.col("slope")))
-        .withColumnRenamed("slope", "k")
-        .where(F.col("k").between(k_lo, k_hi) & F.col("x0").between(x_lo, x_hi))
-        .select("series", "cand", "l", "k", "x0")
-    )
-    fitted = logistic_value(F.col("x"), F.col("l"), F.col("k"), F.col("x0"))
-    best = _fit_quality(points, params, fitted, ["series"], ["cand", "l", "k", "x0"])
-    return points.select("series").distinct().join(best, "series", "left")
+    per_unit = round(1 / step)
+    start = []
+    with np.errstate(all="ignore"):
+        for cand in range(1, round((ceiling - 1) * per_unit) + 1):
+            top = y[-1] * (per_unit + cand) / float(per_unit)
+            below = (y > 0) & (y < top)
+            line = _line(x[below], np.log(y[below] / (top - y[below]))) if below.any() else None
+            if line and line[0] and k_lo <= line[0] <= k_hi and x_lo <= -line[1] / line[0] <= x_hi:
+                k, x0 = line[0], -line[1] / line[0]
+                start.append((np.round(((y - top / (1 + np.exp(-k * (x - x0)))) ** 2).sum(), 6), cand, k, x0))
+        if not start or len(x) < 3:
+            return None
+        k, x0 = min(start)[2:]
+        k_width, x_width = 0.5 * k, 2.0 / k
+        side = np.arange(-CURVE_SIDE, CURVE_SIDE + 1)
+        i, j = (g.ravel() for g in np.meshgrid(side, side, indexing="ij"))
+        for _ in range(CURVE_GRIDS):
+            ks, xs = k + k_width * i / CURVE_SIDE, x0 + x_width * j / CURVE_SIDE
+            g = 1 / (1 + np.exp(-ks[:, None] * (x - xs[:, None])))
+            top = (y * g).sum(axis=1) / (g * g).sum(axis=1)
+            errors = _errors(y, top[:, None] * g)
+            inside = (ks >= k_lo) & (ks <= k_hi) & (xs >= x_lo) & (xs <= x_hi)
+            best = _nearest_best(np.where(inside, errors, np.inf), np.abs(i) + np.abs(j))
+            if best is None:
+                return None
+            k, x0, l = float(ks[best]), float(xs[best]), float(top[best])
+            k_width, x_width = k_width / CURVE_SHRINK, x_width / CURVE_SHRINK
+    r2, mape = _quality(y, l / (1 + np.exp(-k * (x - x0))))
+    return {"l": l, "k": k, "x0": x0, "r2": r2, "mape": mape}
+
+
+def _fits(points: DataFrame, names: tuple[str, ...], curve: Callable[[np.ndarray, np.ndarray], dict | None]) -> DataFrame:
+    """The curve of each series and regime; nulls where none fits."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        known = rows.dropna(subset=["x", "y"]).sort_values(["month", "y"])
+        found = (curve(known["x"].to_numpy(), known["y"].to_numpy()) if len(known) else None) or {}
+        kept = {n: found.get(n) for n in names}
+        ends = {"last_month": rows["month"].max(), "last_x": known["x"].max() if len(known) else None}
+        return pd.DataFrame([{"series": first["series"], "regime": first["regime"], **kept, **ends}])
+
+    kind = dict(points.dtypes)
+    schema = f"series {kind['series']}, regime string, " + ", ".join(f"{n} double" for n in names) + f", last_month {kind['month']}, last_x double"
+    return points.groupBy("series", "regime").applyInPandas(fit, schema)
+
+
+def fit_exponential(df, *, series="series", time="month", users="users", steps=20, split_date=None):
+    """y = a e^(b x) + c per series and regime."""
+    fits = _fits(_with_months(df, series, time, users, split_date), ("a", "b", "c", "r2", "mape"), lambda x, y: exponential_curve(x, y, steps))
+    return fits.select("series", "regime", *[r6(F.col(c)).alias(c) for c in ("a", "b", "c", "r2")], r6(100 * F.col("mape")).alias("mape"))
+
+
+def logistic_value(x: Column, l: Column, k: Column, x0: Column) -> Column:
+    return l / (1 + F.exp(-k * (x - x0)))
+
+
+def logistic_params(df, *, series="series", time="month", users="users", split_date=None, **limits) -> DataFrame:
+    """``l, k, x0`` per series and regime, unrounded, with the regime's last month; null where no curve is within the bounds."""
+    points = _with_months(df, series, time, users, split_date)
+    return _fits(points, ("l", "k", "x0", "r2", "mape"), lambda x, y: logistic_curve(x, y, **limits))
 
 
 def fit_logistic(df, **kwargs):
     fits = logistic_params(df, **kwargs)
-    return fits.select(
-        "series", *[r6(F.col(c)).alias(c) for c in ("l", "k", "x0", "r2")], r6(100 * F.col("mape")).alias("mape")
-    )
+    return fits.select("series", "regime", *[r6(F.col(c)).alias(c) for c in ("l", "k", "x0", "r2")], r6(100 * F.col("mape")).alias("mape"))
 
 
-def project_growth(df, *, series="series", time="month", users="users", months=24, **kwargs):
-    """The fitted curve over the next months: whole users and saturation in % of the ceiling."""
-    fits = logistic_params(df, series=series, time=time, users=users, **kwargs).select("series", "l", "k", "x0")
-    last = _with_months(df, series, time, users).groupBy("series").agg(
-        F.max("month").alias("last_month"), F.max("x").alias("last_x")
-    )
+def project_growth(df, *, months=24, **kwargs):
+    """Each series' latest regime over the next months: whole users and saturation in % of the ceiling."""
+    fits = logistic_params(df, **kwargs)
+    latest = Window.partitionBy("series").orderBy(F.desc("last_month"))
+    fits = fits.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
     ahead = F.explode(F.sequence(F.lit(1), F.lit(months))).alias("i")
     value = logistic_value(F.col("last_x") + F.col("i"), F.col("l"), F.col("k"), F.col("x0"))
     users_then = F.floor(F.round(value, 6)).cast("bigint")
     return (
-        fits.join(last, "series")
-        .select("*", ahead)
+        fits.select("*", ahead)
         .select(
             "series",
+            "regime",
             C.naive(F.add_months(F.to_date("last_month"), F.col("i"))).alias("month"),
             users_then.alias("users"),
             F.col("l"),

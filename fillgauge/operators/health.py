@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
+from fillgauge.operators import snapshots
 
 
 def top_k(df: DataFrame, metric: str, k: int, tie: str, descending: bool = True) -> DataFrame:
@@ -94,6 +95,20 @@ def snapshot_health(df, *, time="ts", weight=1.5, **columns):
     return with_health_score(df.groupBy(time).agg(*snapshot_aggregates(**columns)), weight)
 
 
+def health_states(spans, *, time="ts", level="bikes", docks="docks", capacity="capacity", empty=D.EMPTY_BELOW, full=D.FULL_BELOW, weight=1.5):
+    """``snapshot_health`` of spans of readings: a row for each frame in which the network changes.
+
+    A frame in which no station is present has no score.
+    """
+    sums = {
+        "total_bikes": F.col(level), "total_capacity": F.col(capacity),
+        "empty_stations": C.is_empty(level, empty), "full_stations": C.is_full(docks, full),
+    }
+    rows = snapshots.states(spans, sums, time=time).withColumnRenamed("present", "total_stations")
+    scored = with_health_score(rows, weight)
+    return scored.withColumn("health_score", F.when(F.col("total_stations") > 0, F.col("health_score")))
+
+
 def station_means(
     df, *, key="station_id", level="bikes", docks="docks", capacity="capacity", empty=D.EMPTY_BELOW, full=D.FULL_BELOW
 ):

@@ -1,17 +1,21 @@
 """Shortage and demand models with Spark ML boosted trees.
 
-Boosting stops once its validation rows, the last fifth of each station's
-training rows, have not scored better for ``PATIENCE`` rounds, and keeps the best
-round. Quality is measured on other rows still, by the same jobs as any other
-score.
+Boosting ends where its validation rows, the last fifth of each station's training
+rows, have not scored better for ``PATIENCE`` rounds, and keeps the best round: all
+rounds are grown in one fit, every round is scored in one pass over the validation
+rows, and the ensemble is cut to its first trees, which are those of a shorter fit.
+Quality is measured on other rows still, by the same jobs as any other score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -32,18 +36,38 @@ TREND_FEATURES = ("trend_15min", "velocity", "acceleration")
 WEATHER_FEATURES = ("rain", "wind", "temp")
 ALL_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES, *WEATHER_FEATURES)
 SHARED_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES)
-#: Rounds without a better score on the validation rows that end boosting, and rounds grown beyond it at first.
+#: Rounds without a better score on the validation rows that end boosting.
 PATIENCE = 50
-FIRST_ROUNDS = 10
+#: Fits that run side by side in a sweep.
+FITS_AT_ONCE = 2
 TRAIN_PARTITION_ROWS = 100_000
 DELTA_FEATURES = (*TIME_FEATURES, "occupancy", "rain", "temp")
+SHARED_DELTA_FEATURES = (*TIME_FEATURES, "occupancy")
 
 
-def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", horizon=D.HORIZON_ROWS, max_rows=D.MAX_SLICE_ROWS) -> DataFrame:
-    """Features, look-ahead labels and the train / valid / test part of each row.
+def label_columns() -> dict[str, Column]:
+    """What is foretold, from the reading a horizon ahead."""
+    return {
+        "will_be_empty": C.flag(F.col("future_bikes") < D.EMPTY_BELOW),
+        "will_be_full": C.flag(F.col("future_docks") < D.FULL_BELOW),
+    }
+
+
+def model_frame(
+    df: DataFrame,
+    *,
+    key="station_id",
+    time="ts",
+    tie="event_id",
+    horizon=D.HORIZON_ROWS,
+    max_rows=D.MAX_SLICE_ROWS,
+    labels: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Features, look-ahead ``labels`` and the train / valid / test part of each row.
 
     Past and future values come from one sliced pass over the station's readings.
     """
+    labels = label_columns() if labels is None else labels
     rows = shift(
         df,
         key,
@@ -79,8 +103,7 @@ def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", h
             "trend_15min": F.coalesce(
                 (F.col("bikes") - F.col("_b3")) / (F.col("capacity") + F.lit(0.001)), F.lit(0.0)
             ),
-            "will_be_empty": C.flag(F.col("future_bikes") < D.EMPTY_BELOW),
-            "will_be_full": C.flag(F.col("future_docks") < D.FULL_BELOW),
+            **labels,
             **weather,
         }
     ).drop("_b1", "_b2", "_b3", "future_bikes", "future_docks")
@@ -91,7 +114,7 @@ def model_frame(df: DataFrame, *, key="station_id", time="ts", tie="event_id", h
         F.when(rank > test_from, "test").when(rank > F.floor(test_from * D.TRAIN_FRACTION), "valid").otherwise("train")
     )
     kept = [c for c in ALL_FEATURES if c in featured.columns]
-    return featured.select(key, tie, *kept, "will_be_empty", "will_be_full", part.alias("part"))
+    return featured.select(key, tie, *kept, *labels, part.alias("part"))
 
 
 def publish_model(model: PipelineModel, metrics: DataFrame, path: str) -> None:
@@ -100,24 +123,53 @@ def publish_model(model: PipelineModel, metrics: DataFrame, path: str) -> None:
     metrics.write.parquet(f"{path}/metrics")
 
 
-def best_rounds(fit, valid: DataFrame, score, rounds: int, patience: int) -> tuple[object, int]:
-    """The fit with as many rounds as score best on ``valid``, and their number.
-
-    ``fit(n)`` grows ``n`` trees, the first of which are those of any smaller
-    ``n``. Rounds are added until the best one lies ``patience`` rounds back or
-    all are grown; the fit is then cut back to its best round. Without
-    validation rows all rounds are kept.
-    """
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """The best round up to the first stretch of ``patience`` rounds without a better one."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def ensemble(model: PipelineModel, trees: Sequence, tree_weights: Sequence[float]) -> PipelineModel:
+    """The fitted pipeline with these trees in place of its own: a boosted model is the weighted sum of its trees."""
+    assembler, boosted = model.stages
+    jvm, gateway = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._gateway
+    held = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    share = gateway.new_array(gateway.jvm.double, len(trees))
+    for k, (tree, weight) in enumerate(zip(trees, tree_weights)):
+        held[k], share[k] = tree, float(weight)
+    kind = getattr(jvm.org.apache.spark.ml, "classification" if isinstance(boosted, GBTClassificationModel) else "regression")
+    java = getattr(kind, type(boosted).__name__)(boosted.uid, held, share)
+    joined = type(boosted)(java)
+    for param in boosted.params:
+        if boosted.isSet(param) and joined.hasParam(param.name):
+            joined.set(joined.getParam(param.name), boosted.getOrDefault(param))
+    joined._transfer_params_to_java()
+    return PipelineModel([assembler, joined])
+
+
+def first_trees(model: PipelineModel, n: int) -> PipelineModel:
+    """The model as it was after ``n`` rounds."""
+    boosted = model.stages[-1]
+    return ensemble(model, list(boosted._java_obj.trees())[:n], list(boosted.treeWeights)[:n])
+
+
+def added(model: PipelineModel, more: PipelineModel) -> PipelineModel:
+    """One additive model that predicts the sum of two regressions over the same inputs."""
+    boosted = [m.stages[-1] for m in (model, more)]
+    return ensemble(model, [t for b in boosted for t in b._java_obj.trees()], [w for b in boosted for w in b.treeWeights])
+
+
+def stopped(model: PipelineModel, valid: DataFrame, score: Callable[[PipelineModel, DataFrame], Sequence[float]], patience: int) -> PipelineModel:
+    """The model cut to the round that scores best on ``valid``; without validation rows all rounds stay."""
     if valid.isEmpty():
-        return fit(rounds), rounds
-    grown = min(rounds, patience + FIRST_ROUNDS)
-    while True:
-        model = fit(grown)
-        losses = score(model, valid)
-        best = min(range(len(losses)), key=losses.__getitem__) + 1
-        if grown >= rounds or best + patience <= grown:
-            return (model if best == grown else fit(best)), best
-        grown = min(rounds, 2 * grown)
+        return model
+    best = best_round(score(model, valid), patience)
+    return model if best == tree_count(model) else first_trees(model, best)
 
 
 def _grown(model: PipelineModel, valid: DataFrame) -> list[float]:
@@ -143,23 +195,19 @@ def fit_classifier(
         return rows.withColumns({"label": F.col(target).cast("double"), "weight": heavy})
 
     rows = weighted(train).coalesce(partitions_for(n))
-
-    def fit(trees: int) -> PipelineModel:
-        boosted = GBTClassifier(
-            featuresCol="features",
-            labelCol="label",
-            weightCol="weight",
-            maxIter=trees,
-            maxDepth=6,
-            stepSize=step,
-            subsamplingRate=0.8,
-            featureSubsetStrategy="0.8",
-            seed=seed,
-        )
-        assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-        return Pipeline(stages=[assemble, boosted]).fit(rows)
-
-    return best_rounds(fit, weighted(valid), _grown, rounds, patience)[0]
+    boosted = GBTClassifier(
+        featuresCol="features",
+        labelCol="label",
+        weightCol="weight",
+        maxIter=rounds,
+        maxDepth=6,
+        stepSize=step,
+        subsamplingRate=0.8,
+        featureSubsetStrategy="0.8",
+        seed=seed,
+    )
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
+    return stopped(Pipeline(stages=[assemble, boosted]).fit(rows), weighted(valid), _grown, patience)
 
 
 def partitions_for(rows: int) -> int:
@@ -212,10 +260,9 @@ def delta_frame(df: DataFrame, **columns) -> DataFrame:
             "dow_cos": dc,
             "is_weekend": C.weekend(dow),
             "is_rush_hour": C.in_ranges(hour, D.RUSH_COMMUTE_LONG),
-            "rain": F.col("rain").cast("double"),
-            "temp": F.col("temp").cast("double"),
+            **{c: F.col(c).cast("double") for c in ("rain", "temp") if c in df.columns},
         }
-    ).select("event_id", "delta_next", *DELTA_FEATURES)
+    ).select("event_id", "delta_next", *[c for c in DELTA_FEATURES if c not in ("rain", "temp") or c in df.columns])
 
 
 def regression_part() -> Column:
@@ -225,31 +272,34 @@ def regression_part() -> Column:
 
 
 def fit_regressor(
-    frame: DataFrame, features: Sequence[str] = DELTA_FEATURES, rounds: int = 500, seed: int = 42, patience: int = PATIENCE
+    frame: DataFrame,
+    features: Sequence[str] = DELTA_FEATURES,
+    rounds: int = 500,
+    seed: int = 42,
+    patience: int = PATIENCE,
+    target: str = "delta_next",
+    step: float = 0.05,
 ) -> PipelineModel:
-    """Boosted regression of ``delta_next``; a fifth of the events stops it and another is left for testing."""
-    known = frame.where("delta_next is not null").withColumn("part", regression_part())
+    """Boosted regression of ``target``; a fifth of the events stops it and another is left for testing."""
+    known = frame.where(F.col(target).isNotNull()).withColumn("part", regression_part())
     train = known.where("part = 'train'")
     train = train.coalesce(partitions_for(train.count()))
-
-    def fit(trees: int) -> PipelineModel:
-        boosted = GBTRegressor(
-            featuresCol="features",
-            labelCol="delta_next",
-            maxIter=trees,
-            maxDepth=6,
-            stepSize=0.05,
-            subsamplingRate=0.8,
-            featureSubsetStrategy="0.8",
-            seed=seed,
-        )
-        assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-        return Pipeline(stages=[assemble, boosted]).fit(train)
+    boosted = GBTRegressor(
+        featuresCol="features",
+        labelCol=target,
+        maxIter=rounds,
+        maxDepth=6,
+        stepSize=step,
+        subsamplingRate=0.8,
+        featureSubsetStrategy="0.8",
+        seed=seed,
+    )
 
     def losses(model: PipelineModel, valid: DataFrame) -> list[float]:
         return model.stages[-1].evaluateEachIteration(model.stages[0].transform(valid), "squared")
 
-    return best_rounds(fit, known.where("part = 'stop'"), losses, rounds, patience)[0]
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
+    return stopped(Pipeline(stages=[assemble, boosted]).fit(train), known.where("part = 'stop'"), losses, patience)
 
 
 def train_delta_regressor(df, *, features=DELTA_FEATURES, rounds=500, seed=42, **columns):
@@ -321,3 +371,64 @@ def transfer_learn(
         row = E.classification_metrics(scores, threshold=threshold).select(F.lit(name).alias("model"), *E.QUALITY)
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def continued(
+    model: PipelineModel, frame: DataFrame, features: Sequence[str], rounds: int = 500, seed: int = 42, step: float = 0.01,
+) -> PipelineModel:
+    """A regression that starts from a fitted one: trees for what it leaves over, joined to its own."""
+    left = F.col("delta_next") - F.col("prediction")
+    rest = materialise(model.transform(frame).withColumn("left_over", left).drop("features", "prediction"), "left-over")
+    return added(model, fit_regressor(rest, features, rounds, seed, target="left_over", step=step))
+
+
+def transfer_regressor(
+    src: DataFrame, dst: DataFrame, *, features: Sequence[str] = SHARED_DELTA_FEATURES, rounds: int = 500, seed: int = 42, **columns
+) -> DataFrame:
+    """Errors on the test events of ``dst``: a local model, another city's, and that one continued on local events."""
+    source, local = (materialise(delta_frame(d, **columns), "delta-frame") for d in (src, dst))
+    pretrained = fit_regressor(source, features, rounds, seed)
+    models = {
+        "local": fit_regressor(local, features, rounds, seed),
+        "pretrained": pretrained,
+        "transfer": continued(pretrained, local, features, rounds, seed),
+    }
+    test = local.where("delta_next IS NOT NULL").where(regression_part() == "val")
+    out = None
+    for name, model in models.items():
+        row = E.regression_metrics(model.transform(test), y="delta_next", pred="prediction")
+        row = row.select(F.lit(name).alias("model"), "rmse", "mae", "r2", "n", F.lit(tree_count(model)).cast("bigint").alias("n_trees"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def definition_sweep(
+    df: DataFrame, definitions: Mapping[str, Column], now: Mapping[str, Column], *, features: Sequence[str] = ALL_FEATURES,
+    rounds: int = 100, seed: int = 42, **columns,
+) -> DataFrame:
+    """How well each definition of empty can be foretold: a model's best F1 and its threshold, and persistence beside it.
+
+    ``definitions`` say by name when a future reading (``future_bikes``,
+    ``capacity``) is empty, ``now`` when the present one (``bikes``) is. All labels
+    stand in one written frame; the fits run side by side, a few at a time.
+    """
+    names = list(definitions)
+    labels = {f"label_{k}": C.flag(definitions[n]) for k, n in enumerate(names)}
+    labels |= {f"now_{k}": C.flag(now[n]).cast("double") for k, n in enumerate(names)}
+    frame = materialise(model_frame(df, labels=labels, **columns), "definitions-frame")
+
+    def row(k: int) -> DataFrame:
+        model = fit_classifier(frame, f"label_{k}", features, rounds, seed)
+        test = frame.where("part = 'test'")
+        scores = materialise(class_scores(model, test, f"label_{k}"), "definition-scores")
+        best = E.threshold_sweep(scores).orderBy(F.desc("is_best"), F.desc("f1"), "threshold").limit(1)
+        same = E.classification_metrics(test.select(F.col(f"label_{k}").alias("label"), F.col(f"now_{k}").alias("score")))
+        rate = F.lit(scores.agg(100 * F.avg("label")).first()[0])
+        return best.select(
+            F.lit(names[k]).alias("definition"), r6(rate).alias("pct_empty"), "threshold", "precision", "recall", "f1",
+            F.lit(same.first()["f1"]).alias("persistence_f1"), F.lit(tree_count(model)).cast("bigint").alias("n_trees"),
+        )
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        rows = pool.map(inheritable_thread_target(df.sparkSession)(row), range(len(names)))
+    return reduce(DataFrame.unionByName, rows)

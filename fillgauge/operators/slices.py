@@ -5,24 +5,29 @@ order, and one key may own a large share of the table. A count over the key
 column alone tells first whether any key has more than ``max_rows`` rows. If
 none has, a plain window is the best plan: one shuffle, one sort.
 
-Otherwise all rows are sorted into ranges of the key and the whole order, ties
-included, and written once; a row's range is its slice. Ranges are cut by
-sampled rows, so a slice has about as many rows as any other, whether a key's
-rows spread over years or share an instant, and null keys and times are rows
-like any other. Each slice is then ordered on its own and only a bounded part
-crosses slice borders: the first and last rows of a slice for ``shift``, one
-summary row per key and slice for ``ranked`` and ``asof``. Results equal those
-of a plain window over the key.
-
-The input is read twice in either case, once for the count and once for the
-work; everything after the written table reads that. A slice number stands in
-the table, so retried tasks agree on it.
+Otherwise the keys that have more are told apart. The rows of the others still
+take the plain window. Those of the hot ones are sorted into ranges of the key and
+the whole order, ties included, and written once; a row's range is its slice.
+Ranges are cut by sampled rows, so a slice has about as many rows as any other,
+whether a key's rows spread over years or share an instant, and null keys and
+times are rows like any other. There are as many slices as the rows ask for, but no
+more than a few for each core, so that their number follows the cluster and not the
+table; a slice beyond the wanted size is sorted with spilling. Each slice is then
+ordered on its own and only a bounded part crosses slice borders: the first and last
+rows of a slice for ``shift``, one summary row per key and slice for ``ranked`` and
+``asof``. Results equal those of a plain window over the key.
+
+The input is read once for the count; if no key is hot, once for the work; if some
+are, once for the hot rows, once for the others, unless all are hot. Everything after
+the written table reads that. A slice number stands in the table, so retried tasks
+agree on it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,21 +39,48 @@ from fillgauge.session import lookup, materialise
 SLICE = "_slice"
 #: Sampled cuts are uneven, so slices are aimed lower than they may be.
 SLICES_PER_MAX = 1.5
+SLICES_PER_CORE = 4
 
 
-def key_counts(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[int, int]:
-    """How many rows there are, and how many keys have more than ``max_rows`` of them."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > max_rows)).first()
-    return row[0], row[1]
+@dataclass(frozen=True)
+class Hot:
+    """The keys with more than so many rows, a written table with null keys among them, and their rows."""
+
+    keys: Sequence[str]
+    table: DataFrame
+    rows: int
+    all: bool
+
+    def parts(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of hot keys, and the others if there are any."""
+        if self.all:
+            return df, None
+        known = lookup(self.table, list(self.keys))
+        same = _same(df, known, self.keys)
+        return df.join(known, same, "left_semi"), df.join(known, same, "left_anti")
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> Hot | None:
+    """The keys with more than ``max_rows`` rows; None where there are none."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    many = F.col("_n") > max_rows
+    all_rows, hot_rows = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.when(many, F.col("_n"))), F.lit(0))).first()
+    if not hot_rows:
+        return None
+    return Hot(list(keys), materialise(counts.where(many).select(*keys), "hot-keys"), hot_rows, hot_rows == all_rows)
+
+
+def slice_count(rows: int, max_rows: int, cores: int) -> int:
+    """Slices for ``rows`` rows: of the wanted size, but not more than a few for each core."""
+    return max(1, min(math.ceil(SLICES_PER_MAX * rows / max_rows), SLICES_PER_CORE * cores))
 
 
 def with_slice(df: DataFrame, order: Sequence[str | Column], rows: int, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
-    """The rows written in slices, ``_slice``, that follow ``order`` and have up to about ``max_rows`` rows.
+    """The rows written in slices, ``_slice``, that follow ``order``.
 
     ``rows`` is the number of rows. Equal ones share a slice, so ``order`` ends with a tie-breaker.
     """
-    slices = max(1, math.ceil(SLICES_PER_MAX * rows / max_rows))
+    slices = slice_count(rows, max_rows, df.sparkSession.sparkContext.defaultParallelism)
     return materialise(df.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
@@ -78,11 +110,15 @@ def shift(
             for out, (col, offset) in shifts.items()
         }
 
-    rows, hot = key_counts(df if sized_by is None else sized_by, keys, max_rows)
-    if not hot:
-        shifted = df.withColumns(neighbour(across))
+    def plain(some: DataFrame) -> DataFrame:
+        shifted = some.withColumns(neighbour(across))
         return _plain_rank(shifted, keys, order) if rank else shifted
-    sliced = with_slice(df, [*keys, *order], rows, max_rows)
+
+    hot = hot_keys(df if sized_by is None else sized_by, keys, max_rows)
+    if hot is None:
+        return plain(df)
+    dense, others = hot.parts(df)
+    sliced = with_slice(dense, [*keys, *order], hot.rows, max_rows)
     reach = max(abs(offset) for _, offset in shifts.values())
     within = Window.partitionBy(*keys, SLICE).orderBy(*order)
     local = sliced.withColumns(
@@ -104,7 +140,12 @@ def shift(
         side = "_head" if offset < 0 else "_tail"
         border = border.withColumn(out, F.when(F.col(side), F.col(f"_x_{out}")).otherwise(F.col(out)))
     border = border.drop(*[f"_x_{out}" for out in shifts])
-    return local.where("not (_head or _tail)").unionByName(border).drop("_head", "_tail", SLICE)
+    return _with(local.where("not (_head or _tail)").unionByName(border).drop("_head", "_tail", SLICE), others, plain)
+
+
+def _with(found: DataFrame, others: DataFrame | None, plain: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of hot keys, and after them the others by a plain window."""
+    return found if others is None else found.unionByName(plain(others))
 
 
 def _plain_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -146,14 +187,45 @@ def _sliced_rank(df: DataFrame, sliced: DataFrame, keys: Sequence[str], order: S
 
 
 def ranked(
-    df: DataFrame, key: str, order: Sequence[str], max_rows: int = MAX_SLICE_ROWS, sized_by: DataFrame | None = None
+    df: DataFrame,
+    key: str | Sequence[str],
+    order: Sequence[str],
+    max_rows: int = MAX_SLICE_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_rank`` (1-based) and ``_total`` of the row within its key; ``sized_by`` as in ``shift``."""
-    rows, hot = key_counts(df if sized_by is None else sized_by, [key], max_rows)
-    if not hot:
-        return _plain_rank(df, [key], order)
-    sliced = with_slice(df, [key, *order], rows, max_rows)
-    return _sliced_rank(sliced, sliced, [key], order).drop(SLICE)
+    keys = [key] if isinstance(key, str) else list(key)
+    hot = hot_keys(df if sized_by is None else sized_by, keys, max_rows)
+    if hot is None:
+        return _plain_rank(df, keys, order)
+    dense, others = hot.parts(df)
+    sliced = with_slice(dense, [*keys, *order], hot.rows, max_rows)
+    found = _sliced_rank(sliced, sliced, keys, order).drop(SLICE)
+    return _with(found, others, lambda some: _plain_rank(some, keys, order))
+
+
+def shift_by(
+    df: DataFrame,
+    key: str | Sequence[str],
+    order: Sequence[str],
+    value: str,
+    offset: Column,
+    out: str,
+    max_rows: int = MAX_SLICE_ROWS,
+    sized_by: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``out``: ``value`` of the row of the same key that is ``offset`` places ahead, an expression of the row.
+
+    Rows are numbered once and written; a row then joins the one of its number plus
+    its offset. The join is on key and number, so a key's rows spread over all tasks.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    placed = materialise(ranked(df, keys, order, max_rows, sized_by).drop("_total").withColumn("_goal", F.col("_rank") + offset), "numbered")
+    there = placed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_rank").alias("_there"), F.col(value).alias(out))
+    same = F.col("_goal") == F.col("_there")
+    for i, k in enumerate(keys):
+        same = same & placed[k].eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(there, same, "left").select(*[placed[c] for c in df.columns], out)
 
 
 def asof(
@@ -203,11 +275,14 @@ def asof(
         window = Window.partitionBy(*partition).orderBy(*order)
         return F.last("_value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
 
-    rows, hot = key_counts(both, by, max_rows)
-    if not hot:
-        found = both.withColumn("_found", latest(*by))
-        return found.where(~is_reading).select("_row.*", "_found")
-    both = with_slice(both, [*by, *order, "_spread"], rows, max_rows)
+    def plain(some: DataFrame) -> DataFrame:
+        return some.withColumn("_found", latest(*by)).where(~is_reading).select("_row.*", "_found")
+
+    hot = hot_keys(both, by, max_rows)
+    if hot is None:
+        return plain(both)
+    both, others = hot.parts(both)
+    both = with_slice(both, [*by, *order, "_spread"], hot.rows, max_rows)
     earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     last = F.struct("_pos", "_side", "_tie")
     carried = (
@@ -217,7 +292,7 @@ def asof(
     )
     local = both.withColumn("_local", latest(*by, SLICE)).where(~is_reading)
     joined = local.join(carried, _same(local, carried, [*by, SLICE]))
-    return joined.withColumn("_found", F.coalesce("_local", "_carry")).select("_row.*", "_found")
+    return _with(joined.withColumn("_found", F.coalesce("_local", "_carry")).select("_row.*", "_found"), others, plain)
 
 
 def asof_small(

@@ -6,10 +6,12 @@ oracle builds the same views in SQL (see ``plans/oracle.py``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fillgauge.operators import snapshots
 from fillgauge.operators.slices import shift
+from fillgauge.session import materialise
 
 
 SCHEMAS = {
@@ -63,16 +65,20 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snap_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned snapshots: the last reading of each station and day."""
-    kept = ["station_name", "capacity", "bikes", "rain", "wind", "temp"]
-    return (
-        telemetry(spark, sf_dir)
-        .withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-        .groupBy("station_id", F.col("day").alias("snapshot"))
-        .agg(*[F.max_by(c, F.struct("ts", "event_id")).alias(c) for c in kept])
-        .withColumnRenamed("snapshot", "ts")
-    )
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading in its frame of five minutes; the last of a station's frame stands."""
+    kept = ["station_name", "capacity", "bikes", "docks", "rain", "wind", "temp"]
+    return snapshots.aligned(telemetry(spark, sf_dir), values=kept, tie="event_id")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned readings over the frames in which they hold."""
+    return materialise(snapshots.spans(aligned(spark, sf_dir)), "spans")
+
+
+def fleet_sums() -> dict[str, Column]:
+    """What the states of the fleet add up of each span."""
+    return {"bikes": F.col("bikes"), "capacity": F.col("capacity"), "short": F.greatest(F.lit(0), 2 - F.col("bikes"))}
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,22 +125,33 @@ def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative users per series and month."""
-    first = (
-        table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_ts"))
-    )
+    """Users and uses so far, per series and month with new users."""
+    orders = table(spark, sf_dir, "orders")
+    first = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_ts"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    monthly = (
-        first.join(customer, first.o_custkey == customer.c_custkey)
-        .groupBy("c_nationkey", F.date_trunc("month", "first_ts").cast("timestamp_ntz").alias("month"))
-        .agg(F.count("*").alias("new_users"))
+
+    def monthly(rows: DataFrame, time: str, out: str) -> DataFrame:
+        return (
+            rows.join(customer, rows.o_custkey == customer.c_custkey)
+            .groupBy("c_nationkey", F.date_trunc("month", time).cast("timestamp_ntz").alias("month"))
+            .agg(F.count("*").alias(out))
+        )
+
+    so_far = Window.partitionBy("series").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    both = (
+        monthly(first, "first_ts", "new_users")
+        .join(monthly(orders, "o_orderdate", "_uses"), ["c_nationkey", "month"], "full")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(F.col("n_name").alias("series"), "month")
-        .agg(F.sum("new_users").alias("new_users"))
+        .agg(F.sum("new_users").alias("new_users"), F.sum("_uses").alias("_uses"))
+    )
+    return (
+        both.withColumn("users", F.sum("new_users").over(so_far).cast("bigint"))
+        .withColumn("uses", F.sum("_uses").over(so_far).cast("bigint"))
+        .where("new_users IS NOT NULL")
+        .select("series", "month", "new_users", "users", "uses")
     )
-    so_far = Window.partitionBy("series").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    return monthly.withColumn("users", F.sum("new_users").over(so_far).cast("bigint"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
-from fillgauge.operators import clusters, demand, enrich, evaluation, features, fleet, growth, health, learners, pairs, siting
+from fillgauge.operators import clusters, demand, enrich, evaluation, features, fleet, growth, health, learners, pairs, siting, snapshots
 from fillgauge.plans import bindings as B
+from fillgauge.plans import replay
 from fillgauge.session import materialise, prepare, shared_dir
 from fillgauge.sources import cities, feeds, tracking
-from fillgauge.streaming import jobs, replay
+from fillgauge.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # The driver's events are from 2024; the holiday list is a parameter.
 HOLIDAYS = ("2024-01-01", "2024-01-06")
+# Their readings are hours apart, and so are the frames in which changes meet.
+FLOW_SECONDS = 6 * 3600
 
 
 def query(job: Query) -> Query:
@@ -97,15 +100,15 @@ def flatten_station_info(spark, sf_dir):
 
 @query
 def flatten_station_status(spark, sf_dir):
-    """Daily snapshots as feed documents; the feed omits counts of zero."""
+    """Every reading in the feed document of its frame; the feed omits counts of zero."""
     station = F.struct(
         "station_id",
         F.when(F.col("bikes") > 0, F.col("bikes")).alias("num_bikes_available"),
         (F.col("capacity") - F.col("bikes")).alias("num_docks_available"),
     )
     documents = (
-        B.snap_day(spark, sf_dir)
-        .groupBy("ts", F.floor(F.col("station_id") / 1000))
+        B.telemetry(spark, sf_dir)
+        .groupBy(C.floor_time("ts", D.FRAME_SECONDS), F.floor(F.col("station_id") / 1000))
         .agg(F.to_json(F.struct(F.struct(F.collect_list(station).alias("stations")).alias("data"))).alias("payload"))
     )
     return feeds.flatten_station_status(documents)
@@ -148,8 +151,7 @@ def polygon_centroids(spark, sf_dir):
     return feeds.polygon_centroids(documents)
 
 
-@query
-def load_hourly_city(spark, sf_dir):
+def hourly_city(spark, sf_dir) -> DataFrame:
     """Readings per hour as the rental count; its weather from the largest code of the hour."""
     hourly = (
         B.telemetry(spark, sf_dir)
@@ -164,6 +166,9 @@ def load_hourly_city(spark, sf_dir):
     return cities.load_hourly_city(hourly)
 
 
+QUERIES["load_hourly_city"] = lambda spark, sf_dir: hourly_city(prepare(spark), sf_dir)
+
+
 def second_city(spark, sf_dir) -> DataFrame:
     """The second city's pings under their original column names."""
     pings = B.city_b(spark, sf_dir).withColumnsRenamed(
@@ -193,8 +198,9 @@ def first_city(spark, sf_dir) -> DataFrame:
     )
 
 
-def both_cities(spark, sf_dir) -> DataFrame:
-    return cities.unify_cities(first_city(spark, sf_dir), second_city(spark, sf_dir))
+def all_cities(spark, sf_dir, out: str | None = None) -> DataFrame:
+    """Two cities of stations and one that is an hourly series."""
+    return cities.unify_cities(first_city(spark, sf_dir), second_city(spark, sf_dir), hourly_city(spark, sf_dir), out=out)
 
 
 QUERIES["load_station_city"] = lambda spark, sf_dir: second_city(prepare(spark), sf_dir)
@@ -202,8 +208,7 @@ QUERIES["load_station_city"] = lambda spark, sf_dir: second_city(prepare(spark),
 
 @query
 def unify_cities(spark, sf_dir):
-    folder = shared_dir(spark, "cities")
-    return cities.unify_cities(first_city(spark, sf_dir), second_city(spark, sf_dir), out=folder)
+    return all_cities(spark, sf_dir, shared_dir(spark, "cities"))
 
 
 on(B.city_b, "sample_and_cap", tracking.sample_and_cap)
@@ -223,7 +228,14 @@ def export_frames(spark, sf_dir):
 
 # --- projections, predicates, features ----------------------------------------
 
-on(B.telemetry, "occupancy_ratio", features.occupancy_ratio)
+on(
+    B.telemetry,
+    "occupancy_ratio",
+    # the feed omits some capacities, and gives others as 0
+    lambda df: features.occupancy_ratio(
+        df.withColumn("capacity", F.when(F.col("code") % 9 == 1, F.lit(0)).when(F.col("code") % 9 != 0, F.col("capacity")))
+    ),
+)
 on(B.telemetry, "calendar_features", lambda df: iso_date(features.calendar_features(df)))
 on(B.telemetry, "rush_hour_flag", features.rush_hour_flag)
 on(B.telemetry, "holiday_flag", lambda df: features.holiday_flag(df, holidays=HOLIDAYS))
@@ -232,7 +244,7 @@ on(B.telemetry, "weather_label", features.weather_label)
 on(B.telemetry, "cyclic_encode", features.cyclic_encode)
 on(B.telemetry, "status_flags", features.status_flags)
 on(B.telemetry, "minmax_scale", features.minmax_scale)
-on(both_cities, "zscore_by_group", lambda df: features.zscore_by_group(df, col="bikes", key="event_id"))
+on(all_cities, "zscore_by_group", lambda df: features.zscore_by_group(df, col="bikes", key="event_id"))
 on(
     B.telemetry,
     "band_label",
@@ -252,7 +264,7 @@ on(
         "rain",
     ),
 )
-on(both_cities, "transfer_features", features.transfer_features)
+on(all_cities, "transfer_features", features.transfer_features)
 on(B.telemetry, "bike_delta", lambda df: features.bike_delta(df).select("event_id", "station_id", "ts", "delta", "abs_delta"))
 on(B.telemetry, "trend_features", features.trend_features)
 on(B.telemetry, "future_status_target", features.future_status_target)
@@ -292,9 +304,14 @@ def merge_coverage(spark, sf_dir):
     return enrich.merge_coverage(districts, covered)
 
 
+def flows(df: DataFrame) -> DataFrame:
+    """Opposed changes from one frame of readings to the next."""
+    return pairs.infer_flows(snapshots.aligned(df, values=["bikes"], tie="event_id", seconds=FLOW_SECONDS))
+
+
 @query
 def flow_geometry(spark, sf_dir):
-    edges = pairs.infer_flows(B.snap_day(spark, sf_dir))
+    edges = flows(B.telemetry(spark, sf_dir))
     return enrich.flow_geometry(edges, B.stations(spark, sf_dir))
 
 
@@ -313,11 +330,7 @@ def coverage_radius(spark, sf_dir):
 
 on(B.telemetry, "system_overview", health.system_overview)
 on(B.telemetry, "system_health", health.system_health)
-on(
-    lambda spark, sf_dir: B.snap_day(spark, sf_dir).withColumn("docks", F.col("capacity") - F.col("bikes")),
-    "snapshot_health",
-    health.snapshot_health,
-)
+on(B.spans, "snapshot_health", health.health_states)
 on(B.telemetry, "station_stats", health.station_stats)
 on(B.telemetry, "over_under_utilised", lambda df: health.over_under_utilised(df, hi=55, lo=42))
 on(B.telemetry, "ghost_stations", lambda df: health.ghost_stations(df, max_std=5))
@@ -329,19 +342,40 @@ on(B.telemetry, "rain_occupancy_impact", demand.rain_occupancy_impact)
 on(B.telemetry, "weather_activity_impact", demand.weather_activity_impact)
 on(B.telemetry, "weather_correlation", demand.weather_correlation)
 on(B.telemetry, "trips_and_co2", demand.trips_and_co2)
-on(B.snap_day, "fleet_utilisation", fleet.fleet_utilisation)
+
+
+def enough(spans: DataFrame):
+    """The stations that a complete snapshot has, at least."""
+    return F.lit(D.COMPLETE_SHARE) * spans.agg(F.count_distinct("station_id")).scalar()
+
+
+@query
+def fleet_utilisation(spark, sf_dir):
+    """Over the frames in which the snapshot is complete."""
+    spans = B.spans(spark, sf_dir)
+    return fleet.utilisation_of(snapshots.complete(snapshots.states(spans, B.fleet_sums()), enough(spans)))
+
+
 on(B.telemetry, "atypical_days", lambda df: iso_date(demand.atypical_days(df)))
 on(B.telemetry, "stockout_heatmap", demand.stockout_heatmap)
 on(B.telemetry, "occupancy_heatmap", demand.occupancy_heatmap)
 on(B.telemetry, "stockout_roi", demand.stockout_roi)
 on(B.telemetry, "downtime_top", health.downtime_top)
 on(B.telemetry, "depletion_sla", demand.depletion_sla)
-on(B.snap_day, "fleet_deficit", fleet.fleet_deficit)
+
+
+@query
+def fleet_deficit(spark, sf_dir):
+    """Over all frames; a station that is not present lacks its whole buffer."""
+    spans = B.spans(spark, sf_dir)
+    return fleet.deficit_of(snapshots.states(spans, B.fleet_sums()), fleet.station_capacities(spans))
+
+
 on(B.telemetry, "empty_time_risk", health.empty_time_risk)
 on(B.telemetry, "network_risk", health.network_risk)
 on(B.telemetry, "frame_stats", fleet.frame_stats)
 on(B.telemetry, "hourly_profile", demand.hourly_profile)
-on(both_cities, "city_summary", demand.city_summary)
+on(all_cities, "city_summary", demand.city_summary)
 on(B.telemetry, "station_mode", health.station_mode)
 on(B.telemetry, "capacity_frequency", health.capacity_frequency)
 on(B.telemetry, "service_level", health.service_level)
@@ -354,10 +388,11 @@ def cluster_scorecard(spark, sf_dir):
 
 @query
 def complete_snapshots(spark, sf_dir):
-    """Snapshots with at least nine tenths of all stations."""
-    snaps = B.snap_day(spark, sf_dir)
-    need = snaps.agg(F.count_distinct("station_id") * 0.9).scalar()
-    return fleet.complete_snapshots(snaps, min_stations=need)
+    """The spans that begin in a frame in which nine tenths of all stations are present."""
+    spans = B.spans(spark, sf_dir)
+    whole = snapshots.complete(snapshots.states(spans, {}), enough(spans))
+    rows = fleet.of_complete(spans, materialise(whole, "complete"))
+    return rows.select("ts", "until", "station_id", "station_name", "capacity", "bikes", "rain", "wind", "temp")
 
 
 @query
@@ -371,7 +406,7 @@ def health_report(spark, sf_dir):
 
 # --- pairs and clusters ---------------------------------------------------------
 
-on(B.snap_day, "infer_flows", pairs.infer_flows)
+on(B.telemetry, "infer_flows", flows)
 on(B.telemetry, "twin_stations", lambda df: pairs.twin_stations(df, min_overlap=4))
 
 
@@ -417,6 +452,21 @@ def transfer_learn(spark, sf_dir):
     return learners.transfer_learn(source, B.telemetry(spark, sf_dir))
 
 
+@query
+def transfer_regressor(spark, sf_dir):
+    source = B.city_b(spark, sf_dir).withColumn("capacity", F.col("bikes") + F.col("docks"))
+    return learners.transfer_regressor(source, B.telemetry(spark, sf_dir))
+
+
+@query
+def model_definition_sweep(spark, sf_dir):
+    """Empty as fewer than so many bikes, or as a share of the capacity."""
+    future, share = F.col("future_bikes"), F.lit(0.2) * F.col("capacity")
+    definitions = {f"below {k}": future < k for k in D.EMPTY_CANDIDATES} | {"below 20 %": future < share}
+    now = {f"below {k}": F.col("bikes") < k for k in D.EMPTY_CANDIDATES} | {"below 20 %": F.col("bikes") < share}
+    return learners.definition_sweep(B.telemetry(spark, sf_dir), definitions, now)
+
+
 @query
 def feature_importance(spark, sf_dir):
     frame = materialise(learners.model_frame(B.telemetry(spark, sf_dir)), "model-frame")
@@ -458,12 +508,13 @@ def model_comparison(spark, sf_dir):
 
 # --- growth and siting ----------------------------------------------------------
 
-on(B.history, "growth_metrics", growth.growth_metrics)
-on(B.history, "cagr", lambda df: growth.cagr(df, split_date="1996-01-01"))
-on(B.history, "fit_exponential", growth.fit_exponential)
+on(B.history, "growth_metrics", lambda df: growth.growth_metrics(df, uses="uses"))
+REGIME_DATE = "1996-01-01"
 LOGISTIC_BOUNDS = ((0.001, 2.0), (-50, 200))
-on(B.history, "fit_logistic", lambda df: growth.fit_logistic(df, bounds=LOGISTIC_BOUNDS))
-on(B.history, "project_growth", lambda df: growth.project_growth(df, bounds=LOGISTIC_BOUNDS))
+on(B.history, "cagr", lambda df: growth.cagr(df, split_date=REGIME_DATE))
+on(B.history, "fit_exponential", lambda df: growth.fit_exponential(df, split_date=REGIME_DATE))
+on(B.history, "fit_logistic", lambda df: growth.fit_logistic(df, bounds=LOGISTIC_BOUNDS, split_date=REGIME_DATE))
+on(B.history, "project_growth", lambda df: growth.project_growth(df, bounds=LOGISTIC_BOUNDS, split_date=REGIME_DATE))
 on(B.districts, "siting_score", siting.siting_score)
 on(B.districts, "siting_top_n", siting.siting_top_n)
 on(B.districts, "priority_distribution", siting.priority_distribution)
@@ -504,7 +555,7 @@ def stream_enrich(spark, sf_dir):
 @query
 def stream_delta(spark, sf_dir):
     df = B.telemetry(spark, sf_dir).select("event_id", "station_id", "ts", "bikes")
-    return streamed(spark, ten_days(df), replay.delta_starter, "delta", "ts").drop("batch")
+    return streamed(spark, ten_days(df), replay.delta_starter, "delta", "ts").where("late = 0").drop("bikes", "late")
 
 
 @query

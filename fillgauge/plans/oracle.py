@@ -20,11 +20,24 @@ FROM (SELECT *, CAST(13 + user_id % 17 AS INT) AS capacity,
         CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) e""",
     "stations": """
 SELECT DISTINCT station_id, station_name, capacity, lat, lon FROM telemetry WHERE station_id % 10 <> 9""",
-    "snap_day": """
-SELECT station_id, station_name, day AS ts, capacity, bikes, CAST(capacity - bikes AS INT) AS docks, rain, wind, temp FROM (
-  SELECT *, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day,
-    row_number() OVER (PARTITION BY station_id, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM telemetry) x
-WHERE rn = 1""",
+    "aligned": """
+SELECT station_id, frame AS ts, station_name, capacity, bikes, docks, rain, wind, temp FROM (
+  SELECT *, row_number() OVER (PARTITION BY station_id, frame ORDER BY ts DESC, event_id DESC) AS rn
+  FROM (SELECT *, make_timestamp(epoch_us(ts) - epoch_us(ts) % 300000000) AS frame FROM telemetry) a) b WHERE rn = 1""",
+    "spans": """
+SELECT *, least(coalesce(lead(ts) OVER (PARTITION BY station_id ORDER BY ts), ts + INTERVAL 1 DAY), ts + INTERVAL 1 DAY) AS until FROM aligned""",
+    # each frame that begins or ends a span, with the spans that hold in it
+    "ends": """
+SELECT ts FROM spans UNION SELECT until AS ts FROM spans WHERE until <= (SELECT max(ts) FROM spans)""",
+    "held": """
+SELECT e.ts, s.station_id, s.bikes, s.capacity, s.docks FROM ends e LEFT JOIN spans s ON s.ts <= e.ts AND e.ts < s.until""",
+    "states": """
+SELECT *, CAST((epoch_us(coalesce(lead(ts) OVER (ORDER BY ts), ts + INTERVAL 5 MINUTE)) - epoch_us(ts)) // 300000000 AS BIGINT) AS frames FROM (
+  SELECT ts, count(station_id) AS present, CAST(coalesce(sum(bikes), 0) AS BIGINT) AS bikes, CAST(coalesce(sum(capacity), 0) AS BIGINT) AS capacity,
+    CAST(coalesce(sum(greatest(0, 2 - bikes)), 0) AS BIGINT) AS short, CAST(count(*) FILTER (bikes < 5) AS BIGINT) AS empty_stations,
+    CAST(count(*) FILTER (docks < 2) AS BIGINT) AS full_stations FROM held GROUP BY ts) x""",
+    "whole_states": """
+SELECT * FROM states WHERE present >= CAST(0.9 AS DOUBLE) * (SELECT count(DISTINCT station_id) FROM spans)""",
     "weather": """
 SELECT event_id, ts, temp, rain, wind, code FROM telemetry WHERE event_type = 'view'""",
     "city_b": """
@@ -40,11 +53,14 @@ LEFT JOIN (SELECT c_nationkey, count(*) AS pop,
   FROM customer GROUP BY c_nationkey) c ON c_nationkey = n_nationkey
 LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey) s ON s_nationkey = n_nationkey""",
     "history": """
-SELECT n_name AS series, month, new_users,
-  CAST(sum(new_users) OVER (PARTITION BY n_name ORDER BY month ROWS UNBOUNDED PRECEDING) AS BIGINT) AS users FROM (
-  SELECT n_name, CAST(date_trunc('month', first_ts) AS TIMESTAMP) AS month, count(*) AS new_users
-  FROM (SELECT o_custkey, min(o_orderdate) AS first_ts FROM orders GROUP BY o_custkey) f
-  JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) m""",
+SELECT series, month, new_users, users, uses FROM (
+  SELECT n_name AS series, month, new_users, CAST(sum(new_users) OVER w AS BIGINT) AS users, CAST(sum(n) OVER w AS BIGINT) AS uses FROM (
+    SELECT c_nationkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n,
+      nullif(count(*) FILTER (first_one), 0) AS new_users
+    FROM (SELECT o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) = 1 AS first_one FROM orders) o
+    JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) m JOIN nation ON n_nationkey = c_nationkey
+  WINDOW w AS (PARTITION BY n_name ORDER BY month ROWS UNBOUNDED PRECEDING)) h
+WHERE new_users IS NOT NULL""",
     "scored": """
 SELECT event_id, station_id, ts, bikes, CAST(future_bikes < 5 AS INT) AS label,
   round(1 - CAST(bikes AS DOUBLE) / capacity, 2) AS score FROM (
@@ -86,11 +102,20 @@ SELECT 'b' AS city, station_id, event_id, ts, bikes, docks, nullif(bikes + docks
   CAST(isodow(ts) >= 6 AS INT) AS is_weekend,
   CAST(hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 14 AND 16 OR hour(ts) BETWEEN 18 AND 20 AS INT) AS is_rush_hour
 FROM city_b""",
+    "hourly_city": """
+SELECT 'dc' AS city, ts, hour, CAST(isodow(ts) - 1 AS INT) AS day_of_week, CAST(isodow(ts) >= 6 AS INT) AS is_weekend,
+  CAST(hour BETWEEN 7 AND 9 OR hour BETWEEN 17 AND 19 AS INT) AS is_rush_hour, CAST(weathersit >= 3 AS INT) AS is_raining,
+  round(cnt / CAST(max(cnt) OVER () AS DOUBLE), 6) AS occupancy, round(temp / 50 * 47 - 8, 6) AS temperature
+FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, CAST(hour(ts) AS INT) AS hour, count(*) AS cnt,
+  max(code) % 5 AS weathersit, max(temp) AS temp FROM telemetry GROUP BY 1, 2) x""",
     "cities": """
-SELECT * FROM first_city
-UNION ALL SELECT *, CAST(NULL AS INT) AS is_raining, CAST(NULL AS DOUBLE) AS temperature FROM second_city""",
+SELECT * FROM first_city UNION ALL BY NAME SELECT * FROM second_city UNION ALL BY NAME SELECT * FROM hourly_city""",
+    "six_hours": """
+SELECT station_id, frame AS ts, bikes FROM (
+  SELECT *, row_number() OVER (PARTITION BY station_id, frame ORDER BY ts DESC, event_id DESC) AS rn
+  FROM (SELECT *, make_timestamp(epoch_us(ts) - epoch_us(ts) % 21600000000) AS frame FROM telemetry) a) b WHERE rn = 1""",
     "moves": """
-SELECT * FROM (SELECT *, CAST(bikes - lag(bikes) OVER (PARTITION BY station_id ORDER BY ts) AS BIGINT) AS delta FROM snap_day) x
+SELECT * FROM (SELECT *, CAST(bikes - lag(bikes) OVER (PARTITION BY station_id ORDER BY ts) AS BIGINT) AS delta FROM six_hours) x
 WHERE delta IS NOT NULL""",
     "flows": """
 SELECT from_id, to_id, abs(r) AS strength FROM (
@@ -117,22 +142,88 @@ FROM (SELECT *, round_even(round(0.3 * sp + 0.25 * sc + 0.2 * si + 0.15 * sd + 0
 SELECT series, month, CAST(users AS DOUBLE) AS y,
   CAST(round_even(date_diff('day', CAST(min(month) OVER (PARTITION BY series) AS DATE), CAST(month AS DATE)) / CAST(30.44 AS DOUBLE), 0) AS DOUBLE) AS x
 FROM history""",
-    "logistic": """
-SELECT s.series, l, k, x0, r2, mape FROM (SELECT DISTINCT series FROM points_xy) s LEFT JOIN (
-  SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(sse, 6), cand) AS rn, 1 - sse / nullif(sst, 0) AS r2 FROM (
-    SELECT p.series, g.cand, g.l, g.k, g.x0, sum((y - g.l / (1 + exp(-g.k * (x - g.x0)))) * (y - g.l / (1 + exp(-g.k * (x - g.x0))))) AS sse,
-      avg(abs(y - g.l / (1 + exp(-g.k * (x - g.x0)))) / y) AS mape, sum(y * y) - sum(y) * sum(y) / count(*) AS sst
-    FROM points_xy p JOIN (
-      SELECT series, cand, l, slope AS k, -intercept / slope AS x0 FROM (
-        SELECT *, (sz - slope * sx) / n AS intercept FROM (
-          SELECT *, (n * sxz - sx * sz) / nullif(n * sxx - sx * sx, 0) AS slope FROM (
-            SELECT series, cand, l, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(z) AS sz, sum(x * x) AS sxx, sum(x * z) AS sxz FROM (
-              SELECT q.series, x, cand, last_y * (100 + cand) / 100.0::DOUBLE AS l, ln(y / (last_y * (100 + cand) / 100.0::DOUBLE - y)) AS z
-              FROM points_xy q JOIN (SELECT series, max_by(y, month) AS last_y FROM points_xy GROUP BY series) m ON m.series = q.series
-              CROSS JOIN (SELECT range AS cand FROM range(1, 301)) c
-              WHERE y > 0 AND y < last_y * (100 + cand) / 100.0::DOUBLE) a GROUP BY 1, 2, 3) b) c WHERE slope IS NOT NULL) d
-      WHERE slope BETWEEN 0.001 AND 2.0 AND -intercept / nullif(slope, 0) BETWEEN -50 AND 200) g ON g.series = p.series
-    GROUP BY 1, 2, 3, 4, 5) e) f ON f.series = s.series AND rn = 1""",
+    "regime_xy": """
+SELECT series, regime, month, CAST(users AS DOUBLE) AS y, CAST(round_even(date_diff('day',
+    CAST(min(month) OVER (PARTITION BY series, regime) AS DATE), CAST(month AS DATE)) / CAST(30.44 AS DOUBLE), 0) AS DOUBLE) AS x,
+  count(*) OVER (PARTITION BY series, regime) AS points
+FROM (SELECT *, CASE WHEN month < TIMESTAMP '1996-01-01' THEN 'pre' ELSE 'post' END AS regime FROM history) h""",
+}
+
+
+LINE = """
+SELECT *, (sz - slope * sx) / n AS intercept FROM (SELECT *, (n * sxz - sx * sz) / nullif(n * sxx - sx * sx, 0) AS slope FROM (
+  SELECT series, regime, cand, v, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(z) AS sz, sum(x * x) AS sxx, sum(x * z) AS sxz
+  FROM ({points}) a GROUP BY ALL) b) c WHERE slope IS NOT NULL"""
+
+
+def started(line: str, value: str, kept: str, where: str) -> str:
+    """The candidate of the least squared error, of those that lines through transformed points give."""
+    return f"""
+SELECT series, regime, {kept} FROM (
+  SELECT p.series, p.regime, cand, v, slope, intercept, row_number() OVER (PARTITION BY p.series, p.regime
+    ORDER BY round(sum((y - {value}) * (y - {value})), 6), cand) AS rn
+  FROM regime_xy p JOIN ({line}) f ON f.series = p.series AND f.regime = p.regime WHERE points >= 3 AND {where}
+  GROUP BY p.series, p.regime, cand, v, slope, intercept) g WHERE rn = 1"""
+
+
+def narrowed(best: str, axes: str, grid: str, linear: str, value: str, kept: str, off: str, inside: str = "true") -> str:
+    """One grid around the best point of the one before."""
+    return f"""
+SELECT series, regime, {kept} FROM (
+  SELECT *, row_number() OVER (PARTITION BY series, regime ORDER BY sse, off, i, j) AS rn FROM (
+    SELECT series, regime, {kept}, {off} AS off, i, j, round(sum((y - {value}) * (y - {value})), 6) AS sse FROM ({linear.format(rows=f"""
+      SELECT p.series, p.regime, p.x, p.y, i, j, {grid} FROM ({best}) s CROSS JOIN ({axes}) h JOIN regime_xy p ON p.series = s.series AND p.regime = s.regime""")}) l
+    WHERE {inside} GROUP BY ALL) m WHERE sse IS NOT NULL AND isfinite(sse)) n WHERE rn = 1"""
+
+
+def exponential_sql() -> str:
+    points = """SELECT q.series, q.regime, x, cand, low * cand / 20.0::DOUBLE AS v, ln(y - low * cand / 20.0::DOUBLE) AS z FROM regime_xy q
+    JOIN (SELECT series, regime, min(y) AS low FROM regime_xy GROUP BY ALL) m ON m.series = q.series AND m.regime = q.regime
+    CROSS JOIN (SELECT range AS cand FROM range(20)) g"""
+    best = started(LINE.format(points=points), "(exp(intercept) * exp(slope * x) + v)", "0.0 AS a, slope AS b, 0.0 AS c, 0.5 * abs(slope) + 0.005 AS w", "true")
+    linear = """SELECT *, avg(y) OVER t - a * avg(e) OVER t AS c FROM (
+      SELECT *, sum((e - em) * (y - ym)) OVER t / nullif(sum((e - em) * (e - em)) OVER t, 0) AS a FROM (
+        SELECT *, avg(e) OVER t AS em, avg(y) OVER t AS ym FROM (SELECT *, exp(b * x) AS e FROM ({rows}) r1) r2
+        WINDOW t AS (PARTITION BY series, regime, i)) r3 WINDOW t AS (PARTITION BY series, regime, i)) r4 WINDOW t AS (PARTITION BY series, regime, i)"""
+    axes = "SELECT range AS i, 0 AS j FROM range(-8, 9)"
+    for _ in range(6):
+        grid = narrowed(best, axes, "b + w * i / 8 AS b, w AS w0", linear, "(a * exp(b * x) + c)", "a, b, c, w0", "abs(i)")
+        best = f"SELECT *, w0 / 4 AS w FROM ({grid}) z"
+    return f"SELECT series, regime, a, b, c FROM ({best}) f"
+
+
+def logistic_sql() -> str:
+    points = """SELECT q.series, q.regime, x, cand, last_y * (100 + cand) / 100.0::DOUBLE AS v, ln(y / (last_y * (100 + cand) / 100.0::DOUBLE - y)) AS z FROM regime_xy q
+    JOIN (SELECT series, regime, max_by(y, month) AS last_y FROM regime_xy GROUP BY ALL) m ON m.series = q.series AND m.regime = q.regime
+    CROSS JOIN (SELECT range AS cand FROM range(1, 301)) g WHERE y > 0 AND y < last_y * (100 + cand) / 100.0::DOUBLE"""
+    within = "slope BETWEEN 0.001 AND 2.0 AND -intercept / nullif(slope, 0) BETWEEN -50 AND 200"
+    best = started(
+        LINE.format(points=points), "(v / (1 + exp(-slope * (x + intercept / slope))))",
+        "0.0 AS l, slope AS k, -intercept / slope AS x0, 0.5 * slope AS kw, 2.0 / slope AS xw", within,
+    )
+    linear = """SELECT *, sum(y * g) OVER t / sum(g * g) OVER t AS l FROM (SELECT *, 1 / (1 + exp(-k * (x - x0))) AS g FROM ({rows}) r1) r2
+      WINDOW t AS (PARTITION BY series, regime, i, j)"""
+    axes = "SELECT i, j FROM (SELECT range AS i FROM range(-4, 5)) a, (SELECT range AS j FROM range(-4, 5)) b"
+    for _ in range(10):
+        grid = narrowed(
+            best, axes, "k + kw * i / 4 AS k, x0 + xw * j / 4 AS x0, kw AS kw0, xw AS xw0", linear, "l * g", "l, k, x0, kw0, xw0",
+            "abs(i) + abs(j)", "k BETWEEN 0.001 AND 2.0 AND x0 BETWEEN -50 AND 200",
+        )
+        best = f"SELECT *, kw0 / 2 AS kw, xw0 / 2 AS xw FROM ({grid}) z"
+    return f"SELECT series, regime, l, k, x0 FROM ({best}) f"
+
+
+def judged(fits: str, value: str, names: str) -> str:
+    """The fits of all series and regimes, nulls where there is none, with R2 and mean relative error."""
+    return f"""
+SELECT p.series, p.regime, {names}, 1 - sum((y - {value}) * (y - {value})) / nullif(sum(y * y) - sum(y) * sum(y) / count(*), 0) AS r2,
+  avg(CASE WHEN y <> 0 THEN abs(y - {value}) / abs(y) END) AS mape, max(month) AS last_month, max(x) AS last_x
+FROM regime_xy p LEFT JOIN ({fits}) f ON f.series = p.series AND f.regime = p.regime GROUP BY p.series, p.regime, {names}"""
+
+
+BINDINGS |= {
+    "exponential": judged(exponential_sql(), "(a * exp(b * x) + c)", "a, b, c"),
+    "logistic": judged(logistic_sql(), "l / (1 + exp(-k * (x - x0)))", "l, k, x0"),
 }
 
 
@@ -202,18 +293,13 @@ SQL["flatten_station_info"] = """
 SELECT station_id, station_name, round(lat, 6) AS lat, round(lon, 6) AS lon,
   CASE WHEN capacity < 16 THEN 0 ELSE capacity END AS capacity FROM stations"""
 SQL["flatten_station_status"] = """
-SELECT station_id, bikes, docks FROM snap_day"""
+SELECT station_id, bikes, docks FROM telemetry"""
 SQL["parse_weather"] = "SELECT event_id, temp, rain, wind, code FROM weather WHERE code <= 90"
 SQL["polygon_centroids"] = """
 SELECT CAST(n_nationkey AS BIGINT) AS district_id, CASE WHEN n_nationkey % 7 = 0 THEN 'Desconocido' ELSE n_name END AS name,
   CASE WHEN n_nationkey % 10 <> 9 THEN round(CAST(n_nationkey AS DOUBLE) + 0.4, 6) END AS lon,
   CASE WHEN n_nationkey % 10 <> 9 THEN CAST(0.4 AS DOUBLE) END AS lat FROM nation"""
-SQL["load_hourly_city"] = """
-SELECT 'dc' AS city, ts, hour, CAST(isodow(ts) - 1 AS INT) AS day_of_week, CAST(isodow(ts) >= 6 AS INT) AS is_weekend,
-  CAST(hour BETWEEN 7 AND 9 OR hour BETWEEN 17 AND 19 AS INT) AS is_rush_hour, CAST(weathersit >= 3 AS INT) AS is_raining,
-  round(cnt / CAST(max(cnt) OVER () AS DOUBLE), 6) AS occupancy, round(temp / 50 * 47 - 8, 6) AS temperature
-FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, CAST(hour(ts) AS INT) AS hour, count(*) AS cnt,
-  max(code) % 5 AS weathersit, max(temp) AS temp FROM telemetry GROUP BY 1, 2) x"""
+SQL["load_hourly_city"] = "SELECT * FROM hourly_city"
 SQL["load_station_city"] = "SELECT * FROM second_city"
 SQL["unify_cities"] = "SELECT * FROM cities"
 SQL["sample_and_cap"] = "SELECT * FROM city_b WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 20 = 0"
@@ -233,7 +319,10 @@ FROM (SELECT {FRAME} AS frame_ts, CAST(floor(station_id / 1000.0::DOUBLE) AS BIG
 
 # --- features --------------------------------------------------------------------
 
-SQL["occupancy_ratio"] = "SELECT station_id, ts, round(occupancy, 6) AS occupancy FROM occ"
+SQL["occupancy_ratio"] = """
+SELECT station_id, ts, capacity, round(coalesce(CAST(bikes AS DOUBLE) / nullif(capacity, 0), 0), 6) AS occupancy FROM (
+  SELECT station_id, ts, bikes, coalesce(nullif(CASE WHEN code % 9 = 1 THEN 0 WHEN code % 9 <> 0 THEN capacity END, 0), bikes + docks) AS capacity
+  FROM telemetry) x"""
 SQL["calendar_features"] = """
 SELECT station_id, ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, hour, day_of_week, CAST(month(ts) AS INT) AS month, dayname(ts) AS day_name,
   CAST(day_of_week >= 5 AS INT) AS is_weekend FROM occ"""
@@ -278,10 +367,11 @@ SELECT city, station_id, event_id, ts AS timestamp, hour, round(sin(2 * pi() * h
   round(cos(2 * pi() * day_of_week / 7.0::DOUBLE), 6) AS dow_cos, is_weekend, is_rush_hour, 0 AS is_holiday, coalesce(is_raining, 0) AS is_raining,
   round(o, 6) AS occupancy,
   round((temperature - avg(temperature) OVER w) / CASE WHEN stddev_samp(temperature) OVER w = 0 THEN 1 ELSE stddev_samp(temperature) OVER w END, 6) AS temp_zscore,
+  CASE WHEN station_id IS NOT NULL THEN delta_next END AS delta_30min,
   delta_next, coalesce(CAST(delta_next > 0.1 AS INT), 0) AS will_increase, coalesce(CAST(delta_next < -0.1 AS INT), 0) AS will_decrease
-FROM (SELECT *, least(greatest(occupancy, 0), 1) AS o,
-    round(lead(least(greatest(occupancy, 0), 1), 6) OVER (PARTITION BY city, station_id ORDER BY ts, event_id) - least(greatest(occupancy, 0), 1), 6) AS delta_next
-  FROM cities) x WINDOW w AS (PARTITION BY city)"""
+FROM (SELECT *, round(CASE WHEN station_id IS NULL THEN lead(o, 1) OVER s ELSE lead(o, 6) OVER s END - o, 6) AS delta_next
+  FROM (SELECT *, least(greatest(occupancy, 0), 1) AS o FROM cities) c
+  WINDOW s AS (PARTITION BY city, station_id ORDER BY ts, event_id)) x WINDOW w AS (PARTITION BY city)"""
 SQL["bike_delta"] = "SELECT event_id, station_id, ts, delta, abs(delta) AS abs_delta FROM deltas"
 SQL["trend_features"] = """
 SELECT event_id, round(coalesce((bikes - b3) / (capacity + 0.001::DOUBLE), 0), 6) AS trend_15min, CAST(velocity AS BIGINT) AS velocity,
@@ -341,7 +431,9 @@ SELECT round(e, 6) AS pct_empty, round(f, 6) AS pct_full, round(100 - e - f, 6)
 SNAPSHOT = """count(*) AS total_stations, CAST(sum(bikes) AS BIGINT) AS total_bikes, CAST(sum(capacity) AS BIGINT) AS total_capacity,
     CAST(sum(CAST(bikes < 5 AS INT)) AS BIGINT) AS empty_stations, CAST(sum(CAST(docks < 2 AS INT)) AS BIGINT) AS full_stations"""
 SCORE = "round(greatest(0, 100 - 150.0::DOUBLE * empty_stations / total_stations - 150.0::DOUBLE * full_stations / total_stations), 6) AS health_score"
-SQL["snapshot_health"] = f"SELECT *, {SCORE} FROM (SELECT ts, {SNAPSHOT} FROM snap_day GROUP BY ts) x"
+SQL["snapshot_health"] = f"""
+SELECT *, CASE WHEN total_stations > 0 THEN {SCORE.removesuffix(" AS health_score")} END AS health_score FROM (
+  SELECT ts, present AS total_stations, bikes AS total_bikes, capacity AS total_capacity, empty_stations, full_stations, frames FROM states) x"""
 SQL["station_stats"] = """
 SELECT station_id, round(avg(bikes), 6) AS bikes, round(avg(capacity), 6) AS capacity, round(100 * avg(occupancy), 6) AS occupancy_pct,
   round(100 * avg(CAST(bikes < 5 AS INT)), 6) AS pct_empty, round(100 * avg(CAST(docks < 2 AS INT)), 6) AS pct_full FROM occ GROUP BY station_id"""
@@ -400,8 +492,8 @@ SQL["fleet_utilisation"] = """
 SELECT capacity, round(m, 6) AS bikes_mean, bikes_min, bikes_max, round(100 * m / nullif(capacity, 0), 6) AS occupancy_pct,
   round(m - capacity * 0.5::DOUBLE, 6) AS diff,
   CASE WHEN m - capacity * 0.5::DOUBLE > 50 THEN 'excess' WHEN m - capacity * 0.5::DOUBLE < -50 THEN 'shortage' ELSE 'balanced' END AS verdict
-FROM (SELECT CAST(min_by(c, ts) AS BIGINT) AS capacity, avg(b) AS m, CAST(min(b) AS BIGINT) AS bikes_min, CAST(max(b) AS BIGINT) AS bikes_max
-  FROM (SELECT ts, sum(bikes) AS b, sum(capacity) AS c FROM snap_day GROUP BY ts) s) x"""
+FROM (SELECT min_by(capacity, ts) AS capacity, CAST(sum(bikes * frames) AS DOUBLE) / sum(frames) AS m, min(bikes) AS bikes_min, max(bikes) AS bikes_max
+  FROM whole_states) x"""
 SQL["atypical_days"] = """
 SELECT CAST(date AS VARCHAR) AS date, activity, round(m, 6) AS mean, round(s, 6) AS std, CASE WHEN activity > m THEN 'MUY ACTIVO' ELSE 'MUY INACTIVO' END AS kind FROM (
   SELECT *, avg(activity) OVER () AS m, stddev_samp(activity) OVER () AS s FROM (
@@ -428,12 +520,11 @@ SELECT cluster, round(stddev_samp(bikes), 6) AS bikes_std, round(100 * avg(CAST(
 FROM telemetry t JOIN assignment a ON a.station_id = t.station_id GROUP BY cluster"""
 SQL["fleet_deficit"] = """
 SELECT fleet, docks, peak_deficit, worst_ts, fleet + peak_deficit AS optimal_fleet, round(100 * peak_deficit / CAST(nullif(fleet, 0) AS DOUBLE), 6) AS growth_pct FROM (
-  SELECT (SELECT CAST(max(b) AS BIGINT) FROM (SELECT sum(bikes) AS b FROM snap_day GROUP BY ts)) AS fleet,
-    (SELECT CAST(sum(c) AS BIGINT) FROM (SELECT max(capacity) AS c FROM snap_day GROUP BY station_id)) AS docks,
+  SELECT (SELECT max(bikes) FROM states) AS fleet,
+    (SELECT CAST(sum(c) AS BIGINT) FROM (SELECT max(capacity) AS c FROM spans GROUP BY station_id)) AS docks,
     (SELECT max(d) FROM g) AS peak_deficit, (SELECT ts FROM g ORDER BY d DESC, ts LIMIT 1) AS worst_ts FROM (SELECT 1) one) x"""
 SQL["complete_snapshots"] = """
-SELECT ts, station_id, station_name, capacity, bikes, rain, wind, temp FROM snap_day
-WHERE ts IN (SELECT ts FROM snap_day GROUP BY ts HAVING count(*) >= 0.9 * (SELECT count(DISTINCT station_id) FROM snap_day))"""
+SELECT ts, until, station_id, station_name, capacity, bikes, rain, wind, temp FROM spans WHERE ts IN (SELECT ts FROM whole_states)"""
 SQL["empty_time_risk"] = """
 SELECT station_id, count(*) AS total_obs, count(*) FILTER (bikes = 0) AS empty_obs, round(100.0::DOUBLE * count(*) FILTER (bikes = 0) / count(*), 6) AS empty_pct,
   round(count(*) FILTER (bikes = 0) * 5 / 60.0::DOUBLE, 6) AS hours_lost FROM telemetry GROUP BY station_id"""
@@ -549,30 +640,22 @@ JOIN (UNPIVOT (SELECT {quality_list(*ALL4)} FROM (SELECT {confusion_sql('label =
 # --- growth and siting -----------------------------------------------------------
 
 SQL["growth_metrics"] = """
-SELECT h.series, h.month, h.users, round(100 * (h.users - p) / CAST(p AS DOUBLE), 6) AS growth_pct, CAST(x AS BIGINT) AS months
+SELECT h.series, h.month, h.users, round(100 * (h.users - p) / CAST(p AS DOUBLE), 6) AS growth_pct, CAST(x AS BIGINT) AS months,
+  round_even(uses / CAST(nullif(h.users, 0) AS DOUBLE), 1) AS uses_per_user
 FROM (SELECT *, lag(users) OVER (PARTITION BY series ORDER BY month) AS p FROM history) h JOIN points_xy q ON q.series = h.series AND q.month = h.month"""
 SQL["cagr"] = """
 SELECT series, regime, "first", "last", round(y, 6) AS years, round(100 * (pow(CAST("last" AS DOUBLE) / nullif("first", 0), 1 / nullif(y, 0)) - 1), 6) AS cagr_pct FROM (
   SELECT series, CASE WHEN month < TIMESTAMP '1996-01-01' THEN 'pre' ELSE 'post' END AS regime, min_by(users, month) AS "first", max_by(users, month) AS "last",
     date_diff('day', CAST(min(month) AS DATE), CAST(max(month) AS DATE)) / CAST(365.25 AS DOUBLE) AS y FROM history GROUP BY 1, 2) x"""
 SQL["fit_exponential"] = """
-SELECT series, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(1 - sse / nullif(sst, 0), 6) AS r2, round(100 * mape, 6) AS mape FROM (
-  SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(sse, 6), cand) AS rn FROM (
-    SELECT p.series, cand, a, b, c, sum((y - (a * exp(b * x) + c)) * (y - (a * exp(b * x) + c))) AS sse, avg(abs(y - (a * exp(b * x) + c)) / y) AS mape,
-      sum(y * y) - sum(y) * sum(y) / count(*) AS sst
-    FROM points_xy p JOIN (
-      SELECT series, cand, c, exp((sz - slope * sx) / n) AS a, slope AS b FROM (SELECT *, (n * sxz - sx * sz) / nullif(n * sxx - sx * sx, 0) AS slope FROM (
-        SELECT series, cand, c, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(z) AS sz, sum(x * x) AS sxx, sum(x * z) AS sxz FROM (
-          SELECT q.series, x, cand, low * cand / 20.0::DOUBLE AS c, ln(y - low * cand / 20.0::DOUBLE) AS z FROM points_xy q
-          JOIN (SELECT series, min(y) AS low FROM points_xy GROUP BY series) m ON m.series = q.series CROSS JOIN (SELECT range AS cand FROM range(20)) g) s
-        GROUP BY 1, 2, 3) t) u WHERE slope IS NOT NULL) f ON f.series = p.series GROUP BY 1, 2, 3, 4, 5) v) w WHERE rn = 1"""
+SELECT series, regime, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(r2, 6) AS r2, round(100 * mape, 6) AS mape FROM exponential"""
 SQL["fit_logistic"] = """
-SELECT series, round(l, 6) AS l, round(k, 6) AS k, round(x0, 6) AS x0, round(r2, 6) AS r2, round(100 * mape, 6) AS mape FROM logistic"""
+SELECT series, regime, round(l, 6) AS l, round(k, 6) AS k, round(x0, 6) AS x0, round(r2, 6) AS r2, round(100 * mape, 6) AS mape FROM logistic"""
 SQL["project_growth"] = """
-SELECT f.series, CAST(CAST(last_month AS DATE) + to_months(CAST(i AS INT)) AS TIMESTAMP) AS month,
+SELECT series, regime, CAST(CAST(last_month AS DATE) + to_months(CAST(i AS INT)) AS TIMESTAMP) AS month,
   CAST(floor(round(l / (1 + exp(-k * (last_x + i - x0))), 6)) AS BIGINT) AS users,
   round(100 * floor(round(l / (1 + exp(-k * (last_x + i - x0))), 6)) / l, 6) AS saturation_pct
-FROM logistic f JOIN (SELECT series, max(month) AS last_month, max(x) AS last_x FROM points_xy GROUP BY series) m ON m.series = f.series
+FROM (SELECT * FROM logistic QUALIFY row_number() OVER (PARTITION BY series ORDER BY last_month DESC) = 1) f
 CROSS JOIN (SELECT range AS i FROM range(1, 25)) g"""
 SQL["siting_score"] = """
 SELECT district, round(0.3 * sp, 6) AS score_population, round(0.25 * sc, 6) AS score_coverage, round(0.2 * si, 6) AS score_income,
@@ -617,8 +700,7 @@ SQL["stream_dedup"] = "SELECT event_id, station_id, ts, bikes FROM telemetry"
 # Helpers of single queries.
 BINDINGS |= {
     "h": "SELECT hour, round(avg(occupancy), 6) AS occ FROM occ GROUP BY hour",
-    "g": """SELECT ts, CAST(sum(greatest(0, 2 - bikes)) + 2 * ((SELECT count(DISTINCT station_id) FROM snap_day) - count(*)) AS BIGINT) AS d
-FROM snap_day GROUP BY ts""",
+    "g": """SELECT ts, CAST(short + 2 * ((SELECT count(DISTINCT station_id) FROM spans) - present) AS BIGINT) AS d FROM states""",
     "swept": SWEPT,
     "defs": DEFS,
     "methods": METHODS,

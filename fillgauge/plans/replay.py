@@ -66,7 +66,8 @@ def to_parquet(job: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, st
 
 
 def delta_starter(stream: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    return stream_delta(stream, out, f"{checkpoint}-state", f"{checkpoint}-log")
+    """Changes and late rows side by side, in folders of their own."""
+    return to_parquet(stream_delta)(stream, out, checkpoint).partitionBy("late")
 
 
 def chained(job: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, str, str], DataStreamWriter]:
@@ -75,7 +76,7 @@ def chained(job: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, str,
     def start(stream: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
         deltas = f"{out}-deltas"
         catch_up(delta_starter(stream, deltas, f"{checkpoint}-deltas"))
-        source = stream.sparkSession.readStream.schema(DELTA_SCHEMA).parquet(deltas)
+        source = stream.sparkSession.readStream.schema(DELTA_SCHEMA).parquet(deltas).where("late = 0")
         return to_parquet(job)(source, out, checkpoint)
 
     return start

@@ -1,12 +1,11 @@
 """Structured Streaming forms of the snapshot jobs.
 
 The jobs take a streaming frame and return one, with event time as TIMESTAMP.
-``stream_delta`` needs each station's last reading across micro-batches and
-writes through ``foreachBatch``.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -14,15 +13,14 @@ from pyspark.sql.streaming import DataStreamWriter
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.operators.health import snapshot_aggregates, with_health_score
-from fillgauge.operators.slices import shift
-from fillgauge.session import drop_path, lookup
 
 WATERMARK = "10 minutes"
 
 
-def read_snapshots(spark: SparkSession, path: str, schema, *, time="ts") -> DataFrame:
-    """A folder of parquet files as a stream; event time becomes TIMESTAMP, which watermarks need."""
-    return spark.readStream.schema(schema).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
+def read_snapshots(spark: SparkSession, path: str, schema, *, time="ts", files: int = 1_000) -> DataFrame:
+    """A folder of parquet files as a stream of ``files`` files at a time; event time becomes TIMESTAMP, which watermarks need."""
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    return read.parquet(path).withColumn(time, F.col(time).cast("timestamp"))
 
 
 def stream_enrich(
@@ -91,57 +89,54 @@ def stream_hourly_activity(deltas: DataFrame, *, time="ts", watermark=WATERMARK)
     )
 
 
+def changes_since(last: tuple | None, rows: pd.DataFrame, time: str, tie: str, level: str, zero_is_missing: bool) -> tuple[pd.DataFrame, tuple | None]:
+    """The rows with their change and whether they are late, and the reading that is the last one now.
+
+    ``last`` is time in microseconds, tie-breaker and level of the last reading so far.
+    """
+    at = rows[time].astype("datetime64[us]")
+    rows = rows.assign(_at=at.astype("int64").where(at.notna(), -(1 << 63))).sort_values(["_at", tie], kind="stable")
+    newer = rows["_at"] > -(1 << 63)
+    if last is not None:
+        newer &= (rows["_at"] > last[0]) | ((rows["_at"] == last[0]) & (rows[tie] > last[1]))
+    now = rows.loc[newer, level].astype("Int64")
+    before = now.shift(1)
+    if len(now) and last is not None:
+        before.iloc[0] = pd.NA if last[2] is None else last[2]
+    if zero_is_missing:
+        before = before.mask((before == 0).fillna(False), now)
+    delta = (now - before).reindex(rows.index)
+    out = rows.drop(columns="_at").assign(delta=delta, late=~newer)
+    if len(now):
+        end = rows.loc[newer].iloc[-1]
+        last = (int(end["_at"]), int(end[tie]), None if pd.isna(end[level]) else int(end[level]))
+    return out, last
+
+
 def stream_delta(
-    stream: DataFrame,
-    out: str,
-    state: str,
-    checkpoint: str,
-    *,
-    key="station_id",
-    time="ts",
-    level="bikes",
-    tie="event_id",
-    zero_is_missing=False,
-    max_rows=D.MAX_SLICE_ROWS,
-    late: str | None = None,
-) -> DataStreamWriter:
+    stream: DataFrame, *, key="station_id", time="ts", level="bikes", tie="event_id", zero_is_missing=False
+) -> DataFrame:
     """Change against the station's last reading, across micro-batches.
 
-    The last reading per station is a table versioned by batch id: batch n reads
-    version n - 1 and writes version n, so a repeated batch gives the same
-    result after any failure; versions older than that are dropped. Within a batch the order is that of the sliced
-    window, so a station with very many readings spreads over tasks. Rows not
-    later than the station's last reading are late: they go, with the batch, to
-    ``late`` (by default beside ``out``) and change nothing.
+    The last reading of each station is keyed state, which Spark keeps with the
+    query's checkpoint and restores after a failure. ``late`` marks rows without a
+    time and those not later than the station's last reading: they change nothing
+    and have no change. A task holds the readings that one station sent in one
+    micro-batch, which ``files`` of ``read_snapshots`` bounds.
     """
-    late = late or f"{out}-late"
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 1:
-            drop_path(spark, f"{state}/version={batch_id - 2}")
-        rows = batch.select(key, time, tie, level).withColumn("_seen", F.lit(False))
-        if batch_id > 0:
-            last = spark.read.parquet(f"{state}/version={batch_id - 1}")
-            known = last.select(
-                key, F.struct(F.col(time).alias("t"), F.col(tie).alias("i")).alias("_last")
-            )
-            met = rows.join(lookup(known, [key]), key, "left")
-            newer = F.col("_last").isNull() | (F.struct(F.col(time).alias("t"), F.col(tie).alias("i")) > F.col("_last"))
-            met.where(~newer).select(key, time, tie, level).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-            rows = met.where(newer).drop("_last").unionByName(last.withColumn("_seen", F.lit(True)))
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(time, tie, level), F.struct(time, tie)).alias("r"))
-        newest.select(key, "r.*").write.mode("overwrite").parquet(f"{state}/version={batch_id}")
-        prev = F.col("_prev")
-        if zero_is_missing:
-            prev = F.when(prev == 0, F.col(level)).otherwise(prev)
-        shift(rows, key, [time, tie], {"_prev": (level, -1)}, max_rows).where("not _seen").withColumn(
-            "delta", (F.col(level) - prev).cast("bigint")
-        ).select(
-            tie, key, time, "delta", F.abs("delta").alias("abs_delta")
-        ).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    rows = stream.select(tie, key, time, level)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", delta bigint, late boolean"
+
+    def step(_, frames, state):
+        last = state.get if state.exists else None
+        out, now = changes_since(last, pd.concat(list(frames)), time, tie, level, zero_is_missing)
+        if now != last:
+            state.update(now)
+        yield out
+
+    found = rows.groupBy(key).applyInPandasWithState(step, schema, "at bigint, tie bigint, level bigint", "append", "NoTimeout")
+    return found.select(tie, key, time, level, "delta", F.abs("delta").alias("abs_delta"), C.flag(F.col("late")).alias("late"))
 
 
 def batch_sink(stream: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
@@ -153,4 +148,4 @@ def batch_sink(stream: DataFrame, out: str, checkpoint: str) -> DataStreamWriter
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
 
 
-DELTA_SCHEMA = "event_id bigint, station_id bigint, ts timestamp, delta bigint, abs_delta bigint"
+DELTA_SCHEMA = "event_id bigint, station_id bigint, ts timestamp, bikes int, delta bigint, abs_delta bigint, late int"

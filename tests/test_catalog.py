@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 ROWS_ONLY = {
     "cluster_stations", "elbow_curve", "train_empty_classifier", "train_full_classifier", "train_delta_regressor",
-    "transfer_learn", "feature_importance", "score_and_label",
+    "transfer_learn", "transfer_regressor", "model_definition_sweep", "feature_importance", "score_and_label",
 }
 
 

@@ -32,7 +32,7 @@ def by_event(df, col):
 
 
 def test_occupancy_without_capacity_is_zero_and_clips_on_request(spark):
-    df = spark.createDataFrame([(1, 0, 0), (2, 3, 0), (3, 12, 10)], "station_id bigint, bikes int, capacity int").withColumn(
+    df = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 0, None), (3, 12, 0, 10)], "station_id bigint, bikes int, docks int, capacity int").withColumn(
         "ts", F.lit(START)
     )
     raw = {r["station_id"]: r["occupancy"] for r in features.occupancy_ratio(df).collect()}
@@ -180,3 +180,23 @@ def test_unified_features_keep_cities_apart(spark):
     )
     got = {r["event_id"]: (r["delta_next"], r["will_increase"], r["will_decrease"]) for r in features.transfer_features(df, horizon=1).collect()}
     assert got == {1: (0.4, 1, 0), 2: (None, 0, 0), 3: (-0.7, 0, 1), 4: (None, 0, 0)}
+
+
+def test_each_series_has_its_own_horizon(spark):
+    """Stations look two rows ahead, the hourly city one, in one pass."""
+    stations = [("a", 1, e, 5 * e, o) for e, o in enumerate((0.1, 0.2, 0.5, 0.9))]
+    hourly = [("dc", None, None, 60 * h, o) for h, o in enumerate((0.3, 0.6, 0.1))]
+    df = spark.createDataFrame(
+        [(c, s, e, START + timedelta(minutes=m), o, 10.0) for c, s, e, m, o in stations + hourly],
+        "city string, station_id bigint, event_id bigint, ts timestamp_ntz, occupancy double, temperature double",
+    )
+    rows = features.transfer_features(df, horizon=2).orderBy("city", "timestamp").collect()
+    assert [r["delta_next"] for r in rows] == [0.4, 0.7, None, None, 0.3, -0.5, None]
+    assert [r["delta_30min"] for r in rows] == [0.4, 0.7, None, None, None, None, None]
+    assert [(r["will_increase"], r["will_decrease"]) for r in rows][4:] == [(1, 0), (0, 1), (0, 0)]
+
+
+def test_occupancy_of_a_station_without_capacity(spark):
+    df = spark.createDataFrame([(1, 3, 9, None), (2, 3, 3, 0), (3, 3, 3, 12)], "station_id bigint, bikes int, docks int, capacity int")
+    got = [(r["capacity"], r["occupancy"]) for r in features.occupancy_ratio(df.withColumn("ts", F.lit(START))).orderBy("station_id").collect()]
+    assert got == [(12, 0.25), (6, 0.5), (12, 0.25)]

@@ -343,15 +343,63 @@ def test_boosting_goes_on_until_patience_ends_it(spark):
 
 
 def test_the_best_round_is_kept():
-    class Rows:
-        def isEmpty(self):  # noqa: N802
-            return False
-
-    grown = []
     losses = [abs(n - 90) for n in range(1, 501)]
-    fit = lambda n: grown.append(n) or n
-    assert learners.best_rounds(fit, Rows(), lambda m, _: losses[:m], 500, 50) == (90, 90) and grown == [60, 120, 240, 90]
-    assert learners.best_rounds(fit, Rows(), lambda m, _: losses[:m], 70, 50) == (70, 70)
+    assert learners.best_round(losses, 50) == 90
+    assert learners.best_round(losses[:70], 50) == 70
+    assert learners.best_round([3, 2, 2, 2, 1], 2) == 2  # patience ends before the last
+    assert learners.best_round([3, 2, 2, 2, 1], 3) == 5
+
+
+def test_a_cut_ensemble_is_a_shorter_fit(spark):
+    rng = random.Random(8)
+    rows = [(i, *(rng.random() for _ in range(3)), "train") for i in range(600)]
+    frame_ = spark.createDataFrame(rows, "event_id bigint, a double, b double, c double, part string").coalesce(1)
+    frame_ = frame_.withColumns({"t": (F.col("a") + F.col("b") > 1).cast("int"), "delta_next": F.col("a") * F.col("b")}).cache()
+    for fit in (
+        lambda n: learners.fit_classifier(frame_, "t", ["a", "b", "c"], n, 1),
+        lambda n: learners.fit_regressor(frame_, ["a", "b", "c"], n, 1, patience=100),
+    ):
+        cut, short = learners.first_trees(fit(12), 5), fit(5)
+        assert learners.tree_count(cut) == learners.tree_count(short) == 5
+        got, want = ([r["prediction"] for r in m.transform(frame_).orderBy("event_id").collect()] for m in (cut, short))
+        assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_a_transferred_regression_beats_both_its_parents(spark):
+    """The local city follows the other one with a shift of its own, and has few events."""
+    rng = random.Random(9)
+
+    def city(n, shift):
+        rows = []
+        for i in range(n):
+            hour, occ = rng.randrange(24), rng.random()
+            y = 0.3 * np.sin(hour / 24 * 2 * np.pi) + 0.4 * (0.5 - occ) * (hour % 7) / 6 + shift * (hour >= 12) + rng.gauss(0, 0.02)
+            rows.append((i, float(np.sin(2 * np.pi * hour / 24)), float(np.cos(2 * np.pi * hour / 24)), occ, float(y)))
+        return spark.createDataFrame(rows, "event_id bigint, hour_sin double, hour_cos double, occupancy double, delta_next double").coalesce(1).cache()
+
+    names = ["hour_sin", "hour_cos", "occupancy"]
+    source, local = city(6000, 0.0), city(300, 0.15)
+    pretrained = learners.fit_regressor(source, names, 150, 1)
+    models = [learners.fit_regressor(local, names, 150, 1), pretrained, learners.continued(pretrained, local, names, 150, 1, step=0.05)]
+    test = city(2000, 0.15)
+    rmse = [first(evaluation.regression_metrics(m.transform(test), y="delta_next", pred="prediction"))["rmse"] for m in models]
+    assert rmse[2] < 0.9 * rmse[0] and rmse[2] < 0.5 * rmse[1]
+    # the sum is one model: what its trees predict together
+    parts = models[2].stages[-1]
+    assert len(parts.treeWeights) == learners.tree_count(models[2]) > learners.tree_count(pretrained)
+
+
+def test_definitions_are_compared_by_models(spark):
+    rows = [(s, 30 * i, 0 if (i // 2) % 24 in (8, 9, 10) else 8 + (s + i) % 3, 20) for s in range(6) for i in range(300)]
+    df = readings(spark, rows)
+    future = F.col("future_bikes")
+    found = learners.definition_sweep(
+        df, {"below 5": future < 5, "never": future < 0}, {"below 5": F.col("bikes") < 5, "never": F.col("bikes") < 0},
+        features=learners.SHARED_FEATURES, rounds=10,
+    )
+    got = {r["definition"]: r for r in found.collect()}
+    assert got["below 5"]["f1"] > max(0.9, got["below 5"]["persistence_f1"]) and 10 < got["below 5"]["pct_empty"] < 15
+    assert got["never"]["f1"] == got["never"]["pct_empty"] == 0
 
 
 def test_regressor_labels_importance_and_published_model(spark, tmp_path):
@@ -401,7 +449,7 @@ def history(spark):
 def test_published_growth_figures(spark, history):
     got = [r["growth_pct"] for r in growth.growth_metrics(history).orderBy("month").collect()]
     assert got == [row[5] for row in HISTORY]
-    per_user = [r[0] for r in history.orderBy("month").select(growth.uses_per_user(F.col("uses"), F.col("users"))).collect()]
+    per_user = [r["uses_per_user"] for r in growth.growth_metrics(history, uses="uses").orderBy("month").collect()]
     assert per_user == [row[4] for row in HISTORY]
 
 
@@ -429,6 +477,65 @@ def test_fits_recover_exact_curves(spark):
     assert all(a["users"] <= b["users"] for a, b in zip(ahead, ahead[1:])) and ahead[-1]["saturation_pct"] <= 100
 
 
+def months_of(n, year=2010):
+    return [datetime(year + i // 12, 1 + i % 12, 1) for i in range(n)]
+
+
+def test_regimes_are_fitted_on_their_own(spark):
+    """Two planted curves, one after the other, each with its time from its own first month."""
+    dates = months_of(100)
+    cut = dates[40]
+    x = lambda d, d0: round((d - d0).days / 30.44)
+    rows = [("s", d, 1e6 * 300 * np.exp(0.031 * x(d, dates[0])) + 2e8) for d in dates[:40]]
+    rows += [("s", d, 2.5e10 / (1 + np.exp(-0.083 * (x(d, cut) - 21.4)))) for d in dates[40:]]
+    df = frame(spark, [(s, d, int(round(y))) for s, d, y in rows], "series string, month timestamp_ntz, users bigint")
+    slow = {r["regime"]: r for r in growth.fit_exponential(df, split_date=str(cut.date())).collect()}["pre"]
+    assert (slow["a"], slow["b"], slow["c"]) == pytest.approx((3e8, 0.031, 2e8), rel=1e-3)
+    fast = {r["regime"]: r for r in growth.fit_logistic(df, split_date=str(cut.date())).collect()}["post"]
+    assert (fast["l"], fast["k"], fast["x0"]) == pytest.approx((2.5e10, 0.083, 21.4), rel=1e-3) and fast["r2"] > 0.999999
+    ahead = growth.project_growth(df, split_date=str(cut.date()), months=2).orderBy("month").collect()
+    want = [2.5e10 / (1 + np.exp(-0.083 * (x(dates[-1], cut) + i - 21.4))) for i in (1, 2)]
+    assert [r["users"] for r in ahead] == pytest.approx(want, rel=1e-4) and {r["regime"] for r in ahead} == {"post"}
+
+
+def test_grids_only_improve_on_the_straight_lines():
+    """The squared error of noisy points never exceeds that of the best line in logarithms or logits."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        x = np.arange(float(rng.integers(4, 60)))
+        y = np.maximum(1, rng.uniform(50, 5000) * np.exp(rng.uniform(-0.05, 0.1) * x) + rng.normal(0, 30, len(x)) + rng.uniform(0, 500))
+        found = growth.exponential_curve(x, y)
+        lines = []
+        for cand in range(20):
+            c = y.min() * cand / 20
+            slope, intercept = np.polyfit(x, np.log(y - c), 1)
+            lines.append(((y - np.exp(intercept + slope * x) - c) ** 2).sum())
+        error = ((y - found["a"] * np.exp(found["b"] * x) - found["c"]) ** 2).sum()
+        assert error <= min(lines) * (1 + 1e-9)
+        y = np.sort(np.maximum(1, 4000 / (1 + np.exp(-0.15 * (x - 20))) * rng.uniform(0.9, 1.1, len(x))))
+        found = growth.logistic_curve(x, y)
+        if found is None:
+            continue
+        lines = []
+        for cand in range(1, 301):
+            top = y[-1] * (100 + cand) / 100
+            slope, intercept = np.polyfit(x, np.log(y / (top - y)), 1)
+            if 0.01 <= slope <= 0.5 and 5 <= -intercept / slope <= 50:
+                lines.append(((y - top / (1 + np.exp(-slope * x - intercept))) ** 2).sum())
+        error = ((y - found["l"] / (1 + np.exp(-found["k"] * (x - found["x0"])))) ** 2).sum()
+        assert error <= min(lines) * (1 + 1e-9)
+
+
+def test_short_flat_and_empty_series_have_no_curve(spark):
+    dates = months_of(3)
+    rows = [("one", dates[0], 5), *(("flat", d, 7) for d in dates), *(("none", d, None) for d in dates), ("two", dates[0], 1), ("two", dates[1], 2)]
+    df = frame(spark, rows, "series string, month timestamp_ntz, users bigint")
+    for fits in (growth.fit_exponential(df), growth.fit_logistic(df)):
+        got = {r["series"]: r["r2"] for r in fits.collect()}
+        assert set(got) == {"one", "flat", "none", "two"} and all(v is None for v in got.values())
+    assert growth.fit_exponential(df.where("false")).count() == 0
+
+
 def test_a_far_ceiling_is_found_and_no_series_vanishes(spark):
     """One series ends at a third of its ceiling; the other falls, so no curve within the bounds fits it."""
     rows = []

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fillgauge.operators.learners import model_frame
-from fillgauge.operators.slices import SLICE, asof, asof_small, ranked, running_sums, shift, with_slice
+from fillgauge.operators.slices import SLICE, asof, asof_small, hot_keys, ranked, running_sums, shift, shift_by, slice_count, with_slice
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +77,37 @@ def test_every_slice_stays_small(request, name):
     assert sum(sizes) == rows.count() and max(sizes) <= 100 and len(sizes) > 8
 
 
+def test_slices_follow_the_cluster():
+    assert slice_count(10**12, 10**6, 10_000) == 40_000
+    assert slice_count(10**12, 10**6, 8) == 32
+    assert slice_count(3 * 10**6, 10**6, 8) == 5
+    assert slice_count(0, 10**6, 8) == 1
+
+
+def test_only_hot_keys_are_sliced(readings, odd_readings):
+    hot = hot_keys(readings, ["station_id"], 100)
+    dense, others = hot.parts(readings)
+    assert [r[0] for r in hot.table.collect()] == [1] and hot.rows == dense.count() == 400 and others.count() == 200
+    # null is a key, and may be hot
+    hot = hot_keys(odd_readings, ["station_id"], 30)
+    assert hot.all and hot.parts(odd_readings)[1] is None and hot.rows == 800
+    assert hot_keys(odd_readings, ["station_id"], 800) is None
+    dense, others = hot_keys(odd_readings, ["station_id"], 40).parts(odd_readings)
+    assert (dense.count(), others.where("station_id is null").count(), others.count()) == (760, 40, 40)
+
+
+@pytest.mark.parametrize("max_rows", [40, 30, 10_000])
+def test_offsets_of_their_own(odd_readings, max_rows):
+    """Each row looks as many rows ahead as it says, also under a null key."""
+    offset = F.col("event_id") % 4
+    ours = shift_by(odd_readings, "station_id", ["ts", "event_id"], "bikes", offset, "then", max_rows=max_rows).select("event_id", "then")
+    w = Window.partitionBy("station_id").orderBy("ts", "event_id")
+    leads = [F.lead("bikes", k).over(w) for k in range(4)]
+    plain = odd_readings.select("event_id", F.coalesce(*[F.when(offset == k, lead) for k, lead in enumerate(leads)]))
+    key = lambda r: r[0]
+    assert sorted(map(tuple, ours.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
 def test_no_row_is_lost_with_nulls_bursts_and_one_instant(odd_readings):
     order = ["ts", "event_id"]
     shifts = {"prev": ("bikes", -2), "next": ("bikes", 1)}

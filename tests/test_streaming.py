@@ -6,34 +6,38 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from fillgauge.operators.features import bike_delta
-from fillgauge.streaming import jobs, replay
+from fillgauge.plans import replay
+from fillgauge.streaming import jobs
 
 START = datetime(2024, 1, 1)
 SCHEMA = "event_id bigint, station_id bigint, ts timestamp_ntz, bikes int, docks int, capacity int"
 
 
 def piece(spark, rows):
-    return spark.createDataFrame([(i, s, START + timedelta(minutes=m), b, 10 - b, 10) for i, s, m, b in rows], SCHEMA)
+    full = [(i, s, START + timedelta(minutes=m), b, None if b is None else 10 - b, 10) for i, s, m, b in rows]
+    return spark.createDataFrame(full, SCHEMA)
 
 
 def result(spark, out):
     return spark.read.parquet(out)
 
 
-@pytest.mark.parametrize("max_rows", [3, 1000])
-def test_deltas_cross_batches(spark, max_rows):
+@pytest.mark.parametrize("zero_is_missing", [False, True])
+def test_deltas_cross_batches(spark, zero_is_missing):
+    """Each piece restarts the query from its checkpoint, so the state outlives it."""
     rng = random.Random(1)
-    rows = [(i, 1 if i % 2 else rng.randrange(5), 5 * i, rng.randrange(10)) for i in range(60)]
-    pieces = [piece(spark, rows[a : a + 20]) for a in (0, 20, 40)]
+    rows = [(i, 1 if i % 2 else rng.randrange(5), 5 * i, rng.choice((None, 0, 3, 9))) for i in range(60)]
+    pieces = [piece(spark, rng.sample(rows[a : a + 20], 20)) for a in (0, 20, 40)]
 
     def start(stream, out, checkpoint):
-        return jobs.stream_delta(stream, out, f"{checkpoint}-state", f"{checkpoint}-log", max_rows=max_rows)
+        return replay.to_parquet(lambda s: jobs.stream_delta(s, zero_is_missing=zero_is_missing))(stream, out, checkpoint)
 
-    got = result(spark, replay.replay(spark, pieces, start, "t")).select("event_id", "delta").collect()
-    expected = bike_delta(piece(spark, rows)).select("event_id", "delta").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+    got = result(spark, replay.replay(spark, pieces, start, "t")).select("event_id", "delta", "abs_delta", "late").collect()
+    expected = bike_delta(piece(spark, rows), zero_is_missing=zero_is_missing).select("event_id", "delta", "abs_delta", F.lit(0)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected)))
 
 
 def test_batches_are_published_as_partitions(spark):
@@ -42,23 +46,22 @@ def test_batches_are_published_as_partitions(spark):
     assert sorted((r["batch"], r["event_id"]) for r in out.collect()) == [(0, 1), (0, 2), (1, 3)]
 
 
-def test_only_the_needed_state_versions_stay(spark, tmp_path):
-    pieces = [piece(spark, [(i, 1, 5 * i, i)]) for i in range(4)]
-
-    def start(stream, out, checkpoint):
-        return jobs.stream_delta(stream, out, f"{tmp_path}/state", f"{checkpoint}-log")
-
-    out = result(spark, replay.replay(spark, pieces, start, "t"))
-    assert {r["event_id"]: r["delta"] for r in out.collect()} == {0: None, 1: 1, 2: 1, 3: 1}
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["version=2", "version=3"]
-
-
 def test_late_rows_change_nothing(spark):
     pieces = [piece(spark, [(1, 1, 0, 5), (2, 1, 10, 7)]), piece(spark, [(3, 1, 5, 0), (4, 1, 15, 6)])]
     path = replay.replay(spark, pieces, replay.delta_starter, "t")
-    assert {r["event_id"]: r["delta"] for r in result(spark, path).collect()} == {1: None, 2: 2, 4: -1}
-    late = result(spark, f"{path}-late")
-    assert [(r["event_id"], r["batch"]) for r in late.collect()] == [(3, 1)]
+    rows = result(spark, path)
+    assert {r["event_id"]: r["delta"] for r in rows.where("late = 0").collect()} == {1: None, 2: 2, 4: -1}
+    assert [(r["event_id"], r["bikes"], r["delta"]) for r in rows.where("late = 1").collect()] == [(3, 0, None)]
+
+
+def test_rows_of_no_time_or_of_the_last_one_are_late(spark):
+    pieces = [
+        spark.createDataFrame([(1, 1, START, 5, 5, 10), (2, 1, None, 7, 5, 10), (3, None, START, 4, 5, 10)], SCHEMA),
+        piece(spark, [(1, 1, 0, 5), (4, 1, 0, 9), (5, None, 5, 1)]),
+    ]
+    rows = result(spark, replay.replay(spark, pieces, replay.delta_starter, "t")).collect()
+    assert sorted((r["event_id"], r["delta"]) for r in rows if not r["late"] and r["delta"] is not None) == [(4, 4), (5, -3)]
+    assert sorted(r["event_id"] for r in rows if r["late"]) == [1, 2]
 
 
 def test_replayed_poll_counts_once(spark):
