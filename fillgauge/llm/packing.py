@@ -21,7 +21,7 @@ ids, and no key brings documents together, so a hot source costs nothing more.
 Target proportions default to those of the data: then all queues end together.
 With others, the mixture holds until a queue ends, and is then scaled to the
 rest; sources without a target come last. Per source, the driver and the tasks
-hold one count.
+hold one count, so more than ``MAX_SOURCES`` are refused.
 
 Results in special cases: a null text is empty; an empty one is its end id
 alone; a null source is the empty source; null or repeated document ids stay as
@@ -49,6 +49,8 @@ from fillgauge.llm import common, tokens
 SEQUENCE = 1024
 #: Sequences in a window of the mixture.
 WINDOW = 64
+#: Sources at most: the driver and every task hold a count of each.
+MAX_SOURCES = 100_000
 
 ENCODED = pa.schema([
     ("part", pa.int64()), ("source", pa.string()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()),
@@ -159,8 +161,9 @@ class Plan:
                 here = min(stop, first + given_then)
                 if here > at:
                     yield at, phase.base + opens + (before_then - before) + (at - first - given), here - at
-                    at = here
-                w += 1
+                    at, w = here, w + 1
+                else:  # a rare source: on to the window that has its next id
+                    w = turns.window(queue, at - first, self.window)
 
     def cuts(self, place: int, length: int) -> Iterator[tuple[int, int, int]]:
         """``(sequence, offset, length)`` of a run of the output, cut at the sequences' ends."""
@@ -233,7 +236,10 @@ def pack(
     counts = session.materialise(encoded.groupBy("source", "part").agg(F.sum("doc_tokens").alias("given")), "packing-counts")
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("source", "part", F.coalesce(F.sum("given").over(earlier), F.lit(0)).alias("base"))
-    totals = {r["source"]: r["given"] for r in counts.groupBy("source").agg(F.sum("given").alias("given")).collect()}
+    by_source = counts.groupBy("source").agg(F.sum("given").alias("given"))
+    totals = {r["source"]: r["given"] for r in by_source.limit(MAX_SOURCES + 1).collect()}
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: name a coarser column than {source_col}")
     plan = Plan(totals, targets, sequence, window)
     placed = encoded.join(session.lookup(bases, ["source", "part"]), ["source", "part"]).withColumn("place", F.col("base") + F.col("local"))
     placed = placed.select("source", "doc_id", "doc_tokens", "place", "width", "ids")

@@ -192,6 +192,24 @@ def test_given_targets_hold_until_a_queue_ends():
     assert places == list(range(2500))
 
 
+def test_a_rare_source_among_very_many_ids_is_found_at_once():
+    plan = packing.Plan({"rare": 2_000, "web": 10**13}, None, 1024, 64)
+    start = time.process_time()
+    places = [place for _, place, _ in plan.spans("rare", 0, 2_000)]
+    assert time.process_time() - start < 1
+    assert len(places) == 2_000 and places == sorted(places)
+    gaps = np.diff(places)
+    assert gaps.min() > 0.99 * 10**13 / 2_000 and gaps.max() < 1.01 * 10**13 / 2_000
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "a b", "en", f"s{i % 4}", 3) for i in range(8)], SCHEMA)
+    with pytest.raises(ValueError, match="sources"):
+        packing.pack(docs, queries.TOKENIZER)
+    assert packing.pack(docs.where("doc_id % 4 > 0"), queries.TOKENIZER).count() > 0
+
+
 # --- near duplicates ------------------------------------------------------------
 
 
@@ -306,17 +324,17 @@ def test_literal_tokens_of_expressions():
         assert url_rules.literals_of(pattern) == want, pattern
 
 
-def random_expression(rng, depth=0):
-    """An expression over few signs, so that it fits many of few-signed URLs."""
+def random_expression(rng, depth=0, repeats=True):
+    """An expression over few signs, so that it fits many of few-signed URLs; nothing repeated within a repeat."""
     kinds = ["a", "b", "1", r"\.", "-", "/", "[^#]", "[ab]", "[.-]", ".", r"\w"]
     out = []
     for _ in range(rng.randrange(1, 5)):
-        roll = rng.random()
-        if depth < 2 and roll < 0.25:
-            inner = "|".join(random_expression(rng, depth + 1) for _ in range(rng.randrange(1, 4)))
-            out.append(f"(?:{inner}){rng.choice(('', '', '?', '*', '+', '{2}'))}")
+        if depth < 2 and rng.random() < 0.25:
+            mark = rng.choice(("", "", "?", "*", "+", "{2}")) if repeats else ""
+            inner = "|".join(random_expression(rng, depth + 1, repeats and not mark) for _ in range(rng.randrange(1, 4)))
+            out.append(f"(?:{inner}){mark}")
         else:
-            out.append(rng.choice(kinds) + rng.choice(("", "", "", "", "?", "*", "+")))
+            out.append(rng.choice(kinds) + (rng.choice(("", "", "", "", "?", "*", "+")) if repeats else ""))
     return "".join(out) + rng.choice(("", "", r"\b", "$")) * (not depth)
 
 
@@ -334,7 +352,7 @@ def test_thousands_of_rules_by_index_and_one_by_one(spark):
     for u, some in fits.items():
         tokens = url_rules.url_tokens(*url_rules.split_url(u))
         assert all(r.literals <= tokens for r in some)
-    assert sum(bool(r.literals) for some in fits.values() for r in some) > 1000
+    assert sum(bool(r.literals) for some in fits.values() for r in some) > 500
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
     for r in url_rules.judge(rows, rules).collect():
         some = fits[urls[r["page_id"]]]
@@ -576,6 +594,22 @@ def test_search_equals_brute_force(spark, kind, monkeypatch):
         assert got == want
 
 
+def test_search_over_many_groups(spark, monkeypatch):
+    """Groups, blocks and strips of a few vectors each."""
+    for name, value in (("GROUP_BYTES", 2_000), ("BLOCK_BYTES", 400), ("STRIP", 64)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(14)
+    rows = [(i, [1.0, 0.5] if i % 4 == 0 else [rng.uniform(-1, 1) for _ in range(2)]) for i in range(400)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 20 == 0, 7, 64)
+    assert {tuple(r) for r in got.collect()} == {(q, r, i, s) for q, r, i, s in slow_search(rows, 7, 64)}
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    rows = spark.createDataFrame([(0, [1e10]), (20, [2e9])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.search(rows, F.col("id") % 20 == 0)
+
+
 def test_search_in_an_empty_table(spark):
     table = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.search(table, F.col("id") % 20 == 0).count() == 0
