@@ -2,6 +2,11 @@
 
 Every stage calls one operator of ``fillgauge.llm``. All but the last return the
 columns of ``documents``; ``n_chars`` follows the text.
+
+Results in special cases: a null, empty or blank text has too few words and goes with
+the first stage; of repeated rows, and of rows that share an id, one stays; rows without
+an id cannot stand for a group and all stay; a null source is a source of its own, the
+empty one; an empty table gives no pieces.
 """
 
 from __future__ import annotations
