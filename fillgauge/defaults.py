@@ -52,6 +52,21 @@ SITING_WEIGHTS = {
 # Day names of the frame export, Monday first.
 DAY_NAMES_ES = ("Lunes", "Martes", "Miércoles", "Jueves", "Viernes", "Sábado", "Domingo")
 
+# Texts of the reports.
+ACTION_EXPAND = "Ampliar Docks (+5)"
+ACTION_REBALANCE = "Rebalanceo Prioritario"
+DAY_BUSY = "MUY ACTIVO"
+DAY_QUIET = "MUY INACTIVO"
+ARCHETYPE_HOME = "RESIDENCIAL (Salen manana)"
+ARCHETYPE_WORK = "TRABAJO/OFICINAS (Llegan manana)"
+ARCHETYPE_LEISURE = "OCIO/HOSTELERIA (Pico mediodia)"
+ARCHETYPE_MIXED = "MIXTO/ROTACION CONSTANTE"
+REASON_PEOPLE = "Alta poblacion (%d hab)"
+REASON_UNSERVED = "Sin cobertura actual (zona desatendida)"
+REASON_SPARSE = "Cobertura insuficiente"
+REASON_INCOME = "Poder adquisitivo alto (sostenibilidad economica)"
+REASON_DENSE = "Alta densidad urbana"
+
 # Source header -> canonical column of the snapshot feed.
 TRACKING_ALIASES = {
     "timestamp": "ts", "id": "station_id", "nombre": "station_name", "name": "station_name",

@@ -13,6 +13,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
 from fillgauge.operators.demand import hourly_profile, hourly_profile_long
@@ -238,10 +239,10 @@ def cluster_archetypes(df, assignment, *, key="station_id", **columns):
     level = {name: F.round(F.col(col) / F.col("n"), 6) for name, col in (("morning", "m"), ("midday", "d"), ("evening", "e"))}
     morning, midday, evening = F.col("morning"), F.col("midday"), F.col("evening")
     label = (
-        F.when((morning < evening) & (morning < midday), "RESIDENCIAL (Salen manana)")
-        .when(morning > evening, "TRABAJO/OFICINAS (Llegan manana)")
-        .when((midday > morning) & (midday > evening), "OCIO/HOSTELERIA (Pico mediodia)")
-        .otherwise("MIXTO/ROTACION CONSTANTE")
+        F.when((morning < evening) & (morning < midday), D.ARCHETYPE_HOME)
+        .when(morning > evening, D.ARCHETYPE_WORK)
+        .when((midday > morning) & (midday > evening), D.ARCHETYPE_LEISURE)
+        .otherwise(D.ARCHETYPE_MIXED)
     )
     return (
         sizes.join(peaks, "cluster")

@@ -210,7 +210,7 @@ def atypical_days(df, *, time="ts", z=1.5, **kwargs):
             "activity",
             r6(F.col("_mean")).alias("mean"),
             r6(F.col("_std")).alias("std"),
-            F.when(away > 0, "MUY ACTIVO").otherwise("MUY INACTIVO").alias("kind"),
+            F.when(away > 0, D.DAY_BUSY).otherwise(D.DAY_QUIET).alias("kind"),
         )
     )
 

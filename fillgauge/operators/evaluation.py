@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
-from fillgauge.operators.features import with_future, with_time_split
-from fillgauge.operators.slices import running_sums
+from fillgauge.operators.features import time_part, with_future
+from fillgauge.operators.slices import running_sums, shift
 
 QUALITY = ("accuracy", "precision", "recall", "f1")
 
@@ -135,13 +135,17 @@ def fixed_vs_pct_threshold(df, *, level="bikes", capacity="capacity", fixed=D.EM
     return both.withColumn("is_winner", C.flag(F.col("method") == winner))
 
 
-def persistence_rows(df, *, level="bikes", empty=D.EMPTY_BELOW, train_fraction=D.TRAIN_FRACTION, **kwargs):
-    """Test rows of the time split with the label and the guess "empty now, empty later"."""
-    future = with_future(df, level=level, **kwargs)
-    split = with_time_split(future, train_fraction=train_fraction, sized_by=df)
-    return split.where("split = 'test'").select(
-        (F.col("future_bikes") < empty).alias("label"), (F.col(level) < empty).alias("guess")
-    )
+def persistence_rows(
+    df, *, key="station_id", time="ts", level="bikes", tie="event_id", empty=D.EMPTY_BELOW, horizon=D.HORIZON_ROWS, train_fraction=D.TRAIN_FRACTION
+):
+    """Test rows of the time split with the label and the guess "empty now, empty later".
+
+    Look-ahead and place come from one pass: a station's last ``horizon`` readings have no future and are not split.
+    """
+    rows = shift(df, key, [time, tie], {"future_bikes": (level, horizon)}, rank=True)
+    n = F.col("_total") - horizon
+    test = (F.col("_rank") <= n) & (time_part(F.col("_rank"), n, train_fraction) == "test") & F.col("future_bikes").isNotNull()
+    return rows.where(test).select((F.col("future_bikes") < empty).alias("label"), (F.col(level) < empty).alias("guess"))
 
 
 def persistence_baseline(df, **kwargs):

@@ -255,18 +255,19 @@ def delta_target(
     return out.select(tie, "delta_next", "will_increase", "will_decrease")
 
 
+def time_part(rank: Column, n: Column, train_fraction: float) -> Column:
+    """``train`` for the first part of ``n`` rows, but not for all where there are two or more."""
+    wanted = F.floor(n * F.lit(float(train_fraction))).cast("bigint")
+    cut = F.when(n < 2, n).otherwise(F.greatest(F.lit(1), F.least(wanted, n - 1)))
+    return F.when(rank <= cut, "train").otherwise("test")
+
+
 def with_time_split(
     df, *, key="station_id", time="ts", tie=ROW_ID, train_fraction=D.TRAIN_FRACTION, sized_by=None
 ):
     """First part of each station's readings is train, the rest test."""
-    n = F.col("_total")
-    wanted = F.floor(n * F.lit(float(train_fraction))).cast("bigint")
-    cut = F.when(n < 2, n).otherwise(F.greatest(F.lit(1), F.least(wanted, n - 1)))
-    return (
-        ranked(df, key, [time, tie], sized_by=sized_by)
-        .withColumn("split", F.when(F.col("_rank") <= cut, "train").otherwise("test"))
-        .drop("_rank", "_total")
-    )
+    rows = ranked(df, key, [time, tie], sized_by=sized_by)
+    return rows.withColumn("split", time_part(F.col("_rank"), F.col("_total"), train_fraction)).drop("_rank", "_total")
 
 
 def time_split(df, *, key="station_id", tie=ROW_ID, **kwargs):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
-from fillgauge.operators import snapshots
+from fillgauge.operators import distinct, snapshots
 
 
 def top_k(df: DataFrame, metric: str, k: int, tie: str, descending: bool = True) -> DataFrame:
@@ -23,21 +23,30 @@ def pct(condition: Column) -> Column:
 
 
 def system_overview(df, *, key="station_id", time="ts", capacity="capacity", approx=False):
-    """Span, stations and volume; ``approx`` counts stations with a sketch."""
-    per_station = df.groupBy(key).agg(
-        F.min(time).alias("first_ts"),
-        F.max(time).alias("last_ts"),
-        F.min_by(capacity, time).alias("cap"),
-        F.count("*").alias("n"),
-    )
-    stations = F.approx_count_distinct(key) if approx else F.count("*")
-    whole = per_station.agg(
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        stations.cast("bigint").alias("n_stations"),
-        F.sum("cap").cast("bigint").alias("capacity_total"),
-        F.sum("n").cast("bigint").alias("n_obs"),
-    )
+    """Span, stations and volume.
+
+    With ``approx``, stations are counted by merged daily sketches, without a row
+    for each station; their capacity is then not known.
+    """
+    if approx:
+        whole = distinct.merged(distinct.daily_sketches(df, key=key, time=time)).select(
+            "first_ts", "last_ts", F.hll_sketch_estimate("keys").cast("bigint").alias("n_stations"),
+            F.lit(None).cast("bigint").alias("capacity_total"), F.col("n_obs").cast("bigint").alias("n_obs"),
+        )
+    else:
+        per_station = df.groupBy(key).agg(
+            F.min(time).alias("first_ts"),
+            F.max(time).alias("last_ts"),
+            F.min_by(capacity, time).alias("cap"),
+            F.count("*").alias("n"),
+        )
+        whole = per_station.agg(
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+            F.count("*").cast("bigint").alias("n_stations"),
+            F.sum("cap").cast("bigint").alias("capacity_total"),
+            F.sum("n").cast("bigint").alias("n_obs"),
+        )
     span = C.micros("last_ts") - C.micros("first_ts")
     days = ((span - F.pmod(span, F.lit(86_400_000_000))) / 86_400_000_000 + 1).cast("bigint")
     return whole.withColumn("days", days).select(
@@ -163,7 +172,7 @@ def downtime_top(df, *, key="station_id", level="bikes", below=D.STOCKOUT_BELOW,
         F.count("*").cast("bigint").alias("total_pings"),
         F.sum(C.is_empty(level, below)).cast("bigint").alias("stockout_pings"),
     ).withColumn("downtime_pct", r6(100 * C.ratio(F.col("stockout_pings"), F.col("total_pings"))))
-    action = F.when(F.col("downtime_pct") > expand_pct, "Ampliar Docks (+5)").otherwise("Rebalanceo Prioritario")
+    action = F.when(F.col("downtime_pct") > expand_pct, D.ACTION_EXPAND).otherwise(D.ACTION_REBALANCE)
     return (
         stats.orderBy(F.col("downtime_pct").desc(), key).limit(n).withColumn("action", action)
     )

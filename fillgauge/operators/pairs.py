@@ -28,6 +28,8 @@ BLOCK = 512
 STRETCH = 4096
 # Bike changes are small numbers, far from that limit; memory sets their stretch.
 CHANGE_STRETCH = 8192
+# Tasks that share the stretches of one block pair: each emits all pairs of its blocks.
+MAX_SPREAD = 64
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -193,7 +195,7 @@ def pair_moments(
     not by the data, are added before ``keep`` looks at them.
     """
     blocks, stretches = block_count(stations, block), block_count(instants, stretch)
-    spread = min(stretches, max(1, df.sparkSession.sparkContext.defaultParallelism // (blocks * (blocks + 1) // 2)))
+    spread = min(stretches, MAX_SPREAD, max(1, df.sparkSession.sparkContext.defaultParallelism // (blocks * (blocks + 1) // 2)))
     cells = in_block_pairs(df.withColumn("tb", _spread(F.col("t"), stretches)), "s", blocks).withColumn("tg", F.pmod("tb", F.lit(spread)))
     if not present_only and spread > 1:
         # A station silent in a group of stretches still pairs with the others there.

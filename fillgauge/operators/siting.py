@@ -61,16 +61,16 @@ def siting_top_n(districts, *, n=5, weights=D.SITING_WEIGHTS):
         F.array(
             F.when(
                 F.round("score_population", 6) > 20,
-                F.concat(F.lit("Alta poblacion ("), F.col("population").cast("string"), F.lit(" hab)")),
+                F.format_string(D.REASON_PEOPLE, F.col("population")),
             ),
-            F.when(stations == 0, F.lit("Sin cobertura actual (zona desatendida)")).when(
-                stations < 2, F.lit("Cobertura insuficiente")
+            F.when(stations == 0, F.lit(D.REASON_UNSERVED)).when(
+                stations < 2, F.lit(D.REASON_SPARSE)
             ),
             F.when(
                 C.band(F.col("income"), D.INCOME_EDGES, D.INCOME_LABELS) == "Alta",
-                F.lit("Poder adquisitivo alto (sostenibilidad economica)"),
+                F.lit(D.REASON_INCOME),
             ),
-            F.when(F.col("density") > 10000, F.lit("Alta densidad urbana")),
+            F.when(F.col("density") > 10000, F.lit(D.REASON_DENSE)),
         )
     )
     return best.select(

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
-from fillgauge.operators import clusters, demand, enrich, evaluation, features, fleet, growth, health, learners, pairs, siting, snapshots
+from fillgauge.operators import clusters, demand, distinct, enrich, evaluation, features, fleet, growth, health, learners, pairs, siting, snapshots
 from fillgauge.plans import bindings as B
 from fillgauge.plans import replay
 from fillgauge.session import materialise, prepare, shared_dir
-from fillgauge.sources import cities, feeds, tracking
+from fillgauge.sources import cities, feeds, results, tracking
 from fillgauge.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,6 +330,11 @@ def coverage_radius(spark, sf_dir):
 
 on(B.telemetry, "system_overview", health.system_overview)
 on(B.telemetry, "system_health", health.system_health)
+on(
+    B.telemetry,
+    "distinct_stations",
+    lambda df: iso_date(distinct.distinct_by_day(materialise(distinct.daily_sketches(df), "daily-sketches"))),
+)
 on(B.spans, "snapshot_health", health.health_states)
 on(B.telemetry, "station_stats", health.station_stats)
 on(B.telemetry, "over_under_utilised", lambda df: health.over_under_utilised(df, hi=55, lo=42))
@@ -522,6 +527,16 @@ on(B.districts, "income_fields", siting.income_fields)
 on(B.districts, "city_totals", siting.city_totals)
 
 
+@query
+def publish_results(spark, sf_dir):
+    """The district ranking as a CSV result: one version, and another that replaces it."""
+    ranking = siting.siting_score(B.districts(spark, sf_dir)).select("district", "score_total", "priority")
+    root = shared_dir(spark, "ranking")
+    results.publish(ranking.where("priority = 'Alta'"), root, "csv")
+    results.publish(ranking, root, "csv")
+    return results.read(spark, root, ranking.schema, "csv")
+
+
 # --- streaming ------------------------------------------------------------------
 
 
@@ -565,6 +580,16 @@ def stream_system_health(spark, sf_dir):
     return streamed(spark, closed(df), start, "health", "ts")
 
 
+@query
+def stream_corrected_health(spark, sf_dir):
+    """Every fifth reading comes a month late, and corrects the windows reported before."""
+    df = B.telemetry(spark, sf_dir).select("event_id", "ts", "bikes", "docks", "capacity")
+    late = F.col("event_id") % 5 == 0
+    pieces = [p.drop("event_id") for p in (*ten_days(df.where(~late)), df.where(late))]
+    out = replay.replay(spark, pieces, jobs.window_partials, "corrected")
+    return jobs.window_totals(spark.read.parquet(out))
+
+
 @query
 def stream_hourly_activity(spark, sf_dir):
     df = B.telemetry(spark, sf_dir).select("event_id", "station_id", "ts", "bikes")

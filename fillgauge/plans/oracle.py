@@ -434,6 +434,12 @@ SCORE = "round(greatest(0, 100 - 150.0::DOUBLE * empty_stations / total_stations
 SQL["snapshot_health"] = f"""
 SELECT *, CASE WHEN total_stations > 0 THEN {SCORE.removesuffix(" AS health_score")} END AS health_score FROM (
   SELECT ts, present AS total_stations, bikes AS total_bikes, capacity AS total_capacity, empty_stations, full_stations, frames FROM states) x"""
+SQL["distinct_stations"] = """
+SELECT CAST(date AS VARCHAR) AS date, n_obs, keys_of_day,
+  (SELECT count(DISTINCT station_id) FROM telemetry t WHERE date_trunc('month', t.ts) = date_trunc('month', d.date)) AS keys_of_month,
+  CAST(sum(new_keys) OVER (ORDER BY date) AS BIGINT) AS keys_so_far
+FROM (SELECT date, count(*) AS n_obs, count(DISTINCT station_id) AS keys_of_day, count(DISTINCT station_id) FILTER (first_day = date) AS new_keys
+  FROM (SELECT CAST(ts AS DATE) AS date, station_id, min(CAST(ts AS DATE)) OVER (PARTITION BY station_id) AS first_day FROM telemetry) x GROUP BY date) d"""
 SQL["station_stats"] = """
 SELECT station_id, round(avg(bikes), 6) AS bikes, round(avg(capacity), 6) AS capacity, round(100 * avg(occupancy), 6) AS occupancy_pct,
   round(100 * avg(CAST(bikes < 5 AS INT)), 6) AS pct_empty, round(100 * avg(CAST(docks < 2 AS INT)), 6) AS pct_full FROM occ GROUP BY station_id"""
@@ -660,6 +666,7 @@ CROSS JOIN (SELECT range AS i FROM range(1, 25)) g"""
 SQL["siting_score"] = """
 SELECT district, round(0.3 * sp, 6) AS score_population, round(0.25 * sc, 6) AS score_coverage, round(0.2 * si, 6) AS score_income,
   round(0.15 * sd, 6) AS score_density, round(0.1 * sl, 6) AS score_connectivity, score_total, priority FROM ranked_districts"""
+SQL["publish_results"] = "SELECT district, score_total, priority FROM ranked_districts"
 SQL["siting_top_n"] = """
 SELECT rank, district, score_total, priority, concat_ws(', ',
   CASE WHEN round(0.3 * sp, 6) > 20 THEN concat('Alta poblacion (', population, ' hab)') END,
@@ -694,6 +701,7 @@ FROM telemetry t JOIN stations s ON s.station_id = t.station_id"""
 SQL["stream_delta"] = SQL["bike_delta"]
 SQL["stream_system_health"] = f"""
 SELECT *, {SCORE} FROM (SELECT {FRAME} AS ts, {SNAPSHOT} FROM telemetry GROUP BY 1) x"""
+SQL["stream_corrected_health"] = SQL["stream_system_health"]
 SQL["stream_hourly_activity"] = "SELECT hour_ts, activity FROM hourly"
 SQL["stream_dedup"] = "SELECT event_id, station_id, ts, bikes FROM telemetry"
 

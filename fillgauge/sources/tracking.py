@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +52,26 @@ def newest(spark: SparkSession, pattern: str) -> str:
     return max(found, key=lambda s: (s.getModificationTime(), s.getPath().toString())).getPath().toString()
 
 
-def header_of(spark: SparkSession, path: str) -> str:
-    """First line of a CSV file or folder; reads one line of one file."""
-    return spark.read.text(path).limit(1).first()[0]
+#: Files whose first lines are read side by side.
+HEADERS_AT_ONCE = 8
+
+
+def header_of(spark: SparkSession, path: str) -> str | None:
+    """First line of a CSV file, None of an empty one; reads one line."""
+    first = spark.read.text(path).limit(1).first()
+    return first[0] if first else None
+
+
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a file, folder or glob by their first lines; one line of each is read."""
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    with ThreadPool(HEADERS_AT_ONCE) as pool:
+        lines = pool.map(inheritable_thread_target(spark)(lambda f: header_of(spark, f)), files)
+    found: dict[str, list[str]] = {}
+    for file, line in zip(files, lines):
+        if line is not None:
+            found.setdefault(line, []).append(file)
+    return found
 
 
 def canonical(header: str, sep: str) -> list[str]:
@@ -71,17 +93,26 @@ def typed(name: str, decimal: str, occupancy_scale: float) -> Column:
 def scan_tracking(
     spark: SparkSession, path: str, *, sep: str | None = None, decimal: str = ".", occupancy_scale: float = 1
 ) -> DataFrame:
-    """Snapshot CSV with canonical names and types.
+    """Snapshot CSV with canonical names and types, of one file, a folder or a glob.
 
-    The separator is taken from the header where it is not given. Everything is
-    read as text under an explicit schema, so nothing is inferred from data.
+    Files are grouped by their headers, and each group is read under its own; a
+    column that a group lacks is null. The separator is taken from the header where
+    it is not given. Everything is read as text under an explicit schema, so nothing
+    is inferred from data.
     """
-    header = header_of(spark, path)
-    sep = sep or (";" if header.count(";") > header.count(",") else ",")
-    names = canonical(header, sep)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).csv(path, sep=sep, header=True, enforceSchema=True)
-    return raw.select(*[typed(n, decimal, occupancy_scale) for n in names])
+    groups = headers(spark, path)
+    if not groups:
+        raise ValueError(f"{path} has no header")
+
+    def read(header: str, files: list[str]) -> DataFrame:
+        mark = sep or (";" if header.count(";") > header.count(",") else ",")
+        names = canonical(header, mark)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.schema(schema).csv(files, sep=mark, header=True, enforceSchema=True)
+        return raw.select(*[typed(n, decimal, occupancy_scale) for n in names])
+
+    scans = [read(h, files) for h, files in sorted(groups.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def scan_newest(spark: SparkSession, pattern: str, **kwargs) -> DataFrame:

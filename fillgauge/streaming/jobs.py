@@ -79,6 +79,28 @@ def stream_system_health(
     return with_health_score(windows, weight).select(F.col("window.start").alias(time), "*").drop("window")
 
 
+def window_partials(stream: DataFrame, out: str, checkpoint: str, *, time="ts", seconds=D.FRAME_SECONDS, **columns) -> DataStreamWriter:
+    """What each micro-batch adds to the totals of each snapshot window, however late its rows are.
+
+    A batch writes a few rows per window it touches, under its number, so repeating
+    it replaces them. ``window_totals`` adds them up: late readings correct windows
+    that were reported before.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        window = C.floor_time(time, seconds).alias(time)
+        sums = batch.where(F.col(time).isNotNull()).groupBy(window).agg(*snapshot_aggregates(**columns))
+        sums.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def window_totals(partials: DataFrame, *, time="ts", weight=1.5) -> DataFrame:
+    """``stream_system_health`` as it stands after all batches so far."""
+    sums = [c for c in partials.columns if c not in (time, "batch")]
+    return with_health_score(partials.groupBy(time).agg(*[F.sum(c).cast("bigint").alias(c) for c in sums]), weight)
+
+
 def stream_hourly_activity(deltas: DataFrame, *, time="ts", watermark=WATERMARK) -> DataFrame:
     """Movements per clock hour from a stream of deltas; rows later than the watermark are dropped."""
     return (

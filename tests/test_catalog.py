@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -38,3 +40,20 @@ def test_query_equals_sql(spark, con, slug):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "tokenizers", "public_tokenizers", "fillgauge.llm", "corpus_pipeline"])
+def test_other_queries_stand_without_the_corpus_part(missing):
+    """A package that only the corpus operators need, or these themselves, may be absent."""
+    code = f"""
+import sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r}:
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Absent())
+import __spark_entry__ as entry
+print(len(entry.queries()), sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()), len(entry.oracle_sql()))
+"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(QUERIES)), "0", str(len(oracle_sql()))]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from fillgauge.operators import clusters, demand, enrich, evaluation, fleet, growth, health, learners, pairs, siting
+from fillgauge.operators import clusters, demand, distinct, enrich, evaluation, fleet, growth, health, learners, pairs, siting
 
 START = datetime(2024, 1, 1)
 
@@ -60,6 +60,24 @@ def test_downtime_action(spark):
     assert got == [(1, 20.0, "Ampliar Docks (+5)"), (2, 10.0, "Rebalanceo Prioritario")]
 
 
+def test_sketches_add_up_over_days(spark):
+    """Errors stay within the bound, few keys are exact, and no plan has a row for each key."""
+    rows = spark.range(400_000).select(
+        F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("station_id"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts")
+    )
+    days = distinct.daily_sketches(rows)
+    found = {str(r["date"]): r for r in distinct.distinct_by_day(days).collect()}
+    truth = {str(r[0]): r[1] for r in rows.groupBy(F.to_date("ts")).agg(F.count_distinct("station_id")).collect()}
+    assert set(found) == set(truth) and all(found[d]["keys_of_day"] == pytest.approx(n, rel=0.05) for d, n in truth.items())
+    total = rows.select("station_id").distinct().count()
+    assert found[max(found)]["keys_so_far"] == pytest.approx(total, rel=0.05) == found[max(found)]["keys_of_month"]
+    plan = health.system_overview(rows.withColumn("capacity", F.lit(1)), approx=True)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[station_id" not in plan and "hll_union_agg" in plan
+    few = readings(spark, [(s, 1440 * d, 1) for d in range(4) for s in range(d, d + 30)] + [(None, 0, 1)])
+    got = distinct.distinct_by_day(distinct.daily_sketches(few)).orderBy("date").collect()
+    assert [(r["keys_of_day"], r["keys_so_far"], r["keys_of_month"]) for r in got] == [(30, 30 + d, 33) for d in range(4)]
+
+
 def test_overview_and_report(spark):
     df = readings(spark, [(1, 0, 5), (1, 1500, 5), (2, 10, 4, 20)])
     got = first(health.system_overview(df))

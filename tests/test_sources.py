@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fillgauge.session import PREFIX, lookup, shared_dir
-from fillgauge.sources import cities, feeds, tracking
+from fillgauge.sources import cities, feeds, results, tracking
 
 START = datetime(2024, 1, 1)
 
@@ -44,6 +44,49 @@ def test_separator_is_taken_from_the_header(spark, tmp_path):
     assert (row["station_id"], row["bikes"], row["occupancy_raw"]) == (1, 3, 0.474)
 
 
+def test_files_with_unlike_headers_are_read_by_their_own(spark, tmp_path):
+    """Two exports of other column orders, one with a column more and another separator, an empty one, and a repeat of the first header."""
+    folder = tmp_path / "the exports"
+    folder.mkdir()
+    (folder / "a.csv").write_text("timestamp,id,name,bicis,docks\n2026-01-01 00:00:00,1,A,3,7\n")
+    (folder / "b.csv").write_text("id;docks;timestamp;bicis;temp\n2;6;2026-01-01 00:05:00;4;12.5\n")
+    (folder / "c.csv").write_text("")
+    (folder / "d.csv").write_text("timestamp,id,name,bicis,docks\n2026-01-01 00:10:00,3,C,5,5\n")
+    rows = tracking.scan_tracking(spark, f"{folder}/*.csv").orderBy("station_id").collect()
+    assert [(r["station_id"], r["bikes"], r["docks"], r["station_name"], r["temp"], r["ts"].minute) for r in rows] == [
+        (1, 3, 7, "A", None, 0), (2, 4, 6, None, 12.5, 5), (3, 5, 5, "C", None, 10),
+    ]
+    assert sorted(map(len, tracking.headers(spark, str(folder)).values())) == [1, 2]
+    assert tracking.scan_tracking(spark, str(folder)).count() == 3
+    with pytest.raises(ValueError):
+        tracking.scan_tracking(spark, f"{folder}/c.csv")
+
+
+def test_a_result_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    root = f"{tmp_path}/result"
+    one = spark.createDataFrame([(1, "é;x"), (2, None)], "id bigint, name string")
+    two = spark.createDataFrame([(3, "y")], "id bigint, name string")
+    broken = spark.range(5).select("id", F.when(F.col("id") < 4, "z").otherwise(F.raise_error(F.lit("killed"))).alias("name"))
+    with pytest.raises(FileNotFoundError):
+        results.read(spark, root, one.schema, "csv")
+    for form in ("csv", "parquet"):
+        at = f"{root}-{form}"
+        results.publish(one, at, form)
+        opened = results.read(spark, at, one.schema, form)
+        with pytest.raises(Exception, match="killed"):
+            results.publish(broken, at, form)
+        assert sorted(map(tuple, results.read(spark, at, one.schema, form).collect())) == [(1, "é;x"), (2, None)]
+        results.publish(two, at, form)
+        # whoever had opened the old version still reads it whole
+        assert opened.count() == 2
+        assert [tuple(r) for r in results.read(spark, at, one.schema, form).collect()] == [(3, "y")]
+        for _ in range(3):
+            results.publish(two, at, form)
+        kept = [p for p in os.listdir(at) if p.startswith("version-")]
+        assert len(kept) == results.KEEP and results.current(spark, at).rsplit("/", 1)[1] == max(kept)
+        assert not [p for p in os.listdir(at) if p.startswith("_pointer")]
+
+
 def test_newest_file_wins(spark, tmp_path):
     for i, name in enumerate(("b.csv", "a.csv")):
         (tmp_path / name).write_text(f"timestamp,id\n2026-01-0{i + 1} 00:00:00,{i}\n")

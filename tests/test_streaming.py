@@ -8,7 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from fillgauge.functions import columns as C
 from fillgauge.operators.features import bike_delta
+from fillgauge.operators.health import snapshot_health
 from fillgauge.plans import replay
 from fillgauge.streaming import jobs
 
@@ -82,6 +84,19 @@ def test_health_windows_close_behind_the_watermark(spark):
     assert got == {START: (2, 1, 1, 0.0), START + timedelta(minutes=40): (2, 0, 0, 100.0)}
 
 
+def test_late_readings_correct_reported_windows(spark):
+    """However the readings are dealt to batches, and though many come late, the totals are those of all of them at once."""
+    rng = random.Random(3)
+    rows = [(i, i % 7, 3 * i, rng.randrange(11)) for i in range(90)]
+    whole = snapshot_health(piece(spark, rows).withColumn("ts", C.floor_time("ts", 300)))
+    for cut in ((30, 60), (89, 90)):
+        dealt = rng.sample(rows, len(rows))
+        pieces = [piece(spark, dealt[a:b]) for a, b in zip((0, *cut), (*cut, 90)) if a < b]
+        out = result(spark, replay.replay(spark, pieces, jobs.window_partials, "t"))
+        got = jobs.window_totals(out).withColumn("ts", C.naive(F.col("ts"))).select(whole.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_hourly_activity_from_deltas(spark):
     pieces = [piece(spark, [(1, 1, 0, 5), (2, 1, 30, 2), (3, 1, 70, 6)]), piece(spark, [(4, 1, 200, 6)])]
     out = result(spark, replay.replay(spark, pieces, replay.chained(jobs.stream_hourly_activity), "t"))
