@@ -108,7 +108,7 @@ def _not_alone(prints: DataFrame) -> DataFrame:
     )
     emitted = emitted.select("print", "side", F.col("half").bitwiseXOR(F.col("bit")).alias("key"))
     shared = emitted.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key")
-    return emitted.join(shared, ["side", "key"], "left_semi").select("print").distinct()
+    return emitted.join(shared.hint("merge"), ["side", "key"], "left_semi").select("print").distinct()
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -163,7 +163,8 @@ def first_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_
     chosen = session.materialise(grouped(found).select(F.col("component_id").alias("doc_id")).distinct().join(rows, "doc_id"), "simhash-first")
     row = F.struct(*(common.column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
     held = docs.select(key.alias("doc_id"), row.alias("row"))
-    single = held.join(chosen.where("rows = 1"), "doc_id", "left_semi")
-    several = held.join(chosen.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row"))
+    # the ids that stay grow with the documents, so at no size are they sent to every task
+    single = held.join(chosen.where("rows = 1").hint("merge"), "doc_id", "left_semi")
+    several = held.join(chosen.where("rows > 1").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row"))
     stay = single.unionByName(several).unionByName(held.where("doc_id IS NULL"))
     return stay.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
