@@ -3,7 +3,8 @@
 A run writes a folder of its own below the result's root and only then renames a small
 pointer file over the old one. A run that dies before leaves the old result as it was;
 a run that is repeated replaces it. A few earlier versions stay for readers that have
-begun; older ones go with the next run, and with them what dead runs left behind.
+begun, named in the pointer after the current one; all others go with the next run, and
+with them what dead runs left behind.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from fillgauge.session import drop_path
 
-POINTER = "_current"
+POINTER = "CURRENT"
 KEEP = 2
 
 
@@ -26,12 +27,12 @@ def _hadoop(spark: SparkSession, path: str):
     return jvm, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _swap(spark: SparkSession, root: str, version: str) -> None:
+def _swap(spark: SparkSession, root: str, versions: list[str]) -> None:
     """Write the pointer beside the old one and rename it over that."""
     jvm, target, fs = _hadoop(spark, f"{root}/{POINTER}")
     fresh = jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer-{uuid.uuid4().hex}")
     stream = fs.create(fresh)
-    stream.write(bytearray(version.encode()))
+    stream.write(bytearray("\n".join(versions).encode()))
     stream.close()
     kind = jvm.org.apache.hadoop.fs.Options.Rename
     how = spark.sparkContext._gateway.new_array(kind, 1)
@@ -41,12 +42,18 @@ def _swap(spark: SparkSession, root: str, version: str) -> None:
     )
 
 
-def current(spark: SparkSession, root: str) -> str | None:
-    """The folder of the published version; None before the first."""
+def published(spark: SparkSession, root: str) -> list[str]:
+    """The versions that readers may use, the current one first; none before the first run."""
     _, target, fs = _hadoop(spark, f"{root}/{POINTER}")
     if not fs.exists(target):
-        return None
-    return f"{root}/{spark.read.text(f'{root}/{POINTER}').first()[0]}"
+        return []
+    return spark.read.text(f"{root}/{POINTER}", wholetext=True).first()[0].split("\n")
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The folder of the published version; None before the first."""
+    versions = published(spark, root)
+    return f"{root}/{versions[0]}" if versions else None
 
 
 def publish(df: DataFrame, root: str, form: str = "parquet", keep: int = KEEP, **options) -> str:
@@ -55,12 +62,13 @@ def publish(df: DataFrame, root: str, form: str = "parquet", keep: int = KEEP, *
     version = f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     writer = df.write.mode("errorifexists").format(form)
     (writer.option("header", True) if form == "csv" else writer).options(**options).save(f"{root}/{version}")
-    _swap(spark, root, version)
+    kept = [version, *published(spark, root)][:keep]
+    _swap(spark, root, kept)
     jvm, _, fs = _hadoop(spark, root)
-    found = sorted(s.getPath().getName() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/version-*")) or ())
-    older = [v for v in found if v < version]
-    for name in older[: max(0, len(older) - keep + 1)]:
-        drop_path(spark, f"{root}/{name}")
+    found = [s.getPath().getName() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/version-*")) or ()]
+    for name in found:
+        if name < version and name not in kept:
+            drop_path(spark, f"{root}/{name}")
     return f"{root}/{version}"
 
 
