@@ -246,7 +246,7 @@ def test_primes_keep_float32_sums_exact():
         hard_negatives.moduli(1 << 62)
 
 
-@pytest.mark.parametrize("most", [1, 150, 5_000, 10**6, 3 * 10**8])
+@pytest.mark.parametrize("most", [1, 150, 5_000, 10**6, 10**8])
 @pytest.mark.parametrize("dims", [0, 1, 64, 65, 300])
 def test_residue_products_are_exact(most, dims):
     rng = np.random.default_rng(dims + most)
