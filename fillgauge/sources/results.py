@@ -4,7 +4,8 @@ A run writes a folder of its own below the result's root and only then renames a
 pointer file over the old one. A run that dies before leaves the old result as it was;
 a run that is repeated replaces it. A few earlier versions stay for readers that have
 begun, named in the pointer after the current one; all others go with the next run, and
-with them what dead runs left behind.
+with them what dead runs left behind. A result has one writer at a time and any number
+of readers.
 """
 
 from __future__ import annotations
