@@ -1,9 +1,9 @@
 """Shortage and demand models with Spark ML boosted trees.
 
 Boosting ends where its validation rows, the last fifth of each station's training
-rows, have not scored better for ``PATIENCE`` rounds, and keeps the best round: all
-rounds are grown in one fit, every round is scored in one pass over the validation
-rows, and the ensemble is cut to its first trees, which are those of a shorter fit.
+rows, have not scored better for ``PATIENCE`` rounds, and keeps the best round: every
+round of a fit is scored in one pass over the validation rows, and the ensemble is cut
+to its first trees, which are those of a shorter fit.
 Quality is measured on other rows still, by the same jobs as any other score.
 """
 
@@ -36,8 +36,9 @@ TREND_FEATURES = ("trend_15min", "velocity", "acceleration")
 WEATHER_FEATURES = ("rain", "wind", "temp")
 ALL_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES, *WEATHER_FEATURES)
 SHARED_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES)
-#: Rounds without a better score on the validation rows that end boosting.
+#: Rounds without a better score on the validation rows that end boosting, and rounds grown beyond it at first.
 PATIENCE = 50
+FIRST_ROUNDS = 10
 #: Fits that run side by side in a sweep.
 FITS_AT_ONCE = 2
 TRAIN_PARTITION_ROWS = 100_000
@@ -164,12 +165,27 @@ def added(model: PipelineModel, more: PipelineModel) -> PipelineModel:
     return ensemble(model, [t for b in boosted for t in b._java_obj.trees()], [w for b in boosted for w in b.treeWeights])
 
 
-def stopped(model: PipelineModel, valid: DataFrame, score: Callable[[PipelineModel, DataFrame], Sequence[float]], patience: int) -> PipelineModel:
-    """The model cut to the round that scores best on ``valid``; without validation rows all rounds stay."""
+def stopped(
+    fit: Callable[[int], PipelineModel],
+    valid: DataFrame,
+    score: Callable[[PipelineModel, DataFrame], Sequence[float]],
+    rounds: int,
+    patience: int,
+) -> PipelineModel:
+    """The model cut to the round that scores best on ``valid``; without validation rows all rounds stay.
+
+    ``fit(n)`` grows ``n`` trees. A fit is repeated with twice the rounds only while
+    its best one lies less than ``patience`` rounds back.
+    """
     if valid.isEmpty():
-        return model
-    best = best_round(score(model, valid), patience)
-    return model if best == tree_count(model) else first_trees(model, best)
+        return fit(rounds)
+    grown = min(rounds, patience + FIRST_ROUNDS)
+    while True:
+        model = fit(grown)
+        best = best_round(score(model, valid), patience)
+        if grown >= rounds or best + patience <= grown:
+            return model if best == tree_count(model) else first_trees(model, best)
+        grown = min(rounds, 2 * grown)
 
 
 def _grown(model: PipelineModel, valid: DataFrame) -> list[float]:
@@ -195,19 +211,23 @@ def fit_classifier(
         return rows.withColumns({"label": F.col(target).cast("double"), "weight": heavy})
 
     rows = weighted(train).coalesce(partitions_for(n))
-    boosted = GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        maxIter=rounds,
-        maxDepth=6,
-        stepSize=step,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        seed=seed,
-    )
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-    return stopped(Pipeline(stages=[assemble, boosted]).fit(rows), weighted(valid), _grown, patience)
+
+    def fit(trees: int) -> PipelineModel:
+        boosted = GBTClassifier(
+            featuresCol="features",
+            labelCol="label",
+            weightCol="weight",
+            maxIter=trees,
+            maxDepth=6,
+            stepSize=step,
+            subsamplingRate=0.8,
+            featureSubsetStrategy="0.8",
+            seed=seed,
+        )
+        return Pipeline(stages=[assemble, boosted]).fit(rows)
+
+    return stopped(fit, weighted(valid), _grown, rounds, patience)
 
 
 def partitions_for(rows: int) -> int:
@@ -284,22 +304,25 @@ def fit_regressor(
     known = frame.where(F.col(target).isNotNull()).withColumn("part", regression_part())
     train = known.where("part = 'train'")
     train = train.coalesce(partitions_for(train.count()))
-    boosted = GBTRegressor(
-        featuresCol="features",
-        labelCol=target,
-        maxIter=rounds,
-        maxDepth=6,
-        stepSize=step,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        seed=seed,
-    )
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
+
+    def fit(trees: int) -> PipelineModel:
+        boosted = GBTRegressor(
+            featuresCol="features",
+            labelCol=target,
+            maxIter=trees,
+            maxDepth=6,
+            stepSize=step,
+            subsamplingRate=0.8,
+            featureSubsetStrategy="0.8",
+            seed=seed,
+        )
+        return Pipeline(stages=[assemble, boosted]).fit(train)
 
     def losses(model: PipelineModel, valid: DataFrame) -> list[float]:
         return model.stages[-1].evaluateEachIteration(model.stages[0].transform(valid), "squared")
 
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-    return stopped(Pipeline(stages=[assemble, boosted]).fit(train), known.where("part = 'stop'"), losses, patience)
+    return stopped(fit, known.where("part = 'stop'"), losses, rounds, patience)
 
 
 def train_delta_regressor(df, *, features=DELTA_FEATURES, rounds=500, seed=42, **columns):
