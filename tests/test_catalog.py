@@ -42,7 +42,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("missing", ["xxhash", "tokenizers", "public_tokenizers", "fillgauge.llm", "corpus_pipeline"])
+@pytest.mark.parametrize("missing", ["xxhash", "regex", "public_tokenizers", "fillgauge.llm", "corpus_pipeline"])
 def test_other_queries_stand_without_the_corpus_part(missing):
     """A package that only the corpus operators need, or these themselves, may be absent."""
     code = f"""
