@@ -594,6 +594,20 @@ def test_search_equals_brute_force(spark, kind, monkeypatch):
         assert got == want
 
 
+def test_each_row_of_a_repeated_id_is_a_query(spark):
+    """Rows of one id find each other, and each has ranks of its own; a long vector that is no query is in nobody's way."""
+    rng = random.Random(15)
+    rows = [(i // 3 * 5, [float(rng.randrange(-9, 9)) / 64 for _ in range(4)]) for i in range(90)] + [(0, [0.5] * 4), (7, [1e12, 0.3, 0.3, 0.3])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 20 == 0, 8, 64)
+    known = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for n, (i, q) in enumerate(known):
+        if i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(known) if m != n)[:8]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_search_over_many_groups(spark, monkeypatch):
     """Groups, blocks and strips of a few vectors each."""
     for name, value in (("GROUP_BYTES", 2_000), ("BLOCK_BYTES", 400), ("STRIP", 64)):
