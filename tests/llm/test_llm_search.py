@@ -291,6 +291,21 @@ def test_mining_equals_all_pairs(spark, monkeypatch, groups):
     assert sorted(map(tuple, got)) == mined_one_by_one(rows) and len(got) > 300
 
 
+def test_each_row_of_a_repeated_id_is_an_anchor(spark):
+    """Rows of one id meet each other, and each has positives of its own."""
+    rng = random.Random(5)
+    rows = [(i // 3 * 5, rng.randrange(3), [float(rng.randrange(-3, 6)) for _ in range(5)]) for i in range(120)]
+    got = hard_negatives.mine(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>"), F.col("id") % 10 == 0)
+    want = []
+    for n, (i, label, v) in enumerate(rows):
+        if i % 10 == 0:
+            ranked = sorted((-sum(x * y for x, y in zip(v, w)), j, m) for k, (j, m, w) in enumerate(rows) if k != n)
+            for s, j in [(-s, j) for s, j, m in ranked if m == label][:5]:
+                window = [(k, -t) for t, k, m in ranked if m != label and 30 * s <= -100 * t <= 90 * s][:10]
+                want += [(i, j, r + 1, k, s, t) for r, (k, t) in enumerate(window)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+
+
 def test_mining_of_odd_rows(spark):
     kind = "vec_id bigint, label bigint, embedding array<float>"
     rows = [(0, 1, [2.0]), (1, 1, [1.5, 9.0]), (2, 2, []), (3, 2, [1.0]), (3, 2, [1.0]), (0, 5, [100.0]), (4, 1, [-1.0])]
