@@ -162,6 +162,35 @@ def test_only_wanted_pairs_leave_and_sums_are_whole(spark, present_only):
             assert got == {k: v for k, v in expected.items() if keep is None or v[5] > 300}
 
 
+def test_only_the_best_of_each_two_blocks_leave(spark):
+    """Ties, constant series and copies; the best of all are the same whether few or all pairs leave."""
+    rng = random.Random(22)
+    series = [[rng.randrange(3) for _ in range(8)] for _ in range(12)] + [[1] * 8]
+    df = frame(spark, [(s, t, series[s % 13][t]) for s in range(60) for t in range(8) if (s + t) % 5], "s bigint, t bigint, v bigint")
+    sums = dict(present_only=True, keep=lambda n, *_: n >= 4, block=15, stretch=5)
+    r = pairs.r6(pairs.exact_pearson(F.col("n")))
+    every = sorted((x["r"], x["a"], x["b"]) for x in pairs.pair_moments(df, 60, 8, **sums).withColumn("r", r).where("r is not null").collect())
+    few = pairs.pair_moments(df, 60, 8, best=pairs.best_few(7, -0.5, 0.5, 4), **sums).withColumn("r", r).collect()
+    got = sorted((x["r"], x["a"], x["b"]) for x in few)
+    assert got[:7] == every[:7] and every[6][0] < -0.5
+    up = lambda x: (-x[0], *x[1:])
+    assert sorted(got, key=up)[:7] == sorted(every, key=up)[:7] and len(got) <= 14 * 10 < len(every)
+
+
+def test_distances_of_blocks_are_exact(spark):
+    """Profiles that are equal or almost so, far from the origin; and blocks of a few stations as one block."""
+    p = np.random.default_rng(1).random((40, 24)) + 100
+    p[20:30] = p[:10]
+    p[30:] = p[:10] + 1e-7
+    want = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+    assert np.abs(clusters.distances(p, p) - want).max() < 1e-9
+    df = readings(spark, [(s, 60 * h, (h * s) % 9) for s in range(11) for h in range(24)])
+    given = df.select("station_id").distinct().select("station_id", F.explode(F.array(F.lit(2), F.lit(3))).alias("k"))
+    given = given.withColumn("cluster", F.col("station_id") % F.col("k"))
+    rows = [sorted(map(tuple, clusters.silhouette_pick(df, given, block=b).collect())) for b in (100, 3, 1)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 2
+
+
 def test_station_names_serve_as_keys(spark):
     df = readings(spark, [(s, 60 * h, (h * (s + 1)) % 7 if s < 2 else 9 - (h * 2) % 7) for s in range(3) for h in range(20)])
     named = df.withColumn("name", F.concat(F.lit("n"), "station_id"))
