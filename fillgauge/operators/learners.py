@@ -19,7 +19,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgauge import defaults as D
@@ -39,9 +39,10 @@ SHARED_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES)
 #: Rounds without a better score on the validation rows that end boosting, and rounds grown beyond it at first.
 PATIENCE = 50
 FIRST_ROUNDS = 10
-#: Fits that run side by side in a sweep.
-FITS_AT_ONCE = 2
-TRAIN_PARTITION_ROWS = 100_000
+#: Independent fits that run side by side: a round is a dozen short stages, which leave most cores idle.
+FITS_AT_ONCE = 8
+#: Rows that are worth a task of a round, and rows that a task takes before there are more tasks than cores.
+TRAIN_PARTITION_ROWS, TASK_ROWS = 20_000, 500_000
 DELTA_FEATURES = (*TIME_FEATURES, "occupancy", "rain", "temp")
 SHARED_DELTA_FEATURES = (*TIME_FEATURES, "occupancy")
 
@@ -210,7 +211,7 @@ def fit_classifier(
         heavy = F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(F.lit(1.0))
         return rows.withColumns({"label": F.col(target).cast("double"), "weight": heavy})
 
-    rows = weighted(train).coalesce(partitions_for(n))
+    rows = weighted(train).coalesce(partitions_for(n, frame.sparkSession.sparkContext.defaultParallelism))
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
 
     def fit(trees: int) -> PipelineModel:
@@ -230,9 +231,15 @@ def fit_classifier(
     return stopped(fit, weighted(valid), _grown, rounds, patience)
 
 
-def partitions_for(rows: int) -> int:
-    """Partitions of a training table, which every round passes over: not more than it has work for."""
-    return max(1, -(-rows // TRAIN_PARTITION_ROWS))
+def partitions_for(rows: int, cores: int) -> int:
+    """Partitions of a training table, which every round passes over a dozen times: one for each core, if it has work for them."""
+    return max(1, min(-(-rows // TRAIN_PARTITION_ROWS), max(cores, -(-rows // TASK_ROWS))))
+
+
+def side_by_side(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """The results of independent jobs, a bounded number of them at once."""
+    with ThreadPool(min(FITS_AT_ONCE, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
 
 
 def class_scores(model: PipelineModel, frame: DataFrame, target: str) -> DataFrame:
@@ -303,7 +310,7 @@ def fit_regressor(
     """Boosted regression of ``target``; a fifth of the events stops it and another is left for testing."""
     known = frame.where(F.col(target).isNotNull()).withColumn("part", regression_part())
     train = known.where("part = 'train'")
-    train = train.coalesce(partitions_for(train.count()))
+    train = train.coalesce(partitions_for(train.count(), frame.sparkSession.sparkContext.defaultParallelism))
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
 
     def fit(trees: int) -> PipelineModel:
@@ -373,16 +380,21 @@ def transfer_learn(
     """
     source = materialise(model_frame(src), "source-frame")
     local = materialise(model_frame(dst), "model-frame")
-    pretrained = fit_classifier(source, target, features, rounds, seed)
-    local_model = fit_classifier(local, target, features, rounds, seed)
     margin = vector_to_array("rawPrediction")[1]
-    # Scoring is cheaper than another written table.
-    stacked = (
-        pretrained.transform(local)
-        .withColumn("source_margin", margin)
-        .drop("features", "rawPrediction", "probability", "prediction")
+
+    def transferred() -> tuple[PipelineModel, DataFrame, PipelineModel]:
+        pretrained = fit_classifier(source, target, features, rounds, seed)
+        # Scoring is cheaper than another written table.
+        stacked = (
+            pretrained.transform(local)
+            .withColumn("source_margin", margin)
+            .drop("features", "rawPrediction", "probability", "prediction")
+        )
+        return pretrained, stacked, fit_classifier(stacked, target, [*features, "source_margin"], rounds, seed, step=0.02)
+
+    local_model, (pretrained, stacked, transfer) = side_by_side(
+        src.sparkSession, lambda: fit_classifier(local, target, features, rounds, seed), transferred
     )
-    transfer = fit_classifier(stacked, target, [*features, "source_margin"], rounds, seed, step=0.02)
     test = "part = 'test'"
     runs = {
         "local": class_scores(local_model, local.where(test), target),
@@ -410,12 +422,13 @@ def transfer_regressor(
 ) -> DataFrame:
     """Errors on the test events of ``dst``: a local model, another city's, and that one continued on local events."""
     source, local = (materialise(delta_frame(d, **columns), "delta-frame") for d in (src, dst))
-    pretrained = fit_regressor(source, features, rounds, seed)
-    models = {
-        "local": fit_regressor(local, features, rounds, seed),
-        "pretrained": pretrained,
-        "transfer": continued(pretrained, local, features, rounds, seed),
-    }
+
+    def transferred() -> tuple[PipelineModel, PipelineModel]:
+        pretrained = fit_regressor(source, features, rounds, seed)
+        return pretrained, continued(pretrained, local, features, rounds, seed)
+
+    fitted, (pretrained, transfer) = side_by_side(src.sparkSession, lambda: fit_regressor(local, features, rounds, seed), transferred)
+    models = {"local": fitted, "pretrained": pretrained, "transfer": transfer}
     test = local.where("delta_next IS NOT NULL").where(regression_part() == "val")
     out = None
     for name, model in models.items():
@@ -452,6 +465,5 @@ def definition_sweep(
             F.lit(same.first()["f1"]).alias("persistence_f1"), F.lit(tree_count(model)).cast("bigint").alias("n_trees"),
         )
 
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        rows = pool.map(inheritable_thread_target(df.sparkSession)(row), range(len(names)))
+    rows = side_by_side(df.sparkSession, *(lambda k=k: row(k) for k in range(len(names))))
     return reduce(DataFrame.unionByName, rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -654,3 +655,10 @@ def test_degenerate_siting_component_is_fifty(spark):
     same = frame(spark, [("x", 10, 5.0, 7, 1), ("y", 10, 5.0, 7, 1)], "district string, population bigint, income double, density bigint, n_stations bigint")
     got = first(siting.siting_score(same))
     assert (got["score_population"], got["score_coverage"], got["score_total"]) == (15.0, 12.5, 55.0)
+
+
+def test_fits_run_side_by_side(spark):
+    """Jobs that wait for each other all run; training rows fill the cores, and a task's share is bounded."""
+    together = threading.Barrier(5, timeout=30)
+    assert sorted(learners.side_by_side(spark, *(lambda k=k: (together.wait(), k)[1] for k in range(5)))) == list(range(5))
+    assert [learners.partitions_for(n, 12) for n in (0, 20_000, 60_001, 4_000_000, 60_000_000)] == [1, 1, 4, 12, 120]
