@@ -38,7 +38,7 @@ ALL_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES, *WEATHER_FEATU
 SHARED_FEATURES = (*TIME_FEATURES, *STATE_FEATURES, *TREND_FEATURES)
 #: Rounds without a better score on the validation rows that end boosting, and rounds grown beyond it at first.
 PATIENCE = 50
-FIRST_ROUNDS = 10
+FIRST_ROUNDS = 30
 #: Independent fits that run side by side: a round is a dozen short stages, which leave most cores idle.
 FITS_AT_ONCE = 8
 #: Rows that are worth a task of a round, and rows that a task takes before there are more tasks than cores.
@@ -175,18 +175,23 @@ def stopped(
 ) -> PipelineModel:
     """The model cut to the round that scores best on ``valid``; without validation rows all rounds stay.
 
-    ``fit(n)`` grows ``n`` trees. A fit is repeated with twice the rounds only while
-    its best one lies less than ``patience`` rounds back.
+    ``fit(n)`` grows ``n`` trees. A fit is repeated only while its best one lies less
+    than ``patience`` rounds back: once with just the rounds that confirm it, if it lies
+    half of them back, else with twice the rounds.
     """
     if valid.isEmpty():
         return fit(rounds)
-    grown = min(rounds, patience + FIRST_ROUNDS)
+    grown, confirmed = min(rounds, patience + FIRST_ROUNDS), False
     while True:
         model = fit(grown)
         best = best_round(score(model, valid), patience)
         if grown >= rounds or best + patience <= grown:
             return model if best == tree_count(model) else first_trees(model, best)
-        grown = min(rounds, 2 * grown)
+        if grown - best >= patience // 2 and not confirmed:
+            grown, confirmed = min(rounds, best + patience), True
+        else:
+            # what would leave less than half a doubling is done at once
+            grown = 2 * grown if 3 * grown < rounds else rounds
 
 
 def _grown(model: PipelineModel, valid: DataFrame) -> list[float]:

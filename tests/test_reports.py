@@ -398,6 +398,30 @@ def test_the_best_round_is_kept():
     assert learners.best_round([3, 2, 2, 2, 1], 3) == 5
 
 
+def test_boosting_repeats_few_rounds(monkeypatch):
+    """The round kept is that of one fit of all rounds; what is grown beyond it stays small."""
+    monkeypatch.setattr(learners, "first_trees", lambda _, n: n)
+    monkeypatch.setattr(learners, "tree_count", lambda model: model)
+
+    class Rows:
+        def isEmpty(self):
+            return False
+
+    def grown(losses):
+        fits = []
+        kept = learners.stopped(lambda n: fits.append(n) or n, Rows(), lambda n, _: losses[:n], 500, 50)
+        assert kept == learners.best_round(losses, 50)
+        return fits
+
+    assert grown([abs(n - 16) for n in range(500)]) == [80]
+    assert sum(grown([abs(n - 44) for n in range(500)])) == 80 + 95
+    assert sum(grown([abs(n - 119) for n in range(500)])) == 80 + 160 + 170
+    assert sum(grown([-n for n in range(500)])) == 80 + 160 + 320 + 500
+    rng = random.Random(4)
+    for _ in range(200):
+        grown([abs(n - rng.randrange(1, 600)) + rng.randrange(200) for n in range(500)])
+
+
 def test_a_cut_ensemble_is_a_shorter_fit(spark):
     rng = random.Random(8)
     rows = [(i, *(rng.random() for _ in range(3)), "train") for i in range(600)]
