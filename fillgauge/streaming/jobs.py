@@ -5,6 +5,7 @@ The jobs take a streaming frame and return one, with event time as TIMESTAMP.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from fillgauge.functions import columns as C
 from fillgauge.operators.health import snapshot_aggregates, with_health_score
 
 WATERMARK = "10 minutes"
+#: Groups of stations whose last readings are one state.
+STATE_GROUPS = 1_024
+#: Before every time.
+NO_TIME = -(1 << 63)
 
 
 def read_snapshots(spark: SparkSession, path: str, schema, *, time="ts", files: int = 1_000) -> DataFrame:
@@ -111,53 +116,88 @@ def stream_hourly_activity(deltas: DataFrame, *, time="ts", watermark=WATERMARK)
     )
 
 
-def changes_since(last: tuple | None, rows: pd.DataFrame, time: str, tie: str, level: str, zero_is_missing: bool) -> tuple[pd.DataFrame, tuple | None]:
-    """The rows with their change and whether they are late, and the reading that is the last one now.
+def changes_since(
+    last: pd.DataFrame | None, rows: pd.DataFrame, key: str, time: str, tie: str, level: str, zero_is_missing: bool
+) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows of some stations with their change and whether they are late, and each station's last reading now.
 
-    ``last`` is time in microseconds, tie-breaker and level of the last reading so far.
+    ``last`` has a row per station: its key, and time in microseconds (``at``), tie-breaker
+    and level (whether it is ``known``, and what it is) of its last reading so far.
     """
+    names = rows[key] if last is None else pd.concat([pd.Series(last["key"], dtype=rows[key].dtype), rows[key]])
+    codes = pd.factorize(names, use_na_sentinel=False)[0]  # stations with state come first
+    held = 0 if last is None else len(last)
+    station = codes[held:]
+    size = max(held, int(codes.max()) + 1)
+    at_last, tie_last = np.full(size, NO_TIME), np.zeros(size, "int64")
+    level_last, known_last = np.zeros(size, "int64"), np.zeros(size, bool)
+    if held:
+        at_last[:held], tie_last[:held] = last["at"], last["tie"]
+        level_last[:held], known_last[:held] = last["level"], last["known"]
+
     at = rows[time].astype("datetime64[us]")
-    rows = rows.assign(_at=at.astype("int64").where(at.notna(), -(1 << 63))).sort_values(["_at", tie], kind="stable")
-    newer = rows["_at"] > -(1 << 63)
-    if last is not None:
-        newer &= (rows["_at"] > last[0]) | ((rows["_at"] == last[0]) & (rows[tie] > last[1]))
-    now = rows.loc[newer, level].astype("Int64")
-    before = now.shift(1)
-    if len(now) and last is not None:
-        before.iloc[0] = pd.NA if last[2] is None else last[2]
+    at = at.astype("int64").where(at.notna(), NO_TIME).to_numpy()
+    ties = rows[tie].to_numpy()
+    order = np.lexsort((ties, at, station))
+    rows, station, at, ties = rows.iloc[order], station[order], at[order], ties[order]
+    newer = (at > at_last[station]) | ((at == at_last[station]) & (at > NO_TIME) & (ties > tie_last[station]))
+
+    of, now, known = station[newer], rows[level].to_numpy()[newer].astype("int64"), ~rows["_no_level"].to_numpy()[newer]
+    first = np.r_[True, of[1:] != of[:-1]][: len(of)]
+    before = np.where(first, level_last[of], np.r_[0, now[:-1]][: len(of)])
+    known_before = np.where(first, known_last[of], np.r_[False, known[:-1]][: len(of)])
     if zero_is_missing:
-        before = before.mask((before == 0).fillna(False), now)
-    delta = (now - before).reindex(rows.index)
-    out = rows.drop(columns="_at").assign(delta=delta, late=~newer)
-    if len(now):
-        end = rows.loc[newer].iloc[-1]
-        last = (int(end["_at"]), int(end[tie]), None if pd.isna(end[level]) else int(end[level]))
-    return out, last
+        missing = known_before & (before == 0)
+        before, known_before = np.where(missing, now, before), np.where(missing, known, known_before)
+    delta = pd.array(np.zeros(len(rows), "int64"), "Int64")
+    delta[:] = pd.NA
+    delta[np.flatnonzero(newer)[known & known_before]] = (now - before)[known & known_before]
+    out = rows.assign(delta=delta, late=~newer)
+
+    ends = np.flatnonzero(np.r_[of[1:] != of[:-1], True][: len(of)])
+    at_last[of[ends]], tie_last[of[ends]] = at[newer][ends], ties[newer][ends]
+    level_last[of[ends]], known_last[of[ends]] = now[ends], known[ends]
+    _, shown = np.unique(codes, return_index=True)
+    state = pd.DataFrame({"key": names.iloc[shown].to_numpy(), "at": at_last, "tie": tie_last, "level": level_last, "known": known_last})
+    return out, state[state["at"] > NO_TIME].copy()
 
 
 def stream_delta(
-    stream: DataFrame, *, key="station_id", time="ts", level="bikes", tie="event_id", zero_is_missing=False
+    stream: DataFrame, *, key="station_id", time="ts", level="bikes", tie="event_id", zero_is_missing=False, groups=STATE_GROUPS
 ) -> DataFrame:
     """Change against the station's last reading, across micro-batches.
 
     The last reading of each station is keyed state, which Spark keeps with the
-    query's checkpoint and restores after a failure. ``late`` marks rows without a
+    query's checkpoint and restores after a failure. Stations share ``groups`` keys by
+    their hash, as a call for each station costs far more than its rows do; the number
+    stays as it is for the life of a checkpoint. ``late`` marks rows without a
     time and those not later than the station's last reading: they change nothing
-    and have no change. A task holds the readings that one station sent in one
+    and have no change. A task holds the readings that one group of stations sent in one
     micro-batch, which ``files`` of ``read_snapshots`` bounds.
     """
     rows = stream.select(tie, key, time, level)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", delta bigint, late boolean"
+    # beside nulls pandas would hold whole numbers as floats: null keys stay apart, others are marked
+    marked = {"_no_tie": F.col(tie).isNull(), "_no_level": F.col(level).isNull()}
+    filled = {tie: F.coalesce(F.col(tie).cast("bigint"), F.lit(NO_TIME)), level: F.coalesce(F.col(level).cast("bigint"), F.lit(0))}
+    schema = f"{tie} bigint, {key} {kinds[key]}, {time} {kinds[time]}, {level} bigint, "
+    schema += "_no_tie boolean, _no_level boolean, delta bigint, late boolean"
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    fields = {"key": kinds[key], "at": "bigint", "tie": "bigint", "level": "bigint", "known": "boolean"}
 
     def step(_, frames, state):
-        last = state.get if state.exists else None
-        out, now = changes_since(last, pd.concat(list(frames)), time, tie, level, zero_is_missing)
-        if now != last:
-            state.update(now)
+        last = pd.DataFrame(dict(zip(fields, state.get))) if state.exists else None
+        out, now = changes_since(last, pd.concat(list(frames)).drop(columns="_group"), key, time, tie, level, zero_is_missing)
+        if len(now):
+            now["key"] = now["key"].astype(object).where(now["key"].notna(), None)
+            state.update(tuple(now[f].tolist() for f in fields))
         yield out
 
-    found = rows.groupBy(key).applyInPandasWithState(step, schema, "at bigint, tie bigint, level bigint", "append", "NoTimeout")
+    held = ", ".join(f"{f} array<{t}>" for f, t in fields.items())
+    grouped = rows.withColumns(marked).withColumns(filled).withColumn("_group", group).groupBy("_group")
+    found = grouped.applyInPandasWithState(step, schema, held, "append", "NoTimeout").withColumns(
+        {c: F.when(~F.col(no), F.col(c)).cast(kinds[c]) for c, no in ((tie, "_no_tie"), (level, "_no_level"))}
+    )
     return found.select(tie, key, time, level, "delta", F.abs("delta").alias("abs_delta"), C.flag(F.col("late")).alias("late"))
 
 

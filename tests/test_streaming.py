@@ -42,6 +42,28 @@ def test_deltas_cross_batches(spark, zero_is_missing):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected)))
 
 
+@pytest.mark.parametrize("zero_is_missing", [False, True])
+def test_stations_share_a_bounded_number_of_states(spark, zero_is_missing):
+    """Groups of stations change nothing: null stations, levels and tie-breakers and long ids included."""
+    rng, long = random.Random(6), (1 << 53) + 1
+    rows = [(long + i, rng.choice((None, *range(long, long + 25))), 5 * (i // 2), rng.choice((None, 0, 3, 9))) for i in range(240)]
+    pieces = [piece(spark, rng.sample(rows[a : a + 80], 80)) for a in (0, 80, 160)]
+    pieces.append(piece(spark, [(None, long, 5 * 120, 7)]))
+
+    def start(stream, out, checkpoint):
+        return replay.to_parquet(lambda s: jobs.stream_delta(s, zero_is_missing=zero_is_missing, groups=3))(stream, out, checkpoint)
+
+    out = replay.replay(spark, pieces, start, "t")
+    got = result(spark, out).where("event_id is not null").select("event_id", "station_id", "bikes", "delta", "abs_delta", "late").collect()
+    whole = bike_delta(piece(spark, rows), zero_is_missing=zero_is_missing)
+    expected = whole.select("event_id", "station_id", "bikes", "delta", "abs_delta", F.lit(0)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected)))
+    alone = result(spark, out).where("event_id is null").collect()
+    assert [(r["station_id"], r["bikes"], r["late"]) for r in alone] == [(long, 7, 0)]
+    state = spark.read.format("statestore").load(f"{out.removesuffix('/out')}/checkpoint")
+    assert 0 < state.count() <= 4
+
+
 def test_batches_are_published_as_partitions(spark):
     pieces = [piece(spark, [(1, 1, 0, 5), (2, 2, 0, 5)]), piece(spark, [(3, 1, 5, 5)])]
     out = result(spark, replay.replay(spark, pieces, jobs.batch_sink, "t"))
