@@ -13,9 +13,11 @@ ends the white space before it.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ ODD_SPACE = re.compile(r" (?!\S)")
 #: The pattern of the byte-level pre-tokenizer.
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
+#: Marks that end words; none is a space, letter, number or apostrophe.
+MARKS = ".,;:!?&#$*%|<>()[]{}\"-_+=/\\^~@`"
+
 #: Strings in one generation of what a worker keeps, and the longest one kept.
 KEEP = 300_000
 KEEP_CHARS = 48
@@ -43,6 +48,11 @@ def id_width(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
+def _strings(values: pa.StringArray) -> list[str]:
+    """The strings of an array without nulls."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Kept:
     """Ids by string: those in use, and the short ones used lately.
 
@@ -59,15 +69,23 @@ class Kept:
         """The ids of strings that differ from each other."""
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        rare = [s for s in strings if s not in young]
-        again = {s: old[s] for s in rare if s in old}
-        new = [s for s in rare if s not in again] if again else rare
-        made = dict(zip(new, self.make(new)))
-        long = {s: made.pop(s) for s in new if len(s) > KEEP_CHARS}
-        young.update(again)
-        young.update(made)
-        return [long[s] if s in long else young[s] for s in strings] if long else [young[s] for s in strings]
+        out = list(map(self.young.get, strings))
+        if None not in out:
+            return out
+        places = [k for k, ids in enumerate(out) if ids is None]
+        rare = [strings[k] for k in places]
+        found = list(map(self.old.get, rare)) if self.old else [None] * len(rare)
+        new = [s for s, ids in zip(rare, found) if ids is None]
+        made = iter(self.make(new) if new else ())
+        for n, k in enumerate(places):
+            if found[n] is None:
+                found[n] = next(made)
+            out[k] = found[n]
+        if new and max(map(len, new)) > KEEP_CHARS:
+            self.young.update((s, ids) for s, ids in zip(rare, found) if len(s) <= KEEP_CHARS)
+        else:
+            self.young.update(zip(rare, found))
+        return out
 
 
 class Encoder:
@@ -85,36 +103,49 @@ class Encoder:
         self.make = make
         self.tokens = Kept(make, KEEP)
         self.first = Kept(lambda parts: self._parts(parts, ""), KEEP)
-        self.later = Kept(lambda parts: self._parts(parts, " "), KEEP)
+        self.later = Kept(lambda parts: self._parts(parts, " "), KEEP + KEEP // 2)  # most words are here
 
     def _parts(self, parts: list[str], before: str) -> list[bytes]:
         """Ids of parts, from those of their pre-tokens; letters alone are one."""
-        words = [p for p in parts if p.isalpha()]
-        ids = dict(zip(words, self.make([before + p for p in words])))
-        cut = {p: PRE_TOKEN.findall(before + p) for p in parts if p not in ids}
-        different = list({t for found in cut.values() for t in found})
+        plain = list(map(str.isalpha, parts))
+        words = iter(self.make([before + p for p, x in zip(parts, plain) if x]))
+        cut = [PRE_TOKEN.findall(before + p) for p, x in zip(parts, plain) if not x]
+        different = list(set(chain.from_iterable(cut)))
         tokens = dict(zip(different, self.tokens.get(different)))
-        ids.update((p, b"".join([tokens[t] for t in found])) for p, found in cut.items())
-        return [ids[p] for p in parts]
+        others = iter([b"".join([tokens[t] for t in found]) for found in cut])
+        return [next(words) if x else next(others) for x in plain]
+
+    def _later(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that follow a space: a word's are kept once, whatever marks end it.
+
+        Marks behind letters are a pre-token of their own.
+        """
+        stems = [p.rstrip(MARKS) for p in parts]
+        keys = [s if s.isalpha() else p for s, p in zip(stems, parts)]
+        different = list(set(keys))
+        ids = dict(zip(different, self.later.get(different)))
+        ended = [(k, len(s)) for k, (s, p) in enumerate(zip(keys, parts)) if len(s) != len(p)]
+        out = list(map(ids.__getitem__, keys))
+        if ended:
+            marks = [parts[k][n:] for k, n in ended]
+            known = list(set(marks))
+            after = dict(zip(known, self.tokens.get(known)))
+            for (k, _), m in zip(ended, marks):
+                out[k] += after[m]
+        return out
 
     def _joined(self, parts: pa.StringArray, ends: np.ndarray) -> list[bytes]:
         """Ids of texts given as their parts; ``ends`` has where each text's parts begin and end."""
         known = parts.dictionary_encode()
-        table = self.later.get(known.dictionary.to_pylist())
-        opening = parts.take(pa.array(ends[:-1])).to_pylist()
+        table = self._later(_strings(known.dictionary))
+        ids = list(map(table.__getitem__, known.indices.to_numpy().tolist()))
+        opening = _strings(parts.take(pa.array(ends[:-1])))
         different = list(set(opening))
         opens = dict(zip(different, self.first.get(different)))
-        codes = known.indices.to_numpy().astype(np.int64)
-        codes[ends[:-1]] = len(table) + np.arange(len(opening))
-        table += [opens[p] for p in opening]
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.width
-        starts = np.cumsum(sizes) - sizes
-        length = sizes[codes]
-        stops = np.cumsum(length)
-        where = np.repeat(starts[codes] - (stops - length), length)
-        ids = np.frombuffer(b"".join(table), self.kind)[where + np.arange(len(where))]
-        bounds = np.concatenate(([0], stops))[ends].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        bounds = ends.tolist()
+        for a, part in zip(bounds, opening):
+            ids[a] = opens[part]
+        return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         odd = [bool(ODD_SPACE.search(t)) for t in texts]
@@ -142,13 +173,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in order."""
         out, held, size = [], [], 0
-        for text in texts:
-            if held and size + len(text) > CALL_CHARS:
-                out += self._call(held)
-                held, size = [], 0
-            held.append(text)
-            size += len(text)
-        return out + self._call(held) if held else out
+        collects = gc.isenabled()
+        gc.disable()  # no cycles are made here, and the collector would walk the long lists of parts again and again
+        try:
+            for text in texts:
+                if held and size + len(text) > CALL_CHARS:
+                    out += self._call(held)
+                    held, size = [], 0
+                held.append(text)
+                size += len(text)
+            return out + self._call(held) if held else out
+        finally:
+            if collects:
+                gc.enable()
 
 
 def library_encoder(path: str) -> Encoder:

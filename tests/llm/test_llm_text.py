@@ -627,3 +627,22 @@ def test_scores_beyond_64_bits_are_refused(spark):
 def test_search_in_an_empty_table(spark):
     table = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.search(table, F.col("id") % 20 == 0).count() == 0
+
+
+def test_words_are_kept_once_whatever_marks_end_them():
+    """Marks behind letters are a pre-token of their own, so they ask for no other ids of the word."""
+    tokenizer = Tokenizer.from_file(queries.TOKENIZER)
+    encoder = tokens.library_encoder(queries.TOKENIZER)
+    words = ["alpha", "don't", "x1", "é", "ſ", "1", "''", "—", "", "\u0301", "a\nb", "ª", "²"]
+    marks = ["", ".", ",", "...", "?!", "&&&", "###", "'", "'s", ".'", "—", ".\n", "\\", "`~", "-", "_"]
+    texts = [f"a {w}{m} {w} z{m}" for w in words for m in marks]
+    texts += [" ".join(w + m for w in words for m in marks)]
+    got = [np.frombuffer(ids, encoder.kind).tolist() for ids in encoder.encode(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+    encoder = tokens.library_encoder(queries.TOKENIZER)
+    make = encoder.make
+    encoder.make = lambda strings: asked.extend(strings) or make(strings)
+    encoder.encode(["the words words, words. words!", "the words?! words&&&"])
+    assert asked.count(" words") == 1 and " words," not in asked
+    assert set(encoder.later.young) == {"the", "words"}
