@@ -389,11 +389,27 @@ def fit_regressor(
     return stopped(fit, grown_on.where("part = 'stop'"), losses, rounds, patience, growth=rounds)
 
 
+def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with the model's ``prediction``; of many rows, each set of bins is predicted once and joined to its rows."""
+    bins = model.stages[0]
+    if not isinstance(bins, Bucketizer) or rows.count() <= FEW_ROWS:
+        return model.transform(rows).select(*rows.columns, "prediction")
+    keys = bins.getOutputCols()
+    # a letter for each bin keeps what is shuffled small
+    cell = F.concat(*[F.char(F.lit(65) + F.col(c).cast("int")) for c in keys]).alias("_cell")
+    binned = bins.transform(rows)
+    distinct = binned.select(*keys, cell).distinct()
+    for stage in model.stages[1:]:
+        distinct = stage.transform(distinct)
+    known = materialise(distinct.select("_cell", "prediction"), "predicted-cells")
+    return binned.select(*rows.columns, cell).join(known, "_cell").select(*rows.columns, "prediction")
+
+
 def train_delta_regressor(df, *, features=DELTA_FEATURES, rounds=500, seed=42, **columns):
     """Errors on the training rows and on rows that neither grew nor stopped the trees."""
     frame = materialise(delta_frame(df, **columns), "delta-frame")
     model = fit_regressor(frame, features, rounds, seed)
-    scored = model.transform(frame.where("delta_next is not null")).withColumn("part", regression_part()).where("part <> 'stop'")
+    scored = predicted(model, frame.where("delta_next is not null")).withColumn("part", regression_part()).where("part <> 'stop'")
     metrics = E.regression_metrics(scored, y="delta_next", pred="prediction", group=F.col("part"), min_rows=1)
     trees = F.lit(tree_count(model)).cast("bigint").alias("n_trees")
     return metrics.where("group <> 'all'").select(F.col("group").alias("split"), "rmse", "mae", "r2", "n", trees)
@@ -412,7 +428,7 @@ def feature_importance(model: PipelineModel, spark) -> DataFrame:
 
 def score_and_label(model: PipelineModel, frame: DataFrame, features=DELTA_FEATURES) -> DataFrame:
     """Predicted change and its trend band for every row complete in the features."""
-    scored = model.transform(frame.dropna(subset=list(features)))
+    scored = predicted(model, frame.dropna(subset=list(features)))
     return scored.select(
         "event_id",
         r6(F.col("prediction")).alias("predicted_delta"),
@@ -470,7 +486,7 @@ def continued(
 ) -> PipelineModel:
     """A regression that starts from a fitted one: trees for what it leaves over, joined to its own."""
     left = F.col("delta_next") - F.col("prediction")
-    rest = materialise(model.transform(frame).select(*frame.columns, left.alias("left_over")), "left-over")
+    rest = materialise(predicted(model, frame).select(*frame.columns, left.alias("left_over")), "left-over")
     return added(model, fit_regressor(rest, features, rounds, seed, target="left_over", step=step, bins=model.stages[0]))
 
 
@@ -489,7 +505,7 @@ def transfer_regressor(
     test = local.where("delta_next IS NOT NULL").where(regression_part() == "val")
     out = None
     for name, model in models.items():
-        row = E.regression_metrics(model.transform(test), y="delta_next", pred="prediction")
+        row = E.regression_metrics(predicted(model, test), y="delta_next", pred="prediction")
         row = row.select(F.lit(name).alias("model"), "rmse", "mae", "r2", "n", F.lit(tree_count(model)).cast("bigint").alias("n_trees"))
         out = row if out is None else out.unionByName(row)
     return out

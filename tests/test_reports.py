@@ -478,6 +478,22 @@ def test_cells_give_the_trees_and_losses_of_their_rows(spark):
     assert by_row - by_row[0] == pytest.approx(by_cell - by_cell[0], abs=1e-9) and len(by_row) == 6
 
 
+def test_predictions_of_cells_are_those_of_their_rows(spark, monkeypatch):
+    """Also of rows that repeat an id or hold values that no bin was made for; incomplete rows are left out."""
+    ids = spark.range(600).select(F.col("id").alias("event_id"), (F.col("id") % 50 / 7).alias("a"), (F.col("id") % 3).cast("int").alias("b"))
+    frame_ = ids.withColumn("delta_next", F.sin("a") * F.col("b"))
+    model = learners.fit_regressor(frame_, ["a", "b"], 3, 1)
+    more = spark.createDataFrame([(1, -9.0, 7), (1, 99.0, 0), (2, None, 1)], "event_id bigint, a double, b int").withColumn("delta_next", F.lit(0.0))
+    rows = frame_.unionByName(frame_.limit(40)).unionByName(more)
+    want = sorted(tuple(r) for r in learners.score_and_label(model, rows, ["a", "b"]).collect())
+    monkeypatch.setattr(learners, "FEW_ROWS", 10)
+    found = []
+    real = learners.materialise
+    monkeypatch.setattr(learners, "materialise", lambda df, purpose: found.append(real(df, purpose)) or found[-1])
+    got = sorted(tuple(r) for r in learners.score_and_label(model, rows, ["a", "b"]).collect())
+    assert got == want and len(got) == 642 and found[0].count() < 110
+
+
 def test_bins_of_features(spark):
     rows = [(float(i % 32), 0.0 if i % 10 else i / 1000, 5.0, None if i % 2 else float(i)) for i in range(10000)]
     frame_ = spark.createDataFrame(rows, "few double, heavy double, same double, holes double")
