@@ -181,22 +181,24 @@ def stopped(
     rounds: int,
     patience: int,
     growth: int = 2,
+    back: int | None = None,
 ) -> PipelineModel:
     """The model cut to the round that scores best on ``valid``; without validation rows all rounds stay.
 
     ``fit(n)`` grows ``n`` trees. A fit is repeated only while its best one lies less
     than ``patience`` rounds back: once with just the rounds that confirm it, if it lies
-    half of them back, else with ``growth`` times the rounds.
+    ``back`` rounds back (half of them unless given), else with ``growth`` times the rounds.
     """
     if valid.isEmpty():
         return fit(rounds)
     grown, confirmed = min(rounds, patience + FIRST_ROUNDS), False
+    back = patience // 2 if back is None else back
     while True:
         model = fit(grown)
         best = best_round(score(model, valid), patience)
         if grown >= rounds or best + patience <= grown:
             return model if best == tree_count(model) else first_trees(model, best)
-        if grown - best >= patience // 2 and not confirmed:
+        if grown - best >= back and not confirmed:
             grown, confirmed = min(rounds, best + patience), True
         else:
             # what would leave less than half a doubling is done at once
@@ -385,8 +387,9 @@ def fit_regressor(
     def losses(model: PipelineModel, valid: DataFrame) -> list[float]:
         return model.stages[-1].evaluateEachIteration(assemble.transform(valid), "squared")
 
-    # what the first rounds do not settle is grown in full: a round costs little, but each fit repeats all before it
-    return stopped(fit, grown_on.where("part = 'stop'"), losses, rounds, patience, growth=rounds)
+    # what neither the first rounds nor those that confirm a best one settle is grown in full, as each fit repeats all before it;
+    # that is so dear that a fifth of the patience without a better round is reason enough to confirm the best one first
+    return stopped(fit, grown_on.where("part = 'stop'"), losses, rounds, patience, growth=rounds, back=patience // 5)
 
 
 def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:

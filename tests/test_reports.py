@@ -524,6 +524,32 @@ def test_a_fit_that_80_rounds_do_not_settle_is_grown_at_once(monkeypatch):
         assert fits == want and kept == learners.best_round(losses, 50)
 
 
+def test_a_regression_confirms_its_best_round_before_it_grows_in_full(spark, monkeypatch):
+    """A best round that lies only a few rounds back asks for those that confirm it, not for all."""
+    real, policy = learners.stopped, {}
+    monkeypatch.setattr(learners, "stopped", lambda fit, valid, score, rounds, patience, **more: policy.update(more))
+    frame_ = spark.range(100).selectExpr("id as event_id", "id % 5 as a", "double(id % 3) as delta_next")
+    learners.fit_regressor(frame_, ["a"], 500, 1)
+    monkeypatch.setattr(learners, "first_trees", lambda _, n: n)
+    monkeypatch.setattr(learners, "tree_count", lambda model: model)
+
+    class Rows:
+        def isEmpty(self):
+            return False
+
+    for losses, want in (
+        ([abs(n - 55) for n in range(500)], [80, 106]),
+        ([abs(n - 69) for n in range(500)], [80, 120]),
+        ([abs(n - 70) for n in range(500)], [80, 500]),
+        ([-n for n in range(500)], [80, 500]),
+        # the confirming rounds find a better one: the rest is grown at once
+        ([min(abs(n - 55), 100 - n) for n in range(500)], [80, 106, 500]),
+    ):
+        fits = []
+        kept = real(lambda n: fits.append(n) or n, Rows(), lambda n, _: losses[:n], 500, 50, **policy)
+        assert fits == want and kept == learners.best_round(losses, 50)
+
+
 def test_a_transferred_regression_beats_both_its_parents(spark):
     """The local city follows the other one with a shift of its own, and has few events."""
     rng = random.Random(9)
