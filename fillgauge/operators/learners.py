@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from fillgauge import defaults as D
 from fillgauge.functions import columns as C
 from fillgauge.functions.columns import r6
+from fillgauge.operators import boosting
 from fillgauge.operators import evaluation as E
 from fillgauge.operators.features import with_delta_target
 from fillgauge.operators.slices import shift
@@ -205,46 +206,49 @@ def stopped(
             grown = growth * grown if (growth + 1) * grown < rounds else rounds
 
 
-def _grown(model: PipelineModel, valid: DataFrame) -> list[float]:
-    """Loss on ``valid`` after each round."""
-    return model.stages[-1].evaluateEachIteration(model.stages[0].transform(valid))
-
-
 def tree_count(model: PipelineModel) -> int:
     return model.stages[-1].getNumTrees
 
 
 def fit_classifier(
-    frame: DataFrame, target: str, features: Sequence[str], rounds: int, seed: int, step: float = 0.05, patience: int = PATIENCE
-) -> PipelineModel:
-    """Boosted trees with positives weighted up to the negatives' total, stopped on the ``valid`` rows."""
-    train, valid = frame.where("part = 'train'"), frame.where("part = 'valid'")
-    counts = train.agg(F.sum(target).alias("p"), F.count("*").alias("n")).first()
-    positives, n = counts["p"] or 0, counts["n"]
-    weight = (n - positives) / positives if positives else 1.0
-
-    def weighted(rows: DataFrame) -> DataFrame:
-        heavy = F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(F.lit(1.0))
-        return rows.withColumns({"label": F.col(target).cast("double"), "weight": heavy})
-
-    rows = weighted(train).coalesce(partitions_for(n, frame.sparkSession.sparkContext.defaultParallelism))
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-
-    def fit(trees: int) -> PipelineModel:
-        boosted = GBTClassifier(
-            featuresCol="features",
-            labelCol="label",
-            weightCol="weight",
-            maxIter=trees,
-            maxDepth=6,
-            stepSize=step,
-            subsamplingRate=0.8,
-            featureSubsetStrategy="0.8",
-            seed=seed,
-        )
-        return Pipeline(stages=[assemble, boosted]).fit(rows)
+    frame: DataFrame, target: str, features: Sequence[str], rounds: int, seed: int, step: float = 0.05, patience: int = PATIENCE,
+    bins: Bucketizer | None = None,
+) -> PipelineModel:
+    """Boosted trees with positives weighted up to the negatives' total, stopped on the ``valid`` rows.
 
-    return stopped(fit, weighted(valid), _grown, rounds, patience)
+    ``bins`` are those of the features on the ``train`` rows, where the caller has them.
+    """
+    train = frame.where("part = 'train'")
+    positives, n, used = frame.where("part <> 'test'").agg(
+        F.sum(F.when(F.col("part") == "train", F.col(target))), F.sum(C.flag(F.col("part") == "train")), F.count("*")
+    ).first()
+    if not n:
+        raise ValueError("there are no rows to train on")
+    bins = bins or feature_bins(train, features)
+    boosted = GBTClassifier(
+        featuresCol="features",
+        labelCol="label",
+        weightCol="weight",
+        maxIter=rounds,
+        maxDepth=6,
+        maxBins=BINS,
+        stepSize=step,
+        subsamplingRate=0.8,
+        featureSubsetStrategy="0.8",
+        seed=seed,
+    )
+    model = boosting.classifier(
+        frame.where("part <> 'test'"),
+        [splits[1:-1] for splits in bins.getSplitsArray()],
+        boosted,
+        features,
+        target=target,
+        grows=F.col("part") == "train",
+        heavy=(n - positives) / positives if 0 < positives < n else 1.0,
+        patience=patience,
+        tasks=boosting.tasks_for(used, frame.sparkSession.sparkContext.defaultParallelism),
+    )
+    return PipelineModel([VectorAssembler(inputCols=list(features), outputCol="features"), model])
 
 
 def partitions_for(rows: int, cores: int) -> int:
@@ -460,12 +464,8 @@ def transfer_learn(
 
     def transferred() -> tuple[PipelineModel, DataFrame, PipelineModel]:
         pretrained = fit_classifier(source, target, features, rounds, seed)
-        # Scoring is cheaper than another written table.
-        stacked = (
-            pretrained.transform(local)
-            .withColumn("source_margin", margin)
-            .drop("features", "rawPrediction", "probability", "prediction")
-        )
+        stacked = pretrained.transform(local).select("part", target, *features, margin.alias("source_margin"))
+        stacked = materialise(stacked, "stacked")
         return pretrained, stacked, fit_classifier(stacked, target, [*features, "source_margin"], rounds, seed, step=0.02)
 
     local_model, (pretrained, stacked, transfer) = side_by_side(
@@ -529,8 +529,10 @@ def definition_sweep(
     labels |= {f"now_{k}": C.flag(now[n]).cast("double") for k, n in enumerate(names)}
     frame = materialise(model_frame(df, labels=labels, **columns), "definitions-frame")
 
+    bins = feature_bins(frame.where("part = 'train'"), features)
+
     def row(k: int) -> DataFrame:
-        model = fit_classifier(frame, f"label_{k}", features, rounds, seed)
+        model = fit_classifier(frame, f"label_{k}", features, rounds, seed, bins=bins)
         test = frame.where("part = 'test'")
         scores = materialise(class_scores(model, test, f"label_{k}"), "definition-scores")
         best = E.threshold_sweep(scores).orderBy(F.desc("is_best"), F.desc("f1"), "threshold").limit(1)
