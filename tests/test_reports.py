@@ -799,3 +799,20 @@ def test_fits_run_side_by_side(spark):
     together = threading.Barrier(5, timeout=30)
     assert sorted(learners.side_by_side(spark, *(lambda k=k: (together.wait(), k)[1] for k in range(5)))) == list(range(5))
     assert [learners.partitions_for(n, 12) for n in (0, 20_000, 60_001, 4_000_000, 60_000_000)] == [1, 1, 4, 12, 120]
+
+
+@pytest.mark.parametrize("present_only", [True, False])
+def test_readings_are_copied_by_groups_of_blocks(spark, monkeypatch, present_only):
+    """Ten blocks in four groups: the pairs are those of single blocks, and a reading is copied four times, not ten."""
+    rng = random.Random(23)
+    values = [(s, t, rng.randrange(-9, 1_000_000)) for s in range(60) for t in range(30) if (t // 10 != s % 3) and rng.random() < 0.7]
+    df = frame(spark, values, "s bigint, t bigint, v bigint")
+    copies, found, real = [], [], pairs.in_block_pairs
+    monkeypatch.setattr(pairs, "in_block_pairs", lambda packed, n: copies.append(n) or real(packed, n))
+    monkeypatch.setattr(pairs, "PAIRS_PER_CORE", 0.5)
+    for held in (0, 32 << 20):
+        monkeypatch.setattr(pairs, "GROUP_BYTES", held)
+        best = pairs.best_few(3, -0.2, 0.2, instants=None if present_only else 30)
+        sums = pairs.pair_moments(df, 60, 30, present_only=present_only, best=best, block=6, stretch=7)
+        found.append(sorted(tuple(r) for r in sums.collect()))
+    assert copies == [10, 4] and found[0] == found[1] and len(found[0]) > 60
