@@ -27,6 +27,8 @@ DEPTH, SHARE = 6, 0.8
 CHUNK_ROWS, GROUP_SIZE = 131_072, 1024
 #: Rows that are worth a task of a level, whose own cost is that of some hundred thousand; up to these one task needs no jobs.
 TASK_ROWS = 1_000_000
+#: Rows that a task may hold where fits share the cores.
+MOST_ROWS = 5_000_000
 #: Rounds between written states: lost ones are computed again from the last.
 CHECKPOINT_ROUNDS = 10
 
@@ -321,9 +323,13 @@ def by_tasks(chunks: RDD, begin, grow) -> list[dict]:
                 _drop(sc, rdd)
 
 
-def tasks_for(rows: int, cores: int) -> int:
-    """Tasks of a level: at most one for each core, as they go through their rows chunk by chunk."""
-    return max(1, min(cores, -(-rows // TASK_ROWS)))
+def tasks_for(rows: int, cores: int, beside: int = 1) -> int:
+    """Tasks of a level: at most one for each core, as they go through their rows chunk by chunk.
+
+    Of ``beside`` fits that run side by side each has its share of the cores, as long as a task's rows are not too many to hold.
+    """
+    share = max(cores // beside, min(cores, -(-rows // MOST_ROWS)))
+    return max(1, min(share, -(-rows // TASK_ROWS)))
 
 
 def _drop(sc: SparkContext, rdd: RDD) -> None:

@@ -212,11 +212,12 @@ def tree_count(model: PipelineModel) -> int:
 
 def fit_classifier(
     frame: DataFrame, target: str, features: Sequence[str], rounds: int, seed: int, step: float = 0.05, patience: int = PATIENCE,
-    bins: Bucketizer | None = None,
+    bins: Bucketizer | None = None, beside: int = 1,
 ) -> PipelineModel:
     """Boosted trees with positives weighted up to the negatives' total, stopped on the ``valid`` rows.
 
-    ``bins`` are those of the features on the ``train`` rows, where the caller has them.
+    ``bins`` are those of the features on the ``train`` rows, where the caller has them;
+    ``beside`` is how many fits run side by side, this one among them.
     """
     train = frame.where("part = 'train'")
     positives, n, used = frame.where("part <> 'test'").agg(
@@ -246,7 +247,7 @@ def fit_classifier(
         grows=F.col("part") == "train",
         heavy=(n - positives) / positives if 0 < positives < n else 1.0,
         patience=patience,
-        tasks=boosting.tasks_for(used, frame.sparkSession.sparkContext.defaultParallelism),
+        tasks=boosting.tasks_for(used, frame.sparkSession.sparkContext.defaultParallelism, beside),
     )
     return PipelineModel([VectorAssembler(inputCols=list(features), outputCol="features"), model])
 
@@ -532,7 +533,7 @@ def definition_sweep(
     bins = feature_bins(frame.where("part = 'train'"), features)
 
     def row(k: int) -> DataFrame:
-        model = fit_classifier(frame, f"label_{k}", features, rounds, seed, bins=bins)
+        model = fit_classifier(frame, f"label_{k}", features, rounds, seed, bins=bins, beside=min(FITS_AT_ONCE, len(names)))
         test = frame.where("part = 'test'")
         scores = materialise(class_scores(model, test, f"label_{k}"), "definition-scores")
         best = E.threshold_sweep(scores).orderBy(F.desc("is_best"), F.desc("f1"), "threshold").limit(1)

@@ -71,6 +71,7 @@ def test_histograms_by_groups_are_those_of_the_features():
     assert boosting.grouped([32, 32, 32, 2, 7], most=1024) == [[0, 1], [2, 4, 3]]
     assert boosting.grouped([1, 1]) == [[0, 1]]
     assert [boosting.tasks_for(n, 8) for n in (0, 1_000_000, 1_000_001, 90_000_000)] == [1, 1, 2, 8]
+    assert [boosting.tasks_for(n, 8, beside=5) for n in (0, 4_800_000, 5_000_001, 90_000_000)] == [1, 1, 2, 8]
 
 
 def test_odd_rows(rows):
